@@ -125,12 +125,18 @@ def percent(part: Column, whole: Column) -> Column:
         F.concat(F.bround(100 * part / whole, 0).cast("int").cast("string"), F.lit("%")))
 
 
+def one_decimal(x: Column) -> Column:
+    """One decimal, an exact tie (x.25, x.75) to even."""
+    tie = (x * 4 == F.floor(x * 4)) & (x * 2 != F.floor(x * 2))
+    return F.format_string("%.1f", F.when(tie, F.bround(x, 1)).otherwise(x))
+
+
 def signed_percent(pct: Column) -> Column:
     sign = F.when(pct >= 0, F.lit("+")).otherwise(F.lit(""))
     nearest = F.rint(pct)
     whole = (F.abs(pct) >= 10) & (F.abs(pct - nearest) < 0.05)
     return F.when(whole, F.concat(sign, nearest.cast("int").cast("string"), F.lit("%"))).otherwise(
-        F.concat(sign, F.format_string("%.1f", pct), F.lit("%")))
+        F.concat(sign, one_decimal(pct), F.lit("%")))
 
 
 def delta_label(a: Column, b: Column, absolute: bool = False) -> Column:
@@ -139,7 +145,7 @@ def delta_label(a: Column, b: Column, absolute: bool = False) -> Column:
     diff = b - a
     sign = F.when(diff >= 0, F.lit("+")).otherwise(F.lit(""))
     plain = F.when(diff == F.floor(diff), F.concat(sign, diff.cast("bigint").cast("string"))
-                   ).otherwise(F.concat(sign, F.format_string("%.1f", diff)))
+                   ).otherwise(F.concat(sign, one_decimal(diff)))
     if absolute:
         shown = plain
     else:

@@ -1,2 +1,79 @@
+"""Reading, writing and checking stored corpora."""
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text as tx
+from ..operators import ranking
+
 IDX_BLOCK = 1_000_000
 SOURCE_LIMIT = 65_535
+
+
+def scan_passages(spark: SparkSession, path: str, live_only: bool = False) -> DataFrame:
+    df = spark.read.parquet(path)
+    return df.filter(~F.col("tombstone")) if live_only else df
+
+
+def write_corpus(df: DataFrame, path: str, compact: bool = False, mode: str = "errorifexists") -> None:
+    """Parquet by corpus and idx block, sorted by idx, so that an id lookup prunes files.
+
+    ``compact`` drops tombstones and renumbers each corpus from 0.
+    """
+    if compact:
+        live = df.filter(~F.col("tombstone"))
+        df = ranking.row_number(live, ["corpus_id"], "idx", "_n").withColumn("idx", F.col("_n") - 1).drop("_n")
+    blocked = df.withColumn("idx_block", F.floor(F.col("idx") / IDX_BLOCK))
+    (blocked.repartition("corpus_id", "idx_block").sortWithinPartitions("corpus_id", "idx_block", "idx")
+     .write.partitionBy("corpus_id", "idx_block").mode(mode).parquet(path))
+
+
+def write_report_csv(df: DataFrame, path: str) -> None:
+    df.write.csv(path, header=True)
+
+
+def normalize_sources(df: DataFrame) -> DataFrame:
+    """(source_idx, source, n): 0 is "no source", then by first appearance; over 65,535 raises."""
+    groups = df.groupBy(F.coalesce("source", F.lit("")).alias("source")).agg(
+        F.min("idx").alias("first_idx"), F.count("*").alias("n"))
+    named = groups.filter("source <> ''").orderBy("first_idx").limit(SOURCE_LIMIT + 1)
+    placed = ranking.row_number(named, [], "first_idx", "source_idx")
+    checked = F.when(F.col("source_idx") <= SOURCE_LIMIT, F.col("source_idx")).otherwise(
+        F.raise_error(F.lit("more than 65535 sources")).cast("bigint"))
+    blank = df.filter(F.coalesce("source", F.lit("")) == "").agg(
+        F.lit(0).cast("bigint").alias("source_idx"), F.lit("").alias("source"), F.count("*").alias("n"))
+    return placed.select(checked.alias("source_idx"), "source", "n").unionByName(blank)
+
+
+def recover_source(table: Column, sidecar: Column, meta: Column, text: Column) -> Column:
+    """Source table, else sidecar, else per-passage metadata, else label line."""
+    filled = [F.nullif(c, F.lit("")) for c in (table, sidecar, meta)]
+    return F.coalesce(*filled, tx.label_line(text), F.lit(""))
+
+
+def fingerprint(vectors: DataFrame) -> DataFrame:
+    """SHA-256 over first vector, last vector and count, 16 hex digits.
+
+    A vector is written as comma-separated millionths of its components.
+    """
+    parts = F.array_join(F.transform("v", lambda x: F.bround(x.cast("double") * 1_000_000, 0).cast("bigint").cast("string")), ",")
+    ends = vectors.select("idx", parts.alias("p")).agg(
+        F.min_by("p", "idx").alias("first"), F.max_by("p", "idx").alias("last"), F.count("*").alias("n"))
+    text = F.concat_ws("|", "first", "last", F.col("n").cast("string"))
+    return ends.select(F.col("n").alias("count"), F.substring(F.sha2(text, 256), 1, 16).alias("fingerprint"))
+
+
+def validate_manifest(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Compare manifests (corpus_id, count, fingerprint)."""
+    o = old.select("corpus_id", F.lit(True).alias("has_old"), F.col("count").alias("old_count"), F.col("fingerprint").alias("old_fp"))
+    n = new.select("corpus_id", F.lit(True).alias("has_new"), F.col("count").alias("new_count"), F.col("fingerprint").alias("new_fp"))
+    status = (F.when(F.col("has_old").isNull(), "legacy").when(F.col("has_new").isNull(), "missing")
+              .when(F.col("old_count") != F.col("new_count"), "count mismatch")
+              .when(F.col("old_fp") != F.col("new_fp"), "fingerprint mismatch").otherwise("ok"))
+    return o.join(n, "corpus_id", "full").select("corpus_id", status.alias("status"))
+
+
+def fetch_full_text(ids: DataFrame, passages: DataFrame) -> DataFrame:
+    """Texts of a bounded id list: the list is broadcast, the passages are scanned once."""
+    return passages.select("idx", "text").join(F.broadcast(ids.select("idx")), "idx", "left_semi")
