@@ -27,6 +27,8 @@ CODES = "(?:USD|EUR|GBP|CAD|AUD|JPY|CHF)"
 HINT_WORD = "[A-Za-z][A-Za-z_-]*"
 HINT_WINDOW = 20
 MONEY = "decimal(18,4)"
+MONEY_TYPE = (f"array<struct<value:{MONEY},currency:string,raw_span:string,start:int,end:int,is_negative:boolean,"
+              "confidence:double,context_hint:string>>")
 
 # Preset names and the hint tokens they stand for.
 PRESETS = {
@@ -39,6 +41,11 @@ PRESETS = {
 }
 
 
+def record(**fields: Column) -> Column:
+    """Struct with its field names as literals: a generator in the same select strips aliases."""
+    return F.named_struct(*[c for name, value in fields.items() for c in (F.lit(name), value)])
+
+
 def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
@@ -47,18 +54,29 @@ def _total_length(parts: Column) -> Column:
     return F.aggregate(parts, F.lit(0), lambda s, x: s + F.length(x))
 
 
+SPAN_TYPE = "array<struct<raw:string,start:int,end:int>>"
+
+
 def spans(text: Column, pattern: str) -> Column:
-    """array<struct<raw, start, end>>: non-overlapping matches with character offsets."""
-    found = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"),
-                     F.split(text, pattern, -1).alias("p"))
+    """array<struct<raw, start, end>>: non-overlapping matches with character offsets.
+
+    Text without a match, the usual case, is scanned once and never split.
+    """
+
+    def locate(m):
+        def place(p):
+            def one(raw, i):
+                start = _total_length(F.slice(p, F.lit(1), i + 1)) + _total_length(F.slice(m, F.lit(1), i))
+                return record(raw=raw, start=start, end=(start + F.length(raw)))
+            return F.transform(m, one).cast(SPAN_TYPE)
+        return F.when(F.size(m) == 0, F.array().cast(SPAN_TYPE)).otherwise(let(F.split(text, pattern, -1), place))
 
-    def locate(s):
-        def one(raw, i):
-            start = _total_length(F.slice(s["p"], F.lit(1), i + 1)) + _total_length(F.slice(s["m"], F.lit(1), i))
-            return F.struct(raw.alias("raw"), start.alias("start"), (start + F.length(raw)).alias("end"))
-        return F.transform(s["m"], one)
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), locate)
 
-    return let(found, locate)
+
+def _with_digits(text: Column, found: Column, kind: str) -> Column:
+    """Neither a date nor an amount lacks a digit; other text is not searched further."""
+    return F.when(F.regexp_like(text, F.lit("[0-9]")), found).otherwise(F.array().cast(kind))
 
 
 def _overlaps(kept: Column):
@@ -95,10 +113,10 @@ def _read_long(raw):
 
 def _dated(text: Column, kind, read) -> Column:
     pattern, name, confidence = kind
-    hits = F.transform(spans(text, pattern), lambda h: F.struct(
-        h["start"].alias("start"), F.lit(-confidence).alias("rank"),
-        (h["start"] - h["end"]).alias("shortness"), h["end"].alias("end"), h["raw"].alias("raw"),
-        read(h["raw"]).alias("date"), F.lit(name).alias("source_format")))
+    hits = F.transform(spans(text, pattern), lambda h: record(
+        start=h["start"], rank=F.lit(-confidence),
+        shortness=(h["start"] - h["end"]), end=h["end"], raw=h["raw"],
+        date=read(h["raw"]), source_format=F.lit(name)))
     return F.filter(hits, lambda h: h["date"].isNotNull())
 
 
@@ -113,22 +131,26 @@ def extract_dates(text: Column) -> Column:
                      _dated(text, SLASH, _read_slash), _dated(text, MONTH_FIRST, _read_long),
                      _dated(text, DAY_FIRST, _read_long))
 
-    def shape(h):
-        return F.struct(h["date"].alias("date"), h["raw"].alias("raw_span"), h["start"].alias("start"),
-                        h["end"].alias("end"), (-h["rank"]).cast("double").alias("confidence"),
-                        h["source_format"].alias("source_format"))
-
     kept_type = ("array<struct<date:date,raw_span:string,start:int,end:int,confidence:double,"
                  "source_format:string>>")
 
+    def shape(h):
+        return record(date=h["date"], raw_span=h["raw"], start=h["start"],
+                        end=h["end"], confidence=(-h["rank"]).cast("double"),
+                        source_format=h["source_format"])
+
     def sweep(acc, h):
         free = h["start"] >= acc["edge"]
-        return F.struct(F.when(free, h["end"]).otherwise(acc["edge"]).alias("edge"),
-                        F.when(free, F.concat(acc["kept"], F.array(shape(h)).cast(kept_type)))
-                        .otherwise(acc["kept"]).alias("kept"))
+        return record(edge=F.when(free, h["end"]).otherwise(acc["edge"]),
+                        kept=F.when(free, F.concat(acc["kept"], F.array(shape(h)).cast(kept_type)))
+                        .otherwise(acc["kept"]))
+
+    def settle(hits):
+        start = record(edge=F.lit(-1), kept=F.array().cast(kept_type))
+        swept = F.aggregate(F.array_sort(hits), start, sweep, lambda acc: acc["kept"])
+        return F.when(F.size(hits) <= 1, F.transform(hits, shape).cast(kept_type)).otherwise(swept)
 
-    start = F.struct(F.lit(-1).alias("edge"), F.array().cast(kept_type).alias("kept"))
-    return F.aggregate(F.array_sort(found), start, sweep, lambda acc: acc["kept"])
+    return _with_digits(text, let(found, settle), kept_type)
 
 
 def dates_of(text: Column) -> Column:
@@ -172,11 +194,11 @@ def extract_currency(text: Column, presets=(), three_digits_first: bool = False)
         def one(h):
             number = F.replace(F.regexp_extract(h["raw"], r"\d[\d,]*(?:\.\d+)?", 0), F.lit(","), F.lit(""))
             code = F.lit(currency) if currency else F.substring(h["raw"], -3, 3)
-            return F.struct(
-                number.try_cast(MONEY).alias("value"), code.alias("currency"), h["raw"].alias("raw_span"),
-                h["start"].alias("start"), h["end"].alias("end"), F.lit(negative).alias("is_negative"),
-                F.lit(confidence).cast("double").alias("confidence"),
-                context_hint(text, h["start"], h["end"]).alias("context_hint"))
+            return record(
+                value=number.try_cast(MONEY), currency=code, raw_span=h["raw"],
+                start=h["start"], end=h["end"], is_negative=F.lit(negative),
+                confidence=F.lit(confidence).cast("double"),
+                context_hint=context_hint(text, h["start"], h["end"]))
         return F.filter(F.transform(spans(text, pattern), one), lambda h: h["value"].isNotNull())
 
     def stage(kept, rest):
@@ -186,6 +208,7 @@ def extract_currency(text: Column, presets=(), three_digits_first: bool = False)
         return let(F.concat(kept, fresh), lambda k: stage(k, rest[1:]))
 
     hits = let(read(*stages[0]), lambda k: stage(k, stages[1:]))
+    hits = _with_digits(text, hits, MONEY_TYPE)
     return filter_presets(hits, presets) if presets else hits
 
 
@@ -238,11 +261,11 @@ def entity_mentions(text: Column, name: str, aliases=(), reach: int = 100) -> Co
         if not rest:
             return F.transform(
                 F.array_sort(kept, lambda a, b: a["start"] - b["start"]),
-                lambda h: F.struct(
-                    F.lit(name).alias("entity_name"),
-                    F.substring(text, h["start"] + 1, h["end"] - h["start"]).alias("matched_text"),
-                    h["start"].alias("start"), h["end"].alias("end"),
-                    mention_context(text, h["start"], h["end"], reach).alias("context")))
+                lambda h: record(
+                    entity_name=F.lit(name),
+                    matched_text=F.substring(text, h["start"] + 1, h["end"] - h["start"]),
+                    start=h["start"], end=h["end"],
+                    context=mention_context(text, h["start"], h["end"], reach)))
         fresh = F.filter(spans(lowered, _quote(rest[0])), lambda h: ~_overlaps(kept)(h))
         return let(F.concat(kept, fresh), lambda k: stage(k, rest[1:]))
 

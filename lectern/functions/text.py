@@ -4,6 +4,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .extract import record
+
 ELLIPSIS = "…"
 EMPTY_PASSAGE = "(empty passage)"
 
@@ -195,17 +197,17 @@ def frontmatter(text: Column) -> Column:
     """Key/value pairs of a leading ``---`` block."""
     block = F.regexp_extract(text, r"(?s)^---\n(.*?)\n---(?:\n|$)", 1)
     rows = F.filter(F.split(block, "\n"), lambda r: F.regexp_like(r, F.lit(r"^[A-Za-z][\w -]*:")))
-    return F.transform(rows, lambda r: F.struct(
-        F.trim(F.substring_index(r, ":", 1)).alias("key"),
-        F.trim(F.regexp_replace(r, r"^[^:]*:", "")).alias("value")))
+    return F.transform(rows, lambda r: record(
+        key=F.trim(F.substring_index(r, ":", 1)),
+        value=F.trim(F.regexp_replace(r, r"^[^:]*:", ""))))
 
 
 def wikilinks(text: Column) -> Column:
     inner = F.regexp_extract_all(text, F.lit(r"\[\[([^\[\]]+)\]\]"), F.lit(1))
-    return F.transform(inner, lambda t: F.struct(
-        F.trim(F.regexp_replace(t, r"[#|].*$", "")).alias("target"),
-        F.nullif(F.trim(F.regexp_extract(t, r"#([^|]*)", 1)), F.lit("")).alias("heading"),
-        F.nullif(F.trim(F.regexp_extract(t, r"\|(.*)$", 1)), F.lit("")).alias("shown")))
+    return F.transform(inner, lambda t: record(
+        target=F.trim(F.regexp_replace(t, r"[#|].*$", "")),
+        heading=F.nullif(F.trim(F.regexp_extract(t, r"#([^|]*)", 1)), F.lit("")),
+        shown=F.nullif(F.trim(F.regexp_extract(t, r"\|(.*)$", 1)), F.lit(""))))
 
 
 def hashtags(text: Column) -> Column:

@@ -91,43 +91,43 @@ def theme_coverage(df: DataFrame, minimum: int = 3, head_chars: int | None = Non
     return leading.filter(F.col("items") < minimum).orderBy(F.desc("items"), "theme").limit(THEME_SHOWN)
 
 
-def entity_items(df: DataFrame, min_length: int = 3) -> DataFrame:
+def extracted(df: DataFrame) -> DataFrame:
+    """One pass over the text: dates, amounts, entity candidates and a snippet per passage."""
+    text = F.col("text")
+    return df.select("idx", "source", tx.snippet(text, 100).alias("snippet"), ex.dates_of(text).alias("dates"),
+                     ex.extract_currency(text).alias("money"), ex.entity_candidates(text, 3).alias("entities"))
+
+
+def entity_items(items: DataFrame) -> DataFrame:
     """(key, entity, first_idx, last_idx): case-folded entities with their first surface form."""
-    found = df.select("idx", F.posexplode(ex.entity_candidates(F.col("text"), min_length)).alias("pos", "entity"))
+    found = items.select("idx", F.posexplode("entities").alias("pos", "entity"))
     return found.groupBy(F.lower("entity").alias("key")).agg(
         F.min_by("entity", F.struct("idx", "pos")).alias("entity"), F.min("idx").alias("first_idx"),
         F.max("idx").alias("last_idx"))
 
 
-def orphan_entities(df: DataFrame, shown: int = 20) -> DataFrame:
+def orphan_entities(items: DataFrame, shown: int = 20) -> DataFrame:
     """Entities of exactly one item, alphabetical, with the full count."""
-    orphans = entity_items(df).filter("first_idx = last_idx")
+    orphans = entity_items(items).filter("first_idx = last_idx")
     total = orphans.agg(F.count("*")).scalar()
     few = orphans.orderBy("key").limit(shown).select("entity", F.col("first_idx").alias("idx"))
     return few.withColumn("total", total)
 
 
-def extracted(df: DataFrame) -> DataFrame:
-    """One pass over the text: dates, amounts and whether entities occur."""
-    text = F.col("text")
-    return df.select("idx", "source", "text", ex.dates_of(text).alias("dates"), ex.extract_currency(text).alias("money"),
-                     (F.size(ex.entity_candidates(text, 3)) > 0).alias("has_entity"))
-
-
 def extraction_density(items: DataFrame) -> DataFrame:
     total = F.count("*")
     return items.agg(
         total.alias("items"), F.count_distinct(F.nullif("source", F.lit(""))).alias("sources"),
         tx.percent(F.count_if(F.size("dates") > 0), total).alias("with_dates"),
-        tx.percent(F.count_if("has_entity"), total).alias("with_entities"),
+        tx.percent(F.count_if(F.size("entities") > 0), total).alias("with_entities"),
         tx.percent(F.count_if(F.size("money") > 0), total).alias("with_currency"))
 
 
 def context_poor(items: DataFrame, sample: int = 10) -> DataFrame:
-    poor = items.filter((F.size("dates") == 0) & (F.size("money") == 0) & ~F.col("has_entity"))
+    """Items with no date, amount or entity: a sample and the full count."""
+    poor = items.filter((F.size("dates") == 0) & (F.size("money") == 0) & (F.size("entities") == 0))
     total = poor.agg(F.count("*")).scalar()
-    return poor.select("idx", tx.snippet(F.col("text"), 100).alias("snippet")).orderBy("idx").limit(sample).withColumn(
-        "total", total)
+    return poor.select("idx", "snippet").orderBy("idx").limit(sample).withColumn("total", total)
 
 
 def date_range(items: DataFrame) -> DataFrame:

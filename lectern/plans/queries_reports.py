@@ -1 +1,125 @@
-"""Registered queries."""
+"""Registered queries: composed reports, one section per row group."""
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from . import reports
+from .queries_bookkeeping import EXACT
+from .queries_extract import BIGRAMS, ORPHANS
+from .registry import query
+
+
+def stacked(parts: dict[str, DataFrame]) -> DataFrame:
+    """Sections of one report as (section, a, b, c, d) strings."""
+    out = []
+    for name, df in parts.items():
+        cols = [F.col(f"`{c}`").cast("string") for c in df.columns][:4]
+        cols += [F.lit(None).cast("string")] * (4 - len(cols))
+        out.append(df.select(F.lit(name).alias("section"), *[c.alias(n) for c, n in zip(cols, "abcd")]))
+    return reduce(lambda x, y: x.unionByName(y), out)
+
+
+LIVE = """li AS (SELECT * FROM invoices WHERE NOT tombstone),
+ld AS (SELECT d.*, li.source FROM invoice_dates d JOIN li ON d.idx = li.idx),
+lm AS (SELECT m.*, li.source, (SELECT min(date) FROM invoice_dates x WHERE x.idx = m.idx) AS date FROM invoice_money m JOIN li ON m.idx = li.idx)"""
+
+
+@query("r1_summary", f"""
+WITH {LIVE}, {BIGRAMS.format(v='li')}, th AS (SELECT theme, count(*) AS n FROM g GROUP BY 1 ORDER BY n DESC, theme LIMIT 5)
+SELECT 'counts' AS section, count_if(NOT tombstone)::VARCHAR AS a, count_if(tombstone)::VARCHAR AS b, count(*)::VARCHAR AS c, NULL AS d FROM invoices
+UNION ALL SELECT 'coverage', count(DISTINCT source)::VARCHAR, min(date)::VARCHAR, max(date)::VARCHAR, NULL FROM ld
+UNION ALL SELECT 'sources', source, count(DISTINCT idx)::VARCHAR, min(date)::VARCHAR, max(date)::VARCHAR FROM ld GROUP BY source
+UNION ALL SELECT 'themes', theme, n::VARCHAR, NULL, NULL FROM th""")
+def _(t):
+    return stacked(reports.summary(t.invoices, reports.facts_of(t.invoices), 5))
+
+
+@query("r2_coverage", f"""
+WITH {LIVE}, le AS (SELECT * FROM invoice_entities WHERE idx IN (SELECT idx FROM li)), dd AS (SELECT DISTINCT date FROM ld),
+gp AS (SELECT lag(date) OVER (ORDER BY date) AS f, date AS t2 FROM dd),
+{BIGRAMS.format(v='li')}, r AS (SELECT theme, count(DISTINCT idx) AS items, min(idx) AS sample_idx FROM g GROUP BY 1),
+p AS (SELECT * FROM r ORDER BY items DESC, theme LIMIT 50), ut AS (SELECT * FROM p WHERE items < 3 ORDER BY items DESC, theme LIMIT 15),
+e AS (SELECT lower(entity) AS k, min(entity) AS entity, count(DISTINCT idx) AS n, min(idx) AS idx FROM le GROUP BY 1),
+oe AS (SELECT entity, idx, (SELECT count(*) FROM e WHERE n = 1) AS total FROM e WHERE n = 1 ORDER BY k LIMIT 20)
+SELECT 'overview' AS section, count(*)::VARCHAR AS a, count(DISTINCT source)::VARCHAR AS b, '100%' AS c, '100%' AS d FROM li
+UNION ALL SELECT 'themes', theme, items::VARCHAR, sample_idx::VARCHAR, NULL FROM ut
+UNION ALL SELECT 'orphans', entity, idx::VARCHAR, total::VARCHAR, NULL FROM oe
+UNION ALL SELECT 'sources', source, count(*)::VARCHAR, CASE WHEN count(*) < 2 THEN 'under-utilized' ELSE 'ok' END, NULL FROM li GROUP BY source
+UNION ALL SELECT 'gaps', f::VARCHAR, t2::VARCHAR, (t2 - f)::VARCHAR, NULL FROM gp WHERE t2 - f > 1""")
+def _(t):
+    return stacked(reports.coverage(t.invoices, reports.facts_of(t.invoices), gap_days=1, source_min=2))
+
+
+CMP = """SELECT count(*) AS n, count(DISTINCT source) AS s, min(d0) AS d0, max(d1) AS d1, sum(usd)::DECIMAL(38,4) AS u FROM li
+JOIN (SELECT idx, min(date) AS d0, max(date) AS d1 FROM invoice_dates GROUP BY 1) d ON li.idx = d.idx
+JOIN (SELECT idx, sum(CASE WHEN currency <> 'USD' THEN 0 WHEN is_negative THEN -value ELSE value END) AS usd FROM invoice_money GROUP BY 1) m ON li.idx = m.idx
+WHERE contains(lower(text), '{q}')"""
+
+
+@query("r3_comparison", f"""
+WITH {LIVE}, ca AS ({CMP.format(q='household')}), cb AS ({CMP.format(q='urgent')}),
+f AS (SELECT idx, text, source, contains(lower(text), 'household') AS a, contains(lower(text), 'urgent') AS b FROM li),
+o AS (SELECT CASE WHEN a AND b THEN 'both' WHEN a THEN 'only_a' ELSE 'only_b' END AS side, idx, source, text FROM f WHERE a OR b),
+ds AS (SELECT side, idx, '[' || source || '](vps://source/' || regexp_replace(lower(source), '[^a-z0-9]+', '-', 'g') || ')' AS link,
+  CASE WHEN length(split_part(text, chr(10), 1)) > 120 THEN rtrim(substr(split_part(text, chr(10), 1), 1, 119)) || '…' ELSE split_part(text, chr(10), 1) END AS line FROM (SELECT *, row_number() OVER (PARTITION BY side ORDER BY idx) AS rn FROM o WHERE side <> 'both') WHERE rn <= 5)
+SELECT 'metrics' AS section, n::VARCHAR AS a, s::VARCHAR AS b, d0::VARCHAR AS c, d1::VARCHAR AS d FROM ca
+UNION ALL SELECT 'metrics', n::VARCHAR, s::VARCHAR, d0::VARCHAR, d1::VARCHAR FROM cb
+UNION ALL SELECT 'overlap', side, count(*)::VARCHAR, NULL, NULL FROM o GROUP BY side
+UNION ALL SELECT 'distinctive', side, idx::VARCHAR, link, line FROM ds""")
+def _(t):
+    parts = reports.comparison(t.invoices, "household", "urgent")
+    return stacked({k: parts[k] for k in ("metrics", "overlap", "distinctive")})
+
+
+@query("r3b_comparison_deltas", f"""
+WITH {LIVE}, ca AS ({CMP.format(q='household')}), cb AS ({CMP.format(q='urgent')}), j AS (SELECT ca.n AS na, cb.n AS nb, ca.s AS sa, cb.s AS sb,
+  (cb.d1 - cb.d0) - (ca.d1 - ca.d0) AS dd, ca.u AS ua, cb.u AS ub, (cb.n - ca.n) / ca.n * 100.0 AS pn, (cb.u - ca.u)::DOUBLE / ca.u::DOUBLE * 100.0 AS pu FROM ca, cb),
+fmt AS (SELECT *, lambda_n.v AS fn, lambda_u.v AS fu FROM j,
+  LATERAL (SELECT (CASE WHEN pn >= 0 THEN '+' ELSE '' END) || CASE WHEN abs(pn) >= 10 AND abs(pn - round_even(pn, 0)) < 0.05 THEN CAST(round_even(pn, 0) AS INT)::VARCHAR ELSE format('{{:.1f}}', pn) END || '%' AS v) lambda_n,
+  LATERAL (SELECT (CASE WHEN pu >= 0 THEN '+' ELSE '' END) || CASE WHEN abs(pu) >= 10 AND abs(pu - round_even(pu, 0)) < 0.05 THEN CAST(round_even(pu, 0) AS INT)::VARCHAR ELSE format('{{:.1f}}', pu) END || '%' AS v) lambda_u)
+SELECT NULL AS error, fn AS count, (CASE WHEN sb >= sa THEN '+' ELSE '' END) || (sb - sa) AS sources, (CASE WHEN dd >= 0 THEN '+' ELSE '' END) || dd || 'd' AS date_span, fu AS usd_total FROM fmt""")
+def _(t):
+    return reports.comparison(t.invoices, "household", "urgent")["deltas"]
+
+
+@query("r4_entity_rollup", f"""
+WITH {LIVE} SELECT 'mentions' AS section, li.idx::VARCHAR AS a, li.source AS b, min(date)::VARCHAR AS c, 'Household Goods' AS d FROM li JOIN ld ON li.idx = ld.idx
+WHERE contains(text, 'Household Goods') GROUP BY ALL
+UNION ALL SELECT 'totals', count(DISTINCT li.idx)::VARCHAR, count(DISTINCT li.source)::VARCHAR, min(m)::VARCHAR, max(m)::VARCHAR FROM li
+JOIN (SELECT idx, min(date) AS m FROM ld GROUP BY 1) x ON x.idx = li.idx WHERE contains(text, 'Household Goods')""")
+def _(t):
+    return stacked(reports.entity_rollup(t.invoices, "Household Goods", ["household"]))
+
+
+@query("r5_change_log", f"""WITH {EXACT}, c AS (SELECT count_if(status = 'added') AS ad, count_if(status = 'removed') AS rm, count_if(status = 'unchanged') AS un FROM x)
+SELECT 'changes' AS section, status AS a, new_idx::VARCHAR AS b, old_idx::VARCHAR AS c, source AS d FROM x
+UNION ALL SELECT 'notes', ad::VARCHAR, rm::VARCHAR, '0', un::VARCHAR FROM c
+UNION ALL SELECT 'by_source', source, status, count(*)::VARCHAR, NULL FROM x GROUP BY source, status""")
+def _(t):
+    return stacked(reports.change_log(t.old_snap, t.new_snap, "exact"))
+
+
+@query("r5b_change_log_semantic")
+def _(t):
+    parts = reports.change_log(t.old_vec, t.new_vec, "semantic")
+    return stacked({k: parts[k] for k in ("notes", "by_source")})
+
+
+query("r6_timeline", f"""WITH {LIVE} SELECT date_trunc('week', ld.date)::DATE AS period, count(*) AS events, count(DISTINCT ld.idx) AS items, min(date) AS first, max(date) AS last
+FROM ld JOIN li ON ld.idx = li.idx WHERE contains(lower(text), 'household') GROUP BY 1""")(
+    lambda t: reports.timeline(t.invoices, "Household", "week"))
+query("r7_trend", f"""WITH {LIVE}, s AS (SELECT date_trunc('month', date)::DATE::VARCHAR AS point, count(*) AS n, sum(value)::DECIMAL(38,4) AS total, min(value) AS low, max(value) AS high FROM lm
+WHERE hint = 'surcharge' GROUP BY 1) SELECT *, (SELECT count(*) FROM s) < 3 AS too_few_points FROM s""")(
+    lambda t: reports.trend(t.invoices, "fuel_surcharge", grouping="month"))
+query("r7b_trend_custom", f"""WITH {LIVE}, s AS (SELECT source AS point, count(*) AS n, sum(value)::DECIMAL(38,4) AS total, min(value) AS low, max(value) AS high FROM lm
+WHERE hint = 'paid' GROUP BY 1) SELECT *, (SELECT count(*) FROM s) < 3 AS too_few_points FROM s""")(
+    lambda t: reports.trend(t.invoices, "custom", r"Paid (\d+\.\d{2})", "invoice"))
+ROLLUP = """SELECT {key} AS key, currency, count(*) AS n, sum(CASE WHEN is_negative THEN 0 ELSE value END)::DECIMAL(38,4) AS charged,
+sum(CASE WHEN is_negative THEN value ELSE 0 END)::DECIMAL(38,4) AS refunded FROM lm WHERE {where} GROUP BY 1, 2"""
+query("r8_financial_rollup", f"WITH {LIVE} " + ROLLUP.format(key="strftime(date, '%Y-%m')", where="hint = 'invoice'"))(
+    lambda t: reports.financial_rollup(t.invoices, "invoice_total", "period"))
+query("r8b_financial_by_category", f"WITH {LIVE} " + ROLLUP.format(key="hint", where="date BETWEEN DATE '1995-01-01' AND DATE '1997-06-30'"))(
+    lambda t: reports.financial_rollup(t.invoices, "", "category", "1995-01-01", "1997-06-30"))

@@ -36,4 +36,4 @@ def all_sql() -> dict[str, str]:
 
 def _load() -> None:
     from . import (queries_access, queries_bookkeeping, queries_build, queries_extract, queries_functions,  # noqa: F401
-                   queries_reports, queries_retrieval, queries_streams)
+                   queries_lexical, queries_reports, queries_retrieval, queries_streams)
