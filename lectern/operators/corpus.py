@@ -148,18 +148,33 @@ def money_of(df: DataFrame, presets=(), three_digits_first: bool = False) -> Dat
         ex.extract_currency(F.col("text"), presets, three_digits_first)).alias("m")).select("idx", "source", "m.*")
 
 
-def subset_metrics(df: DataFrame) -> DataFrame:
-    """Count, sources, date range over text and source name, and the USD total (refunds negative)."""
+def _subset_facts(df: DataFrame, keep: list[Column]) -> DataFrame:
     text = F.col("text")
     combined = F.when(F.coalesce("source", F.lit("")) != "", F.concat(text, F.lit("\n"), F.col("source"))).otherwise(text)
     usd = F.filter(ex.extract_currency(text), lambda m: m["currency"] == "USD")
     zero = F.lit(0).cast("decimal(38,4)")
     net = F.aggregate(usd, zero, lambda s, m: (s + F.when(m["is_negative"], -m["value"]).otherwise(m["value"])).cast("decimal(38,4)"))
-    rows = df.select("source", ex.dates_of(combined).alias("dates"), net.alias("usd"))
-    return rows.agg(
-        F.count("*").alias("count"), F.count_distinct(F.nullif("source", F.lit(""))).alias("sources"),
-        F.min(F.array_min("dates")).alias("date_min"), F.max(F.array_max("dates")).alias("date_max"),
-        F.coalesce(F.sum("usd"), zero).cast("decimal(38,4)").alias("usd_total"))
+    return df.select(*keep, "source", ex.dates_of(combined).alias("dates"), net.alias("usd"))
+
+
+def _metric_columns() -> list[Column]:
+    zero = F.lit(0).cast("decimal(38,4)")
+    return [F.count("*").alias("count"), F.count_distinct(F.nullif("source", F.lit(""))).alias("sources"),
+            F.min(F.array_min("dates")).alias("date_min"), F.max(F.array_max("dates")).alias("date_max"),
+            F.coalesce(F.sum("usd"), zero).cast("decimal(38,4)").alias("usd_total")]
+
+
+def subset_metrics(df: DataFrame) -> DataFrame:
+    """Count, sources, date range over text and source name, and the USD total (refunds negative)."""
+    return _subset_facts(df, []).agg(*_metric_columns())
+
+
+def side_metrics(overlap: DataFrame) -> DataFrame:
+    """The same for both sides of a ``subset_overlap``; each passage is read once, even in both."""
+    facts = _subset_facts(overlap, [F.col("side")])
+    sides = F.when(F.col("side") == "only_a", F.array(F.lit("a"))).when(F.col("side") == "only_b", F.array(F.lit("b"))).otherwise(
+        F.array(F.lit("a"), F.lit("b")))
+    return facts.withColumn("side", F.explode(sides)).groupBy("side").agg(*_metric_columns())
 
 
 def by_source_and_month(df: DataFrame) -> DataFrame:

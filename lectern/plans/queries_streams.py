@@ -1 +1,112 @@
-"""Registered queries."""
+"""Registered queries: activity, usage and streaming jobs."""
+from __future__ import annotations
+
+from contextlib import contextmanager
+
+from pyspark.sql import functions as F
+
+from ..session import scratch_path
+from ..streaming import activity as ac
+from ..streaming import jobs
+from .fixtures import activity_view
+from .registry import query
+
+
+@contextmanager
+def settings(spark, **values):
+    """Session settings for the length of one streaming run."""
+    names = {k.replace("__", "."): v for k, v in values.items()}
+    old = {k: spark.conf.get(k, None) for k in names}
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+UTC = {"spark__sql__session__timeZone": "UTC"}
+
+
+def stream_of(t):
+    return activity_view(ac.read_events(t.spark, t.sf_dir))
+
+
+query("z1_activity_feed", "SELECT event_id, seat, event_type FROM activity WHERE ts >= TIMESTAMP '2024-01-20' AND corpus_id = 3 AND event_type = 'click'")(
+    lambda t: ac.activity_feed(t.activity, "2024-01-20 00:00:00", 3, "click").select("event_id", "seat", "event_type"))
+COUNTS = "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, corpus_id, event_type, count(*) AS n FROM activity GROUP BY 1, 2, 3"
+query("z2_activity_counts", COUNTS)(lambda t: ac.activity_counts(t.activity))
+
+
+@query("z2b_activity_counts_stream", COUNTS)
+def _(t):
+    with settings(t.spark, **UTC):
+        out = jobs.run_to_table(ac.activity_counts(stream_of(t)), "counts", "update")
+    last = F.max_by("n", "_batch").alias("n")
+    return out.groupBy("start", "corpus_id", "event_type").agg(last)
+
+
+DAILY = """WITH u AS (SELECT date_trunc('day', ts) AS day, seat, count(*) AS requests, sum(greatest(units, 0))::BIGINT AS units FROM activity WHERE seat IS NOT NULL GROUP BY 1, 2)
+SELECT strftime(day, '%Y-%m-%d %H:%M:%S') AS day, seat, requests, units, floor(greatest(requests / 100, units / 10000) * 100)::INT AS used_pct,
+  requests >= 100 OR units >= 10000 AS over_cap, greatest(requests / 100, units / 10000) >= 0.8 AS warn FROM u"""
+query("z3_daily_usage", DAILY)(lambda t: ac.daily_usage(t.activity))
+
+ADMIT = """WITH a AS (SELECT event_id, seat, ts::DATE AS day, greatest(units, 0) AS u, ts FROM activity WHERE seat IS NOT NULL),
+p AS (SELECT event_id, seat, day, count(*) OVER w AS prior_requests, coalesce(sum(u) OVER w, 0)::BIGINT AS prior_units FROM a
+  WINDOW w AS (PARTITION BY seat, day ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""
+query("w7_usage_admission", f"{ADMIT} SELECT *, prior_requests < 100 AND prior_units < 10000 AS admitted FROM p")(
+    lambda t: jobs.usage_admission(t.activity))
+
+
+@query("w8_running_quota", f"""{ADMIT} SELECT event_id, floor(greatest((prior_requests + 1) / 100, (prior_units + u) / 10000) * 100)::INT AS used_pct,
+  greatest((prior_requests + 1) / 100, (prior_units + u) / 10000) >= 0.8 AS warn FROM p JOIN (SELECT event_id, u FROM a) USING (event_id)""")
+def _(t):
+    before = jobs.usage_admission(t.activity).join(t.activity.select("event_id", F.greatest("units", F.lit(0)).alias("u")), "event_id")
+    running = before.withColumn("requests", F.col("prior_requests") + 1).withColumn("units", F.col("prior_units") + F.col("u"))
+    return ac.with_quota(running).select("event_id", "used_pct", "warn")
+
+
+@query("z4_usage_admit_stateful", f"{ADMIT} SELECT event_id, seat, strftime(day, '%Y-%m-%d') AS day, prior_requests < 100 AND prior_units < 10000 AS admitted FROM p")
+def _(t):
+    with settings(t.spark, **UTC):
+        return jobs.run_to_table(jobs.admit_stream(stream_of(t)), "admit")
+
+
+query("z5_seat_attention", """
+SELECT seat, substr(sha256(props || event_type), 1, 16) AS content_key, count(*) AS touches, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_seen FROM activity
+WHERE seat IS NOT NULL GROUP BY 1, 2""")(
+    lambda t: ac.seat_attention(t.activity, F.concat("props", "event_type")).withColumn("last_seen", F.date_format("last_seen", "yyyy-MM-dd HH:mm:ss")))
+query("z6_writer_sessions", """
+WITH o AS (SELECT *, lag(ts) OVER (PARTITION BY corpus_id, seat ORDER BY ts, event_id) AS p FROM activity WHERE seat IS NOT NULL),
+s AS (SELECT *, sum(CASE WHEN p IS NULL OR ts > p + INTERVAL 90 SECOND THEN 1 ELSE 0 END) OVER (PARTITION BY corpus_id, seat ORDER BY ts, event_id) AS k FROM o)
+SELECT corpus_id, seat, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS renewals FROM s GROUP BY corpus_id, seat, k""")(
+    lambda t: ac.writer_sessions(t.activity))
+query("z7_occupancy", """
+WITH w AS (SELECT corpus_id, seat, time_bucket(INTERVAL 15 MINUTE, ts) - i * INTERVAL 15 MINUTE AS start FROM activity, range(4) r(i) WHERE seat IS NOT NULL)
+SELECT strftime(start, '%Y-%m-%d %H:%M:%S') AS start, corpus_id, count(DISTINCT seat) AS seats FROM w GROUP BY 1, 2""")(
+    lambda t: ac.occupancy(t.activity))
+query("z8_expire", """
+SELECT event_id, event_type FROM events WHERE ts < TIMESTAMP '2024-01-15 12:00:00' - INTERVAL 3600 SECOND AND event_type <> 'purchase'""")(
+    lambda t: ac.expire(t.events, F.lit("2024-01-15 12:00:00").cast("timestamp_ntz"), t.events.filter("event_type = 'purchase'")).select("event_id", "event_type"))
+
+
+@query("z9_stream_ingest", """
+SELECT substr(sha256(text), 1, 16) AS content_key, min(source) AS source, text FROM (SELECT role AS source, text FROM conversations WHERE trim(text) <> '') GROUP BY 1, text""")
+def _(t):
+    stream = ac.read_events(t.spark, t.sf_dir, "conversations.parquet").filter("trim(text) <> ''")
+    return jobs.ingest_stream(stream.select(F.col("role").alias("source"), "text"), size=10**9)
+
+
+@query("z10_late_rows")
+def _(t):
+    """Events stored in two folders: the second holds the earlier half of the month, so it is late."""
+    path = scratch_path(t.spark, "out-of-order")
+    half = F.lit("2024-01-15").cast("timestamp_ntz")
+    t.events.filter(F.col("ts") >= half).coalesce(1).write.parquet(f"{path}/first")
+    t.events.filter(F.col("ts") < half).coalesce(1).write.parquet(f"{path}/second")
+    with settings(t.spark, **UTC):
+        stream = (t.spark.readStream.schema(t.events.schema).option("recursiveFileLookup", "true")
+                  .option("maxFilesPerTrigger", 1).parquet(path))
+        windows, dropped = jobs.late_rows(stream)
+    return windows.withColumn("rows_dropped", F.lit(dropped))

@@ -65,22 +65,18 @@ def comparison(passages: DataFrame, a: str, b: str) -> dict[str, DataFrame]:
 
     An empty subset gives an error row instead of a misleading comparison.
     """
-    live = filters.live(passages)
-    rows_a, rows_b = live.filter(diff.in_subset(a)), live.filter(diff.in_subset(b))
-    m_a = cp.subset_metrics(rows_a).withColumn("side", F.lit("a"))
-    m_b = cp.subset_metrics(rows_b).withColumn("side", F.lit("b"))
-    metrics = m_a.unionByName(m_b)
+    sides = diff.subset_overlap(filters.live(passages), a, b)
+    metrics = cp.side_metrics(sides).select("count", "sources", "date_min", "date_max", "usd_total", "side")
     pair = metrics.agg(*[F.max(F.when(F.col("side") == s, F.col(c))).alias(f"{c}_{s}") for s in "ab"
                          for c in ("count", "sources", "date_min", "date_max", "usd_total")])
     span = F.date_diff("date_max_b", "date_min_b") - F.date_diff("date_max_a", "date_min_a")
     sign = F.when(span >= 0, "+").otherwise("")
     deltas = pair.select(
-        F.when((F.col("count_a") == 0) | (F.col("count_b") == 0), "no match").alias("error"),
+        F.when(F.col("count_a").isNull() | F.col("count_b").isNull(), "no match").alias("error"),
         tx.delta_label(F.col("count_a"), F.col("count_b")).alias("count"),
         tx.delta_label(F.col("sources_a"), F.col("sources_b"), absolute=True).alias("sources"),
         F.coalesce(F.concat(sign, span.cast("string"), F.lit("d")), F.lit("—")).alias("date_span"),
         _money_delta(F.col("usd_total_a"), F.col("usd_total_b")).alias("usd_total"))
-    sides = diff.subset_overlap(live, a, b)
     overlap = sides.groupBy("side").agg(F.count("*").alias("n"))
 
     def only(side):
