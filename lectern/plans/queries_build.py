@@ -1 +1,83 @@
-"""Registered queries."""
+"""Registered queries: chunking, corpus building, table clean-up; semantic joins by key."""
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import build
+from ..operators import simjoin
+from ..sources import documents
+from .queries_retrieval import WALK, rounded, walk
+from .registry import query
+
+
+@query("b1_chunk_lines")
+def _(t):
+    return build.chunk_documents(t.documents.select("doc_id", "source", "text"), 300, 50)
+
+
+@query("b2_split_by_chars")
+def _(t):
+    return build.chunk_documents(t.documents.select("doc_id", "text"), 10**9, 0, limit=6000)
+
+
+@query("b3_passage_break_split", """
+WITH p AS (SELECT conv_id, turn, unnest([text, role]) AS tx, unnest([0, 1]) AS part FROM conversations)
+SELECT conv_id, turn, part, regexp_replace(tx, '^\\s+|\\s+$', '', 'g') AS text FROM p WHERE regexp_replace(tx, '\\s', '', 'g') <> ''""")
+def _(t):
+    joined = F.concat("text", F.lit(documents.PASSAGE_BREAK), "role")
+    return documents.split_passages(t.conversations.select("conv_id", "turn", joined.alias("text")))
+
+
+@query("b4_build_corpus", """
+WITH w AS (SELECT source, count(*) OVER (PARTITION BY source) AS n, row_number() OVER (ORDER BY doc_id) - 1 AS idx,
+  row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents WHERE trim(text) <> '')
+SELECT idx, source || ' (part ' || k || '/' || n || ')' AS label, lag(idx) OVER (PARTITION BY source ORDER BY idx) AS prev_idx,
+  lead(idx) OVER (PARTITION BY source ORDER BY idx) AS next_idx FROM w""")
+def _(t):
+    built = build.build_corpus(t.documents.select("doc_id", "source", "text"), "doc_id", 10**9, 0)
+    return built["passages"].select("idx", "label", "prev_idx", "next_idx")
+
+
+@query("b4b_build_corpus_chunked")
+def _(t):
+    built = build.build_corpus(t.documents.select("doc_id", "source", "text"), "doc_id", 300, 50)
+    return built["files"].select("source", "chunks", "first_idx")
+
+
+NUMERIC = """trim(val) <> '' AND length(trim(val)) <= 24 AND length(regexp_replace(trim(val), '[^0-9]', '', 'g')) > 0
+  AND length(regexp_replace(trim(val), '[^0-9]', '', 'g')) / greatest(length(trim(val)), 1)::DOUBLE >= 0.5"""
+query("b5_table_classify_rows", f"""
+WITH r AS (SELECT table_id, row, count_if(val <> '') AS f, count_if({NUMERIC}) AS n FROM cells GROUP BY 1, 2),
+h AS (SELECT table_id, min(row) AS hr FROM r WHERE n = 0 AND f >= 4 GROUP BY 1)
+SELECT r.table_id, r.row, CASE WHEN r.row = hr THEN 'header' WHEN n >= 2 THEN 'data' ELSE 'prose' END AS kind FROM r LEFT JOIN h ON r.table_id = h.table_id WHERE f > 0""")(
+    lambda t: build.classify_rows(t.cells))
+query("b6_drop_empty_columns", """
+WITH u AS (SELECT DISTINCT table_id, col FROM cells WHERE trim(val) <> ''), n AS (SELECT *, row_number() OVER (PARTITION BY table_id ORDER BY col) - 1 AS nc FROM u)
+SELECT c.table_id, c.row, nc::INT AS col, val FROM cells c JOIN n ON n.table_id = c.table_id AND n.col = c.col""")(
+    lambda t: build.drop_empty_columns(t.cells))
+
+
+@query("b6b_merge_disjoint_columns", """
+WITH f AS (SELECT table_id, row, col, val FROM cells),
+k AS (SELECT table_id, bool_or(v3 <> '' AND v4 <> '') AS c34, bool_or(v4 <> '' AND v5 <> '') AS c45 FROM (SELECT table_id, row, max(CASE WHEN col = 3 THEN val END) AS v3,
+  max(CASE WHEN col = 4 THEN val END) AS v4, max(CASE WHEN col = 5 THEN val END) AS v5 FROM f GROUP BY 1, 2) GROUP BY 1),
+m AS (SELECT f.table_id, row, val, CASE col WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 1 WHEN 3 THEN 2 WHEN 4 THEN 2 ELSE 3 END AS col FROM f JOIN k ON f.table_id = k.table_id)
+SELECT table_id, row, col, max(val) AS val FROM m GROUP BY 1, 2, 3""")
+def _(t):
+    return build.merge_disjoint_columns(t.cells)
+
+
+# joins also known under their own names
+query("j11_nearest_neighbour_join", WALK)(walk)
+
+
+@query("j10_similarity_theta_join", """
+WITH l AS (SELECT v, min(idx) AS rep FROM old_vec GROUP BY v), r AS (SELECT v, min(idx) AS rep FROM new_vec GROUP BY v)
+SELECT l.rep AS left_rep, r.rep AS right_rep, round(list_cosine_similarity(l.v, r.v), 6) AS similarity FROM l JOIN r ON list_cosine_similarity(l.v, r.v) > 0.35""")
+def _(t):
+    return rounded(simjoin.similar_pairs(simjoin.vector_groups(t.old_vec), simjoin.vector_groups(t.new_vec), 0.35), "similarity")
+
+
+@query("j13_snapshot_semantic_match")
+def _(t):
+    return rounded(simjoin.greedy_match(t.old_vec, t.new_vec, 0.92), "similarity")
