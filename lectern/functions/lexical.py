@@ -44,27 +44,33 @@ def _words(text: Column) -> Column:
 
 
 def _not_in(stop) -> "callable":
-    listed = F.array(*[F.lit(s) for s in stop])
-    return lambda w: ~F.array_contains(listed, w)
+    """A literal IN list of this length is compiled to a hash set."""
+    return lambda w: ~w.isin(*stop)
 
 
 def simple_stem(word: Column) -> Column:
-    w = F.lower(word)
-    out = None
-    for suffix in STEM_SUFFIXES:
-        n = len(suffix)
-        hit = F.endswith(w, F.lit(suffix)) & (F.length(w) > n + 2)
-        cut = F.substring(w, F.lit(1), F.length(w) - n)
-        out = F.when(hit, cut) if out is None else out.when(hit, cut)
-    return out.otherwise(w)
+    """Drop the first listed suffix that leaves at least three characters.
+
+    Where two suffixes fit, the longer is listed first, so the first that fits is the longest one;
+    a reluctant head of three or more characters finds exactly that.
+    """
+    return F.regexp_replace(F.lower(word), f"^(.{{3,}}?)(?:{'|'.join(STEM_SUFFIXES)})$", "$1")
 
 
 def keyword_match(keyword: str, text: Column) -> Column:
-    """Substring of the lower-cased text, or equal stem of one of its words."""
+    """Substring of the lower-cased text, or equal stem of one of its words.
+
+    A word's stem begins the word, so text without the keyword's stem is never split, and only
+    words beginning with it are stemmed.
+    """
     text = F.lower(text)
     stem = simple_stem(F.lit(keyword))
-    return F.contains(text, F.lit(keyword)) | F.exists(
-        F.split(text, r"\s+"), lambda w: simple_stem(F.btrim(w, F.lit(STEM_STRIP))) == stem)
+
+    def same_stem(w):
+        bare = F.btrim(w, F.lit(STEM_STRIP))
+        return F.startswith(bare, stem) & (simple_stem(bare) == stem)
+
+    return F.contains(text, F.lit(keyword)) | (F.contains(text, stem) & F.exists(F.split(text, r"\s+"), same_stem))
 
 
 def _count(flags) -> Column:

@@ -10,6 +10,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages "
           "benchmark labels conversations").split()
 QUERY_IDX = 7
@@ -25,7 +27,8 @@ class Tables:
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in TABLES:
-            return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+            self.__dict__[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+            return self.__dict__[name]
         raise AttributeError(name)
 
     # -- passages and vectors ------------------------------------------------------------------
@@ -36,6 +39,12 @@ class Tables:
             F.col("doc_id").alias("idx"), "text", "source", "lang",
             F.expr("doc_id % 17 = 0").alias("tombstone"))
 
+    @cached_property
+    def wide_passages(self) -> DataFrame:
+        """The passages spread over all cores, for work on whole texts."""
+        return spread(self.documents).select(
+            F.col("doc_id").alias("idx"), "text", "source", "lang", F.expr("doc_id % 17 = 0").alias("tombstone"))
+
     @cached_property
     def vectors(self) -> DataFrame:
         known = self.documents.select(F.col("doc_id").alias("idx"))
@@ -187,7 +196,7 @@ class Tables:
 
     @cached_property
     def invoices(self) -> DataFrame:
-        joined = self.orders.join(self.customer, F.col("o_custkey") == F.col("c_custkey"))
+        joined = spread(self.orders).join(self.customer, F.col("o_custkey") == F.col("c_custkey"))
         day = "date_format(o_orderdate, 'yyyy-MM-dd')"
         text = (
             f"concat('Invoice ', o_orderkey, ' from ', c_name, ' dated ', {day}, "

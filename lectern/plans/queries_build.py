@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ..operators import build
 from ..operators import simjoin
+from ..session import spread
 from ..sources import documents
 from .queries_retrieval import WALK, rounded, walk
 from .registry import query
@@ -12,7 +13,7 @@ from .registry import query
 
 @query("b1_chunk_lines")
 def _(t):
-    return build.chunk_documents(t.documents.select("doc_id", "source", "text"), 300, 50)
+    return build.chunk_documents(spread(t.documents.select("doc_id", "source", "text")), 300, 50)
 
 
 @query("b2_split_by_chars")

@@ -170,7 +170,7 @@ TOKENS = (f"list_filter(list_transform(regexp_extract_all(text, '[A-Za-z][A-Za-z
           f"lambda w: length(w) > 2 AND NOT list_contains({sql_list(lx.TOKEN_STOPWORDS)}, w))")
 query("x4_tokens_bigrams", f"""WITH k AS (SELECT idx, {TOKENS} AS ts FROM passages)
 SELECT idx, len(ts)::INT AS n_tokens, greatest(len(ts) - 1, 0)::INT AS n_bigrams, coalesce(ts[1] || ' ' || ts[2], '') AS first_bigram FROM k""")(
-    lambda t: t.passages.withColumn("ts", lx.content_tokens(F.col("text"))).select(
+    lambda t: t.wide_passages.withColumn("ts", lx.content_tokens(F.col("text"))).select(
         "idx", F.size("ts").alias("n_tokens"), F.size(lx.bigrams(F.col("ts"))).alias("n_bigrams"),
         F.coalesce(F.get(lx.bigrams(F.col("ts")), F.lit(0)), F.lit("")).alias("first_bigram")))
 

@@ -17,13 +17,13 @@ ASK = "the attionnd thention of the ndhend"
 ASK_TOKENS = ls.query_tokens(ASK)
 
 query("k1_keyword_match", f"WITH p AS (SELECT idx, lower(text) AS t FROM passages) SELECT idx, ({HITS})::INT AS hits FROM p")(
-    lambda t: t.passages.select("idx", lx.keyword_hits(KEYWORDS, F.col("text")).alias("hits")))
+    lambda t: t.wide_passages.select("idx", lx.keyword_hits(KEYWORDS, F.col("text")).alias("hits")))
 
 BOOSTED = "WITH p AS (SELECT s.idx, cos, lower(text) AS t FROM scored s JOIN passages p ON s.idx = p.idx) SELECT idx, round(cos + least(({h}) * {w}, {c}), 6) AS score FROM p"
 
 
 def _scored(t):
-    return t.vectors.select("idx", vx.cosine("v", t.query_vec).alias("score")).join(t.passages, "idx")
+    return t.vectors.select("idx", vx.cosine("v", t.query_vec).alias("score")).join(t.wide_passages, "idx")
 
 
 query("k2_keyword_boost_add", BOOSTED.format(h=HITS, w=0.04, c=0.12))(lambda t: rounded(_scored(t).select(
@@ -67,17 +67,17 @@ sc AS (SELECT idx, source, text, (len(list_filter(ts, lambda x: list_contains({s
 hits AS (SELECT * FROM sc WHERE score > 0 ORDER BY score DESC, idx LIMIT {{n}})"""
 
 query("k7_token_bigram_retrieve", f"WITH {RETRIEVED.format(n=20)} SELECT idx, source, text, round(score, 6) AS score FROM hits")(
-    lambda t: rounded(ls.token_retrieve(t.passages, ASK, 20), "score"))
+    lambda t: rounded(ls.token_retrieve(t.wide_passages, ASK, 20), "score"))
 query("k8_context_block", f"""WITH {RETRIEVED.format(n=8)}, r AS (SELECT *, row_number() OVER (ORDER BY score DESC, idx) AS rank FROM hits)
 SELECT string_agg('[' || rank || '] (' || source || ') ' || trim(regexp_replace(text, '\\s+', ' ', 'g')), chr(10) || chr(10) ORDER BY rank) AS block FROM r""")(
-    lambda t: ls.context_block(joins.rank_results(ls.token_retrieve(t.passages, ASK, 8))))
+    lambda t: ls.context_block(joins.rank_results(ls.token_retrieve(t.wide_passages, ASK, 8))))
 
 
 @query("k9_retrieve_with_fallback", f"""WITH {RETRIEVED.format(n=5)}
 SELECT 'hit' AS ask, idx, false AS fallback FROM hits UNION ALL SELECT 'miss', idx, true FROM (SELECT idx FROM passages ORDER BY idx LIMIT 5)""")
 def _(t):
-    hit = ls.retrieve_with_fallback(t.passages, ASK, 5).select(F.lit("hit").alias("ask"), "idx", "fallback")
-    miss = ls.retrieve_with_fallback(t.passages, "zzyzx quux", 5).select(F.lit("miss").alias("ask"), "idx", "fallback")
+    hit = ls.retrieve_with_fallback(t.wide_passages, ASK, 5).select(F.lit("hit").alias("ask"), "idx", "fallback")
+    miss = ls.retrieve_with_fallback(t.wide_passages, "zzyzx quux", 5).select(F.lit("miss").alias("ask"), "idx", "fallback")
     return hit.unionByName(miss)
 
 
@@ -93,4 +93,4 @@ def _(t):
 
 @query("k11_sample_width", f"WITH {RETRIEVED.format(n=6)} SELECT idx, round(score, 6) AS score FROM hits")
 def _(t):
-    return rounded(ls.token_retrieve(t.passages, ASK, ls.sample_width("medium", 6, 8)).select("idx", "score"), "score")
+    return rounded(ls.token_retrieve(t.wide_passages, ASK, ls.sample_width("medium", 6, 8)).select("idx", "score"), "score")
