@@ -39,7 +39,8 @@ def with_passages(few: DataFrame, passages: DataFrame) -> DataFrame:
     on = ["idx"]
     if "idx_block" in passages.columns:
         from ..sources.corpus_io import IDX_BLOCK
-        few = few.withColumn("idx_block", F.floor(F.col("idx") / IDX_BLOCK))
+        # dynamic partition pruning wants a predicate on the broadcast side; ids start at 0
+        few = few.filter(F.col("idx") >= 0).withColumn("idx_block", F.floor(F.col("idx") / IDX_BLOCK).cast("int"))
         on.append("idx_block")
     joined = passages.join(F.broadcast(few), on, "inner")
     if "tombstone" in passages.columns:

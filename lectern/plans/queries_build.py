@@ -7,6 +7,7 @@ from ..operators import build
 from ..operators import simjoin
 from ..session import spread
 from ..sources import documents
+from .queries_bookkeeping import SEMANTIC
 from .queries_retrieval import WALK, rounded, walk
 from .registry import query
 
@@ -79,6 +80,6 @@ def _(t):
     return rounded(simjoin.similar_pairs(simjoin.vector_groups(t.old_vec), simjoin.vector_groups(t.new_vec), 0.35), "similarity")
 
 
-@query("j13_snapshot_semantic_match")
+@query("j13_snapshot_semantic_match", f"WITH {SEMANTIC} SELECT new_idx, old_idx FROM sx WHERE new_idx IS NOT NULL AND old_idx IS NOT NULL")
 def _(t):
-    return rounded(simjoin.greedy_match(t.old_vec, t.new_vec, 0.92), "similarity")
+    return simjoin.greedy_match(t.old_vec, t.new_vec, 0.92).select("new_idx", "old_idx")

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import reports
-from .queries_bookkeeping import EXACT
+from .queries_bookkeeping import EXACT, SEMANTIC
 from .queries_extract import BIGRAMS, ORPHANS
 from .registry import query
 
@@ -102,7 +102,10 @@ def _(t):
     return stacked(reports.change_log(t.old_snap, t.new_snap, "exact"))
 
 
-@query("r5b_change_log_semantic")
+@query("r5b_change_log_semantic", f"""WITH {SEMANTIC}, c AS (SELECT count_if(status = 'added') AS ad, count_if(status = 'removed') AS rm, count_if(status = 'modified') AS md,
+  count_if(status = 'unchanged') AS un FROM sx)
+SELECT 'notes' AS section, ad::VARCHAR AS a, rm::VARCHAR AS b, md::VARCHAR AS c, un::VARCHAR AS d FROM c
+UNION ALL SELECT 'by_source', source, status, count(*)::VARCHAR, NULL FROM sx GROUP BY source, status""")
 def _(t):
     parts = reports.change_log(t.old_vec, t.new_vec, "semantic")
     return stacked({k: parts[k] for k in ("notes", "by_source")})

@@ -24,7 +24,7 @@ def write_corpus(df: DataFrame, path: str, compact: bool = False, mode: str = "e
     if compact:
         live = df.filter(~F.col("tombstone"))
         df = ranking.row_number(live, ["corpus_id"], "idx", "_n").withColumn("idx", F.col("_n") - 1).drop("_n")
-    blocked = df.withColumn("idx_block", F.floor(F.col("idx") / IDX_BLOCK))
+    blocked = df.withColumn("idx_block", F.floor(F.col("idx") / IDX_BLOCK).cast("int"))
     (blocked.repartition("corpus_id", "idx_block").sortWithinPartitions("corpus_id", "idx_block", "idx")
      .write.partitionBy("corpus_id", "idx_block").mode(mode).parquet(path))
 
