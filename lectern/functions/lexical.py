@@ -1,6 +1,8 @@
 """Tokenising, stemming and keyword matching."""
 from __future__ import annotations
 
+from string import ascii_lowercase, ascii_uppercase
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -124,9 +126,11 @@ def filter_keywords(query: Column) -> Column:
 
 
 def content_tokens(text: Column) -> Column:
-    tokens = F.transform(F.regexp_extract_all(text, F.lit(TOKEN_PATTERN), F.lit(0)), F.lower)
+    """Lower-cased ASCII tokens of three or more characters, without stopwords."""
+    lowered = F.translate(text, ascii_uppercase, ascii_lowercase)
+    tokens = F.regexp_extract_all(lowered, F.lit(TOKEN_PATTERN), F.lit(0))
     keep = _not_in(TOKEN_STOPWORDS)
-    return F.filter(tokens, lambda t: keep(t) & (F.length(t) > 2))
+    return F.filter(tokens, lambda t: (F.length(t) > 2) & keep(t))
 
 
 def bigrams(tokens: Column) -> Column:

@@ -91,11 +91,15 @@ def theme_coverage(df: DataFrame, minimum: int = 3, head_chars: int | None = Non
     return leading.filter(F.col("items") < minimum).orderBy(F.desc("items"), "theme").limit(THEME_SHOWN)
 
 
-def extracted(df: DataFrame) -> DataFrame:
+def extracted(df: DataFrame, money: bool = True, entities: bool = True) -> DataFrame:
     """One pass over the text: dates, amounts, entity candidates and a snippet per passage."""
     text = F.col("text")
-    return df.select("idx", "source", tx.snippet(text, 100).alias("snippet"), ex.dates_of(text).alias("dates"),
-                     ex.extract_currency(text).alias("money"), ex.entity_candidates(text, 3).alias("entities"))
+    found = [ex.dates_of(text).alias("dates")]
+    if money:
+        found.append(ex.extract_currency(text).alias("money"))
+    if entities:
+        found.append(ex.entity_candidates(text, 3).alias("entities"))
+    return df.select("idx", "source", tx.snippet(text, 100).alias("snippet"), *found)
 
 
 def entity_items(items: DataFrame) -> DataFrame:

@@ -100,7 +100,7 @@ WITH x AS (SELECT o_orderkey AS idx, o_orderkey % 3 = 0 AS poor FROM orders)
 SELECT idx, 'nothing of note here' AS snippet, (SELECT count(*) FROM x WHERE poor) AS total FROM x WHERE poor ORDER BY idx LIMIT 10""")(
     lambda t: cp.context_poor(cp.extracted(t.invoices.withColumn("text", F.expr("CASE WHEN idx % 3 = 0 THEN 'nothing of note here' ELSE text END")))))
 query("a12_date_range", "SELECT count(DISTINCT date) AS days, min(date) AS first, max(date) AS last FROM invoice_dates")(
-    lambda t: cp.date_range(cp.extracted(t.invoices)))
+    lambda t: cp.date_range(cp.extracted(t.invoices, False, False)))
 METRICS = """SELECT count(*) AS count, count(DISTINCT source) AS sources, min(date_min) AS date_min, max(date_max) AS date_max, sum(usd)::DECIMAL(38,4) AS usd_total
 FROM invoices i JOIN (SELECT idx, min(date) AS date_min, max(date) AS date_max FROM invoice_dates GROUP BY 1) d ON i.idx = d.idx
 JOIN (SELECT idx, sum(CASE WHEN currency <> 'USD' THEN 0 WHEN is_negative THEN -value ELSE value END) AS usd FROM invoice_money GROUP BY 1) m ON i.idx = m.idx"""
@@ -111,7 +111,7 @@ query("a16_group_by_source_month", "SELECT source, month(od)::INT AS month, coun
 query("w3_time_gaps", """
 WITH d AS (SELECT DISTINCT date FROM invoice_dates), g AS (SELECT lag(date) OVER (ORDER BY date) AS "from", date AS "to" FROM d)
 SELECT "from", "to", ("to" - "from")::INT AS days FROM g WHERE "to" - "from" > 1""")(
-    lambda t: cp.time_gaps(cp.extracted(t.invoices), 1))
+    lambda t: cp.time_gaps(cp.extracted(t.invoices, False, False), 1))
 query("t5_chronological", "SELECT idx, CASE WHEN idx % 6 <> 0 THEN od END AS date FROM invoices JOIN invoice_base ON o_orderkey = idx")(
     lambda t: cp.chronological(t.invoices.select("idx", F.expr("CASE WHEN idx % 6 = 0 THEN 'undated' ELSE text END").alias("text")).select(
         "idx", ex.first_date(TEXT, F.lit("")).alias("date"))))

@@ -34,7 +34,7 @@ UNION ALL SELECT 'coverage', count(DISTINCT source)::VARCHAR, min(date)::VARCHAR
 UNION ALL SELECT 'sources', source, count(DISTINCT idx)::VARCHAR, min(date)::VARCHAR, max(date)::VARCHAR FROM ld GROUP BY source
 UNION ALL SELECT 'themes', theme, n::VARCHAR, NULL, NULL FROM th""")
 def _(t):
-    return stacked(reports.summary(t.invoices, reports.facts_of(t.invoices), 5))
+    return stacked(reports.summary(t.invoices, reports.facts_of(t.invoices, money=False, entities=False), 5))
 
 
 @query("r2_coverage", f"""

@@ -20,8 +20,9 @@ MIN_POINTS = 3
 PERIODS = ("day", "week", "month")
 
 
-def facts_of(passages: DataFrame, keep: bool = True) -> DataFrame:
-    found = cp.extracted(filters.live(passages))
+def facts_of(passages: DataFrame, keep: bool = True, money: bool = True, entities: bool = True) -> DataFrame:
+    """Facts of the live passages, written once unless ``keep`` is off. A summary needs dates only."""
+    found = cp.extracted(filters.live(passages), money, entities)
     return materialize(found, "facts") if keep else found
 
 
