@@ -38,15 +38,18 @@ def strict_rerank(results: DataFrame, query: str, keywords) -> DataFrame:
 
 
 def token_score(tokens: Column, query_tokens: list[str]) -> Column:
-    """Occurrences of query tokens plus 3 per query bigram, over a mild length norm."""
-    wanted = F.array(*[F.lit(t) for t in dict.fromkeys(query_tokens)])
+    """Occurrences of query tokens plus 3 per query bigram, over a mild length norm.
+
+    A bigram is looked up only where its first token is a query token, so no pair is built elsewhere.
+    """
+    wanted = list(dict.fromkeys(query_tokens))
     pairs = list(dict.fromkeys(f"{a} {b}" for a, b in zip(query_tokens, query_tokens[1:])))
-    singles = F.size(F.filter(tokens, lambda t: F.array_contains(wanted, t)))
-    if pairs:
-        listed = F.array(*[F.lit(p) for p in pairs])
-        doubles = F.size(F.filter(lx.bigrams(tokens), lambda b: F.array_contains(listed, b)))
-    else:
-        doubles = F.lit(0)
+    singles = F.size(F.filter(tokens, lambda t: t.isin(*wanted)))
+
+    def begins_pair(t, i):
+        return t.isin(*wanted) & F.concat_ws(" ", t, F.get(tokens, i + 1)).isin(*pairs)
+
+    doubles = F.size(F.filter(tokens, begins_pair)) if pairs else F.lit(0)
     return (singles + 3.0 * doubles) / (1.0 + F.sqrt(F.size(tokens)) / 10.0)
 
 
