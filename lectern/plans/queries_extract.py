@@ -9,17 +9,16 @@ from ..operators import filters
 from .queries_functions import TOKENS
 from .registry import query
 
-TEXT = F.col("text")
 
 query("x5_extract_dates", "SELECT idx, date, raw_span, confidence, source_format FROM invoice_dates")(
-    lambda t: t.invoices.select("idx", F.explode(ex.extract_dates(TEXT)).alias("d")).select(
+    lambda t: t.invoices.select("idx", F.explode(ex.extract_dates(F.col("text"))).alias("d")).select(
         "idx", "d.date", "d.raw_span", "d.confidence", "d.source_format"))
 
 
 @query("x5b_date_offsets", """
 SELECT d.idx, d.raw_span, (instr(i.text, d.raw_span) - 1)::INT AS start FROM invoice_dates d JOIN invoices i ON d.idx = i.idx""")
 def _(t):
-    return t.invoices.select("idx", F.explode(ex.extract_dates(TEXT)).alias("d")).select("idx", "d.raw_span", "d.start")
+    return t.invoices.select("idx", F.explode(ex.extract_dates(F.col("text"))).alias("d")).select("idx", "d.raw_span", "d.start")
 
 
 query("x6_extract_currency", "SELECT idx, value, currency, raw_span, is_negative, hint AS context_hint FROM invoice_money")(
@@ -36,21 +35,21 @@ SELECT idx, s AS matched_text, (instr(text, s) - 1)::INT AS start, (instr(text,
 
 @query("x9_entity_mentions", MENTION)
 def _(t):
-    found = ex.entity_mentions(TEXT, "goods", ["GOODS UNDER", "goods u"])
+    found = ex.entity_mentions(F.col("text"), "goods", ["GOODS UNDER", "goods u"])
     return t.invoices.select("idx", F.explode(F.filter(found, lambda m: F.length(m["matched_text"]) > 5)).alias("m")).select(
         "idx", "m.matched_text", "m.start", "m.end", "m.context")
 
 
 query("x10_discover_entities", "SELECT idx, entity FROM invoice_entities")(
-    lambda t: t.invoices.select("idx", F.explode(ex.discover_entities(TEXT, 3)).alias("entity")))
+    lambda t: t.invoices.select("idx", F.explode(ex.discover_entities(F.col("text"), 3)).alias("entity")))
 query("x11_first_date", "SELECT o_orderkey AS idx, od AS a, od AS b FROM invoice_base")(
-    lambda t: t.invoices.select("idx", ex.first_date(TEXT, F.col("source")).alias("a"), ex.first_date(F.lit(""), F.col("source")).alias("b")))
+    lambda t: t.invoices.select("idx", ex.first_date(F.col("text"), F.col("source")).alias("a"), ex.first_date(F.lit(""), F.col("source")).alias("b")))
 
 
 @query("u8_dedupe_mentions", """
 SELECT idx, count(*) AS n, list_sum(list(len(word)))::BIGINT AS chars FROM (SELECT o_orderkey AS idx, unnest(CASE WHEN o_orderkey % 4 = 0 THEN ['Refund adjustment', 'Invoice', 'invoice'] ELSE ['Invoice', 'invoice'] END) AS word FROM invoice_base) GROUP BY 1""")
 def _(t):
-    found = ex.entity_mentions(TEXT, "Invoice", ["refund", "Refund adjustment", "adjustment"])
+    found = ex.entity_mentions(F.col("text"), "Invoice", ["refund", "Refund adjustment", "adjustment"])
     return t.invoices.select("idx", F.explode(found).alias("m")).groupBy("idx").agg(
         F.count("*").alias("n"), F.sum(F.length("m.matched_text")).cast("bigint").alias("chars"))
 
@@ -114,4 +113,4 @@ SELECT "from", "to", ("to" - "from")::INT AS days FROM g WHERE "to" - "from" > 1
     lambda t: cp.time_gaps(cp.extracted(t.invoices, False, False), 1))
 query("t5_chronological", "SELECT idx, CASE WHEN idx % 6 <> 0 THEN od END AS date FROM invoices JOIN invoice_base ON o_orderkey = idx")(
     lambda t: cp.chronological(t.invoices.select("idx", F.expr("CASE WHEN idx % 6 = 0 THEN 'undated' ELSE text END").alias("text")).select(
-        "idx", ex.first_date(TEXT, F.lit("")).alias("date"))))
+        "idx", ex.first_date(F.col("text"), F.lit("")).alias("date"))))
