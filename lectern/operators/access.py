@@ -69,13 +69,13 @@ def visible_corpora(corpora: DataFrame, grants: DataFrame, seat: str) -> DataFra
 
 
 def resolve_object(rows: DataFrame) -> DataFrame:
-    """Adds may_read, may_write, level and origin to rows carrying ``cart_level``, ``inherit``,
+    """Adds may_read, may_write, level and origin to rows carrying ``corpus_level``, ``inherit``,
     ``exposure``, ``exception``, ``perms`` and ``is_owner``.
 
     A seat's own exception beats ownership, ownership beats exposure, exposure beats the default
     of the corpus. Permission bits then bind everyone.
     """
-    level, exposure, exception = F.col("cart_level"), F.col("exposure"), F.col("exception")
+    level, exposure, exception = F.col("corpus_level"), F.col("exposure"), F.col("exception")
 
     def answer(read, write, lvl, origin):
         return F.struct(read.alias("read"), write.alias("write"), lvl.cast("string").alias("level"), F.lit(origin).alias("origin"))
@@ -119,10 +119,10 @@ def seat_view(passages: DataFrame, corpora: DataFrame, grants: DataFrame, except
     access = effective_access(corpora, grants, seat).join(corpora.select("corpus_id", "inherit"), "corpus_id")
     rules = exceptions.filter(F.col("seat") == seat).select("corpus_id", "source_hash", F.col("level").alias("exception"))
     shown = exposures.select("corpus_id", "source_hash", F.col("level").alias("exposure"))
-    rows = (passages.join(access.select("corpus_id", "inherit", F.col("access").alias("cart_level")), "corpus_id", "left")
+    rows = (passages.join(access.select("corpus_id", "inherit", F.col("access").alias("corpus_level")), "corpus_id", "left")
             .join(rules, ["corpus_id", "source_hash"], "left").join(shown, ["corpus_id", "source_hash"], "left"))
     rows = rows.withColumn("inherit", F.coalesce("inherit", F.lit(True))).withColumn(
-        "is_owner", F.coalesce(F.col("cart_level") == "owner", F.lit(False)))
+        "is_owner", F.coalesce(F.col("corpus_level") == "owner", F.lit(False)))
     return resolve_object(rows)
 
 

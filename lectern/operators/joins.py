@@ -19,10 +19,8 @@ def length_mismatch(passages: DataFrame, vectors: DataFrame) -> DataFrame:
 
 
 def with_source_names(rows: DataFrame, sources: DataFrame) -> DataFrame:
-    """``sources`` (source_idx, source) holds at most 65,536 rows, so it is broadcast."""
-    from ..sources.corpus_io import SOURCE_LIMIT
-    joined = rows.join(F.broadcast(sources.limit(SOURCE_LIMIT + 1)), "source_idx", "left")
-    return joined.withColumn("source", F.coalesce("source", F.lit("")))
+    """``sources`` (source_idx, source); its measured size decides whether it is broadcast."""
+    return rows.join(sources, "source_idx", "left").withColumn("source", F.coalesce("source", F.lit("")))
 
 
 def attach(results: DataFrame, *sides: DataFrame) -> DataFrame:

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexical as lx
 from ..functions import vectors as vx
+from ..session import cut_lineage
 from . import ranking
 
 HAMMING_SHARE = 0.3       # fixed values of the blended score
@@ -251,8 +252,9 @@ def walk_expand(vectors: DataFrame, primary: DataFrame, deleted: DataFrame | Non
     ``primary`` (idx, score) is a bounded result. Tombstones fall out after each neighbour cut.
     """
     queries = vectors.join(F.broadcast(primary.select("idx")), "idx", "left_semi")
-    hops = batch_topk(vectors, queries.select(F.col("idx").alias("qid"), F.col("v").alias("q")),
-                      walk_k, exclude_self=True)
+    # at most walk_k rows per primary result, read three times below
+    hops = cut_lineage(batch_topk(vectors, queries.select(F.col("idx").alias("qid"), F.col("v").alias("q")),
+                                  walk_k, exclude_self=True))
     if deleted is not None:
         near = deleted.join(F.broadcast(hops.select("idx").distinct()), "idx", "left_semi")
         hops = hops.join(F.broadcast(near), "idx", "left_anti")

@@ -51,14 +51,14 @@ def test_unpack_block_versions(spark, version):
     (None, "viewer", False), ("editor", "nonsense", False)])
 def test_exposure_grid(spark, level, exposure, read):
     row = spark.createDataFrame([(level, True, exposure, None, None, level == "owner")],
-                                "cart_level string, inherit boolean, exposure string, exception string, perms int, is_owner boolean")
+                                "corpus_level string, inherit boolean, exposure string, exception string, perms int, is_owner boolean")
     assert access.resolve_object(row).first()["may_read"] is read
 
 
 def test_deny_beats_owner_and_bits_bind_everyone(spark):
     rows = [("owner", True, None, "deny", 3, True), ("owner", True, None, None, 2, True), (None, True, None, None, None, False),
             (None, False, None, None, None, False)]
-    df = spark.createDataFrame(rows, "cart_level string, inherit boolean, exposure string, exception string, perms int, is_owner boolean")
+    df = spark.createDataFrame(rows, "corpus_level string, inherit boolean, exposure string, exception string, perms int, is_owner boolean")
     got = [(r["may_read"], r["may_write"], r["origin"]) for r in access.resolve_object(df.coalesce(1)).collect()]
     assert got == [(False, False, "exception"), (False, True, "owner"), (True, True, "inherited"), (False, False, "withheld")]
 
