@@ -173,9 +173,14 @@ def subset_metrics(df: DataFrame) -> DataFrame:
     return _subset_facts(df, []).agg(*_metric_columns())
 
 
-def side_metrics(overlap: DataFrame) -> DataFrame:
-    """The same for both sides of a ``subset_overlap``; each passage is read once, even in both."""
-    facts = _subset_facts(overlap, [F.col("side")])
+def side_facts(overlap: DataFrame) -> DataFrame:
+    """(idx, side, line, source, dates, usd) of a ``subset_overlap``: all a comparison needs of the
+    text, read once even where a passage is in both subsets."""
+    return _subset_facts(overlap, [F.col("idx"), F.col("side"), tx.first_content_line(F.col("text")).alias("line")])
+
+
+def side_metrics(facts: DataFrame) -> DataFrame:
+    """``subset_metrics`` of both sides from their facts."""
     sides = F.when(F.col("side") == "only_a", F.array(F.lit("a"))).when(F.col("side") == "only_b", F.array(F.lit("b"))).otherwise(
         F.array(F.lit("a"), F.lit("b")))
     return facts.withColumn("side", F.explode(sides)).groupBy("side").agg(*_metric_columns())

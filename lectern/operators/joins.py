@@ -4,6 +4,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 
 def passages_with_vectors(passages: DataFrame, vectors: DataFrame) -> DataFrame:
     return passages.join(vectors, "idx")
@@ -24,7 +26,9 @@ def with_source_names(rows: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def attach(results: DataFrame, *sides: DataFrame) -> DataFrame:
-    """Left joins of a bounded result to per-passage tables, each read once by ``idx``."""
+    """Left joins of a bounded result to per-passage tables. The result is computed once; each
+    table is scanned for its ids alone."""
+    results = cut_lineage(results)
     for side in sides:
         near = side.join(F.broadcast(results.select("idx")), "idx", "left_semi")
         results = results.join(near, "idx", "left")

@@ -66,7 +66,7 @@ def comparison(passages: DataFrame, a: str, b: str) -> dict[str, DataFrame]:
 
     An empty subset gives an error row instead of a misleading comparison.
     """
-    sides = diff.subset_overlap(filters.live(passages), a, b)
+    sides = materialize(cp.side_facts(diff.subset_overlap(filters.live(passages), a, b)), "sides")
     metrics = cp.side_metrics(sides).select("count", "sources", "date_min", "date_max", "usd_total", "side")
     pair = metrics.agg(*[F.max(F.when(F.col("side") == s, F.col(c))).alias(f"{c}_{s}") for s in "ab"
                          for c in ("count", "sources", "date_min", "date_max", "usd_total")])
@@ -82,7 +82,7 @@ def comparison(passages: DataFrame, a: str, b: str) -> dict[str, DataFrame]:
 
     def only(side):
         few = sides.filter(F.col("side") == side).orderBy("idx").limit(DISTINCTIVE)
-        return few.select("side", "idx", tx.source_link(F.col("source")).alias("source"), tx.first_content_line(F.col("text")).alias("line"))
+        return few.select("side", "idx", tx.source_link(F.col("source")).alias("source"), "line")
 
     return {"metrics": metrics, "deltas": deltas, "overlap": overlap, "distinctive": only("only_a").unionByName(only("only_b"))}
 
