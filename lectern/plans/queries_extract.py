@@ -74,9 +74,9 @@ def _(t):
 
 
 query("a8_theme_coverage", f"""WITH {BIGRAMS.format(v='conversations_idx')}, r AS (SELECT theme, count(DISTINCT idx) AS items, min(idx) AS sample_idx FROM g GROUP BY 1),
-p AS (SELECT * FROM r ORDER BY items DESC, theme LIMIT 50) SELECT * FROM p WHERE items < 5 ORDER BY items DESC, theme LIMIT 15""".replace(
+p AS (SELECT * FROM r ORDER BY items DESC, theme LIMIT 50) SELECT * FROM p WHERE items < 200 ORDER BY items DESC, theme LIMIT 15""".replace(
     "conversations_idx", "(SELECT conv_id * 100 + turn AS idx, text FROM conversations)"))(
-    lambda t: cp.theme_coverage(t.conversations.select(F.expr("conv_id * 100 + turn").alias("idx"), "text"), 5))
+    lambda t: cp.theme_coverage(t.conversations.select(F.expr("conv_id * 100 + turn").alias("idx"), "text"), 200))
 ORPHANS = """e AS (SELECT lower(entity) AS k, min(entity) AS entity, count(DISTINCT idx) AS n, min(idx) AS idx FROM {v} GROUP BY 1)
 SELECT entity, idx, (SELECT count(*) FROM e WHERE n = 1) AS total FROM e WHERE n = 1 ORDER BY k LIMIT 20"""
 DOC_ENTITIES = """(SELECT item_id AS idx, unnest(list_filter(regexp_extract_all(regexp_replace(text, '[À-ɏ]', '_', 'g'), '\\b[A-Z][a-zA-Z0-9]{2,}(?:\\s+[A-Z][a-zA-Z0-9]{2,}){0,2}\\b'),
