@@ -1,9 +1,11 @@
-"""Byte-level BPE ids of whole texts through the tokenizers library, one library call per distinct chunk.
+"""Byte-level BPE ids of whole texts through the tokenizers library, one library call per distinct word.
 
-The pre-tokenizer of a byte-level tokenizer lets a space join only the word behind it, so a text
-may be cut before any space that follows a character other than white space: no pre-token crosses
-the cut, and no look-ahead sees past it. Texts are cut there, each distinct chunk goes to the library once per
-worker, and the ids of a text are the concatenation of its chunks' ids. Nothing is approximated.
+Merges never cross a pre-token, so a text is cut into pre-tokens by the tokenizer's own pattern, each
+distinct one goes to the library once per worker, and the ids of a text are those of its pre-tokens
+in a row. A text with uncommon characters, whose classes may differ between regular-expression
+engines, is first cut before spaces that follow a character other than white space: no pre-token crosses such
+a cut and no look-ahead sees past it. Chunks with uncommon characters go to the library
+as they are. Nothing is approximated.
 """
 from __future__ import annotations
 
@@ -18,14 +20,12 @@ SPACES = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0 ᠎        
 #: Fixed value: the published pre-tokenizer pattern of the byte-level vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _COMMON = re.compile("[ -~\n\t\u00c0-\u024f]*").fullmatch
-_ODD_SPACES = [c + " " for c in SPACES]
-_ODD_ASCII = [c for c in _ODD_SPACES if c.isascii()]
 _CUT = re.compile("(?<=[^" + re.escape(SPACES) + "])(?= )")
 _KEPT: dict[str, "ChunkEncoder"] = {}
 
 
 class ChunkEncoder:
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 800_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -33,13 +33,11 @@ class ChunkEncoder:
         self.tokenizer.no_padding()
         self.most = most
         self.pattern = regex.compile(PATTERN)
-        self.words: dict[str, bytes] = {}   # a pre-token -> its ids
-        self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        plain = [(i, t) for i, t in self.tokenizer.get_added_tokens_decoder().items()
-                 if not (t.single_word or t.lstrip or t.rstrip or t.normalized)]
+        self.known: dict[str, bytes] = {}   # a pre-token, or a chunk of uncommon characters -> its ids
+        added = self.tokenizer.get_added_tokens_decoder()
+        self.specials = [t.content for t in added.values()]
+        plain = [(i, t) for i, t in added.items() if not (t.single_word or t.lstrip or t.rstrip or t.normalized)]
         self.mark_id, self.mark = (plain[0][0], plain[0][1].content) if plain else (None, None)
-        self.known: dict[str, bytes] = {}   # a chunk without its leading space -> ids of " " + chunk
-        self.whole: dict[str, bytes] = {}   # a chunk as it stands -> its ids
 
     def _library(self, words: list[str]) -> dict[str, bytes]:
         """Words go to the library many at a time, held apart by a special token: the library
@@ -61,38 +59,29 @@ class ChunkEncoder:
                 at = end + 1
         return got
 
-    def _learn(self, into: dict[str, bytes], chunks: list[str], lead: str) -> None:
-        """Chunks of common characters are cut into pre-tokens, which recur more; others stay whole."""
-        cut = [self.pattern.findall(lead + c) if _COMMON(c) and not any(s in c for s in self.specials)
-               else [lead + c] for c in chunks]
-        missing = list(set().union(*cut) - self.words.keys())
-        if len(self.words) + len(missing) > self.most:
-            self.words.clear()
-            missing = list(set().union(*cut))
-        self.words.update(self._library(missing))
-        word = self.words.__getitem__
-        into.update(zip(chunks, [b"".join(map(word, w)) for w in cut]))
+    def _words(self, text: str) -> list[str]:
+        special = any(s in text for s in self.specials)
+        if not special and _COMMON(text):
+            return self.pattern.findall(text)
+        words = []
+        for chunk in _CUT.split(text):
+            if _COMMON(chunk) and not (special and any(s in chunk for s in self.specials)):
+                words += self.pattern.findall(chunk)
+            else:
+                words.append(chunk)
+        return words
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        plain = [not any(s in t for s in (_ODD_ASCII if t.isascii() else _ODD_SPACES)) for t in texts]
-        parts = [t.split(" ") if p else _CUT.split(t) for t, p in zip(texts, plain)]
-        tails, heads = set(), set()
-        for words, p in zip(parts, plain):
-            if p:
-                heads.add(words[0])
-                tails.update(words[1:])
-            else:
-                heads.update(words)
-        for into, wanted, lead in ((self.known, tails, " "), (self.whole, heads, "")):
-            missing = list(wanted - into.keys())
-            if len(into) + len(missing) > self.most:
-                into.clear()
-                missing = list(wanted)
-            self._learn(into, missing, lead)
-        known, whole = self.known.__getitem__, self.whole.__getitem__
-        return [whole(w[0]) + b"".join(map(known, w[1:])) if p else b"".join(map(whole, w))
-                for w, p in zip(parts, plain)]
+        cut = [self._words(t) for t in texts]
+        wanted = set().union(*cut)
+        missing = wanted - self.known.keys()
+        if len(self.known) + len(missing) > self.most:
+            self.known.clear()
+            missing = wanted
+        self.known.update(self._library(list(missing)))
+        known = self.known.__getitem__
+        return [b"".join(map(known, w)) for w in cut]
 
 
 def encoder(path: str) -> ChunkEncoder:

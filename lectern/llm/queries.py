@@ -26,6 +26,32 @@ def op4(spark, sf_dir):
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+@query("op5_pair_index_bpe")
+def op5(spark, sf_dir):
+    from .bpe import round_trip
+    return round_trip(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
+@query("op8_viterbi_counts")
+def op8(spark, sf_dir):
+    from .token_counts import token_counts
+    return token_counts(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
+@query("op9_maxscore_topk", sql="""
+WITH x AS (SELECT vec_id, list_transform(embedding, lambda c: CAST(floor(64 * CAST(c AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda c: c IS NULL OR isnan(c) OR isinf(c))) = 0),
+s AS (SELECT q.vec_id AS query_id, b.vec_id, CAST(list_sum(list_transform(list_zip(q.v, b.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM (SELECT DISTINCT vec_id, v FROM x WHERE vec_id % 20 = 0) q JOIN x b ON q.vec_id <> b.vec_id)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM s QUALIFY rank <= 20""")
+def op9(spark, sf_dir):
+    from .topk import quantised, top_k
+    rows = quantised(table(spark, sf_dir, "embeddings"))
+    return top_k(rows, rows.filter("vec_id % 20 = 0"))
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
