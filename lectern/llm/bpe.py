@@ -12,13 +12,15 @@ import heapq
 import json
 import re
 
-import regex
 from pyspark.sql import DataFrame
 
+from .chunk_encoder import LETTERS
 from .common import per_batch, slices
 
 _KEPT: dict[str, "WordBpe"] = {}
 _COMMON = re.compile("[ -~\\n\\t\\r\\u00c0-\\u024f]*").fullmatch
+#: The vocabulary's pre-tokenizer pattern, for common characters in lower case.
+_PATTERN = re.compile(f"[{LETTERS}]+|'s|'t|'re|'ve|'m|'ll|'d|[0-9]|[^ \n\t\r{LETTERS}0-9]+")
 
 
 def byte_alphabet() -> list[str]:
@@ -98,7 +100,7 @@ class WordBpe:
     """Ids and decoded text of whole texts. White space separates words and is dropped; each distinct word
     is encoded once per worker."""
 
-    def __init__(self, path: str, most: int = 800_000):
+    def __init__(self, path: str, most: int = 900_000):
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
@@ -106,8 +108,6 @@ class WordBpe:
         model = spec["model"]
         self.index = PairIndex(model["vocab"], [tuple(m) for m in model["merges"]], model["end_of_word_suffix"])
         self.library = Tokenizer.from_file(path)  # its normaliser and pre-tokenizer, for uncommon characters
-        parts = spec["pre_tokenizer"]["pretokenizers"]
-        self.pattern = regex.compile(parts[0]["pattern"]["Regex"])
         self.specials = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.apart = re.compile("(" + "|".join(map(re.escape, self.specials)) + ")")
         self.names = {i: t for t, i in {**model["vocab"], **self.specials}.items()}
@@ -129,11 +129,11 @@ class WordBpe:
         """Words of a text; those of common characters in lower case, others in the byte alphabet behind
         a mark, special tokens behind a mark of their own."""
         if _COMMON(text) and "<|" not in text:
-            return self.pattern.findall(text.lower())
+            return _PATTERN.findall(text.lower())
         out: list[str] = []
         for chunk in text.split(" "):
             if _COMMON(chunk) and "<|" not in chunk:
-                out += self.pattern.findall(chunk.lower())
+                out += _PATTERN.findall(chunk.lower())
                 continue
             for piece in self.apart.split(chunk):
                 if piece in self.specials:

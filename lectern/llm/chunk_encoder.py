@@ -12,27 +12,29 @@ from __future__ import annotations
 import re
 
 import numpy as np
-import regex
 
 #: Characters that some regular-expression engine counts as white space.
 SPACES = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0 ᠎        "
           "   ​    ⁠　﻿")
-#: Fixed value: the published pre-tokenizer pattern of the byte-level vocabularies.
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Letters among the common characters, which are printable ASCII, tab, newline and U+00C0 to U+024F.
+LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
 _COMMON = re.compile("[ -~\n\t\u00c0-\u024f]*").fullmatch
+#: The published pre-tokenizer pattern of the byte-level vocabularies, for common characters only.
+PATTERN = (f" ?[{LETTERS}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[0-9]+| ?[^ \n\t{LETTERS}0-9]+"
+           r"|[ \n\t]+(?![^ \n\t])|[ \n\t]+")
 _CUT = re.compile("(?<=[^" + re.escape(SPACES) + "])(?= )")
 _KEPT: dict[str, "ChunkEncoder"] = {}
 
 
 class ChunkEncoder:
-    def __init__(self, path: str, most: int = 800_000):
+    def __init__(self, path: str, most: int = 1_200_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.most = most
-        self.pattern = regex.compile(PATTERN)
+        self.pattern = re.compile(PATTERN)
         self.known: dict[str, bytes] = {}   # a pre-token, or a chunk of uncommon characters -> its ids
         added = self.tokenizer.get_added_tokens_decoder()
         self.specials = [t.content for t in added.values()]
