@@ -20,6 +20,12 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op3_huffman_token_ids")
+def op3(spark, sf_dir):
+    from .token_codec import store_and_read
+    return store_and_read(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
 @query("op4_best_fit_packing")
 def op4(spark, sf_dir):
     from .packing import pack_documents
