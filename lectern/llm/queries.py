@@ -20,6 +20,18 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op1_language_id")
+def op1(spark, sf_dir):
+    from .language_id import language_report
+    return language_report(table(spark, sf_dir, "documents"))
+
+
+@query("op2_decision_list_quality")
+def op2(spark, sf_dir):
+    from .quality_rules import quality_report
+    return quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query("op3_huffman_token_ids")
 def op3(spark, sf_dir):
     from .token_codec import store_and_read
