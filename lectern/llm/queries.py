@@ -50,6 +50,12 @@ def op5(spark, sf_dir):
     return round_trip(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+@query("op7_jaccard_join")
+def op7(spark, sf_dir):
+    from .jaccard_join import jaccard_classes
+    return jaccard_classes(table(spark, sf_dir, "documents"))
+
+
 @query("op8_viterbi_counts")
 def op8(spark, sf_dir):
     from .token_counts import token_counts
