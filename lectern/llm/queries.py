@@ -76,6 +76,12 @@ def op9(spark, sf_dir):
     return top_k(rows, rows.filter("vec_id % 20 = 0"))
 
 
+@query("op10_substring_dedup")
+def op10(spark, sf_dir):
+    from .substring_dedup import deduplicated
+    return deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
