@@ -5,6 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import license_scan
 from .common import table, tokenizer_path
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,6 +51,20 @@ def op5(spark, sf_dir):
     return round_trip(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+#: The documents as files: four levels of folders from source and id, every fifth one a licence file.
+_FILES = ("SELECT doc_id, concat(source, '/', CAST(floor(doc_id / 1000) AS BIGINT), '/', CAST(floor(doc_id / 100) AS BIGINT), "
+          "'/', CASE WHEN doc_id % 5 = 0 THEN 'LICENSE-' ELSE 'page-' END, doc_id, '.txt') AS path, text FROM {0}")
+
+
+def _files(docs: DataFrame) -> DataFrame:
+    return docs.sparkSession.sql(_FILES.format("{docs}"), docs=docs)
+
+
+@query("op6_license_scan", sql=license_scan.sql_for(_FILES.format("documents")))
+def op6(spark, sf_dir):
+    return license_scan.scan_licences(_files(table(spark, sf_dir, "documents")))
+
+
 @query("op7_jaccard_join")
 def op7(spark, sf_dir):
     from .jaccard_join import jaccard_classes
