@@ -221,6 +221,26 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select(*kept, has).mapInArrow(run, schema)
 
 
+def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
+    """Rows of ``docs`` whose language is not rejected, with their columns as they were. Under a model that has seen no
+    language only texts without a letter go."""
+    mark = "_letter"
+    while mark in docs.columns:
+        mark += "_"
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, "text", 1_000_000):
+                letter = part.column(part.num_columns - 1).to_numpy(zero_copy_only=False).astype(bool)
+                gone = _predictions(held.value, part.column("text"), letter)[2] if held.value.langs else ~letter
+                rows = pa.RecordBatch.from_arrays(part.columns[:-1], names=part.schema.names[:-1])
+                yield rows.filter(pa.array(~np.array(gone, bool)))
+
+    has = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias(mark)
+    return docs.select("*", has).mapInArrow(run, docs.schema)
+
+
 def held_out():
     """Rows that must not be learnt from: crc32 of the id's text leaves 1 on division by 3."""
     return F.crc32(F.col("doc_id").cast("string")) % 3 == 1

@@ -95,6 +95,16 @@ def _without(text: Column, gone: Column) -> Column:
     return F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(gone, i)), BREAK)
 
 
+def _marked(docs: DataFrame, similarity: float, min_words: int) -> tuple[DataFrame, Column]:
+    """``docs`` with _gone, _n and _docs joined, and the cut text."""
+    found = materialize(repeated_paragraphs(docs.select("doc_id", "text"), similarity, min_words=min_words).distinct(), "repeats")
+    of_doc = found.groupBy(F.col("doc_id").alias("_id")).agg(
+        F.collect_set(F.when(~F.col("first"), F.col("place"))).alias("_gone"), F.count("*").alias("_n"),
+        F.array_sort(F.collect_set("class_doc")).alias("_docs"))
+    held = docs.join(of_doc, F.col("doc_id") == F.col("_id"), "left")
+    return held, F.when(F.size("_gone") > 0, _without(F.col("text"), F.col("_gone"))).otherwise(F.col("text"))
+
+
 def deduplicated(docs: DataFrame, similarity: float = SIMILARITY, min_words: int = MIN_WORDS) -> DataFrame:
     """Columns of ``docs`` with every repeated paragraph but the first occurrence cut from ``text``, and
     ``n_removed``, ``n_repeated`` and ``class_docs`` appended.
@@ -106,15 +116,20 @@ def deduplicated(docs: DataFrame, similarity: float = SIMILARITY, min_words: int
     name. An empty table gives an empty result. Jobs run when this is called.
     """
     new = ("n_removed", "n_repeated", "class_docs")
-    found = materialize(repeated_paragraphs(docs, similarity, min_words=min_words).distinct(), "repeats")
-    of_doc = found.groupBy(F.col("doc_id").alias("_id")).agg(
-        F.collect_set(F.when(~F.col("first"), F.col("place"))).alias("_gone"), F.count("*").alias("_n"),
-        F.array_sort(F.collect_set("class_doc")).alias("_docs"))
     names = [c for c in docs.columns if c not in new]
-    held = docs.select(*names).join(of_doc, F.col("doc_id") == F.col("_id"), "left")
-    cut = F.when(F.size("_gone") > 0, _without(F.col("text"), F.col("_gone"))).otherwise(F.col("text"))
+    held, cut = _marked(docs.select(*names), similarity, min_words)
     return held.select(
         *[cut.alias("text") if c == "text" else F.col(c) for c in names],
         F.coalesce(F.when(F.col("_gone").isNotNull(), F.size("_gone")), F.lit(0)).cast("long").alias("n_removed"),
         F.coalesce("_n", F.lit(0)).cast("long").alias("n_repeated"),
         F.coalesce("_docs", F.array().cast("array<bigint>")).alias("class_docs"))
+
+
+def cut_repeats(docs: DataFrame, similarity: float = SIMILARITY, min_words: int = MIN_WORDS) -> DataFrame:
+    """``docs`` with the same cuts and no other columns; an ``n_chars`` column follows a text that was cut."""
+    held, cut = _marked(docs, similarity, min_words)
+    columns = {"text": cut.alias("text")}
+    if "n_chars" in docs.columns:
+        columns["n_chars"] = F.when(F.size("_gone") > 0, F.length(cut)).otherwise(F.col("n_chars")).cast(
+            docs.schema["n_chars"].dataType).alias("n_chars")
+    return held.select(*[columns.get(c, F.col(c)) for c in docs.columns])
