@@ -1,11 +1,11 @@
 """Byte-level BPE ids of whole texts through the tokenizers library, one library call per distinct word.
 
-Merges never cross a pre-token, so a text is cut into pre-tokens by the tokenizer's own pattern, each
-distinct one goes to the library once per worker, and the ids of a text are those of its pre-tokens
-in a row. A text with uncommon characters, whose classes may differ between regular-expression
-engines, is first cut before spaces that follow a character other than white space: no pre-token crosses such
-a cut and no look-ahead sees past it. Chunks with uncommon characters go to the library
-as they are. Nothing is approximated.
+Merges never cross a pre-token, so texts are cut into pre-tokens, each distinct one goes to the library
+once per worker, and the ids of a text are those of its pre-tokens in a row. Texts of common characters are cut
+for a whole block at once from the classes of their bytes, and a pre-token is known by a 64-bit hash of its
+bytes. Other texts are cut before spaces that follow a character other than white space, where no
+pre-token crosses and no look-ahead sees past; their chunks go through the pattern, or to the library as they
+are.
 """
 from __future__ import annotations
 
@@ -13,6 +13,8 @@ import re
 
 import numpy as np
 
+from .shingles import byte_sums, mix
+
 #: Characters that some regular-expression engine counts as white space.
 SPACES = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0 ᠎        "
           "   ​    ⁠　﻿")
@@ -23,6 +25,7 @@ _COMMON = re.compile("[ -~\n\t\u00c0-\u024f]*").fullmatch
 PATTERN = (f" ?[{LETTERS}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[0-9]+| ?[^ \n\t{LETTERS}0-9]+"
            r"|[ \n\t]+(?![^ \n\t])|[ \n\t]+")
 _CUT = re.compile("(?<=[^" + re.escape(SPACES) + "])(?= )")
+BLOCK = 1 << 20
 _KEPT: dict[str, "ChunkEncoder"] = {}
 
 
@@ -36,6 +39,7 @@ class ChunkEncoder:
         self.most = most
         self.pattern = re.compile(PATTERN)
         self.known: dict[str, bytes] = {}   # a pre-token, or a chunk of uncommon characters -> its ids
+        self._forget()
         added = self.tokenizer.get_added_tokens_decoder()
         self.specials = [t.content for t in added.values()]
         plain = [(i, t) for i, t in added.items() if not (t.single_word or t.lstrip or t.rstrip or t.normalized)]
@@ -75,16 +79,134 @@ class ChunkEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
+        out: list[bytes | None] = [None] * len(texts)
+        common, rest = [], []
+        for i, t in enumerate(texts):
+            plain = _COMMON(t) and not any(s in t for s in self.specials)
+            (common if plain else rest).append(i)
+        block, held = [], 0
+        for i in common:
+            block.append(i)
+            held += len(texts[i])
+            if held >= BLOCK:
+                self._block(texts, block, out)
+                block, held = [], 0
+        if block:
+            self._block(texts, block, out)
+        for i, ids in zip(rest, self._one_by_one([texts[i] for i in rest])):
+            out[i] = ids
+        return out
+
+    def _one_by_one(self, texts: list[str]) -> list[bytes]:
         cut = [self._words(t) for t in texts]
         wanted = set().union(*cut)
         missing = wanted - self.known.keys()
-        if len(self.known) + len(missing) > self.most:
+        if len(self.known) + len(missing) > self.most // 4:
             self.known.clear()
             missing = wanted
         self.known.update(self._library(list(missing)))
         known = self.known.__getitem__
         return [b"".join(map(known, w)) for w in cut]
 
+    def _block(self, texts: list[str], block: list[int], out: list) -> None:
+        raw = [texts[i].encode() for i in block]
+        sizes = np.array([len(r) for r in raw], np.int64)
+        joined = b"".join(raw)
+        data = np.frombuffer(joined, np.uint8)
+        ends = np.cumsum(sizes)
+        if not len(data):
+            for i in block:
+                out[i] = b""
+            return
+        start = pretoken_starts(data, (ends - sizes)[sizes > 0])
+        st = np.flatnonzero(start)
+        en = np.append(st[1:], len(data))
+        sums, back = byte_sums(data)
+        hashed = mix((sums[en] - sums[st]) * back[st])
+        words, first, which = np.unique(hashed, return_index=True, return_inverse=True)
+        if len(self.place) + len(words) > self.most:
+            self._forget()
+        place = self.place
+        keys = words.tolist()
+        at = [place.get(k, -1) for k in keys]
+        new = [n for n, p in enumerate(at) if p < 0]
+        if new:
+            spans = [(int(st[first[n]]), int(en[first[n]])) for n in new]
+            strings = [joined[a:b].decode() for a, b in spans]
+            got = self._library(strings)
+            pieces = [got[w] for w in strings]
+            base = len(place)
+            lens = np.array([len(p) // 4 for p in pieces], np.int64)
+            self._grow(b"".join(pieces), lens)
+            for k, n in enumerate(new):
+                place[keys[n]] = at[n] = base + k
+        at = np.array(at, np.int64)[which]
+        lens, offs = self.lens[at], self.offs[at]
+        upto = np.cumsum(lens)
+        ids = self.flat[np.repeat(offs - (upto - lens), lens) + np.arange(int(upto[-1]))]
+        cuts = np.concatenate([[0], upto])[np.searchsorted(st, np.concatenate([[0], ends]))]
+        whole = ids.astype("<u4").tobytes()
+        for i, a, b in zip(block, cuts[:-1].tolist(), cuts[1:].tolist()):
+            out[i] = whole[4 * a:4 * b]
+
+    def _forget(self) -> None:
+        self.place: dict[int, int] = {}    # hash of a pre-token -> its row in the arrays below
+        self.flat = np.empty(1 << 16, np.uint32)
+        self.lens = np.empty(1 << 14, np.int64)
+        self.offs = np.empty(1 << 14, np.int64)
+        self.used = 0
+
+    def _grow(self, raw: bytes, lens: np.ndarray) -> None:
+        n, ids = len(self.place), np.frombuffer(raw, "<u4")
+        while n + len(lens) > len(self.lens):
+            self.lens, self.offs = (np.concatenate([x, np.empty_like(x)]) for x in (self.lens, self.offs))
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
+        self.flat[self.used:self.used + len(ids)] = ids
+        self.lens[n:n + len(lens)] = lens
+        self.offs[n:n + len(lens)] = self.used + np.cumsum(lens) - lens
+        self.used += len(ids)
+
+
+#: Classes of bytes of common characters: letter (all beyond ASCII), digit, white space, other.
+_KIND = np.full(256, 4, np.uint8)
+_KIND[[*range(65, 91), *range(97, 123), *range(128, 256)]] = 1
+_KIND[48:58] = 2
+_KIND[[9, 10, 32]] = 3
+
+
+def pretoken_starts(data: np.ndarray, openings: np.ndarray) -> np.ndarray:
+    """Where pre-tokens of PATTERN start in texts of common characters laid end to end.
+
+    A pre-token is a run of one class. The last of several white-space characters before other text stands
+    apart, and if it is a space it opens the pre-token behind it. An apostrophe that opens a pre-token takes one of
+    the listed endings with it.
+    """
+    n = len(data)
+    kind = _KIND[data]
+    first = np.zeros(n + 3, bool)
+    first[openings] = True
+    first[n:] = True
+    start = first.copy()
+    start[1:n] |= kind[1:] != kind[:-1]
+    at = np.flatnonzero(start[:n + 1])
+    blank = np.flatnonzero(kind[at[:-1]] == 3)
+    stop = at[blank + 1]
+    stop = stop[~first[stop]]                 # runs with text behind them
+    start[stop - 1] = True
+    start[stop[data[stop - 1] == 32]] = False
+    quote = np.flatnonzero((data == 39) & start[:n])
+    padded = np.concatenate([data, np.zeros(3, np.uint8)])
+    one, two = padded[quote + 1], padded[quote + 2]
+    here = ~first[quote + 1]
+    short = here & np.isin(one, np.frombuffer(b"stmd", np.uint8))
+    long = here & ~first[quote + 2] & (((one == ord("r")) & (two == ord("e"))) | ((one == ord("v")) & (two == ord("e")))
+                                      | ((one == ord("l")) & (two == ord("l"))))
+    start[quote[short | long] + 1] = False
+    start[quote[short] + 2] = True
+    start[quote[long] + 3] = True
+    return start[:n]
+
 
 def encoder(path: str) -> ChunkEncoder:
     """The worker's encoder for ``path``; tasks that follow reuse what it has seen."""

@@ -43,6 +43,12 @@ def _powers(n: int) -> list[np.ndarray]:
     return _POWERS
 
 
+def byte_sums(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Prefix sums over bytes, and factors: (sums[b] - sums[a]) * factors[a] is the hash of bytes a to b."""
+    power, back = _powers(len(data) + 1)
+    return np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[data] * power[:len(data)])]), back
+
+
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words of all texts in a row, and the offsets of each text among them."""
     lower = pc.utf8_lower(pc.fill_null(texts, "").cast(pa.large_string())).cast(pa.large_binary())
@@ -61,8 +67,7 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     closes[:-1] &= ~word[1:]
     closes[last[word[last]]] = True
     start, stop = np.flatnonzero(opens), np.flatnonzero(closes) + 1
-    power, back = _powers(len(data) + 1)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[data] * power[:len(data)])])
+    sums, back = byte_sums(data)
     return mix((sums[stop] - sums[start]) * back[start]), np.searchsorted(start, ends)
 
 
