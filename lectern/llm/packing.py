@@ -249,7 +249,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS, larg
     filled = aimed.filter("_origin >= 0").join(numbers, ["_origin", "_spot"])
     columns = [*pieces.columns, "sequence_id"]
     every = placed.select(*columns).unionByName(new.select(*columns)).unionByName(filled.select(*columns))
-    line = Window.partitionBy("sequence_id").orderBy(F.desc("length"), *order[1:])
+    line = Window.partitionBy("sequence_id").orderBy(F.desc("length"), *order[1:]).rowsBetween(
+        Window.unboundedPreceding, 0)
     return every.withColumn("offset", (F.sum("length").over(line) - F.col("length")).cast("long"))
 
 
