@@ -10,8 +10,6 @@ from ..functions import text as tx
 from . import ranking
 
 NO_SOURCE = "(no source)"
-THEME_POOL = 50
-THEME_SHOWN = 15
 SIZE_LIMIT = 10 * 1024 * 1024
 
 
@@ -85,10 +83,17 @@ def theme_items(df: DataFrame, head_chars: int | None = None) -> DataFrame:
         F.count("*").alias("items"), F.min("idx").alias("sample_idx"))
 
 
-def theme_coverage(df: DataFrame, minimum: int = 3, head_chars: int | None = None) -> DataFrame:
-    """Among the 50 leading themes, those in fewer than ``minimum`` items; 15 shown."""
-    leading = theme_items(df, head_chars).orderBy(F.desc("items"), "theme").limit(THEME_POOL)
-    return leading.filter(F.col("items") < minimum).orderBy(F.desc("items"), "theme").limit(THEME_SHOWN)
+def theme_coverage(df: DataFrame, minimum: int = 3, head_chars: int | None = None, pool: int | None = None,
+                   shown: int | None = None) -> DataFrame:
+    """Themes in fewer than ``minimum`` items, with their number in ``total``. ``pool`` looks only at that many
+    leading themes, and ``shown`` is the length of the report; by default neither limits anything."""
+    themes = theme_items(df, head_chars)
+    if pool is not None:
+        themes = themes.orderBy(F.desc("items"), "theme").limit(pool)
+    rare = themes.filter(F.col("items") < minimum)
+    total = rare.agg(F.count("*")).scalar()
+    few = rare.orderBy(F.desc("items"), "theme")
+    return (few if shown is None else few.limit(shown)).withColumn("total", total)
 
 
 def extracted(df: DataFrame, money: bool = True, entities: bool = True) -> DataFrame:
@@ -277,15 +282,16 @@ def keep_last(df: DataFrame, n: int = 500, keys=("corpus_id",), order=("ts", "ev
 # -- pages -----------------------------------------------------------------------------------------
 
 def page(df: DataFrame, offset: int = 0, limit: int = 25) -> DataFrame:
-    """Rows ``offset`` .. by idx, 1 to 200 of them, with the total."""
-    limit = max(1, min(limit, 200))
+    """Rows ``offset`` .. by idx, as many as asked for, with the total."""
+    if limit < 1:
+        raise ValueError("a page holds at least one row")
     total = df.agg(F.count("*")).scalar()
     return df.orderBy("idx").offset(offset).limit(limit).withColumn("total", total)
 
 
 def page_after(df: DataFrame, last_idx: int, limit: int = 25) -> DataFrame:
     """Keyset page: the scan skips everything up to ``last_idx``."""
-    return df.filter(F.col("idx") > last_idx).orderBy("idx").limit(max(1, min(limit, 200)))
+    return df.filter(F.col("idx") > last_idx).orderBy("idx").limit(limit)
 
 
 def source_page(df: DataFrame, source: str, offset: int = 0, limit: int = 25) -> DataFrame:

@@ -60,11 +60,25 @@ def query_tokens(query: str) -> list[str]:
     return [t for t in found if t not in stop and len(t) > 2]
 
 
-def token_retrieve(passages: DataFrame, query: str, n: int, head_chars: int | None = None) -> DataFrame:
-    """Best n passages by token and bigram overlap; without query tokens, the first n."""
+def _in_mode(passages: DataFrame, mode: str) -> DataFrame:
+    if mode not in ("active", "all"):
+        raise ValueError(f"unknown mode {mode}")
+    if mode == "all":
+        return passages
+    if {"flags", "perms", "lifecycle"} <= set(passages.columns):
+        return filters.by_lifecycle(passages)
+    return filters.live(passages) if "tombstone" in passages.columns else passages
+
+
+def token_retrieve(passages: DataFrame, query: str, n: int, head_chars: int | None = None, mode: str = "active") -> DataFrame:
+    """Best n passages by token and bigram overlap; without query tokens, the first n.
+
+    ``active`` ranks live passages, and where the table has flag bytes only readable ones in active life; ``all`` ranks
+    everything.
+    """
     wanted = query_tokens(query)
     text = F.col("text") if head_chars is None else F.substring("text", 1, head_chars)
-    rows = passages.select("idx", "source", text.alias("text"))
+    rows = _in_mode(passages, mode).select("idx", "source", text.alias("text"))
     if not wanted:
         return rows.orderBy("idx").limit(n).withColumn("score", F.lit(0.0))
     # a substring test on the raw text spares tokenising passages that cannot match

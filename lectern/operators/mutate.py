@@ -48,17 +48,20 @@ def delete_source(passages: DataFrame, source: str, ts) -> DataFrame:
 
 
 def edit(passages: DataFrame, edits: DataFrame, ts) -> dict[str, DataFrame]:
-    """``edits`` (idx, new_text) -> appended passages, successions and tombstones. A blank or
-    unchanged text is an error."""
-    both = passages.select("idx", F.col("text").alias("old_text"), "source").join(edits, "idx")
-    problem = F.when(F.trim("new_text") == "", "blank passage").when(F.col("new_text") == F.col("old_text"), "unchanged passage")
-    text = F.when(problem.isNotNull(), F.raise_error(problem).cast("string")).otherwise(F.col("new_text"))
-    rows = both.select(F.col("idx").alias("old_idx"), text.alias("text"), "source", "old_text")
+    """``edits`` (idx, new_text) -> appended passages, successions and tombstones. A blank or null text, one that
+    changes nothing but white space at its ends, and an idx that is not in the corpus are errors."""
+    known = passages.select("idx", F.col("text").alias("old_text"), "source", F.lit(True).alias("_known"))
+    both = edits.join(known, "idx", "left")
+    new, old = (F.regexp_replace(F.coalesce(c, F.lit("")), r"^\s+|\s+$", "") for c in ("new_text", "old_text"))
+    problem = F.when(F.col("_known").isNull(), "unknown passage").when(new == "", "blank passage").when(
+        new == old, "unchanged passage")
+    sure = F.when(problem.isNotNull(), F.raise_error(problem).cast("string")).isNull()
+    rows = both.filter(sure).select(F.col("idx").alias("old_idx"), F.col("new_text").alias("text"), "source", "old_text")
     added = append(passages, rows, "old_idx")
     succession = added.select(filters.content_key(F.col("old_text")).alias("old_key"), filters.content_key(F.col("text")).alias("new_key"),
                               "old_idx", F.col("idx").alias("new_idx"))
     return {"appended": added.select("idx", "text", "source"), "succession": succession,
-            "log": deletions(edits, ts)}
+            "log": deletions(added.select(F.col("old_idx").alias("idx")), ts)}
 
 
 def resolve_succession(keys: DataFrame, succession: DataFrame) -> DataFrame:
@@ -91,9 +94,9 @@ def set_perms(passages: DataFrame, changes: DataFrame) -> DataFrame:
     """
     top = passages.agg(F.coalesce(F.max("idx"), F.lit(-1))).scalar()
     checked = changes.withColumn("_top", top)
-    bad = (F.col("lo") < 0) | (F.col("hi") > F.col("_top") + 1) | (F.col("hi") < F.col("lo"))
-    mask = F.when(bad, F.raise_error(F.lit("range outside the corpus")).cast("int")).otherwise(F.col("mask"))
-    spans = checked.select("lo", "hi", "seq", mask.alias("mask")).filter("hi > lo").withColumn(
+    sound = (F.col("lo") >= 0) & (F.col("hi") <= F.col("_top") + 1) & (F.col("hi") >= F.col("lo"))
+    sure = F.assert_true(F.coalesce(sound, F.lit(False)), F.lit("range outside the corpus")).isNull()
+    spans = checked.filter(sure).select("lo", "hi", "seq", "mask").filter("hi > lo").withColumn(
         "_b", F.explode(F.sequence(F.floor(F.col("lo") / IDX_BLOCK), F.floor((F.col("hi") - 1) / IDX_BLOCK))))
     rows = passages.withColumn("_b", F.floor(F.col("idx") / IDX_BLOCK))
     hits = rows.select("idx", "_b").join(spans, "_b").filter("idx >= lo AND idx < hi")

@@ -1,8 +1,9 @@
 """Per-key ranking, running sums and neighbours that stay parallel on a hot key.
 
 A plain window over a key that holds a third of all rows is one task. Here each key is cut into
-ranges of the ordering column; the work inside a range is a window over (key, range), and a small
-per-range summary, with at most ``RANGES`` rows per key, carries the totals from range to range.
+ranges of the ordering column that hold about equally many rows, however the values are spread; the work
+inside a range is a window over (key, range), and a small per-range summary, with at most
+``STEPS`` squared rows per key, carries the totals from range to range.
 """
 from __future__ import annotations
 
@@ -11,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-RANGES = 256
+STEPS = 32
 SALTS = 64
 
 
@@ -25,13 +26,21 @@ def _as_number(order: str, df: DataFrame) -> Column:
     return F.col(order).cast("bigint")
 
 
-def with_range(df: DataFrame, order: str, ranges: int = RANGES) -> DataFrame:
-    """Adds ``_range``: the position of ``order`` between its global minimum and maximum."""
+def with_range(df: DataFrame, order: str, steps: int = STEPS) -> DataFrame:
+    """Adds ``_range``: which of ``steps`` squared quantile ranges ``order`` falls into; nulls go first.
+
+    The cuts are approximate percentiles of the column alone. A row finds its range in two steps over
+    ``steps`` cuts each.
+    """
     at = _as_number(order, df)
-    ends = df.select(at.alias("_at")).agg(F.min("_at").alias("lo"), F.max("_at").alias("hi"))
-    limits = ends.select(F.struct("lo", "hi")).scalar()
-    width = (limits["hi"] - limits["lo"]) / F.lit(float(ranges)) + F.lit(1.0)
-    return df.withColumn("_range", F.floor((at - limits["lo"]) / width).cast("int"))
+    shares = [i / steps ** 2 for i in range(1, steps ** 2)]
+    cuts = df.select(at.alias("_at")).agg(F.percentile_approx("_at", shares, 20 * steps ** 2).alias("cuts")).select(
+        F.coalesce("cuts", F.array().cast("array<bigint>"))).scalar()
+    spots = df.withColumn("_cuts", cuts).withColumn("_at", at).withColumn("_coarse", F.coalesce(F.size(F.filter(
+        F.transform(F.sequence(F.lit(1), F.lit(steps - 1)), lambda i: F.get("_cuts", i * steps - 1)),
+        lambda c: c < F.col("_at"))), F.lit(0)))
+    fine = F.size(F.filter(F.slice("_cuts", F.col("_coarse") * steps + 1, steps - 1), lambda c: c < F.col("_at")))
+    return spots.withColumn("_range", F.col("_coarse") * steps + F.coalesce(fine, F.lit(0))).drop("_cuts", "_at", "_coarse")
 
 
 def _null_safe(left: DataFrame, right: DataFrame, on: list[str], how: str) -> DataFrame:

@@ -59,10 +59,17 @@ def _rerank(few: DataFrame, passages: DataFrame | None, keywords, per_hit: float
     return best(kept.select(*few.columns), k)
 
 
+def live_only(scored: DataFrame, passages: DataFrame | None) -> DataFrame:
+    """Scores of passages that are not tombstoned; only ids and scores meet, before any cut."""
+    if passages is None:
+        return scored
+    return scored.join(passages.filter("tombstone").select("idx"), "idx", "left_anti")
+
+
 def cosine_topk(vectors: DataFrame, query, k: int = 10, passages: DataFrame | None = None,
                 keywords=(), v: str = "v") -> DataFrame:
-    """Best k + 10 by cosine, less tombstones, plus .04 per keyword (at most .12), cut to k."""
-    scored = vectors.select("idx", vx.cosine(v, query).alias("score"))
+    """Best k + 10 live passages by cosine, plus .04 per keyword (at most .12), cut to k."""
+    scored = live_only(vectors.select("idx", vx.cosine(v, query).alias("score")), passages)
     few = best(scored, k + EXTRA_POOL).withColumn("cosine_score", F.col("score"))
     return _rerank(few, passages, keywords, 0.04, k)
 
@@ -85,13 +92,13 @@ def packed_hamming_topk(packed: DataFrame, query_bits: Column, dim: int, k: int
 
 
 def hamming_blend_topk(vectors: DataFrame, query, passages: DataFrame, k: int = 10, keywords=()) -> DataFrame:
-    """0.7 cosine + 0.3 Hamming; best max(4k, 20), then tombstones and weak scores fall out,
-    then .03 per keyword (at most .12), cut to k."""
+    """0.7 cosine + 0.3 Hamming; best max(4k, 20) live passages, then weak scores fall out, then .03 per
+    keyword (at most .12), cut to k."""
     both = vectors.select("idx", vx.similarity("v", query).alias("s"))
     blended = (1 - HAMMING_SHARE) * F.col("s.cosine") + HAMMING_SHARE * F.col("s.hamming")
     scored = both.select("idx", blended.alias("base"), F.col("s.cosine").alias("cosine_score"),
                          F.col("s.hamming").alias("hamming_score"))
-    few = best(scored, max(4 * k, 20), "base")
+    few = best(live_only(scored, passages), max(4 * k, 20), "base")
     kept = with_passages(few, passages).filter(F.col("base") >= BLEND_FLOOR)
     bonus = (lx.boost(lx.keyword_hits(keywords, F.col("text")), 0.03, 0.12) if keywords else F.lit(0.0))
     out = kept.select("idx", "text", "cosine_score", "hamming_score", bonus.alias("keyword_boost"),
@@ -102,7 +109,7 @@ def hamming_blend_topk(vectors: DataFrame, query, passages: DataFrame, k: int =
 def cosine_candidates(vectors: DataFrame, query, passages: DataFrame, pool: int = POOL) -> DataFrame:
     """Top pool with score, vector and passage; a query of another size raises."""
     scored = vectors.select("idx", "v", vx.cosine("v", query).alias("score"))
-    return best(with_passages(best(scored, pool), passages), pool)
+    return best(with_passages(best(live_only(scored, passages), pool), passages), pool)
 
 
 def blend_rerank(vectors: DataFrame, query, aux: DataFrame, alpha: float = 0.7, k: int = 10,

@@ -67,14 +67,15 @@ query("a6_top_themes", f"WITH {BIGRAMS.format(v='passages')} SELECT theme, count
 
 
 @query("a7_theme_fallback", """
-SELECT 'few' AS kind, unnest(['harbour', 'ledgers', 'spring']) AS theme, 1::BIGINT AS n""")
+WITH w AS (SELECT count(*) AS pairs FROM region WHERE contains(r_name, ' '))
+SELECT 'few' AS kind, unnest(['harbour', 'ledgers', 'spring']) AS theme, 1::BIGINT AS n FROM w WHERE pairs < 3""")
 def _(t):
-    short = t.nation.select(F.col("n_nationkey").alias("idx"), F.lit("One.").alias("text"))
+    short = t.region.select(F.col("r_regionkey").alias("idx"), F.col("r_name").alias("text"))
     return cp.themes_or_words(short, "The harbour ledgers of the spring, ledgers and all", 5).withColumn("kind", F.lit("few"))
 
 
 query("a8_theme_coverage", f"""WITH {BIGRAMS.format(v='conversations_idx')}, r AS (SELECT theme, count(DISTINCT idx) AS items, min(idx) AS sample_idx FROM g GROUP BY 1),
-p AS (SELECT * FROM r ORDER BY items DESC, theme LIMIT 50) SELECT * FROM p WHERE items < 200 ORDER BY items DESC, theme LIMIT 15""".replace(
+p AS (SELECT * FROM r WHERE items < 200) SELECT *, (SELECT count(*) FROM p) AS total FROM p""".replace(
     "conversations_idx", "(SELECT conv_id * 100 + turn AS idx, text FROM conversations)"))(
     lambda t: cp.theme_coverage(t.conversations.select(F.expr("conv_id * 100 + turn").alias("idx"), "text"), 200))
 ORPHANS = """e AS (SELECT lower(entity) AS k, min(entity) AS entity, count(DISTINCT idx) AS n, min(idx) AS idx FROM {v} GROUP BY 1)

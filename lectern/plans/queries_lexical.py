@@ -60,7 +60,7 @@ def _(t):
 
 
 PAIRS = [f"{a} {b}" for a, b in zip(ASK_TOKENS, ASK_TOKENS[1:])]
-RETRIEVED = f"""k AS (SELECT idx, source, text, {TOKENS} AS ts FROM passages),
+RETRIEVED = f"""k AS (SELECT idx, source, text, {TOKENS} AS ts FROM passages WHERE NOT tombstone),
 sc AS (SELECT idx, source, text, (len(list_filter(ts, lambda x: list_contains({sql_list(ASK_TOKENS)}, x)))
   + 3.0 * len(list_filter(list_transform(range(1, len(ts)), lambda i: ts[i] || ' ' || ts[i + 1]), lambda x: list_contains({sql_list(PAIRS)}, x))))
   / (1.0 + sqrt(len(ts)) / 10.0) AS score FROM k),
@@ -74,7 +74,7 @@ SELECT string_agg('[' || rank || '] (' || source || ') ' || trim(regexp_replace(
 
 
 @query("k9_retrieve_with_fallback", f"""WITH {RETRIEVED.format(n=5)}
-SELECT 'hit' AS ask, idx, false AS fallback FROM hits UNION ALL SELECT 'miss', idx, true FROM (SELECT idx FROM passages ORDER BY idx LIMIT 5)""")
+SELECT 'hit' AS ask, idx, false AS fallback FROM hits UNION ALL SELECT 'miss', idx, true FROM (SELECT idx FROM passages WHERE NOT tombstone ORDER BY idx LIMIT 5)""")
 def _(t):
     hit = ls.retrieve_with_fallback(t.wide_passages, ASK, 5).select(F.lit("hit").alias("ask"), "idx", "fallback")
     miss = ls.retrieve_with_fallback(t.wide_passages, "zzyzx quux", 5).select(F.lit("miss").alias("ask"), "idx", "fallback")

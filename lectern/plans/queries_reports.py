@@ -12,16 +12,28 @@ from .queries_extract import BIGRAMS, ORPHANS
 from .registry import query
 
 
+WIDTH = 9
+
+
 def stacked(parts: dict[str, DataFrame]) -> DataFrame:
-    """Sections of one report as (section, a, b, c, d) strings."""
+    """Sections of one report as strings, every column of every section."""
     out = []
     for name, df in parts.items():
-        cols = [F.col(f"`{c}`").cast("string") for c in df.columns][:4]
-        cols += [F.lit(None).cast("string")] * (4 - len(cols))
-        out.append(df.select(F.lit(name).alias("section"), *[c.alias(n) for c, n in zip(cols, "abcd")]))
+        if len(df.columns) > WIDTH:
+            raise ValueError(f"section {name} has {len(df.columns)} columns")
+        cols = [F.col(f"`{c}`").cast("string") for c in df.columns]
+        cols += [F.lit(None).cast("string")] * (WIDTH - len(cols))
+        out.append(df.select(F.lit(name).alias("section"), *[c.alias(f"c{n}") for n, c in enumerate(cols)]))
     return reduce(lambda x, y: x.unionByName(y), out)
 
 
+def section(name: str, columns: str, rest: str) -> str:
+    """The SQL twin of one section; ``columns`` stand between single bars."""
+    cols = [f"({c.strip()})::VARCHAR" for c in columns.split(" | ")]
+    cols += ["NULL::VARCHAR"] * (WIDTH - len(cols))
+    return f"SELECT '{name}' AS section, " + ", ".join(f"{c} AS c{n}" for n, c in enumerate(cols)) + " " + rest
+
+
 LIVE = """li AS (SELECT * FROM invoices WHERE NOT tombstone),
 ld AS (SELECT d.*, li.source FROM invoice_dates d JOIN li ON d.idx = li.idx),
 lm AS (SELECT m.*, li.source, (SELECT min(date) FROM invoice_dates x WHERE x.idx = m.idx) AS date FROM invoice_money m JOIN li ON m.idx = li.idx)"""
@@ -29,10 +41,11 @@ lm AS (SELECT m.*, li.source, (SELECT min(date) FROM invoice_dates x WHERE x.idx
 
 @query("r1_summary", f"""
 WITH {LIVE}, {BIGRAMS.format(v='li')}, th AS (SELECT theme, count(*) AS n FROM g GROUP BY 1 ORDER BY n DESC, theme LIMIT 5)
-SELECT 'counts' AS section, count_if(NOT tombstone)::VARCHAR AS a, count_if(tombstone)::VARCHAR AS b, count(*)::VARCHAR AS c, NULL AS d FROM invoices
-UNION ALL SELECT 'coverage', count(DISTINCT source)::VARCHAR, min(date)::VARCHAR, max(date)::VARCHAR, NULL FROM ld
-UNION ALL SELECT 'sources', source, count(DISTINCT idx)::VARCHAR, min(date)::VARCHAR, max(date)::VARCHAR FROM ld GROUP BY source
-UNION ALL SELECT 'themes', theme, n::VARCHAR, NULL, NULL FROM th""")
+""" + " UNION ALL ".join([
+    section("counts", "count_if(NOT tombstone) | count_if(tombstone) | count(*)", "FROM invoices"),
+    section("coverage", "count(DISTINCT source) | min(date) | max(date)", "FROM ld"),
+    section("sources", "source | count(DISTINCT idx) | min(date) | max(date)", "FROM ld GROUP BY source"),
+    section("themes", "theme | n", "FROM th")]))
 def _(t):
     return stacked(reports.summary(t.invoices, reports.facts_of(t.invoices, money=False, entities=False), 5))
 
@@ -41,14 +54,17 @@ def _(t):
 WITH {LIVE}, le AS (SELECT * FROM invoice_entities WHERE idx IN (SELECT idx FROM li)), dd AS (SELECT DISTINCT date FROM ld),
 gp AS (SELECT lag(date) OVER (ORDER BY date) AS f, date AS t2 FROM dd),
 {BIGRAMS.format(v='li')}, r AS (SELECT theme, count(DISTINCT idx) AS items, min(idx) AS sample_idx FROM g GROUP BY 1),
-p AS (SELECT * FROM r ORDER BY items DESC, theme LIMIT 50), ut AS (SELECT * FROM p WHERE items < 3 ORDER BY items DESC, theme LIMIT 15),
+rt AS (SELECT * FROM r WHERE items < 3), ut AS (SELECT * FROM rt ORDER BY items DESC, theme LIMIT 15),
 e AS (SELECT lower(entity) AS k, min(entity) AS entity, count(DISTINCT idx) AS n, min(idx) AS idx FROM le GROUP BY 1),
 oe AS (SELECT entity, idx, (SELECT count(*) FROM e WHERE n = 1) AS total FROM e WHERE n = 1 ORDER BY k LIMIT 20)
-SELECT 'overview' AS section, count(*)::VARCHAR AS a, count(DISTINCT source)::VARCHAR AS b, '100%' AS c, '100%' AS d FROM li
-UNION ALL SELECT 'themes', theme, items::VARCHAR, sample_idx::VARCHAR, NULL FROM ut
-UNION ALL SELECT 'orphans', entity, idx::VARCHAR, total::VARCHAR, NULL FROM oe
-UNION ALL SELECT 'sources', source, count(*)::VARCHAR, CASE WHEN count(*) < 2 THEN 'under-utilized' ELSE 'ok' END, NULL FROM li GROUP BY source
-UNION ALL SELECT 'gaps', f::VARCHAR, t2::VARCHAR, (t2 - f)::VARCHAR, NULL FROM gp WHERE t2 - f > 1""")
+""" + " UNION ALL ".join([
+    section("overview", "count(*) | count(DISTINCT source) | (100 * (SELECT count(DISTINCT idx) FROM ld) // count(*)) || '%' | "
+            "(100 * (SELECT count(DISTINCT idx) FROM le) // count(*)) || '%' | (100 * (SELECT count(DISTINCT idx) FROM lm) // count(*)) || '%' | "
+            "(SELECT min(date) FROM ld) | (SELECT max(date) FROM ld)", "FROM li"),
+    section("themes", "theme | items | sample_idx | (SELECT count(*) FROM rt)", "FROM ut"),
+    section("orphans", "entity | idx | total", "FROM oe"),
+    section("sources", "source | count(*) | CASE WHEN count(*) < 2 THEN 'under-utilized' ELSE 'ok' END", "FROM li GROUP BY source"),
+    section("gaps", "f | t2 | t2 - f", "FROM gp WHERE t2 - f > 1")]))
 def _(t):
     return stacked(reports.coverage(t.invoices, reports.facts_of(t.invoices), gap_days=1, source_min=2))
 
@@ -65,13 +81,13 @@ f AS (SELECT idx, text, source, contains(lower(text), 'household') AS a, contain
 o AS (SELECT CASE WHEN a AND b THEN 'both' WHEN a THEN 'only_a' ELSE 'only_b' END AS side, idx, source, text FROM f WHERE a OR b),
 ds AS (SELECT side, idx, '[' || source || '](vps://source/' || regexp_replace(lower(source), '[^a-z0-9]+', '-', 'g') || ')' AS link,
   CASE WHEN length(split_part(text, chr(10), 1)) > 120 THEN rtrim(substr(split_part(text, chr(10), 1), 1, 119)) || '…' ELSE split_part(text, chr(10), 1) END AS line FROM (SELECT *, row_number() OVER (PARTITION BY side ORDER BY idx) AS rn FROM o WHERE side <> 'both') WHERE rn <= 5)
-SELECT 'metrics' AS section, n::VARCHAR AS a, s::VARCHAR AS b, d0::VARCHAR AS c, d1::VARCHAR AS d FROM ca
-UNION ALL SELECT 'metrics', n::VARCHAR, s::VARCHAR, d0::VARCHAR, d1::VARCHAR FROM cb
-UNION ALL SELECT 'overlap', side, count(*)::VARCHAR, NULL, NULL FROM o GROUP BY side
-UNION ALL SELECT 'distinctive', side, idx::VARCHAR, link, line FROM ds""")
+""" + " UNION ALL ".join([
+    section("metrics", "n | s | d0 | d1 | u | 'a'", "FROM ca"), section("metrics", "n | s | d0 | d1 | u | 'b'", "FROM cb"),
+    section("overlap", "side | count(*)", "FROM o GROUP BY side"),
+    section("distinctive", "side | idx | link | line", "FROM ds")]))
 def _(t):
     parts = reports.comparison(t.invoices, "household", "urgent")
-    return stacked({k: parts[k] for k in ("metrics", "overlap", "distinctive")})
+    return stacked({k: parts[k] for k in ("metrics", "overlap", "distinctive")})   # r3b holds the deltas
 
 
 @query("r3b_comparison_deltas", f"""
@@ -86,29 +102,35 @@ def _(t):
 
 
 @query("r4_entity_rollup", f"""
-WITH {LIVE} SELECT 'mentions' AS section, li.idx::VARCHAR AS a, li.source AS b, min(date)::VARCHAR AS c, 'Household Goods' AS d FROM li JOIN ld ON li.idx = ld.idx
-WHERE contains(text, 'Household Goods') GROUP BY ALL
-UNION ALL SELECT 'totals', count(DISTINCT li.idx)::VARCHAR, count(DISTINCT li.source)::VARCHAR, min(m)::VARCHAR, max(m)::VARCHAR FROM li
-JOIN (SELECT idx, min(date) AS m FROM ld GROUP BY 1) x ON x.idx = li.idx WHERE contains(text, 'Household Goods')""")
+WITH {LIVE}, hh AS (SELECT *, (SELECT min(date) FROM ld WHERE ld.idx = li.idx) AS first FROM li WHERE contains(text, 'Household Goods'))
+""" + " UNION ALL ".join([
+    section("mentions", "idx | source | first | 'Household Goods' | instr(text, 'Household Goods') - 1 | substr(text, instr(text, 'Shipped'))", "FROM hh"),
+    section("totals", "count(*) | count(DISTINCT source) | min(first) | max(first) | count(*) > 100", "FROM hh")]))
 def _(t):
     return stacked(reports.entity_rollup(t.invoices, "Household Goods", ["household"]))
 
 
-@query("r5_change_log", f"""WITH {EXACT}, c AS (SELECT count_if(status = 'added') AS ad, count_if(status = 'removed') AS rm, count_if(status = 'unchanged') AS un FROM x)
-SELECT 'changes' AS section, status AS a, new_idx::VARCHAR AS b, old_idx::VARCHAR AS c, source AS d FROM x
-UNION ALL SELECT 'notes', ad::VARCHAR, rm::VARCHAR, '0', un::VARCHAR FROM c
-UNION ALL SELECT 'by_source', source, status, count(*)::VARCHAR, NULL FROM x GROUP BY source, status""")
+NOTES = ("ad | rm | md | un | un + md + rm | un + md + ad | abs(ad - rm) / greatest(un + md + rm, un + md + ad) > 0.5 | {rebuilt} | '{strategy}'")
+
+
+@query("r5_change_log", f"""WITH {EXACT}, c AS (SELECT count_if(status = 'added') AS ad, count_if(status = 'removed') AS rm, 0 AS md,
+  count_if(status = 'unchanged') AS un FROM x)
+""" + " UNION ALL ".join([
+    section("changes", "status | new_idx | old_idx | source", "FROM x"),
+    section("notes", NOTES.format(rebuilt="false", strategy="exact"), "FROM c"),
+    section("by_source", "source | status | count(*)", "FROM x GROUP BY source, status")]))
 def _(t):
     return stacked(reports.change_log(t.old_snap, t.new_snap, "exact"))
 
 
 @query("r5b_change_log_semantic", f"""WITH {SEMANTIC}, c AS (SELECT count_if(status = 'added') AS ad, count_if(status = 'removed') AS rm, count_if(status = 'modified') AS md,
   count_if(status = 'unchanged') AS un FROM sx)
-SELECT 'notes' AS section, ad::VARCHAR AS a, rm::VARCHAR AS b, md::VARCHAR AS c, un::VARCHAR AS d FROM c
-UNION ALL SELECT 'by_source', source, status, count(*)::VARCHAR, NULL FROM sx GROUP BY source, status""")
+""" + " UNION ALL ".join([
+    section("changes", "status | new_idx | old_idx | source", "FROM sx"),
+    section("notes", NOTES.format(rebuilt="(un + md) / greatest(un + md + rm, un + md + ad) >= 0.98 AND ad + rm + md > 0", strategy="semantic"), "FROM c"),
+    section("by_source", "source | status | count(*)", "FROM sx GROUP BY source, status")]))
 def _(t):
-    parts = reports.change_log(t.old_vec, t.new_vec, "semantic")
-    return stacked({k: parts[k] for k in ("notes", "by_source")})
+    return stacked(reports.change_log(t.old_vec, t.new_vec, "semantic"))
 
 
 query("r6_timeline", f"""WITH {LIVE} SELECT date_trunc('week', ld.date)::DATE AS period, count(*) AS events, count(DISTINCT ld.idx) AS items, min(date) AS first, max(date) AS last

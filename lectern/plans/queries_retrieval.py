@@ -36,7 +36,7 @@ def rounded(df, *cols):
 
 
 FLAGSHIP = f"""
-WITH cand AS (SELECT idx, cos, ham, 0.7 * cos + 0.3 * ham AS base FROM scored ORDER BY base DESC, idx LIMIT 40),
+WITH cand AS (SELECT idx, cos, ham, 0.7 * cos + 0.3 * ham AS base FROM scored WHERE idx NOT IN (SELECT idx FROM passages WHERE tombstone) ORDER BY base DESC, idx LIMIT 40),
 kept AS (SELECT c.*, p.text, lower(p.text) AS t FROM cand c JOIN passages p ON c.idx = p.idx
          WHERE NOT p.tombstone AND base >= 0.05),
 hit AS (SELECT *, least(({HITS}) * 0.03, 0.12) AS boost FROM kept)
@@ -53,7 +53,7 @@ query("v3_hamming_blend_topk", FLAGSHIP)(flagship)
 
 
 @query("v1_cosine_topk", f"""
-WITH cand AS (SELECT idx, cos FROM scored ORDER BY cos DESC, idx LIMIT 20),
+WITH cand AS (SELECT idx, cos FROM scored WHERE idx NOT IN (SELECT idx FROM passages WHERE tombstone) ORDER BY cos DESC, idx LIMIT 20),
 kept AS (SELECT c.*, lower(p.text) AS t FROM cand c JOIN passages p ON c.idx = p.idx WHERE NOT p.tombstone),
 hit AS (SELECT idx, cos, cos + least(({HITS}) * 0.04, 0.12) AS s FROM kept)
 SELECT idx, round(s, 6) AS score, round(cos, 6) AS cosine_score FROM hit ORDER BY s DESC, idx LIMIT 10""")
@@ -74,9 +74,9 @@ def _(t):
 
 
 @query("v5_cosine_candidates", """
-WITH cand AS (SELECT idx, v, cos FROM scored ORDER BY cos DESC, idx LIMIT 50)
+WITH cand AS (SELECT idx, v, cos FROM scored WHERE idx NOT IN (SELECT idx FROM passages WHERE tombstone) ORDER BY cos DESC, idx LIMIT 50)
 SELECT c.idx, round(list_sum(c.v), 5) AS v_sum, p.text, round(cos, 6) AS score
-FROM cand c JOIN passages p ON c.idx = p.idx WHERE NOT p.tombstone""")
+FROM cand c JOIN passages p ON c.idx = p.idx""")
 def _(t):
     found = rt.cosine_candidates(t.vectors, t.query_vec, t.passages, 50)
     total = F.aggregate(vx.doubles("v"), F.lit(0.0), lambda s, x: s + x)

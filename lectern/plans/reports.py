@@ -47,10 +47,10 @@ def _within(dates: str, first: str | None, last: str | None) -> Column:
 
 
 def coverage(passages: DataFrame, facts: DataFrame, min_theme: int = 3, gap_days: int = 30, max_orphans: int = 20,
-             source_min: int = 5, head_chars: int | None = None) -> dict[str, DataFrame]:
+             source_min: int = 5, head_chars: int | None = None, themes: int = 15) -> dict[str, DataFrame]:
     live = filters.live(passages)
     return {"overview": _overview(facts),
-            "themes": cp.theme_coverage(live, min_theme, head_chars), "orphans": cp.orphan_entities(facts, max_orphans),
+            "themes": cp.theme_coverage(live, min_theme, head_chars, shown=themes), "orphans": cp.orphan_entities(facts, max_orphans),
             "sources": cp.source_status(facts, source_min), "gaps": cp.time_gaps(facts, gap_days),
             "context_poor": cp.context_poor(facts)}
 
@@ -123,7 +123,7 @@ def change_log(old: DataFrame, new: DataFrame, strategy: str = "exact") -> dict[
     if vectors:
         marks = fingerprint(old).select(F.col("fingerprint")).scalar(), fingerprint(new).select(F.col("fingerprint")).scalar()
         totals = diff.diff_totals(changes).withColumn("old_fp", marks[0]).withColumn("new_fp", marks[1])
-        notes = diff.diff_notes(totals, F.col("old_fp") == F.col("new_fp"))
+        notes = diff.diff_notes(totals, F.col("old_fp") == F.col("new_fp")).drop("old_fp", "new_fp")
     else:
         notes = diff.diff_notes(diff.diff_totals(changes), F.lit(True))
     return {"changes": changes, "notes": notes.withColumn("strategy", F.lit(strategy)), "by_source": diff.diff_counts(changes)}

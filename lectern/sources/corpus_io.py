@@ -33,17 +33,20 @@ def write_report_csv(df: DataFrame, path: str) -> None:
     df.write.csv(path, header=True)
 
 
-def normalize_sources(df: DataFrame) -> DataFrame:
-    """(source_idx, source, n): 0 is "no source", then by first appearance; over 65,535 raises."""
+def normalize_sources(df: DataFrame, most: int | None = SOURCE_LIMIT) -> DataFrame:
+    """(source_idx, source, n): 0 is "no source", then by first appearance. More than ``most`` sources, which the stored
+    16-bit number cannot hold, are an error on any read; None numbers them all."""
     groups = df.groupBy(F.coalesce("source", F.lit("")).alias("source")).agg(
         F.min("idx").alias("first_idx"), F.count("*").alias("n"))
-    named = groups.filter("source <> ''").orderBy("first_idx").limit(SOURCE_LIMIT + 1)
+    named = groups.filter("source <> ''")
     placed = ranking.row_number(named, [], "first_idx", "source_idx")
-    checked = F.when(F.col("source_idx") <= SOURCE_LIMIT, F.col("source_idx")).otherwise(
-        F.raise_error(F.lit("more than 65535 sources")).cast("bigint"))
+    if most is not None:
+        total = named.agg(F.count("*")).scalar()
+        placed = placed.withColumn("_total", total).filter(
+            F.assert_true(F.col("_total") <= most, F.lit(f"more than {most} sources")).isNull()).drop("_total")
     blank = df.filter(F.coalesce("source", F.lit("")) == "").agg(
         F.lit(0).cast("bigint").alias("source_idx"), F.lit("").alias("source"), F.count("*").alias("n"))
-    return placed.select(checked.alias("source_idx"), "source", "n").unionByName(blank)
+    return placed.select("source_idx", "source", "n").unionByName(blank)
 
 
 def recover_source(table: Column, sidecar: Column, meta: Column, text: Column) -> Column:

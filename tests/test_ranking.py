@@ -44,3 +44,11 @@ def test_top_per_key(skewed):
     want = skewed.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("x"), "idx"))).filter("rank <= 7")
     got = ranking.top_per_key(skewed, ["key"], 7, [F.desc("x"), F.asc("idx")], "idx")
     assert as_set(got, "idx", "rank") == as_set(want, "idx", "rank")
+
+
+def test_ranges_are_even_on_clustered_values(spark):
+    rows = spark.range(9500).selectExpr("id AS idx").unionAll(spark.range(500).selectExpr("id + 10000000000 AS idx"))
+    sizes = [r["count"] for r in ranking.with_range(rows, "idx").groupBy("_range").count().collect()]
+    assert max(sizes) <= 0.02 * 10_000
+    got = ranking.row_number(rows, [], "idx", "rn").collect()
+    assert [r["rn"] for r in sorted(got, key=lambda r: r["idx"])] == list(range(1, 10_001))
