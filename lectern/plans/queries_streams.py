@@ -98,15 +98,20 @@ def _(t):
     return jobs.ingest_stream(stream.select(F.col("role").alias("source"), "text"), size=10**9)
 
 
-@query("z10_late_rows")
+@query("z10_late_rows", """
+WITH h AS (SELECT date_trunc('hour', ts) AS w, count(*) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-10' GROUP BY 1)
+SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS start, n, (SELECT count(*) FROM events WHERE ts < TIMESTAMP '2024-01-10') AS rows_dropped
+FROM h WHERE w + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE""")
 def _(t):
-    """Events stored in two folders: the second holds the earlier half of the month, so it is late."""
-    path = scratch_path(t.spark, "out-of-order")
-    half = F.lit("2024-01-15").cast("timestamp_ntz")
-    t.events.filter(F.col("ts") >= half).coalesce(1).write.parquet(f"{path}/first")
-    t.events.filter(F.col("ts") < half).coalesce(1).write.parquet(f"{path}/second")
+    """Events stored in three folders, the latest days first. Lateness is judged by the watermark of the
+    batch before the last, so the second folder still counts and the third is late."""
+    path, files = scratch_path(t.spark, "out-of-order"), 8
+    ts = F.col("ts")
+    first, last = (F.lit(d).cast("timestamp_ntz") for d in ("2024-01-10", "2024-01-20"))
+    for name, days in (("1", ts >= last), ("2", (ts >= first) & (ts < last)), ("3", ts < first)):
+        t.events.filter(days).repartition(files).write.parquet(f"{path}/{name}")
     with settings(t.spark, **UTC):
         stream = (t.spark.readStream.schema(t.events.schema).option("recursiveFileLookup", "true")
-                  .option("maxFilesPerTrigger", 1).parquet(path))
+                  .option("maxFilesPerTrigger", files).parquet(path))
         windows, dropped = jobs.late_rows(stream)
-    return windows.withColumn("rows_dropped", F.lit(dropped))
+    return windows.withColumn("rows_dropped", F.lit(dropped).cast("bigint"))

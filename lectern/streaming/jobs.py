@@ -1,9 +1,12 @@
 """Streaming jobs with state of their own: admission, ingest, late rows, and running to a table."""
 from __future__ import annotations
 
+import threading
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import build, filters, ranking
@@ -104,14 +107,43 @@ def ingest_stream(documents: DataFrame, label: str = "ingest", size: int = 300,
 
 # -- late rows -------------------------------------------------------------------------------------------------
 
+class _Dropped(StreamingQueryListener):
+    """Sums what the operators of one query drop; every progress report counts, however many there are."""
+
+    def __init__(self):
+        self.rows, self.ended = 0, threading.Event()
+
+    def onQueryStarted(self, event):
+        pass
+
+    def onQueryProgress(self, event):
+        self.rows += sum(op.numRowsDroppedByWatermark for op in event.progress.stateOperators)
+
+    def onQueryIdle(self, event):
+        pass
+
+    def onQueryTerminated(self, event):
+        self.ended.set()
+
+
 def late_rows(events: DataFrame, label: str = "late") -> tuple[DataFrame, int]:
-    """Hourly counts of a stream with a 10-minute watermark, and how many rows came too late."""
+    """Hourly counts of a stream with a 10-minute watermark, and how many events came too late.
+
+    Events are held against the watermark one by one, as they are told from repeats by event_id, and counted
+    after that; so the number is of events, not of partial counts.
+    """
     spark, path = events.sparkSession, scratch_path(events.sparkSession, label)
     timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", WATERMARK)
-    counts = timed.groupBy(F.window("ts", "1 hour").alias("w")).agg(F.count("*").alias("n")).select(
-        F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
-    query = (counts.writeStream.format("parquet").option("path", path).option("checkpointLocation", f"{path}-state")
-             .outputMode("append").trigger(availableNow=True).start())
-    query.awaitTermination()
-    dropped = sum(op.numRowsDroppedByWatermark for p in query.recentProgress for op in p.stateOperators)
-    return spark.read.schema("start string, n bigint").parquet(path), dropped
+    counts = timed.dropDuplicatesWithinWatermark(["event_id"]).groupBy(F.window("ts", "1 hour").alias("w")).agg(
+        F.count("*").alias("n")).select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
+    dropped = _Dropped()
+    spark.streams.addListener(dropped)
+    try:
+        query = (counts.writeStream.format("parquet").option("path", path).option("checkpointLocation", f"{path}-state")
+                 .outputMode("append").trigger(availableNow=True).start())
+        query.awaitTermination()
+        if not dropped.ended.wait(120):
+            raise RuntimeError("the end of the stream was not reported")
+    finally:
+        spark.streams.removeListener(dropped)
+    return spark.read.schema("start string, n bigint").parquet(path), dropped.rows
