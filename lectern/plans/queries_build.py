@@ -12,12 +12,33 @@ from .queries_retrieval import WALK, rounded, walk
 from .registry import query
 
 
-@query("b1_chunk_lines")
+# Line chunks step by step: w[i + 1] words stand before line i; a chunk is lines a to e.
+_K = "(len(list_filter(w, lambda x: x <= w[a + 1] + 300)) - 1)"
+_E = f"least(greatest(CASE WHEN w[{_K} + 1] = w[a + 1] THEN {_K} + 1 ELSE {_K} END, a + 1), len(rows))"
+LINES = f"""d0 AS (SELECT doc_id, source, text, string_split(text, chr(10)) AS rows FROM documents WHERE {{where}}),
+d1 AS (SELECT *, list_transform(rows, lambda r: len(regexp_extract_all(r, '\\S+'))) AS n FROM d0),
+d AS (SELECT *, list_transform(range(0, len(rows) + 1), lambda i: coalesce(list_sum(n[1:i]), 0)::BIGINT) AS w FROM d1),
+s AS (SELECT doc_id, a, {_E} AS e FROM (SELECT *, 0::BIGINT AS a FROM d WHERE w[-1] > 300)
+  UNION ALL SELECT doc_id, a, {_E} AS e FROM (SELECT d.*, greatest(s.a + 1, least(len(list_filter(w, lambda x: x <= w[s.e + 1] - 50)) - 1, s.e)) AS a
+    FROM s JOIN d USING (doc_id) WHERE s.e < len(rows))),
+c AS (SELECT doc_id, source, a, regexp_replace(array_to_string(rows[a + 1:e], chr(10)), '^\\s+|\\s+$', '', 'g') AS text FROM s JOIN d USING (doc_id)),
+parts AS (SELECT doc_id, source, (row_number() OVER (PARTITION BY doc_id ORDER BY a) - 1)::INT AS part, text FROM c WHERE text <> ''
+  UNION ALL SELECT doc_id, source, 0, text FROM d WHERE w[-1] <= 300)"""
+
+
+@query("b1_chunk_lines", f"WITH RECURSIVE {LINES.format(where='true')} SELECT * FROM parts")
 def _(t):
     return build.chunk_documents(spread(t.documents.select("doc_id", "source", "text")), 300, 50)
 
 
-@query("b2_split_by_chars")
+@query("b2_split_by_chars", """
+WITH RECURSIVE s AS (SELECT doc_id, text AS whole, 0::BIGINT AS n, NULL::VARCHAR AS piece, text AS rest FROM documents
+  UNION ALL SELECT doc_id, whole, n + 1, left(rest, o), regexp_replace(substr(rest, o + 1), '^\\s+', '') FROM (
+    SELECT *, CASE WHEN o0 <= 3000 THEN 6000 ELSE o0 END AS o FROM (
+      SELECT *, 6000 - length(regexp_extract(left(rest, 6001), '\\S*$')) AS o0 FROM s WHERE length(rest) > 6000))),
+p AS (SELECT doc_id, whole, n, piece FROM s WHERE n > 0 UNION ALL SELECT doc_id, whole, n + 1, rest FROM s WHERE length(rest) <= 6000),
+q AS (SELECT doc_id, n, CASE WHEN length(whole) <= 6000 THEN whole ELSE regexp_replace(piece, '^\\s+|\\s+$', '', 'g') END AS text, length(whole) <= 6000 AS small FROM p)
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1)::INT AS part, text FROM q WHERE text <> '' OR small""")
 def _(t):
     return build.chunk_documents(t.documents.select("doc_id", "text"), 10**9, 0, limit=6000)
 
@@ -40,7 +61,9 @@ def _(t):
     return built["passages"].select("idx", "label", "prev_idx", "next_idx")
 
 
-@query("b4b_build_corpus_chunked")
+@query("b4b_build_corpus_chunked", f"""WITH RECURSIVE {LINES.format(where="trim(text) <> ''")},
+i AS (SELECT source, row_number() OVER (ORDER BY doc_id, part) - 1 AS idx FROM parts)
+SELECT source, count(*) AS chunks, min(idx) AS first_idx FROM i GROUP BY 1""")
 def _(t):
     built = build.build_corpus(t.documents.select("doc_id", "source", "text"), "doc_id", 300, 50)
     return built["files"].select("source", "chunks", "first_idx")
