@@ -30,7 +30,7 @@ def attach(results: DataFrame, *sides: DataFrame) -> DataFrame:
     table is scanned for its ids alone."""
     results = cut_lineage(results)
     for side in sides:
-        near = side.join(F.broadcast(results.select("idx")), "idx", "left_semi")
+        near = side.join(results.select("idx"), "idx", "left_semi")
         results = results.join(near, "idx", "left")
     return results
 

@@ -258,16 +258,16 @@ def walk_expand(vectors: DataFrame, primary: DataFrame, deleted: DataFrame | Non
 
     ``primary`` (idx, score) is a bounded result. Tombstones fall out after each neighbour cut.
     """
-    queries = vectors.join(F.broadcast(primary.select("idx")), "idx", "left_semi")
+    queries = vectors.join(primary.select("idx"), "idx", "left_semi")
     # at most walk_k rows per primary result, read three times below
     hops = cut_lineage(batch_topk(vectors, queries.select(F.col("idx").alias("qid"), F.col("v").alias("q")),
                                   walk_k, exclude_self=True))
     if deleted is not None:
-        near = deleted.join(F.broadcast(hops.select("idx").distinct()), "idx", "left_semi")
-        hops = hops.join(F.broadcast(near), "idx", "left_anti")
+        near = deleted.join(hops.select("idx").distinct(), "idx", "left_semi")
+        hops = hops.join(near, "idx", "left_anti")
     walked = (hops.groupBy("idx").agg(F.count("*").alias("walk_count"), F.avg("score").alias("score"))
               .filter(F.col("walk_count") >= min_hits)
-              .join(F.broadcast(primary.select("idx")), "idx", "left_anti")
+              .join(primary.select("idx"), "idx", "left_anti")
               .orderBy(F.desc("walk_count"), F.desc("score"), "idx").limit(show))
     head = primary.select("idx", F.lit(0).cast("bigint").alias("walk_count"), "score", F.lit(False).alias("from_walk"))
     return head.unionByName(walked.withColumn("from_walk", F.lit(True)))

@@ -78,5 +78,5 @@ def validate_manifest(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def fetch_full_text(ids: DataFrame, passages: DataFrame) -> DataFrame:
-    """Texts of a bounded id list: the list is broadcast, the passages are scanned once."""
-    return passages.select("idx", "text").join(F.broadcast(ids.select("idx")), "idx", "left_semi")
+    """Texts of an id list; the measured size of the list decides whether it is broadcast."""
+    return passages.select("idx", "text").join(ids.select("idx"), "idx", "left_semi")
