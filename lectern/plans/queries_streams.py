@@ -33,8 +33,23 @@ def stream_of(t):
     return activity_view(ac.read_events(t.spark, t.sf_dir))
 
 
-query("z1_activity_feed", "SELECT event_id, seat, event_type FROM activity WHERE ts >= TIMESTAMP '2024-01-20' AND corpus_id = 3 AND event_type = 'click'")(
+FEED = "SELECT event_id, seat, event_type FROM activity WHERE ts >= TIMESTAMP '2024-01-20' AND corpus_id = 3 AND event_type = 'click'"
+query("z1_activity_feed", FEED)(
     lambda t: ac.activity_feed(t.activity, "2024-01-20 00:00:00", 3, "click").select("event_id", "seat", "event_type"))
+
+
+@query("z1b_activity_feed_stream", FEED)
+def _(t):
+    with settings(t.spark, **UTC):
+        return jobs.run_to_table(ac.activity_feed(stream_of(t), "2024-01-20 00:00:00", 3, "click").select("event_id", "seat", "event_type"), "feed")
+
+
+def latest(rows, *keys):
+    """The last state of each key that an update stream has written."""
+    rest = [c for c in rows.columns if c not in (*keys, "_batch", "batch")]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_batch").alias("s")).select(*keys, *[F.col(f"s.{c}") for c in rest])
+
+
 COUNTS = "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, corpus_id, event_type, count(*) AS n FROM activity GROUP BY 1, 2, 3"
 query("z2_activity_counts", COUNTS)(lambda t: ac.activity_counts(t.activity))
 
@@ -43,8 +58,7 @@ query("z2_activity_counts", COUNTS)(lambda t: ac.activity_counts(t.activity))
 def _(t):
     with settings(t.spark, **UTC):
         out = jobs.run_to_table(ac.activity_counts(stream_of(t)), "counts", "update")
-    last = F.max_by("n", "_batch").alias("n")
-    return out.groupBy("start", "corpus_id", "event_type").agg(last)
+    return latest(out, "start", "corpus_id", "event_type")
 
 
 DAILY = """WITH u AS (SELECT date_trunc('day', ts) AS day, seat, count(*) AS requests, sum(greatest(units, 0))::BIGINT AS units FROM activity WHERE seat IS NOT NULL GROUP BY 1, 2)
@@ -52,6 +66,14 @@ SELECT strftime(day, '%Y-%m-%d %H:%M:%S') AS day, seat, requests, units, floor(g
   requests >= 100 OR units >= 10000 AS over_cap, greatest(requests / 100, units / 10000) >= 0.8 AS warn FROM u"""
 query("z3_daily_usage", DAILY)(lambda t: ac.daily_usage(t.activity))
 
+
+
+@query("z3b_daily_usage_stream", DAILY)
+def _(t):
+    with settings(t.spark, **UTC):
+        return latest(jobs.run_to_table(ac.daily_usage(stream_of(t)), "usage", "update"), "day", "seat")
+
+
 ADMIT = """WITH a AS (SELECT event_id, seat, ts::DATE AS day, greatest(units, 0) AS u, ts FROM activity WHERE seat IS NOT NULL),
 p AS (SELECT event_id, seat, day, count(*) OVER w AS prior_requests, coalesce(sum(u) OVER w, 0)::BIGINT AS prior_units FROM a
   WINDOW w AS (PARTITION BY seat, day ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""
@@ -73,15 +95,38 @@ def _(t):
         return jobs.run_to_table(jobs.admit_stream(stream_of(t)), "admit")
 
 
-query("z5_seat_attention", """
+ATTENTION = """
 SELECT seat, substr(sha256(props || event_type), 1, 16) AS content_key, count(*) AS touches, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_seen FROM activity
-WHERE seat IS NOT NULL GROUP BY 1, 2""")(
-    lambda t: ac.seat_attention(t.activity, F.concat("props", "event_type")).withColumn("last_seen", F.date_format("last_seen", "yyyy-MM-dd HH:mm:ss")))
-query("z6_writer_sessions", """
+WHERE seat IS NOT NULL GROUP BY 1, 2"""
+
+
+def attention(activity):
+    return ac.seat_attention(activity, F.concat("props", "event_type")).withColumn("last_seen", F.date_format("last_seen", "yyyy-MM-dd HH:mm:ss"))
+
+
+query("z5_seat_attention", ATTENTION)(lambda t: attention(t.activity))
+
+
+@query("z5b_seat_attention_stream", ATTENTION)
+def _(t):
+    with settings(t.spark, **UTC):
+        return latest(jobs.run_to_table(attention(stream_of(t)), "attention", "update"), "seat", "content_key")
+
+
+SESSIONS = """
 WITH o AS (SELECT *, lag(ts) OVER (PARTITION BY corpus_id, seat ORDER BY ts, event_id) AS p FROM activity WHERE seat IS NOT NULL),
 s AS (SELECT *, sum(CASE WHEN p IS NULL OR ts > p + INTERVAL 90 SECOND THEN 1 ELSE 0 END) OVER (PARTITION BY corpus_id, seat ORDER BY ts, event_id) AS k FROM o)
-SELECT corpus_id, seat, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS renewals FROM s GROUP BY corpus_id, seat, k""")(
-    lambda t: ac.writer_sessions(t.activity))
+SELECT corpus_id, seat, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS renewals FROM s GROUP BY corpus_id, seat, k"""
+query("z6_writer_sessions", SESSIONS)(lambda t: ac.writer_sessions(t.activity))
+
+
+# a stream emits a session once the watermark has passed its end
+@query("z6b_writer_sessions_stream", SESSIONS + " HAVING max(ts) + INTERVAL 90 SECOND <= (SELECT max(ts) FROM o) - INTERVAL 10 MINUTE")
+def _(t):
+    with settings(t.spark, **UTC):
+        return jobs.run_to_table(ac.writer_sessions(stream_of(t)), "sessions")
+
+
 query("z7_occupancy", """
 WITH w AS (SELECT corpus_id, seat, time_bucket(INTERVAL 15 MINUTE, ts) - i * INTERVAL 15 MINUTE AS start FROM activity, range(4) r(i) WHERE seat IS NOT NULL)
 SELECT strftime(start, '%Y-%m-%d %H:%M:%S') AS start, corpus_id, count(DISTINCT seat) AS seats FROM w GROUP BY 1, 2""")(
