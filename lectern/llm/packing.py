@@ -28,6 +28,7 @@ from .common import per_batch, slices
 CAPACITY = 1024
 END_ID = 2
 GROUPS = 64
+CELL = 5000
 LARGE = 0.125
 PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long"
 
@@ -155,10 +156,11 @@ def best_fit(rest: np.ndarray, rooms: np.ndarray, capacity: int) -> list[tuple[i
 # -- on rows ------------------------------------------------------------------------------------
 
 
-def numbered(rows: DataFrame, key: str, order: list[str], out: str) -> DataFrame:
+def numbered(rows: DataFrame, key: str, order: list[str], out: str, largest: int) -> DataFrame:
     """0-based number of each row within ``key``, which may hold most rows: a key is cut by hash
-    into cells, cells are numbered one by one, and a small table carries their starts."""
-    cell = F.pmod(F.xxhash64(*order), F.lit(256)).cast("int")
+    into cells of about ``CELL`` rows where it has ``largest``, cells are numbered one by one, and a small table
+    carries their starts."""
+    cell = F.pmod(F.xxhash64(*order), F.lit(largest // CELL + 1)).cast("int")
     held = rows.withColumn("_cell", cell)
     sizes = held.groupBy(key, "_cell").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(key).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
@@ -213,7 +215,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS, larg
         rank_from[lo:hi + 1] = (np.cumsum(down) - down)[::-1]
     places = _table(pieces, "length, _group, _rank_from",
                     [(n, int(group_of[n]), int(rank_from[n])) for n in range(1, capacity + 1)])
-    ranked = numbered(pieces, "length", order[1:], "_no").join(F.broadcast(places), "length").withColumn(
+    ranked = numbered(pieces, "length", order[1:], "_no", int(counts.max())).join(F.broadcast(places), "length").withColumn(
         "_rank", F.when(F.col("_group") >= 0, F.col("_rank_from") + F.col("_no")))
     full = F.col("length") == capacity
     slot_rows = _table(pieces, "_g, _lo, _hi, _base, _times", slots)
@@ -241,11 +243,11 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS, larg
         seen[size] += many
     opened_from = int(counts[capacity]) + base
     target_rows = _table(pieces, "_size, _lo, _hi, _origin, _at", targets)
-    aimed = numbered(loose, "length", order[1:], "_no").join(
+    aimed = numbered(loose, "length", order[1:], "_no", int(rest.max())).join(
         F.broadcast(target_rows), (F.col("length") == F.col("_size")) & (F.col("_no") >= F.col("_lo"))
         & (F.col("_no") < F.col("_hi"))).withColumn("_spot", F.col("_at") + F.col("_no") - F.col("_lo"))
     new = aimed.filter("_origin < 0").withColumn("sequence_id", F.lit(opened_from) + F.col("_spot"))
-    numbers = numbered(rooms_of.filter("_room > 0"), "_room", ["sequence_id"], "_spot").withColumnRenamed("_room", "_origin")
+    numbers = numbered(rooms_of.filter("_room > 0"), "_room", ["sequence_id"], "_spot", int(rooms.max())).withColumnRenamed("_room", "_origin")
     filled = aimed.filter("_origin >= 0").join(numbers, ["_origin", "_spot"])
     columns = [*pieces.columns, "sequence_id"]
     every = placed.select(*columns).unionByName(new.select(*columns)).unionByName(filled.select(*columns))
