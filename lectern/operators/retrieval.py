@@ -205,10 +205,11 @@ def batch_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, exclude_self
     A query matrix within ``query_bytes`` (checked on a limited read) travels with the task
     closure, and the corpus is scanned once without a shuffle. A larger set is cut into blocks
     of that size; a corpus row is sent once per block, and each task sees one query block and
-    one corpus block. Both emit only each block's k best, merged by a salted top-k.
+    one corpus block. Both emit only each block's k best, merged by a salted top-k. Null vectors
+    take no part.
     """
-    vectors = vectors.select(F.col("idx").cast("bigint").alias("idx"), "v")
-    queries = queries.select(F.col("qid").cast("bigint").alias("qid"), "q")
+    vectors = vectors.select(F.col("idx").cast("bigint").alias("idx"), "v").filter("v IS NOT NULL")
+    queries = queries.select(F.col("qid").cast("bigint").alias("qid"), "q").filter("q IS NOT NULL")
     first = queries.select(F.size("q").alias("n")).limit(1).collect()
     dim = first[0]["n"] if first else 1
     block = max(1, query_bytes // (8 * max(dim, 1)))

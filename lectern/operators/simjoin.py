@@ -90,8 +90,10 @@ def similar_pairs(left: DataFrame, right: DataFrame, threshold: float, inclusive
                   best: int | None = None) -> DataFrame:
     """(left_rep, right_rep, similarity) between distinct vectors of two ``vector_groups``.
 
-    With ``best``, a task emits at most that many partners of a left vector, the most similar.
+    With ``best``, a task emits at most that many partners of a left vector, the most similar. A null
+    vector has no partner.
     """
+    left, right = left.filter("v IS NOT NULL"), right.filter("v IS NOT NULL")
     pivots = _pivots(right)
     spark = left.sparkSession
     if not len(pivots):

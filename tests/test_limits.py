@@ -55,3 +55,12 @@ def test_ranges_that_are_refused(spark, lo, hi):
     changes = spark.createDataFrame([(lo, hi, 1, 1)], "lo bigint, hi bigint, mask int, seq int")
     with pytest.raises(Exception, match="range outside"):
         mutate.set_perms(rows, changes).collect()
+
+
+def test_null_vectors_take_no_part(spark):
+    from lectern.operators.simjoin import similarity_left_join
+    rows = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.9, 0.1]), (2, None), (3, [0.0, 1.0])], "idx bigint, v array<double>")
+    found = retrieval.batch_topk(rows, rows.select(F.col("idx").alias("qid"), F.col("v").alias("q")), 2).collect()
+    assert {r["qid"] for r in found} == {0, 1, 3} and 2 not in {r["idx"] for r in found}
+    joined = {(r["left_idx"], r["right_idx"]) for r in similarity_left_join(rows, rows, 0.9).collect()}
+    assert (2, None) in joined and (0, 1) in joined and not any(right == 2 for _, right in joined)
