@@ -8,6 +8,7 @@ nothing from each other, so they are encoded and decoded wherever they lie.
 """
 from __future__ import annotations
 
+import math
 import zlib
 
 import numpy as np
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from ..operators.ranking import with_range
 from ..session import scratch_path
 from .chunk_encoder import encoder
 from .common import slices
@@ -170,21 +172,12 @@ def _raw_blocks(docs: DataFrame, path: str, end_id: int, narrow: bool) -> DataFr
 
 
 def in_ranges(docs: DataFrame, rows_per_range: int = 5000) -> DataFrame:
-    """Rows dealt to ascending ranges of doc_id (column _part), sorted within each; a range holds about
+    """Rows dealt to ascending quantile ranges of doc_id (column _part), sorted within each; a range holds about
     ``rows_per_range`` rows, whatever the spread of the ids, and rows without an id come first."""
-    ids = docs.select("doc_id")
-    n = ids.count()
-    ranges = max(1, min(100_000, -(-n // rows_per_range)))
-    cuts = []
-    if ranges > 1:
-        shares = [i / ranges for i in range(1, ranges)]
-        cuts = sorted(set(ids.approxQuantile("doc_id", shares, 0.2 / ranges))) if ranges <= 2000 else sorted(
-            set(ids.select(F.percentile_approx("doc_id", shares, 20 * ranges)).first()[0] or []))
-    edges = F.array(*[F.lit(int(c)) for c in cuts]) if cuts else None
-    place = F.lit(0) if edges is None else F.coalesce(
-        F.size(F.filter(edges, lambda c: c < F.col("doc_id"))), F.lit(0))
-    dealt = docs.withColumn("_part", place.cast("int"))
-    return dealt.repartitionById(len(cuts) + 1, F.col("_part")).sortWithinPartitions("_part", F.asc_nulls_first("doc_id"))
+    steps = math.ceil(math.sqrt(max(1, docs.select("doc_id").count()) / rows_per_range))
+    dealt = docs.withColumn("_range", F.lit(0)) if steps == 1 else with_range(docs, "doc_id", steps)
+    return dealt.select(*docs.columns, F.col("_range").cast("int").alias("_part")).repartitionById(
+        steps * steps, F.col("_part")).sortWithinPartitions("_part", F.asc_nulls_first("doc_id"))
 
 
 def write_token_ids(docs: DataFrame, path: str, out: str, end_id: int = END_ID) -> None:
@@ -289,7 +282,7 @@ def token_spans(spark: SparkSession, folder: str) -> DataFrame:
     docs = _decoded(spark, folder, lambda ids: zlib.crc32(ids.astype("<u4").tobytes()), "ids_crc32 long")
     blocks = spark.read.parquet(f"{folder}/blocks").select(
         "part", "block", F.aggregate("counts", F.lit(0).cast("long"), lambda a, n: a + n).alias("n"))
-    parts = blocks.groupBy("part").agg(F.sum("n").alias("_n"))      # one row per range, at most 100,000
+    parts = blocks.groupBy("part").agg(F.sum("n").alias("_n"))      # one row per range of documents
     parts = parts.select("part", F.coalesce(F.sum("_n").over(Window.orderBy("part").rowsBetween(
         Window.unboundedPreceding, -1)), F.lit(0)).alias("_part_from"))
     within = Window.partitionBy("part").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)

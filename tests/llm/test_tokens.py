@@ -10,7 +10,7 @@ from lectern.llm.bpe import WordBpe, decode_documents, encode_documents, round_t
 from lectern.llm.chunk_encoder import ChunkEncoder
 from lectern.llm.common import tokenizer_path
 from lectern.llm.packing import best_fit, configurations, group_lengths, pack, pack_documents
-from lectern.llm.token_codec import (canonical_codes, code_lengths, decode_ids, decoding_table, encode_ids, lane_starts,
+from lectern.llm.token_codec import (canonical_codes, code_lengths, decode_ids, decoding_table, encode_ids, in_ranges, lane_starts,
                                      read_token_ids, store_and_read, write_token_ids)
 from lectern.llm.token_counts import SPACE, Counter, token_counts, vocabulary
 from lectern.session import scratch_path
@@ -115,6 +115,17 @@ def test_token_files(spark, odd, none):
     assert store_and_read(none, BYTES).count() == 0
 
 
+def test_ranges_are_in_order_and_even(spark):
+    rows = spark.range(900).selectExpr("id AS doc_id").unionAll(spark.range(100).selectExpr("id + 10000000000")).unionAll(
+        spark.sql("SELECT CAST(NULL AS BIGINT)"))
+    parts = in_ranges(rows.repartition(3), 100).withColumn("at", F.spark_partition_id()).collect()
+    held = {}
+    for r in parts:
+        held.setdefault(r["_part"], []).append(r["doc_id"])
+    flat = [i for k in sorted(held) for i in held[k]]
+    assert flat[0] is None and flat[1:] == sorted(flat[1:]) and max(map(len, held.values())) <= 150
+
+
 def placed(rows, capacity):
     held = {}
     for r in rows:
