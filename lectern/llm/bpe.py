@@ -14,7 +14,7 @@ import re
 
 from pyspark.sql import DataFrame
 
-from .chunk_encoder import LETTERS
+from .chunk_encoder import LETTERS, byte_alphabet
 from .common import per_batch, slices
 
 _KEPT: dict[str, "WordBpe"] = {}
@@ -23,13 +23,6 @@ _COMMON = re.compile("[ -~\\n\\t\\r\\u00c0-\\u024f]*").fullmatch
 _PATTERN = re.compile(f"[{LETTERS}]+|'s|'t|'re|'ve|'m|'ll|'d|[0-9]|[^ \n\t\r{LETTERS}0-9]+")
 
 
-def byte_alphabet() -> list[str]:
-    """Character that stands for each byte: itself if printable, else the next from 256 upwards."""
-    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    spare = iter(range(256, 512))
-    return [chr(b) if b in printable else chr(next(spare)) for b in range(256)]
-
-
 class PairIndex:
     """Merges of one vocabulary. The same token must not be needed before it can be made, which
     holds for trained merges and is checked, so ranks may be applied to all words in one sweep."""

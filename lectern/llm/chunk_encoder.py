@@ -16,8 +16,8 @@ import numpy as np
 from .shingles import byte_sums, mix
 
 #: Characters that some regular-expression engine counts as white space.
-SPACES = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0 ᠎        "
-          "   ​    ⁠　﻿")
+SPACES = ("\x09\x0a\x0b\x0c\x0d\x1c\x1d\x1e\x1f \x85\xa0\u1680\u180e\u2000\u2001\u2002\u2003"
+          "\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u200b\u2028\u2029\u202f\u205f\u2060\u3000\ufeff")
 #: Letters among the common characters, which are printable ASCII, tab, newline and U+00C0 to U+024F.
 LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
 _COMMON = re.compile("[ -~\n\t\u00c0-\u024f]*").fullmatch
@@ -25,7 +25,17 @@ _COMMON = re.compile("[ -~\n\t\u00c0-\u024f]*").fullmatch
 PATTERN = (f" ?[{LETTERS}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[0-9]+| ?[^ \n\t{LETTERS}0-9]+"
            r"|[ \n\t]+(?![^ \n\t])|[ \n\t]+")
 _CUT = re.compile("(?<=[^" + re.escape(SPACES) + "])(?= )")
+
+
+def byte_alphabet() -> list[str]:
+    """Character that stands for each byte: itself if printable, else the next from 256 upwards."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    spare = iter(range(256, 512))
+    return [chr(b) if b in printable else chr(next(spare)) for b in range(256)]
+
+
 BLOCK = 1 << 20
+_ALPHABET = dict(enumerate(byte_alphabet()))
 _KEPT: dict[str, "ChunkEncoder"] = {}
 
 
@@ -133,11 +143,11 @@ class ChunkEncoder:
         if new:
             spans = [(int(st[first[n]]), int(en[first[n]])) for n in new]
             strings = [joined[a:b].decode() for a, b in spans]
-            got = self._library(strings)
-            pieces = [got[w] for w in strings]
+            model = self.tokenizer.model     # these are whole pre-tokens, so the library's merges are all that is left
+            pieces = [[t.id for t in model.tokenize(w.encode().decode("latin-1").translate(_ALPHABET))] for w in strings]
             base = len(place)
-            lens = np.array([len(p) // 4 for p in pieces], np.int64)
-            self._grow(b"".join(pieces), lens)
+            lens = np.array([len(p) for p in pieces], np.int64)
+            self._grow(np.array([i for p in pieces for i in p], "<u4").tobytes(), lens)
             for k, n in enumerate(new):
                 place[keys[n]] = at[n] = base + k
         at = np.array(at, np.int64)[which]
