@@ -38,35 +38,39 @@ def with_statistics(docs: DataFrame) -> DataFrame:
     windows by a 64-bit hash of their words within one text. Time is linear in a text's length,
     n log n where windows repeat.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    cut = docs.select("*", text.alias("_t"), F.array_remove(F.split(text, _SPACE, -1), "").alias("_words"),
-                      F.filter(F.split(text, "\n", -1), lambda x: x.rlike(_WORD)).alias("_lines"))
-    hashed = cut.select("*", F.when(F.size("_words") >= WINDOW, F.transform(
-        F.sequence(F.lit(1), F.size("_words") - (WINDOW - 1)),
-        lambda i: F.xxhash64(F.slice("_words", i, WINDOW)))).otherwise(F.array().cast("array<bigint>")).alias("_hashes"))
+    text, own = F.coalesce(F.col("text"), F.lit("")), docs.columns
+    # each step carries on only what the next one needs
+    cut = docs.select(
+        *own, F.array_remove(F.split(text, _SPACE, -1), "").alias("_words"),
+        F.filter(F.split(text, "\n", -1), lambda x: x.rlike(_WORD)).alias("_lines"),
+        F.length(F.regexp_replace(text, "[^#*$%&|<>]+", "")).cast("long").alias("_symbols"),
+        F.length(F.regexp_replace(text, "[^A-Z]+", "")).cast("long").alias("_upper"),
+        F.length(F.regexp_replace(text, "[^!]+", "")).cast("long").alias("_bangs"))
+    hashed = cut.select(
+        *own, "_symbols", "_upper", "_bangs", F.size("_words").cast("long").alias("_n_words"),
+        F.length(F.array_join("_words", "")).cast("long").alias("_chars"), F.size("_lines").cast("long").alias("_n_lines"),
+        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("_dups"),
+        F.when(F.size("_words") >= WINDOW, F.transform(
+            F.sequence(F.lit(1), F.size("_words") - (WINDOW - 1)),
+            lambda i: F.xxhash64(F.slice("_words", i, WINDOW)))).otherwise(F.array().cast("array<bigint>")).alias("_hashes"))
+    plain = [*own, "_symbols", "_upper", "_bangs", "_n_words", "_chars", "_n_lines", "_dups"]
     # where every window is new there is nothing to sort
-    in_order = hashed.select("*", F.when(
+    in_order = hashed.select(*plain, F.when(
         F.size(F.array_distinct("_hashes")) < F.size("_hashes"),
         F.sort_array(F.transform("_hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))).otherwise(
         F.array().cast("array<struct<h:bigint,i:int>>")).alias("_sorted"))
     # windows with a twin beside them in sorted order, back in text order
-    twins = in_order.select("*", F.sort_array(F.transform(F.filter("_sorted", lambda s, k: F.coalesce(
+    twins = in_order.select(*plain, F.sort_array(F.transform(F.filter("_sorted", lambda s, k: F.coalesce(
         s["h"] == F.get("_sorted", k - 1)["h"], F.lit(False)) | F.coalesce(
         s["h"] == F.get("_sorted", k + 1)["h"], F.lit(False))), lambda s: s["i"])).alias("_twins"))
     repeated = F.aggregate(F.transform("_twins", lambda p, k: F.least(
         F.lit(WINDOW), F.coalesce(F.get("_twins", k + 1) - p, F.lit(WINDOW)))), F.lit(0), lambda a, n: a + n)
     # `row` is not deterministic, which keeps a filter on the counts from being computed below them once more
     counts = F.struct(
-        F.monotonically_increasing_id().alias("row"),
-        F.size("_words").cast("long").alias("n_words"),
-        F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
-        F.length(F.regexp_replace("_t", "[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
-        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        repeated.cast("long").alias("n_repeat_words"),
-        F.size("_lines").cast("long").alias("n_lines"),
-        F.length(F.regexp_replace("_t", "[^A-Z]+", "")).cast("long").alias("n_upper"),
-        F.length(F.regexp_replace("_t", "[^!]+", "")).cast("long").alias("n_bangs"))
-    return twins.select(*docs.columns, counts.alias("_q"))
+        F.monotonically_increasing_id().alias("row"), F.col("_n_words").alias("n_words"), F.col("_chars").alias("word_chars"),
+        F.col("_symbols").alias("n_symbols"), F.col("_dups").alias("n_dup_lines"), repeated.cast("long").alias("n_repeat_words"),
+        F.col("_n_lines").alias("n_lines"), F.col("_upper").alias("n_upper"), F.col("_bangs").alias("n_bangs"))
+    return twins.select(*own, counts.alias("_q"))
 
 
 def _share(above: str, below: str) -> Column:
