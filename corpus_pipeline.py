@@ -31,7 +31,7 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that an earlier one already holds; none goes as a whole."""
-    return substring_dedup.cut_repeats(docs)
+    return substring_dedup.cut_repeats(docs, run_words=substring_dedup.RUN_WORDS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

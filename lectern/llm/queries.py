@@ -119,8 +119,8 @@ t AS (SELECT k.doc_id, string_agg(line, chr(10) ORDER BY k.place) AS text FROM k
 SELECT f.doc_id, coalesce(t.text, '') AS text, coalesce(gone, 0) AS n_removed, coalesce(n, 0) AS n_repeated, coalesce(docs, []) AS class_docs
 FROM documents f LEFT JOIN t USING (doc_id) LEFT JOIN d USING (doc_id)""")
 def op10(spark, sf_dir):
-    from .substring_dedup import deduplicated
-    return deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    from .substring_dedup import RUN_WORDS, deduplicated
+    return deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"), run_words=RUN_WORDS)
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

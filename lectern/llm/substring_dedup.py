@@ -1,4 +1,5 @@
-"""Removal of passages that repeat across or within documents, by MinHash banding of paragraphs."""
+"""Removal of passages that repeat across or within documents: near copies of paragraphs by MinHash banding, and runs of
+words that occur elsewhere, wherever lines begin and end."""
 from __future__ import annotations
 
 import numpy as np
@@ -10,9 +11,11 @@ from pyspark.sql import functions as F
 from ..session import materialize
 from .banding import candidate_components, classes, in_blocks, verify
 from .common import per_batch, slices
+from .repeated_runs import cutter, repeated_runs, row_hash
 from .shingles import N, RECALL, SIMILARITY, band_hashes, bands_for, set_keys, shingle_sets
 
 MIN_WORDS = 30   # shorter paragraphs are stock phrases and stay
+RUN_WORDS = 50   # so many equal words in a row are a passage in any layout
 BREAK = "\n"
 
 
@@ -95,41 +98,67 @@ def _without(text: Column, gone: Column) -> Column:
     return F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(gone, i)), BREAK)
 
 
-def _marked(docs: DataFrame, similarity: float, min_words: int) -> tuple[DataFrame, Column]:
-    """``docs`` with _gone, _n and _docs joined, and the cut text."""
+def _marked(docs: DataFrame, similarity: float, min_words: int, run_words: int | None) -> tuple[DataFrame, Column, Column]:
+    """``docs`` with _gone, _n, _runs and _docs joined, the cut text, and whether it was cut."""
     found = materialize(repeated_paragraphs(docs.select("doc_id", "text"), similarity, min_words=min_words).distinct(), "repeats")
     of_doc = found.groupBy(F.col("doc_id").alias("_id")).agg(
         F.collect_set(F.when(~F.col("first"), F.col("place"))).alias("_gone"), F.count("*").alias("_n"),
         F.array_sort(F.collect_set("class_doc")).alias("_docs"))
-    held = docs.join(of_doc, F.col("doc_id") == F.col("_id"), "left")
-    return held, F.when(F.size("_gone") > 0, _without(F.col("text"), F.col("_gone"))).otherwise(F.col("text"))
-
-
-def deduplicated(docs: DataFrame, similarity: float = SIMILARITY, min_words: int = MIN_WORDS) -> DataFrame:
-    """Columns of ``docs`` with every repeated paragraph but the first occurrence cut from ``text``, and
+    some = F.size("_gone") > 0
+    if run_words is None:
+        held = docs.join(of_doc, F.col("doc_id") == F.col("_id"), "left").withColumn("_runs", F.lit(0).cast("long"))
+        return held, F.when(some, _without(F.col("text"), F.col("_gone"))).otherwise(F.col("text")), some
+    runs = materialize(repeated_runs(docs.select("doc_id", "text"), run_words), "repeated-runs").select(
+        F.col("doc_id").alias("_id"), "row", "starts", "first_docs")
+    of_runs = runs.groupBy("_id").agg(F.collect_list(F.struct("row", "starts", "first_docs")).alias("_r"))
+    marks = of_doc.select("_id", F.struct("_gone", "_n", "_docs").alias("_p")).join(of_runs, "_id", "full")
+    mine = F.get(F.filter("_r", lambda r: r["row"] == row_hash()), F.lit(0))
+    held = docs.join(marks, F.col("doc_id") == F.col("_id"), "left").withColumn("_m", mine)
+    held = held.withColumn("_c", cutter(run_words)(
+        F.when(F.col("_m").isNotNull(), F.col("text")), F.col("_p._gone"), F.col("_m.starts")))
+    names = docs.columns
+    held = held.select(
+        *names, "_c", F.col("_p._gone").alias("_gone"), F.coalesce("_c.runs", F.lit(0)).alias("_runs"),
+        (F.coalesce("_p._n", F.lit(0)) + F.coalesce("_c.runs", F.lit(0))).alias("_n"),
+        F.array_sort(F.array_union(F.coalesce("_p._docs", F.array().cast("array<bigint>")),
+                                   F.coalesce("_m.first_docs", F.array().cast("array<bigint>")))).alias("_docs"))
+    text = F.when(F.col("_c").isNotNull(), F.col("_c.text")).when(
+        some, _without(F.col("text"), F.col("_gone"))).otherwise(F.col("text"))
+    return held, text, F.col("_c").isNotNull() | F.coalesce(some, F.lit(False))
+
+
+def deduplicated(docs: DataFrame, similarity: float = SIMILARITY, min_words: int = MIN_WORDS,
+                 run_words: int | None = None) -> DataFrame:
+    """Columns of ``docs`` with every repeated passage but the first occurrence cut from ``text``, and
     ``n_removed``, ``n_repeated`` and ``class_docs`` appended.
 
-    A paragraph is what stands between newlines; the others keep their order and text. ``n_repeated`` counts the
-    document's paragraphs that occur elsewhere, ``class_docs`` lists the documents that hold their first
-    occurrences. A null or empty text, a text of short paragraphs and a row without doc_id stay as they are; a text may
-    become empty. Rows with the same doc_id are one document. Appended names replace columns of the same
+    A paragraph is what stands between newlines; one of at least ``min_words`` words is a passage, and near copies of it
+    repeat it. With ``run_words``, so is any run of that many words that occurs elsewhere word for word, over short lines or
+    within longer ones; without it, only whole paragraphs are compared. What is left keeps its order and text.
+    The first occurrence of a run may lie in a paragraph that is cut for a near copy of it, which then stands for both.
+    ``n_repeated`` counts the document's paragraphs that occur elsewhere and the runs cut from other lines, ``n_removed``
+    what was cut of these, and ``class_docs`` lists the documents that hold the first
+    occurrences. A null or empty text, a text without passages and a row without doc_id stay as they are; a text may
+    become empty. Rows with the same doc_id are one document as to paragraphs. Appended names replace columns of the same
     name. An empty table gives an empty result. Jobs run when this is called.
     """
     new = ("n_removed", "n_repeated", "class_docs")
     names = [c for c in docs.columns if c not in new]
-    held, cut = _marked(docs.select(*names), similarity, min_words)
+    held, cut, _ = _marked(docs.select(*names), similarity, min_words, run_words)
+    lines = F.coalesce(F.when(F.col("_gone").isNotNull(), F.size("_gone")), F.lit(0))
     return held.select(
         *[cut.alias("text") if c == "text" else F.col(c) for c in names],
-        F.coalesce(F.when(F.col("_gone").isNotNull(), F.size("_gone")), F.lit(0)).cast("long").alias("n_removed"),
+        (lines + F.col("_runs")).cast("long").alias("n_removed"),
         F.coalesce("_n", F.lit(0)).cast("long").alias("n_repeated"),
         F.coalesce("_docs", F.array().cast("array<bigint>")).alias("class_docs"))
 
 
-def cut_repeats(docs: DataFrame, similarity: float = SIMILARITY, min_words: int = MIN_WORDS) -> DataFrame:
+def cut_repeats(docs: DataFrame, similarity: float = SIMILARITY, min_words: int = MIN_WORDS,
+                run_words: int | None = None) -> DataFrame:
     """``docs`` with the same cuts and no other columns; an ``n_chars`` column follows a text that was cut."""
-    held, cut = _marked(docs, similarity, min_words)
+    held, cut, changed = _marked(docs, similarity, min_words, run_words)
     columns = {"text": cut.alias("text")}
     if "n_chars" in docs.columns:
-        columns["n_chars"] = F.when(F.size("_gone") > 0, F.length(cut)).otherwise(F.col("n_chars")).cast(
+        columns["n_chars"] = F.when(changed, F.length(cut)).otherwise(F.col("n_chars")).cast(
             docs.schema["n_chars"].dataType).alias("n_chars")
     return held.select(*[columns.get(c, F.col(c)) for c in docs.columns])

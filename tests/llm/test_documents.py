@@ -221,6 +221,42 @@ def test_substring_edges(spark, odd, none):
     assert cut.columns == odd.columns and cut.count() == odd.count()
 
 
+def words(text):
+    return re.findall(r"[0-9a-z\u0080-\U0010ffff]+", (text or "").lower())
+
+
+def runs_of(text, n=50):
+    w = words(text)
+    return {tuple(w[i:i + n]) for i in range(len(w) - n + 1)}
+
+
+def test_passages_over_short_lines_and_within_long_ones(spark):
+    passage = [f"p{i}" for i in range(60)]
+    lines = "\n".join(" ".join(passage[i:i + 10]) for i in range(0, 60, 10))
+    other = [" ".join(f"{c}{i}" for i in range(250)) for c in "abcd"]
+    whole = " ".join(passage)
+    rows = [(1, f"{other[0]} {whole}. {other[1]}"), (2, f"start\n\n{lines}\nend"), (3, f"{other[2]}. {whole}; {other[3]}"),
+            (4, " ".join(passage[:49])), (5, "again and " * 100), (6, None), (7, "P0 p1, " + ", ".join(passage[2:]).upper())]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in deduplicated(frame, run_words=50).collect()}
+    assert got[1]["text"] == rows[0][1] and got[1]["n_removed"] == 0
+    assert got[2]["text"] == "start\n\nend" and got[2]["n_removed"] == 1 and got[2]["class_docs"] == [1]
+    assert got[3]["text"] == f"{other[2]}. {other[3]}" and got[3]["class_docs"] == [1]
+    assert got[4]["text"] == rows[3][1] and got[7]["text"] == ""
+    assert words(got[5]["text"]) == ["again", "and"] * 25 and got[6]["text"] is None
+    assert {r["doc_id"]: r["text"] for r in cut_repeats(frame, run_words=50).collect()} == {i: r["text"] for i, r in got.items()}
+
+
+def test_no_two_documents_share_a_run(docs):
+    held = Counter()
+    for r in deduplicated(docs, run_words=50).collect():
+        held.update(runs_of(r["text"]))
+    before = Counter()
+    for r in docs.collect():
+        before.update(runs_of(r["text"]))
+    assert max(before.values()) > 1 and [r for r, n in held.items() if n > 1 and before[r] > 1] == []
+
+
 # -- licences -----------------------------------------------------------------------------------
 
 
