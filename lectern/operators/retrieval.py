@@ -257,15 +257,14 @@ def walk_expand(vectors: DataFrame, primary: DataFrame, deleted: DataFrame | Non
                 min_hits: int = 2, show: int = 10) -> DataFrame:
     """Neighbours reached from several primary results, appended to them.
 
-    ``primary`` (idx, score) is a bounded result. Tombstones fall out after each neighbour cut.
+    ``primary`` (idx, score) is a bounded result. Tombstones leave before each neighbour cut; a deleted result still looks
+    for neighbours.
     """
     queries = vectors.join(primary.select("idx"), "idx", "left_semi")
-    # at most walk_k rows per primary result, read three times below
-    hops = cut_lineage(batch_topk(vectors, queries.select(F.col("idx").alias("qid"), F.col("v").alias("q")),
+    live = vectors if deleted is None else vectors.join(deleted.select("idx"), "idx", "left_anti")
+    # at most walk_k rows per primary result, read twice below
+    hops = cut_lineage(batch_topk(live, queries.select(F.col("idx").alias("qid"), F.col("v").alias("q")),
                                   walk_k, exclude_self=True))
-    if deleted is not None:
-        near = deleted.join(hops.select("idx").distinct(), "idx", "left_semi")
-        hops = hops.join(near, "idx", "left_anti")
     walked = (hops.groupBy("idx").agg(F.count("*").alias("walk_count"), F.avg("score").alias("score"))
               .filter(F.col("walk_count") >= min_hits)
               .join(primary.select("idx"), "idx", "left_anti")

@@ -32,6 +32,14 @@ def test_tombstones_leave_before_the_cut(spark):
     assert retrieval.hamming_blend_topk(vectors, query, passages, 10).count() == 10
 
 
+def test_walk_passes_over_deleted_neighbours(spark):
+    vectors = spark.createDataFrame([(i, [1.0, i / 200]) for i in range(200)], "idx bigint, v array<double>")
+    primary = spark.createDataFrame([(0, 1.0), (1, 0.9)], "idx bigint, score double")
+    deleted = vectors.filter("idx BETWEEN 2 AND 51").select("idx")
+    got = retrieval.walk_expand(vectors, primary, deleted, show=20).filter("from_walk").collect()
+    assert {r["idx"]: r["walk_count"] for r in got} == {i: 2 for i in range(52, 61)}
+
+
 def test_retrieval_modes(spark):
     rows = spark.createDataFrame([(0, "s", "harbour ledger", True), (1, "s", "harbour ledger", False)], "idx bigint, source string, text string, tombstone boolean")
     assert [r["idx"] for r in token_retrieve(rows, "harbour ledger", 5).collect()] == [1]
