@@ -1,7 +1,8 @@
 """Licences of files: sparse TF-IDF cosine to templates, then inheritance from the nearest ancestor folder.
 
-A file's own licence is the template most like one of its lines, or like the whole text of a licence file. Files
-without one take that of the licence file in the nearest folder above them. Everything is a join: terms with the
+A file's own licence is the template most like one of its lines, one of its runs of as many words as the template, or the
+whole text of a licence file. Runs find notices wrapped over lines, within longer lines and within the full texts of
+licences. Files without one take that of the licence file in the nearest folder above them. Everything is a join: terms with the
 few template weights, folders with their ancestors.
 """
 from __future__ import annotations
@@ -11,16 +12,22 @@ import re
 from collections import Counter
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
+from .common import per_batch
 
 THRESHOLD = 0.75
 MOST_TERMS = 20_000    # of all templates together; they are broadcast
 LICENCE_FILE = r"(?i)(^|/)(licen[cs]e|copying|notice)[^/]*$"
 #: Everyday words of texts in any language, poor as hints; the choice changes no result.
 FREQUENT = set("a and any are as at be by for from in is it may mit not of on or that the this to with work you".split())
+#: What tells licences of like wording apart: a run must hold these words of its template, as well as its numbers, and none of the
+#: words of its kin.
+TELLING = {"nc", "noncommercial"}
+KIN = {"lesser", "affero", "sharealike", "noderivatives", "sa", "nd"}
 #: Customary notices of common licences.
 TEMPLATES = (
     ("MIT", "Released under the MIT License."),
@@ -73,10 +80,49 @@ def anchors(rows: list[tuple[int, str, str, float]], threshold: float) -> list[s
     return sorted(found)
 
 
+def _sums(x: np.ndarray, n: int) -> np.ndarray:
+    total = np.concatenate([[0.0], np.cumsum(x)])
+    return total[n:] - total[:-n]
+
+
+def best_runs(words: list[str], idf: dict[str, float], other: float, rows: list[tuple[int, str, str, float]],
+              threshold: float) -> dict[str, float]:
+    """The best score, from ``threshold`` on, of each licence over all runs of as many words as its templates have (or all
+    words, if these are fewer). ``words`` are lower case."""
+    found: dict[str, float] = {}
+    if not words:
+        return found
+    ids: dict[str, int] = {}
+    at = np.array([ids.setdefault(w, len(ids)) for w in words])
+    weight = np.array([idf.get(w, other) for w in ids])
+    squares = (weight * weight)[at]
+    for k in sorted({r[0] for r in rows}):
+        mine = {t: w for j, _, t, w in rows if j == k}
+        unit = np.array([mine.get(w, 0.0) for w in ids]) * weight
+        if not unit.any():
+            continue
+        must = {t for t in mine if t.isdigit() or t in TELLING}
+        mustnt = KIN - set(mine)
+        # a template's words, with repeats: its norm gives the count of each back
+        least = min(w / idf[t] for t, w in mine.items())
+        n = min(sum(round(w / idf[t] / least) for t, w in mine.items()), len(words))
+        dots = _sums(unit[at], n)
+        # the norm without repeats is a lower bound, so only few places are counted
+        for place in np.flatnonzero(dots >= (threshold - 1e-6) * np.sqrt(np.maximum(_sums(squares, n), 0))).tolist():
+            terms_here, counts = np.unique(at[place:place + n], return_counts=True)
+            score = round(float(counts @ unit[terms_here] / np.sqrt(((counts * weight[terms_here]) ** 2).sum())), 6)
+            name = next(name for j, name, _, _ in rows if j == k)
+            if score >= threshold and score > found.get(name, 0):
+                held = set(words[place:place + n])
+                if must <= held and not mustnt & held:
+                    found[name] = score
+    return found
+
+
 def scan_licences(files: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """``files`` (path, text, and any other columns but text kept) with licence, found, score and origin appended.
 
-    ``found`` is 'header' for a line of the file, 'file' for the text of a licence file, 'inherited' with the folder as ``origin``,
+    ``found`` is 'header' for a line or a run of words of the file, 'file' for the text of a licence file, 'inherited' with the folder as ``origin``,
     or 'none'. Equal scores go to the licence that comes first by name; of several licence files in a folder the
     most similar counts, then the first by licence name. A null path has no folder and inherits nothing; its own text is
     still read, but rows without a path share one result per text. A null or empty text has no licence of its own.
@@ -110,8 +156,19 @@ def scan_licences(files: DataFrame, templates=TEMPLATES, threshold: float = THRE
         F.sum(F.col("w") * F.col("weight")).alias("dot"))
     scored = dots.join(norms, ["_key", "_no"]).select(
         "_key", "kind", "licence", F.round(F.col("dot") / F.col("norm"), 6).alias("score")).filter(F.col("score") >= threshold)
+
+    def runs(batch):
+        out = {"_key": [], "kind": [], "licence": [], "score": []}
+        for name, text in zip(batch.column("_key"), batch.column("_t")):
+            for licence, score in best_runs(re.findall("[a-z0-9]+", text.as_py()), idf, other, rows, threshold).items():
+                for c, v in zip(out, (name.as_py(), "header", licence, score)):
+                    out[c].append(v)
+        yield out
+
+    in_runs = per_batch(files.select(key.alias("_key"), F.lower("text").alias("_t")).filter(maybe),
+                        "_key string, kind string, licence string, score double", runs)
     # one row a file with a licence of its own; written once, since it is needed three times below
-    best = materialize(scored.groupBy("_key").agg(
+    best = materialize(scored.unionByName(in_runs).groupBy("_key").agg(
         F.min(F.struct((-F.col("score")).alias("least"), "licence", "kind")).alias("_b")), "licences")
     own = files.withColumn("_key", key).select(*names, "_key").join(best, "_key", "left").withColumn(
         "_dir", F.when(F.instr("path", "/") > 0, F.regexp_replace("path", "/[^/]*$", "")).when(

@@ -274,6 +274,38 @@ def test_licences(spark, none):
     assert scan_licences(none.withColumn("path", F.lit("a"))).count() == 0
 
 
+def test_licence_texts_and_wrapped_headers(spark):
+    mit = """MIT License
+
+Copyright (c) 2024 Some Body
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:"""
+    bsd = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:"""
+    gpl = """# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version."""
+    apache = """ * Licensed under the Apache License, Version 2.0 (the "License");
+ * you may not use this file except in compliance with the License.
+ * You may obtain a copy of the License at"""
+    rows = [("m/LICENSE", mit), ("m/x.py", "code"), ("b/LICENSE", "Copyright Some Body\n\n" + bsd), ("g/x.py", gpl + "\nimport os"),
+            ("a/x.java", "/*\n" + apache + "\n */\nclass X {}"), ("o/x.md", "This tool was written over a long year by a few people "
+             "and is released under the MIT License. It comes with a manual and some examples."), ("n/x.py", "plain words " * 60),
+            ("k/2.py", gpl.replace("version 3", "version 2")), ("k/l.py", gpl.replace("GNU General", "GNU Lesser General"))]
+    frame = spark.createDataFrame(rows, "path string, text string")
+    got = {r["path"]: (r["licence"], r["found"]) for r in scan_licences(frame).collect()}
+    assert got == {"m/LICENSE": ("MIT", "header"), "m/x.py": ("MIT", "inherited"), "b/LICENSE": ("BSD-3-Clause", "header"),
+                   "g/x.py": ("GPL-3.0", "header"), "a/x.java": ("Apache-2.0", "header"), "o/x.md": ("MIT", "header"),
+                   "n/x.py": (None, "none"),
+                   "k/2.py": (None, "none"), "k/l.py": (None, "none")}
+
+
 def test_anchors_miss_nothing():
     idf, other, rows = weights()
     hint = set(anchors(rows, 0.75))
