@@ -123,6 +123,12 @@ def op10(spark, sf_dir):
     return deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"), run_words=RUN_WORDS)
 
 
+@query("op12_overlap_bpe")
+def op12(spark, sf_dir):
+    from .overlap_bpe import round_trip
+    return round_trip(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"))
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
