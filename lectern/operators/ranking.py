@@ -9,8 +9,14 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, IntegerType, LongType, StructField, StructType
+
+from ..session import materialize
 
 STEPS = 32
 SALTS = 64
@@ -50,6 +56,85 @@ def _null_safe(left: DataFrame, right: DataFrame, on: list[str], how: str) -> Da
     return left.join(renamed, test, how).drop(*[f"_r_{c}" for c in on])
 
 
+def in_order(df: DataFrame, keys: list[str], order: list[Column], out: str, sums: dict[str, str] | None = None,
+             xors: dict[str, str] | None = None, ranges: int | None = None) -> DataFrame:
+    """Adds ``out``, the 1-based position of a row within its keys by ``order``, and running totals up to and with the row.
+
+    ``sums`` and ``xors`` map output names to whole-number columns; nulls count as 0. Rows are dealt into sorted ranges of
+    (keys, order), so a key of any size lies over several tasks. A task numbers its range as the rows stream by, and
+    its last row says what the key that runs on into the next range has had so far: one row a range is all that is
+    summed over. ``ranges`` is the number of tasks, by default the session's number of shuffle partitions. The numbered ranges are
+    written below ``spark.checkpoint.dir`` when this is called. Equal rows may take each other's place.
+    """
+    sums, xors = sums or {}, xors or {}
+    by = [*[F.col(c) for c in keys], *order]
+    ranged = df.repartitionByRange(ranges, *by) if ranges else df.repartitionByRange(*by)
+    kinds = StructType([*df.schema.fields, *[StructField(c, LongType()) for c in ("_n", *sums, *xors)],
+                        StructField("_part", IntegerType()), StructField("_last", BooleanType())])
+    held = materialize(ranged.sortWithinPartitions(*by).mapInArrow(_numbering(keys, sums, xors), kinds), "in-order")
+    across, upto = Window.orderBy("_part"), Window.partitionBy(*keys).orderBy("_part")
+    carried = held.filter("_last").select(  # one row a range
+        *keys, F.lead("_part").over(across).alias("_into"), F.sum("_n").over(upto).alias("_c__n"),
+        *[F.sum(o).over(upto).alias(f"_c_{o}") for o in sums], *[F.bit_xor(o).over(upto).alias(f"_c_{o}") for o in xors])
+    joined = _null_safe(held.withColumn("_into", F.col("_part")), F.broadcast(carried), [*keys, "_into"], "left")
+
+    def with_carry(c: str) -> Column:
+        return F.col(c) + F.coalesce(f"_c_{c}", F.lit(0))
+
+    return joined.select(*df.columns, with_carry("_n").alias(out), *[with_carry(o).alias(o) for o in sums],
+                         *[F.col(o).bitwiseXOR(F.coalesce(f"_c_{o}", F.lit(0))).alias(o) for o in xors])
+
+
+def _numbering(keys: list[str], sums: dict[str, str], xors: dict[str, str]):
+    """Numbers the sorted rows of a task within runs of equal keys, batch by batch."""
+    def totals(values: np.ndarray, begins: np.ndarray, run: np.ndarray, held: int, kind: np.ufunc, undo: np.ufunc) -> np.ndarray:
+        whole = kind.accumulate(values)
+        before = np.concatenate([[0], whole])[begins]
+        before[0] = undo(np.int64(0), np.int64(held))      # the first run goes on from the batch before
+        return undo(whole, before[run])
+
+    def work(batches):
+        from pyspark import TaskContext
+
+        part, at, late = TaskContext.get().partitionId(), None, None
+        carry: dict[str, int] = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            n = batch.num_rows
+            new = np.zeros(n, bool)
+            new[0] = True
+            for c in keys:
+                column = batch.column(c)
+                a, b = column.slice(1), column.slice(0, n - 1)
+                same = pc.fill_null(pc.equal(a, b), False).to_numpy(zero_copy_only=False) | (
+                    pc.is_null(a).to_numpy(zero_copy_only=False) & pc.is_null(b).to_numpy(zero_copy_only=False))
+                new[1:] |= ~same
+            begins = np.flatnonzero(new)
+            run = np.cumsum(new) - 1
+            first = [batch.column(c)[0].as_py() for c in keys]
+            if at is None or first != at:
+                carry = {}
+            at = [batch.column(c)[n - 1].as_py() for c in keys]
+            got = {"_n": totals(np.ones(n, np.int64), begins, run, carry.get("_n", 0), np.add, np.subtract)}
+            for named, kind, undo in ((sums, np.add, np.subtract), (xors, np.bitwise_xor, np.bitwise_xor)):
+                for o, c in named.items():
+                    values = pc.fill_null(batch.column(c), 0).cast(pa.int64()).to_numpy(zero_copy_only=False)
+                    got[o] = totals(values, begins, run, carry.get(o, 0), kind, undo)
+            carry = {o: int(v[-1]) for o, v in got.items()}
+            columns = [*batch.columns, *[pa.array(v) for v in got.values()], pa.array(np.full(n, part, np.int32))]
+            names = [*batch.schema.names, *got, "_part", "_last"]
+            if late:
+                yield pa.RecordBatch.from_arrays([*late[0], pa.array(np.zeros(late[1], bool))], names)
+            late = columns, n
+        if late:
+            last = np.zeros(late[1], bool)
+            last[-1] = True
+            yield pa.RecordBatch.from_arrays([*late[0], pa.array(last)], names)
+
+    return work
+
+
 def row_number(df: DataFrame, keys: list[str], order: str, out: str = "rn", desc: bool = False) -> DataFrame:
     """1-based position of each row within its keys, by a unique numeric or time column."""
     ranged = with_range(df, order)

@@ -52,3 +52,21 @@ def test_ranges_are_even_on_clustered_values(spark):
     assert max(sizes) <= 0.02 * 10_000
     got = ranking.row_number(rows, [], "idx", "rn").collect()
     assert [r["rn"] for r in sorted(got, key=lambda r: r["idx"])] == list(range(1, 10_001))
+
+
+@pytest.mark.parametrize("ranges", [1, 3, 40])
+def test_in_order(spark, skewed, ranges):
+    rows = skewed.withColumn("many", F.when(F.col("idx") % 7 > 0, F.col("x") * 3)).union(
+        spark.createDataFrame([(20_000 + i, "hot", i % 3, i) for i in range(500)], "idx bigint, key string, x int, many int"))
+    got = ranking.in_order(rows, ["key"], [F.col("x"), F.desc("idx")], "rn", {"upto": "many"}, {"mixed": "idx"}, ranges)
+    w = Window.partitionBy("key").orderBy("x", F.desc("idx"))
+    want = rows.withColumn("rn", F.row_number().over(w)).withColumn("upto", F.coalesce(F.sum("many").over(w.rowsBetween(
+        Window.unboundedPreceding, 0)), F.lit(0))).withColumn("mixed", F.bit_xor("idx").over(w))
+    assert as_set(got, *want.columns) == as_set(want, *want.columns)
+
+
+def test_in_order_without_keys_or_rows(skewed):
+    w = Window.orderBy("idx")
+    assert as_set(ranking.in_order(skewed, [], [F.col("idx")], "rn", ranges=5), "idx", "rn") == as_set(
+        skewed.withColumn("rn", F.row_number().over(w)), "idx", "rn")
+    assert ranking.in_order(skewed.limit(0), ["key"], [F.col("idx")], "rn").collect() == []
