@@ -129,6 +129,27 @@ def op12(spark, sf_dir):
     return round_trip(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"))
 
 
+#: Ten rounds of assignment and update, one after the other, and the last assignment.
+_NEAR = ("SELECT vec_id, q, v, arg_min({{'d': d, 'k': k}}, (d, k)) AS m FROM (SELECT x.vec_id, x.q, x.v, c.k, CAST(list_sum(list_transform(list_zip(x.v, c.c), "
+         "lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS d FROM x CROSS JOIN c{0} c) GROUP BY ALL")
+_ROUND = ("a{0} AS MATERIALIZED (" + _NEAR + "), u{0} AS (SELECT k, i, sum(x) AS s, count(*) AS n FROM (SELECT m.k AS k, unnest(v) AS x, "
+          "generate_subscripts(v, 1) AS i FROM a{0}) GROUP BY k, i), c{1} AS MATERIALIZED (SELECT c{0}.k, coalesce(w.c, c{0}.c) AS c FROM c{0} LEFT JOIN "
+          "(SELECT k, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS c FROM u{0} GROUP BY k) w ON w.k = c{0}.k)")
+
+
+@query("op13_centroid_clusters", sql=f"""
+WITH x AS MATERIALIZED (SELECT vec_id, row_number() OVER () AS q, list_transform(embedding, lambda c: CAST(floor(1024 * CAST(c AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda c: c IS NULL OR isnan(c) OR isinf(c))) = 0),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || CAST(vec_id AS VARCHAR)) NULLS LAST, v) - 1 AS k, v AS c FROM x
+  QUALIFY k < 8), {', '.join(_ROUND.format(r, r + 1) for r in range(10))},
+f AS ({_NEAR.format(10)})
+SELECT vec_id, CAST(m.k AS INTEGER) AS cluster, m.d AS distance, CAST(sum(m.d) OVER (PARTITION BY m.k) AS BIGINT) AS cluster_inertia,
+  CAST(sum(m.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c10.c, ',')) AS centroid_sha256 FROM f JOIN c10 ON c10.k = m.k""")
+def op13(spark, sf_dir):
+    from .centroids import clusters
+    return clusters(table(spark, sf_dir, "embeddings"))
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
