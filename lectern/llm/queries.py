@@ -129,6 +129,30 @@ def op12(spark, sf_dir):
     return round_trip(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"))
 
 
+#: The unsigned crc32 of a short ASCII string, bit by bit.
+_CRC = ("xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split({0}, ''), lambda d: CAST(ascii(d) AS BIGINT))), "
+        "lambda c, d: list_reduce(list_prepend(xor(c, d), [CAST(0 AS BIGINT) FOR i IN range(8)]), lambda x, z: xor(x >> 1, (x & 1) * 3988292384))), 4294967295)")
+
+
+@query("op11_prefix_trie", sql=f"""
+WITH t AS (SELECT conv_id, turn, strlen(coalesce(text, '')) AS b, md5(concat(strlen(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, ''))) AS code
+  FROM conversations WHERE conv_id IS NOT NULL),
+s AS (SELECT conv_id, list({{'code': code, 'b': b}} ORDER BY turn NULLS FIRST, code) AS own, {_CRC.format('CAST(conv_id AS VARCHAR)')} % 9 AS h FROM t GROUP BY conv_id),
+r AS (SELECT s.conv_id, list_concat(coalesce(f.own[:s.h], []), s.own[s.h + 1:]) AS seq FROM s LEFT JOIN s f ON f.conv_id = s.conv_id - s.conv_id % 5),
+p AS (SELECT conv_id, d, list_transform(seq[:d], lambda x: x.code) AS path, CASE WHEN d > 0 THEN seq[d].b ELSE 0 END AS b, d = len(seq) AS ends
+  FROM (SELECT *, unnest(range(0, len(seq) + 1)) AS d FROM r)),
+n AS MATERIALIZED (SELECT path, d, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(b) AS b,
+  sha256(array_to_string(coalesce(list(conv_id ORDER BY conv_id) FILTER (ends), []), ',')) AS ends_sha256 FROM p GROUP BY path, d),
+k AS (SELECT path[:d - 1] AS path, count(*) AS n FROM n WHERE d > 0 GROUP BY 1),
+u AS (SELECT path, count_if(leaf) AS n_leaves, CAST(sum(saved) AS BIGINT) AS saved FROM (SELECT path[:i] AS path, leaf, saved FROM (
+  SELECT n.path, unnest(range(0, d + 1)) AS i, k.n IS NULL AS leaf, (n_convs - 1) * b AS saved FROM n LEFT JOIN k ON k.path = n.path)) GROUP BY 1)
+SELECT n.conv_id, n.d AS depth, above.conv_id AS parent_conv_id, n.n_convs, coalesce(k.n, 0) AS n_children, u.n_leaves, u.saved AS saved_tokens, n.ends_sha256
+FROM n JOIN u ON u.path = n.path LEFT JOIN k ON k.path = n.path LEFT JOIN n above ON n.d > 0 AND above.d = n.d - 1 AND above.path = n.path[:n.d - 1]""")
+def op11(spark, sf_dir):
+    from .prefix_trie import prefix_trie
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 #: Ten rounds of assignment and update, one after the other, and the last assignment.
 _NEAR = ("SELECT vec_id, q, v, arg_min({{'d': d, 'k': k}}, (d, k)) AS m FROM (SELECT x.vec_id, x.q, x.v, c.k, CAST(list_sum(list_transform(list_zip(x.v, c.c), "
          "lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS d FROM x CROSS JOIN c{0} c) GROUP BY ALL")
