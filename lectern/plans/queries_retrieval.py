@@ -144,10 +144,11 @@ prim AS (SELECT c.idx, cos AS score FROM cand c JOIN passages p ON c.idx = p.idx
 WALK = f"""
 WITH {PRIMARY},
 sims AS (SELECT a.idx AS p, b.idx, list_inner_product(a.v, b.v) / (sqrt(list_inner_product(a.v, a.v)) + 1e-9)
-  / (sqrt(list_inner_product(b.v, b.v)) + 1e-9) AS s FROM vectors a JOIN prim ON a.idx = prim.idx, vectors b WHERE a.idx <> b.idx),
+  / (sqrt(list_inner_product(b.v, b.v)) + 1e-9) AS s FROM vectors a JOIN prim ON a.idx = prim.idx, vectors b
+  WHERE a.idx <> b.idx AND b.idx NOT IN (SELECT idx FROM tombstones)),
 near AS (SELECT *, row_number() OVER (PARTITION BY p ORDER BY s DESC, idx) AS r FROM sims),
 w AS (SELECT idx, count(*) AS walk_count, avg(s) AS score FROM near WHERE r <= 10
-  AND idx NOT IN (SELECT idx FROM tombstones) AND idx NOT IN (SELECT idx FROM prim) GROUP BY 1 HAVING count(*) >= 2),
+  AND idx NOT IN (SELECT idx FROM prim) GROUP BY 1 HAVING count(*) >= 2),
 shown AS (SELECT * FROM w ORDER BY walk_count DESC, score DESC, idx LIMIT 10)
 SELECT idx, 0::BIGINT AS walk_count, round(score, 6) AS score, false AS from_walk FROM prim
 UNION ALL SELECT idx, walk_count, round(score, 6), true FROM shown"""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 from ..streaming import activity as ac
-from ..streaming import jobs
+from ..streaming import jobs, stateful
 from .fixtures import activity_view
 from .registry import query
 
@@ -27,6 +27,7 @@ def settings(spark, **values):
 
 
 UTC = {"spark__sql__session__timeZone": "UTC"}
+STATE = {k.replace(".", "__"): v for k, v in stateful.STATE_STORE.items()}
 
 
 def stream_of(t):
@@ -89,10 +90,13 @@ def _(t):
     return ac.with_quota(running).select("event_id", "used_pct", "warn")
 
 
-@query("z4_usage_admit_stateful", f"{ADMIT} SELECT event_id, seat, strftime(day, '%Y-%m-%d') AS day, prior_requests < 100 AND prior_units < 10000 AS admitted FROM p")
+# a verdict is given once the watermark has passed its request, or once a hundred others are known to precede it
+@query("z4_usage_admit_stateful", f"""{ADMIT}, w AS (SELECT max(ts) - INTERVAL 10 MINUTE AS mark FROM a)
+SELECT event_id, seat, strftime(day, '%Y-%m-%d') AS day, prior_requests < 100 AND prior_units < 10000 AS admitted
+FROM p JOIN (SELECT event_id, ts FROM a) USING (event_id), w WHERE ts <= mark OR prior_requests >= 100""")
 def _(t):
-    with settings(t.spark, **UTC):
-        return jobs.run_to_table(jobs.admit_stream(stream_of(t)), "admit")
+    with settings(t.spark, **UTC, **STATE):
+        return jobs.run_to_table(stateful.admit_stream(stream_of(t)), "admit")
 
 
 ATTENTION = """
@@ -136,6 +140,17 @@ SELECT event_id, event_type FROM events WHERE ts < TIMESTAMP '2024-01-15 12:00:0
     lambda t: ac.expire(t.events, F.lit("2024-01-15 12:00:00").cast("timestamp_ntz"), t.events.filter("event_type = 'purchase'")).select("event_id", "event_type"))
 
 
+@query("z8b_expire_stream", """
+SELECT event_id FROM events, (SELECT max(ts) - INTERVAL 10 MINUTE AS mark FROM events) WHERE event_type <> 'purchase' AND ts < mark - INTERVAL 3600 SECOND""")
+def _(t):
+    """Every event is stored, and a purchase is protected from then on."""
+    events = ac.read_events(t.spark, t.sf_dir)
+    kinds = F.when(F.col("event_type") == "purchase", F.array(F.lit("store"), F.lit("protect"))).otherwise(F.array(F.lit("store")))
+    changes = events.select("event_id", "ts", F.explode(kinds).alias("kind"), F.col("event_type").alias("guard"))
+    with settings(t.spark, **UTC, **STATE):
+        return jobs.run_to_table(stateful.expire_stream(changes), "expired")
+
+
 @query("z9_stream_ingest", """
 SELECT substr(sha256(text), 1, 16) AS content_key, min(source) AS source, text FROM (SELECT role AS source, text FROM conversations WHERE trim(text) <> '') GROUP BY 1, text""")
 def _(t):

@@ -1,13 +1,12 @@
-"""Streaming jobs with state of their own: admission, ingest, late rows, and running to a table."""
+"""Streaming jobs: batch admission, ingest, late rows, and running to a table."""
 from __future__ import annotations
 
 import threading
+from collections import defaultdict
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import build, filters, ranking
 from ..session import scratch_path
@@ -45,38 +44,6 @@ def usage_admission(activity: DataFrame) -> DataFrame:
     return before.select("event_id", "seat", "day", "prior_requests", "prior_units", admitted.alias("admitted"))
 
 
-ADMITTED = "event_id bigint, seat string, day string, admitted boolean"
-DAY_MS = 24 * 3600 * 1000
-
-
-def _admit(key, frames, state: GroupState):
-    """State per (seat, day): requests and units admitted so far; kept a day beyond the day."""
-    if state.hasTimedOut:
-        state.remove()
-        return
-    seat, day = key
-    requests, units = state.get if state.exists else (0, 0)
-    for frame in frames:
-        frame = frame.sort_values(["ts", "event_id"])
-        verdicts = []
-        for cost in frame["units"]:
-            free = requests < REQUEST_CAP and units < UNIT_CAP
-            verdicts.append(free)
-            if free:
-                requests, units = requests + 1, units + max(int(cost), 0)
-        yield pd.DataFrame({"event_id": frame["event_id"], "seat": seat, "day": day, "admitted": verdicts})
-    state.update((requests, units))
-    state.setTimeoutTimestamp(int(pd.Timestamp(day, tz="UTC").timestamp() * 1000) + 2 * DAY_MS)
-
-
-def admit_stream(activity: DataFrame) -> DataFrame:
-    """Online form: rows are admitted in time order within a micro-batch, batches in turn."""
-    rows = activity.filter("seat IS NOT NULL").select(
-        "event_id", F.col("ts").cast("timestamp").alias("ts"), "seat", F.date_format("ts", "yyyy-MM-dd").alias("day"), "units")
-    return rows.withWatermark("ts", WATERMARK).groupBy("seat", "day").applyInPandasWithState(
-        _admit, ADMITTED, "requests bigint, units bigint", "append", GroupStateTimeout.EventTimeTimeout)
-
-
 # -- ingest -------------------------------------------------------------------------------------------------
 
 def ingest_stream(documents: DataFrame, label: str = "ingest", size: int = 300, overlap: int = 50) -> DataFrame:
@@ -108,22 +75,33 @@ def ingest_stream(documents: DataFrame, label: str = "ingest", size: int = 300,
 # -- late rows -------------------------------------------------------------------------------------------------
 
 class _Dropped(StreamingQueryListener):
-    """Sums what the operators of one query drop; every progress report counts, however many there are."""
+    """Sums what the operators of each run drop; every progress report counts, however many there are. Reports of other streams
+    of the session arrive here as well, so they are kept apart by run."""
 
     def __init__(self):
-        self.rows, self.ended = 0, threading.Event()
+        self.rows, self.over, self.news = defaultdict(int), set(), threading.Condition()
 
     def onQueryStarted(self, event):
         pass
 
     def onQueryProgress(self, event):
-        self.rows += sum(op.numRowsDroppedByWatermark for op in event.progress.stateOperators)
+        with self.news:
+            self.rows[str(event.progress.runId)] += sum(op.numRowsDroppedByWatermark for op in event.progress.stateOperators)
 
     def onQueryIdle(self, event):
         pass
 
     def onQueryTerminated(self, event):
-        self.ended.set()
+        with self.news:
+            self.over.add(str(event.runId))
+            self.news.notify_all()
+
+    def of(self, run: str, seconds: int = 120) -> int:
+        """Rows dropped by a run, once its end has been reported."""
+        with self.news:
+            if not self.news.wait_for(lambda: run in self.over, seconds):
+                raise RuntimeError("the end of the stream was not reported")
+            return self.rows[run]
 
 
 def late_rows(events: DataFrame, label: str = "late") -> tuple[DataFrame, int]:
@@ -142,8 +120,7 @@ def late_rows(events: DataFrame, label: str = "late") -> tuple[DataFrame, int]:
         query = (counts.writeStream.format("parquet").option("path", path).option("checkpointLocation", f"{path}-state")
                  .outputMode("append").trigger(availableNow=True).start())
         query.awaitTermination()
-        if not dropped.ended.wait(120):
-            raise RuntimeError("the end of the stream was not reported")
+        late = dropped.of(str(query.runId))
     finally:
         spark.streams.removeListener(dropped)
-    return spark.read.schema("start string, n bigint").parquet(path), dropped.rows
+    return spark.read.schema("start string, n bigint").parquet(path), late
