@@ -9,18 +9,19 @@ sides, so no task sees more than two such blocks, and a task emits qualifying pa
 """
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as vx
 from ..session import cut_lineage
 from . import ranking
 
-PIVOTS = 64
+PIVOTS = 256
 CELL_ROWS = 4096
 SLACK = 1e-6
 EDGE_SCHEMA = "left_rep bigint, right_rep bigint, similarity double"
@@ -43,8 +44,10 @@ def _unit(m):
 
 
 def _pivots(groups: DataFrame) -> np.ndarray:
-    """At most ``PIVOTS`` distinct directions, chosen by hash: a bounded read."""
-    rows = groups.select("rep", "v").orderBy(F.xxhash64("rep"), "rep").limit(PIVOTS).collect()
+    """Distinct directions, chosen by hash: four for every ``CELL_ROWS`` vectors, so that no row is sent to more cells than the
+    table needs, and at most ``PIVOTS``: a bounded read."""
+    wanted = min(PIVOTS, math.ceil(4 * groups.count() / CELL_ROWS))
+    rows = groups.select("rep", "v").orderBy(F.xxhash64("rep"), "rep").limit(wanted).collect() if wanted else []
     if not rows:
         return np.zeros((0, 0))
     return np.unique(np.round(_unit(np.array([r["v"] for r in rows], dtype=np.float64)), 9), axis=0)
@@ -131,70 +134,211 @@ def similar_pairs(left: DataFrame, right: DataFrame, threshold: float, inclusive
     return l_parts.groupBy(*keys).cogroup(r_parts.groupBy(*keys)).applyInArrow(meet, EDGE_SCHEMA)
 
 
-def similarity_left_join(left: DataFrame, right: DataFrame, threshold: float = 0.8) -> DataFrame:
+# -- approximate mode ---------------------------------------------------------------------------
+
+def plane_bands(threshold: float, recall: float, bits: int) -> int:
+    """Bands of ``bits`` random planes that two vectors of similarity ``threshold`` meet in with probability ``recall``."""
+    same = 1.0 - math.acos(max(-1.0, min(1.0, threshold))) / math.pi      # one plane leaves both on one side
+    return max(1, math.ceil(math.log1p(-recall) / math.log1p(-same ** bits))) if same < 1 else 1
+
+
+def near_pairs(left: DataFrame, right: DataFrame, threshold: float, recall: float = 0.95, bits: int | None = None,
+               seed: int = 1) -> DataFrame:
+    """As ``similar_pairs``, but a pair is found with probability ``recall`` or more; what is found is verified.
+
+    A vector's sides of ``bits`` random planes are its bucket in a band; a pair that shares a bucket in any band is compared,
+    once, in the first band it shares. ``bits`` follows the logarithm of the number of right vectors by default, which
+    keeps a bucket of vectors without structure at a few rows, and the number of bands follows from ``bits``, ``threshold``
+    and ``recall``. A bucket with more than ``CELL_ROWS`` vectors is cut into blocks on both sides.
+    """
+    left, right = left.filter("v IS NOT NULL"), right.filter("v IS NOT NULL")
+    spark, one = left.sparkSession, right.select(F.size("v").alias("n")).limit(1).collect()
+    if not one:
+        return spark.createDataFrame([], EDGE_SCHEMA)
+    bits = bits or max(4, min(24, math.ceil(math.log2(max(right.count() / 64, 1)))))
+    bands, dim = plane_bands(threshold, recall, bits), one[0]["n"]
+
+    def banded(df: DataFrame) -> DataFrame:
+        def work(batches):
+            planes = np.random.default_rng(seed).normal(size=(dim, bands * bits))
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                sides = (_unit(vx.matrix(batch.column("v"))) @ planes > 0).reshape(batch.num_rows, bands, bits)
+                codes = (sides * (1 << np.arange(bits))).sum(axis=2).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * bands), pa.array(codes.ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("v"), lists], names=["rep", "v", "codes"])
+
+        coded = df.select(F.col("rep").cast("bigint").alias("rep"), vx.doubles("v").alias("v")).mapInArrow(
+            work, "rep bigint, v array<double>, codes array<int>")
+        return cut_lineage(coded).select("rep", "v", "codes", F.posexplode("codes").alias("band", "code"))
+
+    lefts, rights = banded(left), banded(right)
+    keys = ["band", "code"]
+
+    def large(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy(*keys).agg(F.ceil(F.count("*") / CELL_ROWS).cast("int").alias(name)).filter(F.col(name) > 1)
+
+    def split(df: DataFrame, own: str, other: str, mine: DataFrame, theirs: DataFrame) -> DataFrame:
+        cut = df.join(mine, keys, "left").join(theirs, keys, "left").na.fill(1, [f"n_{own}", f"n_{other}"])
+        return cut.withColumn(own, F.pmod(F.xxhash64("rep"), F.col(f"n_{own}")).cast("int")).withColumn(
+            other, F.explode(F.sequence(F.lit(0), F.col(f"n_{other}") - 1))).select(*keys, "lb", "rb", "rep", "v", "codes")
+
+    l_big, r_big = large(lefts, "n_lb"), large(rights, "n_rb")     # few rows: a bucket counts once it is beyond CELL_ROWS
+    names = pa.schema([("left_rep", pa.int64()), ("right_rep", pa.int64()), ("similarity", pa.float64())])
+
+    def meet(key, a: pa.Table, b: pa.Table) -> pa.Table:
+        if not a.num_rows or not b.num_rows:
+            return names.empty_table()
+        band = key[0].as_py()
+        sims = np.round(_unit(vx.matrix(a.column("v"))) @ _unit(vx.matrix(b.column("v"))).T, 12)
+        i, j = np.nonzero(sims > threshold)
+        codes = [t.column("codes").combine_chunks().flatten().to_numpy().reshape(t.num_rows, bands) for t in (a, b)]
+        first = ~(codes[0][i, :band] == codes[1][j, :band]).any(axis=1)
+        i, j = i[first], j[first]
+        return pa.table({"left_rep": a.column("rep").to_numpy()[i], "right_rep": b.column("rep").to_numpy()[j], "similarity": sims[i, j]}, schema=names)
+
+    spot = [*keys, "lb", "rb"]
+    return split(lefts, "lb", "rb", l_big, r_big).groupBy(*spot).cogroup(
+        split(rights, "rb", "lb", r_big, l_big).groupBy(*spot)).applyInArrow(meet, EDGE_SCHEMA)
+
+
+def similarity_left_join(left: DataFrame, right: DataFrame, threshold: float = 0.8, recall: float | None = None) -> DataFrame:
     """LEFT JOIN on similarity > threshold, one row per pair of distinct vectors.
 
-    Copies are given as counts rather than as every pair of copies; ``group_members`` names them.
+    Copies are given as counts rather than as every pair of copies; ``group_members`` names them. With ``recall`` a pair
+    is found with that probability at least (``near_pairs``) and the work no longer grows with the product of the sides; without it the join
+    is exact.
     """
     l, r = vector_groups(left), vector_groups(right)
-    pairs = similar_pairs(l, r, threshold)
+    pairs = similar_pairs(l, r, threshold) if recall is None else near_pairs(l, r, threshold, recall)
     named = pairs.join(r.select(F.col("rep").alias("right_rep"), F.col("n").alias("right_copies")), "right_rep")
     return l.select(F.col("rep").alias("left_idx"), F.col("n").alias("left_copies")).join(
         named.withColumnRenamed("left_rep", "left_idx"), "left_idx", "left").select(
         "left_idx", "left_copies", F.col("right_rep").alias("right_idx"), "right_copies", "similarity")
 
 
-def _choices(left: DataFrame, right: DataFrame, threshold: float, cap: int) -> DataFrame:
-    """The ``cap`` most similar old groups of each new group, as choice 1, 2, ..."""
+# -- one-to-one matching -------------------------------------------------------------------------
+
+def _direction(v: str):
+    """Key of a vector's direction at 12 decimals; null for a null vector."""
+    @F.arrow_udf("binary")
+    def keyed(vectors: pa.Array) -> pa.Array:
+        keep = vectors.is_valid().to_numpy(zero_copy_only=False)
+        unit = np.round(_unit(vx.matrix(vectors.filter(pa.array(keep)))), 12) + 0.0
+        keys = iter([hashlib.md5(row.tobytes(), usedforsecurity=False).digest() for row in unit])
+        return pa.array([next(keys) if k else None for k in keep], pa.binary())
+
+    return keyed(v)
+
+
+def _directed(df: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (idx, v, key), and their groups (rep, n, v, key) and members (idx, rep): one group per direction, since vectors that
+    differ in length only are equally similar to everything."""
+    rows = cut_lineage(df.select("idx", "v", _direction("v").alias("key")).filter("key IS NOT NULL"))
+    groups = cut_lineage(rows.groupBy("key").agg(F.min("idx").alias("rep"), F.count("*").alias("n"), F.min_by("v", "idx").alias("v")))
+    return rows, groups, rows.select("idx", "key").join(groups.select("key", "rep"), "key").select("idx", "rep")
+
+
+def _choices(left: DataFrame, right: DataFrame, slots: DataFrame, threshold: float, cap: int) -> tuple[DataFrame, DataFrame]:
+    """What each new group asks for, in turn, and how long its list is.
+
+    An entry is (old group, upto): one of the group's first ``upto`` rows. Old groups that are equally similar share their rows by
+    idx: they are asked for in runs of rows that follow each other in idx order. Lists hold at most ``cap`` groups and end
+    before a similarity that they may hold only in part; ``cut`` tells those.
+    """
     pairs = similar_pairs(left, right, threshold, inclusive=True, best=cap)
-    order = [F.desc("similarity"), F.asc("right_rep")]
-    ranked = ranking.top_per_key(pairs, ["left_rep"], cap, order, "right_rep", "choice")
-    room = right.select(F.col("rep").alias("right_rep"), F.col("n").alias("room"))
-    return ranked.join(room, "right_rep").select(
-        "left_rep", F.col("choice").cast("bigint").alias("choice"), "right_rep", "similarity", "room",
-        F.lit(cap).cast("bigint").alias("cap"))
+    ranked = cut_lineage(ranking.top_per_key(pairs, ["left_rep"], cap, [F.desc("similarity"), F.asc("right_rep")], "right_rep", "at"))
+    ends = ranked.groupBy("left_rep").agg((F.count("*") == cap).alias("cut"), F.min("similarity").alias("least"))
+    whole = ranked.join(ends, "left_rep").filter(~F.col("cut") | (F.col("similarity") > F.col("least")))
+    level = Window.partitionBy("left_rep", "similarity")
+    classed = cut_lineage(whole.select("left_rep", "similarity", "right_rep", "at", F.count("*").over(level).alias("_ties")))
+    room = right.select(F.col("rep").alias("right_rep"), F.col("n").alias("upto"))
+    plain = classed.filter("_ties = 1").join(room, "right_rep").select("left_rep", "similarity", F.lit(0).cast("bigint").alias("run"), "right_rep", "upto")
+    # rows of equally similar groups in idx order; a run ends where the next row is of another group
+    by = level.orderBy("old_idx")
+    tied = classed.filter("_ties > 1").join(slots, "right_rep").select(
+        "left_rep", "similarity", "right_rep", F.col("place").alias("upto"), F.col("old_idx").alias("run"),
+        F.lead("right_rep").over(by).alias("_next")).filter("_next IS NULL OR _next <> right_rep").drop("_next")
+    entries = plain.unionByName(tied.select(*plain.columns)).select("*", F.row_number().over(
+        Window.partitionBy("left_rep").orderBy(F.desc("similarity"), "run")).cast("bigint").alias("choice"))
+    entries = cut_lineage(entries.drop("run"))
+    lists = ends.join(entries.groupBy("left_rep").agg(F.count("*").alias("n_choices")), "left_rep", "left").select(
+        "left_rep", "cut", F.coalesce("n_choices", F.lit(0)).alias("n_choices"))
+    return entries, cut_lineage(lists)
+
+
+def _lone_pairs(choices: DataFrame, lists: DataFrame) -> DataFrame | None:
+    """Old and new groups that have no other partner, if that can be told: no list is cut."""
+    if not lists.filter("cut").isEmpty():
+        return None
+    right = choices.groupBy("right_rep").agg(F.count("*").alias("n_asked"))
+    return cut_lineage(choices.join(lists.filter("n_choices = 1"), "left_rep", "left_semi").join(
+        right.filter("n_asked = 1"), "right_rep", "left_semi").select("left_rep", "right_rep", "similarity", "upto"))
+
+
+def _shares(choices: DataFrame) -> bool:
+    """Whether some row finds old groups equally similar."""
+    return not choices.groupBy("left_rep", "similarity").count().filter("count > 1").isEmpty()
+
+
+def _asked(state: DataFrame, choices: DataFrame, limited: bool) -> DataFrame:
+    """One round of asking: what every row asks for with ``place`` and ``refused``."""
+    asked = state.join(choices, ["left_rep", "choice"])
+    ranked = ranking.in_order(asked, ["right_rep"], [F.col("new_idx")], "place")
+    fits = F.col("place") <= F.col("upto")
+    if not limited:
+        return ranked.withColumn("refused", ~fits)
+    # rows of one group may ask for different numbers of its rows: only those that surely stay count against a row
+    sure = ranking.in_order(ranked.withColumn("_fits", fits.cast("bigint")), ["right_rep"], [F.col("new_idx")], "_again", {"_sure": "_fits"})
+    return sure.withColumn("refused", ~fits & (F.col("_sure") >= F.col("upto"))).drop("_fits", "_again", "_sure")
 
 
 def greedy_match(old: DataFrame, new: DataFrame, threshold: float, first_cap: int = 16) -> DataFrame:
-    """(new_idx, old_idx, similarity): in new order, each row takes its best old row still free.
-
-    That rule is the stable matching in which every old row prefers the lowest new idx, so it can
-    be found in parallel rounds: each unmatched new row asks its next choice, and each group of
-    equal old vectors keeps the lowest new rows it has room for. A round is one join and one
-    ranking; refused rows ask again until none is refused, and the order of asking does not change
-    the result. Choice lists start at ``first_cap`` entries and are lengthened, for the rows that
-    used theirs up, until every row is placed or has no partner left. Ties go to the group with
-    the lowest old idx.
+    """(new_idx, old_idx, similarity): in new order, each row takes its best old row still free, the lowest old idx on ties.
+
+    That rule is the stable matching in which every old row prefers the lowest new idx. Groups without other partners
+    are matched at once, row by row. The rest is found in parallel rounds: each unmatched new row asks for its next
+    choice, and each group of old rows of one direction keeps the lowest new rows it has room for. A round is one join and one
+    ranking; refused rows ask again until none is refused, and the order of asking does not change the result. Choice
+    lists start at ``first_cap`` groups and are lengthened, for the rows that used theirs up, until every row is placed or has
+    no partner left. Rows with a null vector have no partner. Similarities are compared at 12 decimals. The rounds run when
+    this is called.
     """
-    o_groups, n_groups = cut_lineage(vector_groups(old)), cut_lineage(vector_groups(new))
+    (_, o_groups, o_members), (_, n_groups, n_members) = _directed(old), _directed(new)
+    slots = ranking.in_order(o_members, ["rep"], [F.col("idx")], "place").select(
+        F.col("rep").alias("right_rep"), "place", F.col("idx").alias("old_idx"))
+    members = cut_lineage(n_members.select(F.col("idx").alias("new_idx"), F.col("rep").alias("left_rep")))
     cap = first_cap
-    choices = cut_lineage(_choices(n_groups, o_groups, threshold, cap))
-    state = cut_lineage(group_members(new, n_groups).select(
-        F.col("idx").alias("new_idx"), F.col("rep").alias("left_rep"), F.lit(1).cast("bigint").alias("choice")).join(
-        choices.filter("choice = 1").select("left_rep"), "left_rep", "left_semi"))
-    spent = state.limit(0)
-    over = F.col("place") > F.col("room")
+    choices, lists = _choices(n_groups, o_groups, slots, threshold, cap)
+    out = ["new_idx", "right_rep", "similarity", "place"]
+    done, lone = None, _lone_pairs(choices, lists)
+    if lone is not None:
+        done = ranking.in_order(members.join(lone, "left_rep"), ["right_rep"], [F.col("new_idx")], "place").filter(
+            "place <= upto").select(*out)
+        lists = cut_lineage(lists.join(lone, "left_rep", "left_anti"))
+    state = members.join(lists, "left_rep").select("new_idx", "left_rep", F.lit(1).cast("bigint").alias("choice"), "cut", "n_choices")
+    spent, any_cut = state.limit(0), lone is None
+    limited = _shares(choices)
     while True:
-        asked = state.join(choices, ["left_rep", "choice"])
-        ranked = ranking.row_number(asked, ["right_rep"], "new_idx", "place")
-        placed = cut_lineage(ranked.select("new_idx", "left_rep", "choice", "right_rep", "similarity", "room", "cap", "place"))
-        if placed.filter(over).isEmpty():
-            if spent.isEmpty():
-                break
+        # _asked writes what it numbers, so a round's lineage starts there
+        placed = _asked(state.filter("choice <= n_choices").select("new_idx", "left_rep", "choice"), choices, limited)
+        if any_cut:
+            spent = cut_lineage(spent.unionByName(state.filter("choice > n_choices AND cut")))
+        if not placed.filter(F.col("place") > F.col("upto")).isEmpty():
+            moved = placed.select("new_idx", "left_rep", (F.col("choice") + F.col("refused").cast("bigint")).alias("choice"))
+        elif not any_cut or spent.isEmpty():
+            break
+        else:
             cap *= 8
             tired = cut_lineage(n_groups.join(spent.select(F.col("left_rep").alias("rep")).distinct(), "rep", "left_semi"))
-            longer = _choices(tired, o_groups, threshold, cap)
+            longer, long_lists = _choices(tired, o_groups, slots, threshold, cap)
             gone = tired.select(F.col("rep").alias("left_rep"))
-            choices = cut_lineage(choices.join(gone, "left_rep", "left_anti").unionByName(longer))
-            state = cut_lineage(placed.select("new_idx", "left_rep", "choice").unionByName(spent))
-            spent = state.limit(0)
-        else:
-            moved = placed.select("new_idx", "left_rep", F.when(over, F.col("choice") + 1).otherwise(
-                F.col("choice")).alias("choice"), "cap")
-            used_up = moved.filter("choice > cap").select("new_idx", "left_rep", "choice")
-            spent = cut_lineage(spent.unionByName(used_up))
-            state = cut_lineage(moved.select("new_idx", "left_rep", "choice").join(
-                choices.select("left_rep", "choice"), ["left_rep", "choice"], "left_semi"))
-    olds = ranking.row_number(group_members(old, o_groups), ["rep"], "idx", "place").select(
-        F.col("rep").alias("right_rep"), "place", F.col("idx").alias("old_idx"))
-    return placed.join(olds, ["right_rep", "place"]).select("new_idx", "old_idx", "similarity")
+            choices = cut_lineage(choices.join(gone, "left_rep", "left_anti").unionByName(longer.select(*choices.columns)))
+            lists = cut_lineage(lists.join(gone, "left_rep", "left_anti").unionByName(long_lists.select(*lists.columns)))
+            limited = _shares(choices)
+            moved = placed.select("new_idx", "left_rep", "choice").unionByName(spent.select("new_idx", "left_rep", "choice"))
+            spent = spent.limit(0)
+        state = moved.join(lists, "left_rep").select("new_idx", "left_rep", "choice", "cut", "n_choices")
+    both = placed.select(*out) if done is None else done.select(*out).unionByName(placed.select(*out))
+    return both.join(slots, ["right_rep", "place"]).select("new_idx", "old_idx", "similarity")

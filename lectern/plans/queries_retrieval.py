@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 from ..functions import vectors as vx
 from ..operators import retrieval as rt
 from ..operators import simjoin
+from ..operators import vector_index as ix
 from ..operators import joins
+from ..session import scratch_path
 from .fixtures import KEYWORDS, QUERY_IDX
 from .registry import query
 from .search import search
@@ -118,18 +120,39 @@ def label_centroids(t):
     return means.groupBy(F.col("label").alias("qid")).agg(F.transform(ordered, lambda p: p["m"]).alias("q"))
 
 
-@query("v9_batch_topk", """
+BATCH = """
 WITH parts AS (SELECT label, unnest(v) AS x, unnest(range(64)) AS pos FROM vectors),
 means AS (SELECT label, pos, avg(x) AS m FROM parts GROUP BY 1, 2),
 qs AS (SELECT label AS qid, list(m ORDER BY pos) AS q FROM means GROUP BY 1),
 s AS (SELECT qid, idx, round(list_inner_product(v, q) / (sqrt(list_inner_product(q, q)) + 1e-9)
   / (sqrt(list_inner_product(v, v)) + 1e-9), 6) AS score FROM vectors, qs),
 r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, idx) AS rank FROM s)
-SELECT qid::BIGINT AS qid, idx, score, rank::INT AS rank FROM r WHERE rank <= 10""")
+SELECT qid::BIGINT AS qid, idx, score, rank::INT AS rank FROM r WHERE rank <= 10"""
+
+
+@query("v9_batch_topk", BATCH)
 def _(t):
     return rounded(rt.batch_topk(t.vectors, label_centroids(t), 10), "score")
 
 
+def indexed(t, lists):
+    path = scratch_path(t.spark, "vector-index")
+    ix.build_index(t.vectors, path, lists)
+    return path
+
+
+@query("v9b_index_topk_all_lists", BATCH)
+def _(t):
+    """Every list is probed, so the result is exact."""
+    return rounded(ix.search_index(t.spark, indexed(t, 12), label_centroids(t), 10, probes=12), "score")
+
+
+@query("v9c_index_topk_probed")
+def _(t):
+    """A quarter of the lists is read for each query."""
+    return rounded(ix.search_index(t.spark, indexed(t, 12), label_centroids(t), 10, probes=3), "score")
+
+
 @query("v10_walk_from", """
 WITH cand AS (SELECT idx, cos FROM scored ORDER BY cos DESC, idx LIMIT 20)
 SELECT c.idx, round(cos, 6) AS score, round(cos, 6) AS cosine_score FROM cand c JOIN passages p ON c.idx = p.idx
@@ -259,6 +282,12 @@ def _(t):
     return rounded(simjoin.similarity_left_join(t.old_vec, t.new_vec, 0.8), "similarity")
 
 
+@query("v21b_similarity_join_approximate")
+def _(t):
+    """Pairs of similarity 0.5 or more with a recall of 0.95; the exact mode above has the SQL."""
+    return rounded(simjoin.similarity_left_join(t.old_vec, t.new_vec, 0.5, recall=0.95), "similarity")
+
+
 @query("v22_relevance_view", """
 SELECT p.idx, p.source, round(cos, 6) AS relevance FROM passages p JOIN scored s ON p.idx = s.idx
 WHERE p.source LIKE '%1' AND cos > 0.1""")

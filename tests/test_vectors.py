@@ -11,7 +11,8 @@ def frame(spark, m, start=0):
 
 
 def unit(m):
-    return m / np.linalg.norm(m, axis=1, keepdims=True)
+    size = np.linalg.norm(m, axis=1, keepdims=True)
+    return m / np.where(size > 0, size, 1.0)
 
 
 @pytest.fixture(scope="module")
@@ -64,6 +65,32 @@ def test_similar_pairs_complete(spark, cloud, threshold, cell, monkeypatch):
     assert got == want
 
 
+@pytest.mark.parametrize(("bits", "cell"), [(None, 4096), (3, 20), (10, 4096)])
+def test_near_pairs_reach_their_recall(spark, bits, cell, monkeypatch):
+    monkeypatch.setattr(simjoin, "CELL_ROWS", cell)
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(60, 16))
+    left, right = (np.repeat(centres, 6, axis=0) + 0.55 * rng.normal(size=(360, 16)) for _ in range(2))
+    left[5], right[7] = right[3], 0.0
+    threshold = 0.75
+    sims = np.round(unit(left) @ unit(right).T, 12)
+    want = {(i, j) for i, j in zip(*np.nonzero(sims > threshold))}
+    rows = simjoin.near_pairs(simjoin.vector_groups(frame(spark, left)), simjoin.vector_groups(frame(spark, right)), threshold, 0.95, bits).collect()
+    got = [(r["left_rep"], r["right_rep"]) for r in rows]
+    assert len(got) == len(set(got)) and set(got) <= want          # each once, and verified
+    assert all(abs(r["similarity"] - sims[r["left_rep"], r["right_rep"]]) < 1e-9 for r in rows)
+    assert len(want) > 500 and len(got) >= 0.95 * len(want)
+    assert simjoin.plane_bands(0.8, 0.95, 8) == 18 and simjoin.plane_bands(1.0, 0.95, 8) == 1
+
+
+def test_near_pairs_odd_rows(spark):
+    rows = spark.createDataFrame([(1, None), (2, [1.0, 0.0]), (3, [1.0, 0.0]), (4, [0.0, 0.0])], "idx bigint, v array<double>")
+    got = simjoin.similarity_left_join(rows, rows, 0.9, recall=0.99).collect()
+    assert sorted((r["left_idx"], r["left_copies"], r["right_idx"], r["right_copies"]) for r in got if r["right_idx"]) == [(2, 2, 2, 2)]
+    assert sorted(r["left_idx"] for r in got) == [1, 2, 4]
+    assert simjoin.similarity_left_join(rows, rows.limit(0), 0.9, recall=0.99).filter("right_idx IS NOT NULL").isEmpty()
+
+
 def greedy(old, new, threshold):
     sims = unit(new) @ unit(old).T
     free, out = set(range(len(old))), {}
@@ -84,6 +111,17 @@ def test_greedy_match_equals_serial(spark, cloud, cap):
     assert got == greedy(old, new, 0.9)
 
 
+@pytest.mark.parametrize(("cap", "seed"), [(1, 0), (2, 1), (16, 2), (3, 3)])
+def test_greedy_match_breaks_ties_by_idx(spark, cap, seed):
+    """Few directions, mirrored and of several lengths: most similarities are equal, and copies of the groups interleave."""
+    rng = np.random.default_rng(seed)
+    base = np.array([[1, 0, 0], [1, .2, 0], [1, -.2, 0], [1, 0, .2], [1, 0, -.2], [0, 1, 0], [1, .2, .2], [0, 0, 0]])
+    old = base[rng.integers(0, 8, 45)] * rng.choice([.5, 1, 2], (45, 1))
+    new = base[rng.integers(0, 8, 50)] * rng.choice([.5, 1, 4], (50, 1))
+    got = {r["new_idx"]: r["old_idx"] for r in simjoin.greedy_match(frame(spark, old), frame(spark, new), 0.9, cap).collect()}
+    assert got == greedy(old, new, 0.9)
+
+
 def snap(spark, m, texts):
     rows = [(i, t, "s", [float(x) for x in v]) for i, (v, t) in enumerate(zip(m, texts))]
     return spark.createDataFrame(rows, "idx bigint, text string, source string, v array<double>")
