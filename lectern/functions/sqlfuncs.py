@@ -1,7 +1,9 @@
 """Scoring and extraction under SQL names."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import extract as ex
@@ -18,10 +20,46 @@ SCALAR = {
 }
 
 
+#: Table functions over one text: arguments, the rows they return, and the array column behind them.
+TABLES = {
+    "extract_dates": ("passage STRING", "date DATE, raw_span STRING, start INT, end INT, confidence DOUBLE, source_format STRING",
+                      ex.extract_dates),
+    "extract_currency": ("passage STRING", f"value {ex.MONEY}, currency STRING, raw_span STRING, start INT, end INT, is_negative BOOLEAN, "
+                         "confidence DOUBLE, context_hint STRING", ex.extract_currency),
+    "discover_entities": ("passage STRING", "entity STRING", ex.discover_entities),
+}
+
+_QUOTED = re.compile(r"'(?:[^'\\]|\\.)*'")
+_OPERATOR = re.compile(r"(?<![\w`])(<=>|<=|>=|!=|[=<>+*/%!-]|and|or|not|in|isnull|isnotnull)\(")
+
+
+def as_sql(column: Column) -> str:
+    """SQL text of a column of built-in functions; an operator is called by its name, which SQL wants quoted."""
+    text = re.sub(r"^Column<'|'>$", "", str(column))
+    at, out = 0, []
+    for quoted in _QUOTED.finditer(text):
+        out += [_OPERATOR.sub(r"`\1`(", text[at:quoted.start()]), quoted.group()]
+        at = quoted.end()
+    return "".join([*out, _OPERATOR.sub(r"`\1`(", text[at:])])
+
+
 def register(spark: SparkSession) -> None:
-    """Temporary functions with SQL bodies, so the optimizer sees through them."""
+    """Temporary functions with SQL bodies, so the optimizer sees through them: scalar ones, and table functions for
+    ``FROM passages, LATERAL extract_dates(text)`` that give a row per span."""
     for head, body in SCALAR.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {head} RETURN {body}")
+    for name, (takes, rows, spans) in TABLES.items():
+        one = len(rows.split(",")) == 1
+        picked = "s" if one else ", ".join(f"s.{r.split()[0]}" for r in re.split(r", (?=\w+ [A-Za-z])", rows))
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({takes}) RETURNS TABLE({rows}) "
+                  f"RETURN SELECT {picked} FROM (SELECT explode({as_sql(spans(F.col('passage')))}) AS s)")
+
+
+def register_mentions(spark: SparkSession, function: str, entity: str, aliases=()) -> None:
+    """A table function ``function(text)`` of the places that name one entity."""
+    spans = as_sql(ex.entity_mentions(F.col("passage"), entity, aliases))
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {function}(passage STRING) RETURNS TABLE(entity_name STRING, matched_text STRING, start INT, "
+              f"end INT, context STRING) RETURN SELECT s.* FROM (SELECT explode({spans}) AS s)")
 
 
 def extraction_views(passages: DataFrame, prefix: str, entity: str | None = None, aliases=()) -> None:

@@ -282,16 +282,26 @@ SELECT corpus_id, grantee, CASE level WHEN 'viewer' THEN 1 WHEN 'commenter' THEN
 @query("f5_sql_functions", "SELECT idx, round(cos, 6) AS cosine, round(ham, 6) AS hamming, source_hash FROM scored JOIN block USING (idx)")
 def _(t):
     sqlfuncs.register(t.spark)
-    t.vectors.join(t.block.select("idx", "source"), "idx").createOrReplaceTempView("lectern_vectors")
-    t.vectors.filter("idx = 7").select("v").createOrReplaceTempView("lectern_query")
     return t.spark.sql("SELECT idx, round(cosine(v, q), 6) AS cosine, round(hamming(v, q), 6) AS hamming, source_hash(source) AS source_hash "
-                       "FROM (SELECT *, (SELECT v FROM lectern_query) AS q FROM lectern_vectors)")
+                       "FROM (SELECT *, (SELECT v FROM {rows} WHERE idx = 7) AS q FROM {rows})",
+                       rows=t.vectors.join(t.block.select("idx", "source"), "idx"))
 
 
-@query("f4_extraction_views", """
+PAID = """
 SELECT d.idx, d.date, m.currency, count(*) AS n, sum(m.value)::DECIMAL(38,4) AS total FROM invoice_dates d
-JOIN invoice_money m ON d.idx = m.idx WHERE d.source_format = 'long' GROUP BY ALL""")
+JOIN invoice_money m ON d.idx = m.idx WHERE d.source_format = 'long' GROUP BY ALL"""
+
+
+@query("f4_extraction_views", PAID)
 def _(t):
     sqlfuncs.extraction_views(t.invoices, "inv")
     return t.spark.sql("SELECT d.idx, d.date, m.currency, count(*) AS n, CAST(sum(m.value) AS DECIMAL(38,4)) AS total FROM inv_dates d "
                        "JOIN inv_money m ON d.idx = m.idx WHERE d.source_format = 'long' GROUP BY d.idx, d.date, m.currency")
+
+
+@query("f4b_extraction_table_functions", PAID)
+def _(t):
+    sqlfuncs.register(t.spark)
+    return t.spark.sql("SELECT p.idx, d.date, m.currency, count(*) AS n, CAST(sum(m.value) AS DECIMAL(38,4)) AS total "
+                       "FROM {passages} p, LATERAL extract_dates(text) d, LATERAL extract_currency(text) m WHERE d.source_format = 'long' "
+                       "GROUP BY p.idx, d.date, m.currency", passages=t.invoices)

@@ -124,3 +124,21 @@ def test_merge_map():
 def test_first_date_falls_back_to_source(spark):
     df = spark.createDataFrame([("none", "inv-20240105.pdf")], "text string, source string")
     assert df.select(ex.first_date(F.col("text"), F.col("source")).alias("d")).first()["d"] == datetime.date(2024, 1, 5)
+
+
+def test_table_functions_give_the_spans_of_the_columns(spark, tables):
+    """Every row of the SQL table functions, also on texts with quotes, brackets and nothing to find."""
+    from lectern.functions import extract as ex
+    from lectern.functions import sqlfuncs
+    sqlfuncs.register(spark)
+    sqlfuncs.register_mentions(spark, "find_goods", "Goods", ("o'neil (ltd) + 'x'", "Invoice"))
+    odd = [(1, None), (2, ""), (3, "O'Neil (ltd) + 'x' paid ($3.50) on 20240102, 1/2/99"), (4, "no digit; GOODS, goods\\n and Invoice"), (5, "€ 4, £5.00 and 1,000 USD")]
+    rows = tables.invoices.select("idx", "text").limit(80).union(spark.createDataFrame(odd, "idx bigint, text string"))
+    for name, spans in (("extract_dates", ex.extract_dates(F.col("text"))), ("extract_currency", ex.extract_currency(F.col("text"))),
+                        ("find_goods", ex.entity_mentions(F.col("text"), "Goods", ("o'neil (ltd) + 'x'", "Invoice")))):
+        want = rows.select("idx", F.explode(spans).alias("s")).select("idx", "s.*")
+        got = spark.sql(f"SELECT p.idx, f.* FROM {{p}} p, LATERAL {name}(text) f", p=rows)
+        assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and not want.isEmpty()
+    want = rows.select("idx", F.explode(ex.discover_entities(F.col("text"))).alias("entity"))
+    got = spark.sql("SELECT p.idx, f.entity FROM {p} p, LATERAL discover_entities(text) f", p=rows)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
