@@ -130,10 +130,12 @@ def _(t):
 
 
 @query("s11_flatten_json", """
-SELECT event_id, 'k: ' || json_extract_string(props, '$.k') || chr(10) || 'at.type: ' || event_type || chr(10) || 'at.ids[0]: ' || user_id AS lines FROM events""")
+SELECT event_id, 'at.ids[0]: ' || user_id || chr(10) || 'at.ids[1].deep[0].u: None' || chr(10) || 'at.ids[1].ok: ' || CASE WHEN value > 50 THEN 'True' ELSE 'False' END
+  || chr(10) || 'at.type: ' || event_type || chr(10) || 'k: ' || json_extract_string(props, '$.k') AS lines FROM events""")
 def _(t):
-    nested = F.expr("concat(substr(props, 1, length(props) - 1), ', \"at\": {\"type\": \"', event_type, '\", \"ids\": [', user_id, ']}}')")
-    return t.events.select("event_id", documents.flatten_json(nested).alias("lines"))
+    nested = F.expr("concat(substr(props, 1, length(props) - 1), ', \"at\": {\"type\": \"', event_type, '\", \"ids\": [', user_id, "
+                    "', {\"ok\": ', value > 50, ', \"deep\": [{\"u\": null}], \"none\": {}}]}}')")
+    return documents.flatten_json(t.events.select("event_id", nested.alias("raw")), "raw").select("event_id", "lines")
 
 
 HTML = "regexp_replace(html, '(?s)<!--.*?-->', '', 'g')"

@@ -142,3 +142,18 @@ def test_table_functions_give_the_spans_of_the_columns(spark, tables):
     want = rows.select("idx", F.explode(ex.discover_entities(F.col("text"))).alias("entity"))
     got = spark.sql("SELECT p.idx, f.entity FROM {p} p, LATERAL discover_entities(text) f", p=rows)
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_flatten_json(spark):
+    from lectern.sources import documents
+    deep = "[" * 9 + '{"x": "end"}' + "]" * 9
+    cases = [('{"b": {"z": [1, {"q": "x\\ny"}], "a": null}, "a b": true, "f": 1.50, "e": 1e5, "em": {}, "el": []}',
+              "a b: True\nb.a: None\nb.z[0]: 1\nb.z[1].q: x\ny\ne: 100000.0\nf: 1.5"),
+             (deep, "[0]" * 9 + ".x: end"), ("[1, [2, 3]]", "[0]: 1\n[1][0]: 2\n[1][1]: 3"), ('"alone"', "alone"), ("7", "7"), ("{}", ""),
+             ("{not json", "{not json"), ("", ""), (None, None), ('{"s": "{\\"not\\": \\"opened\\"}"}', 's: {"not": "opened"}'),
+             ('{"a": 1, "a": 2}', '{"a": 1, "a": 2}'), ("[" + ", ".join(map(str, range(12))) + "]", "\n".join(f"[{i}]: {i}" for i in range(12)))]
+    rows = spark.createDataFrame([(i % 5, c, "kept") for i, (c, _) in enumerate(cases)], "id int, raw string, at string").repartition(3)
+    flat = documents.flatten_json(rows, "raw")
+    assert flat.columns == ["id", "raw", "at", "lines"]
+    assert sorted(map(str, ((r.raw, r.lines) for r in flat.collect()))) == sorted(map(str, cases))
+    assert "ython" not in flat._jdf.queryExecution().toString()
