@@ -121,12 +121,15 @@ class WordBpe:
     def _cut(self, text: str) -> list[str]:
         """Words of a text; those of common characters in lower case, others in the byte alphabet behind
         a mark, special tokens behind a mark of their own."""
-        if _COMMON(text) and "<|" not in text:
-            return _PATTERN.findall(text.lower())
+        # some common capitals have an uncommon lower case, so both are looked at
+        low = text.lower()
+        if _COMMON(text) and _COMMON(low) and "<|" not in text:
+            return _PATTERN.findall(low)
         out: list[str] = []
         for chunk in text.split(" "):
-            if _COMMON(chunk) and "<|" not in chunk:
-                out += _PATTERN.findall(chunk.lower())
+            low = chunk.lower()
+            if _COMMON(chunk) and _COMMON(low) and "<|" not in chunk:
+                out += _PATTERN.findall(low)
                 continue
             for piece in self.apart.split(chunk):
                 if piece in self.specials:

@@ -8,11 +8,14 @@ the vocabulary has all byte pieces.
 """
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 
 from .common import per_batch, slices
 
 SPACE = "▁"
+_UNIT = re.compile(f"{SPACE}+[^{SPACE}]*")
 UNKNOWN_PENALTY = 10.0
 _KEPT: dict[str, "Counter"] = {}
 
@@ -35,6 +38,8 @@ class Counter:
                 self.automaton.add_word(piece, (len(piece), score))
         self.automaton.make_automaton()
         names = {p for p, _ in pieces}
+        if any(SPACE in p.lstrip(SPACE) for p in names):
+            raise ValueError("a piece crosses from one word into the next")
         self.unknown = min(s for _, s in pieces) - UNKNOWN_PENALTY
         self.bytes = all(f"<0x{b:02X}>" in names for b in range(256))
         self.most = most
@@ -70,19 +75,20 @@ class Counter:
         return pieces[n]
 
     def totals(self, texts: list[str]) -> list[int]:
-        """Pieces per text: a space is the mark that opens the next word, the first word gets one if the
-        text does not begin with it, and words count on their own."""
-        parts = [t.replace(SPACE, " ").split(" ") if t else [] for t in texts]
-        parts = [p[1:] if len(p) > 1 and not p[0] else p for p in parts]
+        """Pieces per text. Spaces are marks, and a text that does not begin with one gets one in front. A run of marks and
+        the word behind it are a unit: no piece has a mark behind another character, so none crosses from one unit
+        into the next, and a unit counts once however often it occurs."""
+        parts = [_UNIT.findall(t if t[0] == SPACE else SPACE + t) for t in (t.replace(" ", SPACE) for t in texts if t)]
         wanted = set().union(*parts)
         missing = wanted - self.known.keys()
         if len(self.known) + len(missing) > self.most:
             self.known.clear()
             missing = wanted
         for w in missing:
-            self.known[w] = self.count(SPACE + w)
+            self.known[w] = self.count(w)
         known = self.known.__getitem__
-        return [int(sum(map(known, p))) for p in parts]
+        found = iter(parts)
+        return [int(sum(map(known, next(found)))) if t else 0 for t in texts]
 
 
 def counter(path: str) -> Counter:
@@ -94,8 +100,8 @@ def counter(path: str) -> Counter:
 def token_counts(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, n_words of every whole text.
 
-    A null or empty text has no tokens. Words are what stands between spaces, so a long text costs
-    time in proportion; a word without any space is one dynamic programme over all its characters. doc_id may be
+    A null or empty text has no tokens. A run of spaces and the word behind it are one dynamic programme, so a long text
+    costs time in proportion; so does a word of any length. ``n_words`` counts what stands between white space. doc_id may be
     null or repeat; other columns are not read. One pass, no shuffle.
     """
     def work(batch):

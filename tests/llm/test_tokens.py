@@ -49,6 +49,18 @@ def test_word_bpe_equals_the_library(spark):
         assert decoded == hashlib.sha256(library.decode(want, skip_special_tokens=False).encode()).hexdigest()
 
 
+def test_word_bpe_equals_the_library_on_every_code_point():
+    """Letters, marks and signs in both cases, alone, within words and beside others."""
+    library = tokenizers.Tokenizer.from_file(WORDS)
+    library.no_truncation()
+    library.no_padding()
+    points = [chr(c) for c in [*range(0x3100), *range(0xF900, 0x10000), *range(0x1F300, 0x1F700)] if not 0xD800 <= c < 0xE000]
+    texts = points + [f"ab{c}cd {c}1" for c in points]
+    got = WordBpe(WORDS).encode(texts)
+    want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert [t for t, a, b in zip(texts, got, want) if a != b] == []
+
+
 def test_bpe_jobs(spark, odd, none):
     got = round_trip(odd, WORDS).collect()
     assert len(got) == odd.count() and round_trip(none, WORDS).count() == 0
@@ -63,8 +75,10 @@ def test_bpe_jobs(spark, odd, none):
 def test_counts_equal_the_unigram_tokenizer(spark, odd, none):
     pieces, unknown = vocabulary(PIECES)
     library = tokenizers.Tokenizer(tokenizers.models.Unigram(pieces, unk_id=unknown, byte_fallback=True))
-    library.pre_tokenizer = tokenizers.pre_tokenizers.Metaspace(replacement=SPACE, prepend_scheme="always", split=True)
-    many = texts(spark, 30)
+    library.pre_tokenizer = tokenizers.pre_tokenizers.Metaspace(replacement=SPACE, prepend_scheme="always", split=False)
+    rng = random.Random(6)
+    many = texts(spark, 30) + ["a" + " " * 8 + "b", " " * 16, " ", "  x", "x  ", "def f():\n        return  [1,   2]\n" * 40]
+    many += ["".join(rng.choice(["  ", " ", "word", "é", "\n    ", "▁", " " * rng.randrange(40), "x"]) for _ in range(60)) for _ in range(60)]
     for t, n in zip(many, Counter(pieces).totals(many)):
         assert n == len(library.encode(t, add_special_tokens=False).ids), t[:80]
     got = {r["doc_id"]: r["n_tokens"] for r in token_counts(odd, PIECES).collect()}
