@@ -177,27 +177,40 @@ def _table(df: DataFrame, schema: str, rows: list[tuple]) -> DataFrame:
     return df.sparkSession.createDataFrame(frame)
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS, large: float = LARGE) -> DataFrame:
-    """``pieces`` (doc_id, piece, start, length, ids_crc32) with sequence_id and offset.
+def _rooms_of_plan(big: np.ndarray, runs: list[tuple[int, int]], slots: list[tuple], base: int, capacity: int) -> np.ndarray:
+    """How many of the sequences of a plan have each room, from counts alone.
 
-    Every row of ``pieces`` is placed once; lengths are 1 to ``capacity``. Rows with equal doc_id
-    and piece are separate pieces. An empty table gives an empty result. Broadcast tables hold
-    at most one row per configuration and slot, bounded by ``groups`` and ``capacity``.
+    Sequence s of a configuration holds the pieces ranked lo + s, lo + s + times, ... of each of its groups, so its room changes
+    only where a length runs out; these places are few, whatever the counts.
     """
-    counts = np.zeros(capacity + 1, np.int64)
-    for r in pieces.groupBy("length").count().collect():  # at most ``capacity`` rows
-        counts[r["length"]] = r["count"]
-    floor = int(capacity * large)
+    lengths = [np.arange(hi, lo - 1, -1) for lo, hi in runs]
+    ends = [np.cumsum(big[lo:hi + 1][::-1]) for lo, hi in runs]
+    rooms, blocks = np.zeros(capacity + 1, np.int64), {}
+    for g, lo, hi, at, times in slots:
+        blocks.setdefault((at, times), []).append((g, lo, hi))
+    for (_, times), parts in blocks.items():
+        rows = [(g, begin, min(begin + times, hi)) for g, lo, hi in parts for begin in range(lo, hi, times)]
+        cuts = np.unique(np.concatenate([[0, times], *[np.concatenate([ends[g] - begin, [end - begin]]) for g, begin, end in rows]]))
+        cuts = cuts[(cuts >= 0) & (cuts <= times)]
+        used, first = np.zeros(len(cuts) - 1, np.int64), cuts[:-1]
+        for g, begin, end in rows:
+            held = first < end - begin
+            used[held] += lengths[g][np.searchsorted(ends[g], begin + first[held], side="right")]
+        np.add.at(rooms, capacity - used, np.diff(cuts))
+    return rooms
+
+
+def plan(counts: np.ndarray, capacity: int, groups: int, large: float) -> tuple[list, list, int, int]:
+    """Groups (low, high), slots (group, first rank, end rank, first sequence, sequences), how many sequences these take, and how
+    many all pieces take with what best fit opens."""
     big = counts.copy()
-    big[:floor + 1] = 0
+    big[:int(capacity * large) + 1] = 0
     big[capacity] = 0
-    runs = group_lengths(big, groups)
+    runs = group_lengths(big, groups) if groups else []
     sizes = np.array([hi for _, hi in runs], np.int64)
     demand = np.array([int(big[lo:hi + 1].sum()) for lo, hi in runs], float)
     found = configurations(sizes, demand, capacity) if len(runs) else []
-
-    # slots: within a group, longest pieces first; config c repeats x times from sequence `base`
-    order = ["length", "doc_id", "piece", "start", "ids_crc32"]
+    # within a group, longest pieces first; config c repeats x times from sequence `base`
     slots, taken, base = [], np.zeros(len(runs), np.int64), 0
     for pattern, times in found:
         for g in np.flatnonzero(pattern).tolist():
@@ -206,6 +219,40 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS, larg
                 slots.append((g, int(taken[g]), int(taken[g]) + many, base, times))
                 taken[g] += many
         base += times
+    rest = counts.copy()
+    rest[capacity] = 0
+    for g, (lo, hi) in enumerate(runs):
+        left = int(taken[g])
+        for n in range(hi, lo - 1, -1):
+            gone = min(left, int(rest[n]))
+            rest[n] -= gone
+            left -= gone
+    rooms = _rooms_of_plan(big, runs, slots, base, capacity)
+    rooms[0] = 0
+    # a run may open more sequences than it fills at once: what a later run then finds is room, so openings are counted by number
+    opened = max((at + many for origin, at, many, _ in best_fit(rest, rooms, capacity) if origin < 0), default=0)
+    return runs, slots, base, int(counts[capacity]) + base + opened
+
+
+def pack(pieces: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS, large: float = LARGE) -> DataFrame:
+    """``pieces`` (doc_id, piece, start, length, ids_crc32) with sequence_id and offset.
+
+    Every row of ``pieces`` is placed once; lengths are 1 to ``capacity``. Rows with equal doc_id
+    and piece are separate pieces, and equal rows are spread like others. The plan is made on counts per length: with
+    ``groups`` groups, with three times as many, and by best fit alone; the one with the fewest sequences is carried out, the
+    first on ties. An empty table gives an empty result. Broadcast tables hold at most one row per configuration and slot,
+    bounded by ``groups`` and ``capacity``. Jobs run when this is called.
+    """
+    given = pieces.columns
+    pieces = materialize(pieces.withColumn("_row", F.monotonically_increasing_id()), "pieces")
+    counts = np.zeros(capacity + 1, np.int64)
+    for r in pieces.groupBy("length").count().collect():  # at most ``capacity`` rows
+        counts[r["length"]] = r["count"]
+    runs, slots, base, _ = min((plan(counts, capacity, g, large) for g in (groups, 3 * groups, 0)), key=lambda p: p[3])
+    big = counts.copy()
+    big[:int(capacity * large) + 1] = 0
+    big[capacity] = 0
+    order = ["length", "doc_id", "piece", "start", "ids_crc32", "_row"]
 
     group_of = np.full(capacity + 1, -1, np.int64)
     rank_from = np.zeros(capacity + 1, np.int64)
@@ -249,11 +296,12 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS, larg
     new = aimed.filter("_origin < 0").withColumn("sequence_id", F.lit(opened_from) + F.col("_spot"))
     numbers = numbered(rooms_of.filter("_room > 0"), "_room", ["sequence_id"], "_spot", int(rooms.max())).withColumnRenamed("_room", "_origin")
     filled = aimed.filter("_origin >= 0").join(numbers, ["_origin", "_spot"])
-    columns = [*pieces.columns, "sequence_id"]
+    columns = [*pieces.columns, "sequence_id"]   # with _row, which settles the order of equal rows
     every = placed.select(*columns).unionByName(new.select(*columns)).unionByName(filled.select(*columns))
     line = Window.partitionBy("sequence_id").orderBy(F.desc("length"), *order[1:]).rowsBetween(
         Window.unboundedPreceding, 0)
-    return every.withColumn("offset", (F.sum("length").over(line) - F.col("length")).cast("long"))
+    return every.withColumn("offset", (F.sum("length").over(line) - F.col("length")).cast("long")).select(
+        *given, "sequence_id", "offset")
 
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
@@ -263,6 +311,5 @@ def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id:
     of any length is cut into pieces; equal texts and equal lengths are separate pieces. Other columns are not read.
     Jobs run when this is called: lengths must be counted before they can be packed.
     """
-    pieces = materialize(token_pieces(docs, path, capacity, end_id), "pieces")
-    return pack(pieces, capacity).select(
+    return pack(token_pieces(docs, path, capacity, end_id), capacity).select(
         "doc_id", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "sequence_id", "offset")

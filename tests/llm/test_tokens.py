@@ -1,3 +1,4 @@
+import bisect
 import hashlib
 import random
 import zlib
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from lectern.llm.bpe import WordBpe, decode_documents, encode_documents, round_trip
 from lectern.llm.chunk_encoder import ChunkEncoder
 from lectern.llm.common import tokenizer_path
-from lectern.llm.packing import best_fit, configurations, group_lengths, pack, pack_documents
+from lectern.llm.packing import best_fit, configurations, group_lengths, pack, pack_documents, plan, token_pieces
 from lectern.llm.token_codec import (canonical_codes, code_lengths, decode_ids, decoding_table, encode_ids, in_ranges, lane_starts,
                                      read_token_ids, store_and_read, write_token_ids)
 from lectern.llm.token_counts import SPACE, Counter, token_counts, vocabulary
@@ -165,8 +166,52 @@ def test_packing_counts(spark, kind):
     used, least = placed(got, 1024), -(-int(lengths.sum()) // 1024)
     if kind == "large":
         assert used == len(lengths)
+    elif kind == "one length":
+        assert used == -(-len(lengths) // 3)
+    elif kind == "uniform":
+        assert used <= plain_best_fit(lengths)
     else:
-        assert used <= least * 1.03 + 2
+        assert used <= least * 1.001 + 2
+
+
+def plain_best_fit(lengths, capacity=1024):
+    rooms, used = [], 0
+    for n in sorted(lengths.tolist(), reverse=True):
+        at = bisect.bisect_left(rooms, n)
+        if at == len(rooms):
+            used += 1
+            bisect.insort(rooms, capacity - n)
+        else:
+            bisect.insort(rooms, rooms.pop(at) - n)
+    return used
+
+
+def test_plans_count_what_they_open():
+    """The number of sequences a plan foretells is what its rows take, on the lengths of real documents and on equal rows."""
+    rng = np.random.default_rng(11)
+    lengths = np.concatenate([rng.integers(1, 1025, 4000), np.minimum(rng.zipf(1.3, 4000), 1024), np.full(300, 1024)])
+    counts = np.bincount(lengths, minlength=1025)
+    for groups in (64, 192, 0):
+        assert plan(counts, 1024, groups, 0.125)[3] <= -(-int(lengths.sum()) // 1024) * 1.02 + 2
+    assert min(plan(counts, 1024, g, 0.125)[3] for g in (64, 192, 0)) <= -(-int(lengths.sum()) // 1024) * 1.001 + 2
+
+
+def test_packing_of_real_lengths_and_equal_rows(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    twins = spark.createDataFrame([(None, None)] * 6000, "doc_id long, text string")
+    pieces = token_pieces(docs.select("doc_id", "text").union(twins), BYTES)
+    got = pack(pieces).collect()
+    used, tokens = placed(got, 1024), sum(r["length"] for r in got)
+    assert used <= -(-tokens // 1024) * 1.001 + 2
+    library = tokenizers.Tokenizer.from_file(BYTES)
+    library.no_truncation()
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.limit(150).collect()}
+    mine = {d: sorted((r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got if r["doc_id"] == d) for d in texts}
+    for d, t in texts.items():
+        ids = np.array([*library.encode(t, add_special_tokens=False).ids, 2], "<u4")
+        assert [p for p, _, _, _ in mine[d]] == list(range(len(mine[d]))) and mine[d][-1][1] + mine[d][-1][2] == len(ids)
+        for piece, start, length, crc in mine[d]:
+            assert zlib.crc32(ids[start:start + length].tobytes()) == crc and (piece == 0 or length == 1024)
 
 
 def test_packing_documents(spark, odd, none):
