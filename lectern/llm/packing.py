@@ -239,8 +239,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS, larg
 
     Every row of ``pieces`` is placed once; lengths are 1 to ``capacity``. Rows with equal doc_id
     and piece are separate pieces, and equal rows are spread like others. The plan is made on counts per length: with
-    ``groups`` groups, with three times as many, and by best fit alone; the one with the fewest sequences is carried out, the
-    first on ties. An empty table gives an empty result. Broadcast tables hold at most one row per configuration and slot,
+    ``groups`` groups and by best fit alone; the one with fewer sequences is carried out, the grouped one on ties. An empty table gives an empty result. Broadcast tables hold at most one row per configuration and slot,
     bounded by ``groups`` and ``capacity``. Jobs run when this is called.
     """
     given = pieces.columns
@@ -248,7 +247,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS, larg
     counts = np.zeros(capacity + 1, np.int64)
     for r in pieces.groupBy("length").count().collect():  # at most ``capacity`` rows
         counts[r["length"]] = r["count"]
-    runs, slots, base, _ = min((plan(counts, capacity, g, large) for g in (groups, 3 * groups, 0)), key=lambda p: p[3])
+    runs, slots, base, _ = min((plan(counts, capacity, g, large) for g in (groups, 0)), key=lambda p: p[3])
     big = counts.copy()
     big[:int(capacity * large) + 1] = 0
     big[capacity] = 0

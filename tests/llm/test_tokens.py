@@ -191,9 +191,9 @@ def test_plans_count_what_they_open():
     rng = np.random.default_rng(11)
     lengths = np.concatenate([rng.integers(1, 1025, 4000), np.minimum(rng.zipf(1.3, 4000), 1024), np.full(300, 1024)])
     counts = np.bincount(lengths, minlength=1025)
-    for groups in (64, 192, 0):
+    for groups in (64, 0):
         assert plan(counts, 1024, groups, 0.125)[3] <= -(-int(lengths.sum()) // 1024) * 1.02 + 2
-    assert min(plan(counts, 1024, g, 0.125)[3] for g in (64, 192, 0)) <= -(-int(lengths.sum()) // 1024) * 1.001 + 2
+    assert min(plan(counts, 1024, g, 0.125)[3] for g in (64, 0)) <= -(-int(lengths.sum()) // 1024) * 1.001 + 2
 
 
 def test_packing_of_real_lengths_and_equal_rows(spark):
