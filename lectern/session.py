@@ -59,7 +59,17 @@ def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     share one pass, each reading only its own columns."""
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)    # a known schema saves a job over the footers
+    held = df.sparkSession.read.schema(df.schema).parquet(path)    # a known schema saves a job over the footers
+    held.scratch = path
+    return held
+
+
+def discard(*held: DataFrame) -> None:
+    """Delete tables that ``materialize`` wrote, once all that reads them has been written itself."""
+    for df in held:
+        jvm = df.sparkSession.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df.scratch)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def spread(scan: DataFrame) -> DataFrame:
