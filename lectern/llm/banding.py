@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import discard, materialize
 from .components import components
 from .shingles import SIMILARITY, linked
 
@@ -22,11 +22,15 @@ BLOCK_MEMBERS = 1 << 19
 
 def candidate_components(distinct: DataFrame) -> DataFrame:
     """(node, root) of the sets in ``distinct`` (node long, bands array of long) that share a bucket with another."""
-    rows = distinct.select("node", F.posexplode("bands").alias("band", "hash"))
-    buckets = rows.groupBy("band", "hash").agg(F.min("node").alias("hub"), F.max("node").alias("top")).filter("hub < top")
-    ties = rows.join(buckets, ["band", "hash"]).filter("node <> hub").select(
-        F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-    return components(ties)
+    rows = distinct.select("node", F.explode("bands").alias("hash"))     # a hash holds its band
+    # written, so that the join knows how few buckets are shared and need not move what is alone
+    buckets = materialize(rows.groupBy("hash").agg(F.min("node").alias("hub"), F.max("node").alias("top")).filter("hub < top").drop("top"), "buckets")
+    ties = materialize(rows.join(buckets, "hash").filter("node <> hub").select(
+        F.col("node").alias("a"), F.col("hub").alias("b")).distinct(), "ties")
+    discard(buckets)
+    found = components(ties)
+    discard(ties)
+    return found
 
 
 def in_blocks(found: DataFrame, sized: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import discard, materialize
 
 
 def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
@@ -29,9 +29,11 @@ def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
         moves = materialize(nearest.select(F.col("a").alias("from"), F.least(F.col("best"), own)["b"].alias("to")).filter(
             "from <> to"), "moves")
         to_a, to_b = moves.toDF("a", "to_a"), moves.toDF("b", "to_b")
+        old = left, labels, moves
         left = materialize(left.join(to_a, "a", "left").join(to_b, "b", "left").select(
             F.coalesce("to_a", "a").alias("a"), F.coalesce("to_b", "b").alias("b")).filter("a <> b").select(
             F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
         labels = materialize(labels.join(moves.toDF("root", "to"), "root", "left").select(
             "node", F.coalesce("to", "root").alias("root")), "labels")
+        discard(*old)
     raise RuntimeError("components did not settle")

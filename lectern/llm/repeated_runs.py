@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import discard, materialize
 from .common import per_batch, slices
 from .shingles import _powers, mix, word_hashes
 
@@ -74,9 +74,12 @@ def repeated_runs(docs: DataFrame, run_words: int) -> DataFrame:
                        "print": pa.array(np.concatenate(found).view(np.int64)), "n": pa.array(np.concatenate(counts), pa.int32())}
 
     seen = materialize(per_batch(rows, "doc_id long, row long, print long, n int", prints), "prints")
-    again = seen.groupBy("print").agg(F.sum("n").alias("n")).filter("n > 1").select("print")
-    wanted = seen.select("doc_id", "row", "print").join(again, "print").groupBy("doc_id", "row").agg(
-        F.collect_set("print").alias("wanted"))
+    # written, so that the joins know how few they are: what is alone need not move
+    again = materialize(seen.groupBy("print").agg(F.sum("n").alias("n")).filter("n > 1").select("print"), "again")
+    wanted = materialize(seen.select("doc_id", "row", "print").join(again, "print").groupBy("doc_id", "row").agg(
+        F.collect_set("print").alias("wanted")), "wanted")
+    discard(seen, again)
+    asked_for = rows.join(wanted.select("doc_id", "row"), ["doc_id", "row"], "left_semi").join(wanted, ["doc_id", "row"])
 
     def runs(batch):
         for part in slices(batch, "text", 1_000_000):
@@ -97,13 +100,15 @@ def repeated_runs(docs: DataFrame, run_words: int) -> DataFrame:
                 yield {"doc_id": part.column("doc_id").take(at), "row": part.column("row").take(at),
                        "run": pa.array(np.concatenate(found).view(np.int64)), "place": pa.array(np.concatenate(places), pa.int32())}
 
-    near = materialize(per_batch(rows.join(wanted, ["doc_id", "row"]), "doc_id long, row long, run long, place int", runs), "runs")
-    first = near.groupBy("run").agg(F.min(F.struct("doc_id", "row", "place")).alias("_f"), F.count("*").alias("_n")).filter(
-        "_n > 1").drop("_n")
+    near = materialize(per_batch(asked_for, "doc_id long, row long, run long, place int", runs), "runs")
+    first = materialize(near.groupBy("run").agg(F.min(F.struct("doc_id", "row", "place")).alias("_f"), F.count("*").alias("_n")).filter(
+        "_n > 1").drop("_n"), "first-runs")
     later = near.join(first, "run").filter(
         "doc_id <> _f.doc_id OR row <> _f.row OR place >= _f.place + " + str(int(run_words)))
-    return later.groupBy("doc_id", "row").agg(
-        F.collect_set("place").alias("starts"), F.collect_set("_f.doc_id").alias("first_docs"))
+    out = materialize(later.groupBy("doc_id", "row").agg(
+        F.collect_set("place").alias("starts"), F.collect_set("_f.doc_id").alias("first_docs")), "repeated-runs")
+    discard(wanted, near, first)
+    return out
 
 
 def row_hash() -> Column:

@@ -8,13 +8,15 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import discard, materialize
 from .banding import candidate_components, classes, in_blocks, verify
 from .common import per_batch, slices
 from .repeated_runs import cutter, repeated_runs, row_hash
-from .shingles import N, RECALL, SIMILARITY, band_hashes, bands_for, set_keys, shingle_sets
+from .shingles import N, SIMILARITY, band_hashes, bands_for, set_keys, shingle_sets
 
 MIN_WORDS = 30   # shorter paragraphs are stock phrases and stay
+RECALL = 0.99    # of the paragraph bands: 12 of 5 rows, since each band moves a row a paragraph
+MOST_HASHES = 64
 RUN_WORDS = 50   # so many equal words in a row are a passage in any layout
 BREAK = "\n"
 
@@ -52,17 +54,20 @@ def repeated_paragraphs(docs: DataFrame, similarity: float = SIMILARITY, n: int
     reaches ``similarity``, or through others in between. ``class_doc`` is the document of the first occurrence, by (doc_id,
     place), and ``first`` marks that occurrence.
     """
-    bands, rows = bands_for(similarity, recall)
-    seen = materialize(_occurrences(docs.filter("doc_id IS NOT NULL"), n, bands, rows, min_words), "paragraphs")
-    distinct = materialize(seen.groupBy("k0", "k1").agg(
+    bands, rows = bands_for(similarity, recall, MOST_HASHES)
+    full = materialize(_occurrences(docs.filter("doc_id IS NOT NULL"), n, bands, rows, min_words), "paragraphs")
+    seen = materialize(full.select("doc_id", "place", "k0", "k1"), "occurrences")
+    distinct = materialize(full.groupBy("k0", "k1").agg(
         F.min("doc_id").alias("first_doc"), F.count("*").alias("copies"), F.first("members_n").alias("members_n"),
         F.first("bands").alias("bands"), F.min(F.struct("doc_id", "place")).alias("head")).withColumn(
         "node", F.monotonically_increasing_id()), "distinct")
+    discard(full)
     found = candidate_components(distinct)
     placed = in_blocks(found, distinct.select("node", "members_n", "copies", "first_doc", "k0", "k1"))
     # at most one row a paragraph of the document
-    wanted = placed.groupBy(F.col("first_doc").alias("doc_id")).agg(F.collect_list(F.struct(
-        "k0", "k1", "node", F.col("copies").alias("weight"), "root", "blocks", "block")).alias("wanted"))
+    wanted = materialize(placed.groupBy(F.col("first_doc").alias("doc_id")).agg(F.collect_list(F.struct(
+        "k0", "k1", "node", F.col("copies").alias("weight"), "root", "blocks", "block")).alias("wanted")), "wanted")
+    texts = docs.select("doc_id", "text").join(wanted.select("doc_id"), "doc_id", "left_semi").join(wanted, "doc_id")
 
     def members(batch):
         names = ("node", "weight", "root", "blocks", "block")
@@ -80,7 +85,7 @@ def repeated_paragraphs(docs: DataFrame, similarity: float = SIMILARITY, n: int
                     out["members"].append(np.sort(values[offsets[p]:offsets[p + 1]]).tobytes())
             yield out
 
-    sets = per_batch(docs.select("doc_id", "text").join(wanted, "doc_id").select("wanted", "text"),
+    sets = per_batch(texts.select("wanted", "text"),
                      "node long, weight long, root long, blocks int, block int, members binary", members)
     _, joined = classes(verify(sets, similarity))
     # a paragraph without near ones is a class of its own
@@ -108,10 +113,10 @@ def _marked(docs: DataFrame, similarity: float, min_words: int, run_words: int |
     if run_words is None:
         held = docs.join(of_doc, F.col("doc_id") == F.col("_id"), "left").withColumn("_runs", F.lit(0).cast("long"))
         return held, F.when(some, _without(F.col("text"), F.col("_gone"))).otherwise(F.col("text")), some
-    runs = materialize(repeated_runs(docs.select("doc_id", "text"), run_words), "repeated-runs").select(
+    runs = repeated_runs(docs.select("doc_id", "text"), run_words).select(
         F.col("doc_id").alias("_id"), "row", "starts", "first_docs")
     of_runs = runs.groupBy("_id").agg(F.collect_list(F.struct("row", "starts", "first_docs")).alias("_r"))
-    marks = of_doc.select("_id", F.struct("_gone", "_n", "_docs").alias("_p")).join(of_runs, "_id", "full")
+    marks = materialize(of_doc.select("_id", F.struct("_gone", "_n", "_docs").alias("_p")).join(of_runs, "_id", "full"), "marks")
     mine = F.get(F.filter("_r", lambda r: r["row"] == row_hash()), F.lit(0))
     held = docs.join(marks, F.col("doc_id") == F.col("_id"), "left").withColumn("_m", mine)
     held = held.withColumn("_c", cutter(run_words)(

@@ -257,6 +257,55 @@ def test_no_two_documents_share_a_run(docs):
     assert max(before.values()) > 1 and [r for r, n in held.items() if n > 1 and before[r] > 1] == []
 
 
+def brute_both(rows, n=50):
+    """Texts without near copies of paragraphs and without runs of words that occur earlier, by plain loops over words and lines."""
+    sets, first = {}, {}
+    for i, t in rows:
+        for p, line in enumerate((t or "").split("\n")):
+            if len(words(line)) >= 30:
+                sets[i, p] = shingles(line)
+        w = words(t)
+        for p in range(len(w) - n + 1):
+            first.setdefault(tuple(w[p:p + n]), (i, p))
+    root, _ = brute_classes(sets)
+    out = {}
+    for i, t in rows:
+        if t is None:
+            out[i] = None
+            continue
+        w, run = words(t), {}
+        for p in range(len(w) - n + 1):
+            doc, at = first[tuple(w[p:p + n])]
+            if doc != i or p >= at + n:
+                run.update({q: run.get(q, run.get(p, p)) for q in range(p, p + n)})
+        kept, k = [], 0
+        for p, line in enumerate(t.split("\n")):
+            spots = [m.start() for m in re.finditer(r"[0-9A-Za-z\u0080-\U0010ffff]+", line)]
+            mine = range(k, k + len(spots))
+            k += len(spots)
+            if root.get((i, p), (i, p)) != (i, p):
+                continue
+            if not spots:
+                if not (k - 1 in run and k in run and run[k - 1] == run[k]):
+                    kept.append(line)
+            elif not all(q in run for q in mine):
+                ends = [*spots[1:], len(line)]
+                kept.append(line[:spots[0]] + "".join(line[a:b] for q, a, b in zip(mine, spots, ends) if q not in run))
+        out[i] = "\n".join(kept)
+    return out
+
+
+def test_both_kinds_of_passages_equal_brute_force(spark, docs):
+    rows = [(r["doc_id"], r["text"]) for r in docs.orderBy("doc_id").collect()]
+    passage = " ".join(f"p{i}" for i in range(70))
+    rows += [(10_000, f"one\n{passage}\n\nand {passage}, then\nend"), (10_001, "x " + passage.replace(" ", "\n\n")), (10_002, passage + " " + passage),
+             (10_003, " ".join(passage.split()[:45]) + " other " + passage), (10_004, None), (10_005, "")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r["text"] for r in deduplicated(frame, run_words=50).collect()}
+    want = brute_both(rows)
+    assert {i: (got[i], want[i]) for i in want if got[i] != want[i]} == {}
+
+
 # -- licences -----------------------------------------------------------------------------------
 
 
