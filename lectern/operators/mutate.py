@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import flags as fl
@@ -86,22 +86,62 @@ def resolve_succession(keys: DataFrame, succession: DataFrame) -> DataFrame:
         "key", F.coalesce("new_key", "key").alias("current"))
 
 
+def disjoint_ranges(changes: DataFrame) -> DataFrame:
+    """(lo, hi, mask) in which no two ranges overlap, from ranges (lo, hi, mask, seq) of which the highest seq counts.
+
+    The sorted boundaries are numbered; a range then covers a run of elementary pieces, which is made of at most two nodes a level of
+    the binary tree over these numbers. A node keeps its highest seq, and a piece takes the highest of its ancestors, one a level.
+    So the work grows with the number of ranges and its logarithm, however they overlap. Pieces that no range covers have a
+    null mask.
+    """
+    ends = cut_lineage(changes.select(F.col("lo").alias("at")).union(changes.select("hi")).distinct())
+    bounds = cut_lineage(ranking.in_order(ends, [], [F.col("at")], "_n").select("at", (F.col("_n") - 1).alias("i")))
+    levels = max(bounds.count() - 1, 1).bit_length()
+    first, last = bounds.toDF("lo", "a"), bounds.toDF("hi", "b")
+    every_level = F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("level")
+    runs = changes.join(first, "lo").join(last, "hi").select("mask", "seq", "a", "b", every_level).select(
+        "mask", "seq", "level", F.expr("shiftright(a + shiftleft(1L, level) - 1, level)").alias("a"), F.expr("shiftright(b, level)").alias("b")).filter("a < b")
+    taken = F.filter(F.array(F.when(F.col("a") % 2 == 1, F.col("a")), F.when(F.col("b") % 2 == 1, F.col("b") - 1)), lambda x: x.isNotNull())
+    best = F.max_by(F.struct("mask", "seq"), "seq").alias("m")
+    nodes = runs.select("level", F.explode(taken).alias("node"), "mask", "seq").groupBy("level", "node").agg(best).select("level", "node", "m.mask", "m.seq")
+    pieces = bounds.join(bounds.select((F.col("i") - 1).alias("i"), F.col("at").alias("hi")), "i").withColumnRenamed("at", "lo")
+    held = pieces.select("i", every_level).select("i", "level", F.expr("shiftright(i, level)").alias("node")).join(nodes, ["level", "node"]).groupBy(
+        "i").agg(F.max_by("mask", "seq").alias("mask"))
+    return pieces.join(held, "i", "left").select("lo", "hi", "mask")
+
+
 def set_perms(passages: DataFrame, changes: DataFrame) -> DataFrame:
-    """Apply (lo, hi, mask, seq) to the rows with lo <= idx < hi, the highest seq winning.
+    """Apply (lo, hi, mask, seq) to the rows with lo <= idx < hi, the highest seq winning. A null lo is the start of the
+    corpus, a null hi its end.
 
-    Ranges meet passages by idx block, so neither side is expanded to single rows. A range that
-    leaves the table is an error.
+    Overlapping ranges become disjoint ones first. These and the passages are sorted together within blocks of ids, and a passage
+    takes the mask of the last range that begins at or before it. A range that leaves the table is an error.
     """
     top = passages.agg(F.coalesce(F.max("idx"), F.lit(-1))).scalar()
-    checked = changes.withColumn("_top", top)
+    checked = changes.withColumn("_top", top).withColumn("lo", F.coalesce("lo", F.lit(0)).cast("bigint")).withColumn(
+        "hi", F.coalesce("hi", F.col("_top") + 1).cast("bigint"))
     sound = (F.col("lo") >= 0) & (F.col("hi") <= F.col("_top") + 1) & (F.col("hi") >= F.col("lo"))
     sure = F.assert_true(F.coalesce(sound, F.lit(False)), F.lit("range outside the corpus")).isNull()
-    spans = checked.filter(sure).select("lo", "hi", "seq", "mask").filter("hi > lo").withColumn(
-        "_b", F.explode(F.sequence(F.floor(F.col("lo") / IDX_BLOCK), F.floor((F.col("hi") - 1) / IDX_BLOCK))))
-    rows = passages.withColumn("_b", F.floor(F.col("idx") / IDX_BLOCK))
-    hits = rows.select("idx", "_b").join(spans, "_b").filter("idx >= lo AND idx < hi")
-    latest = hits.groupBy("idx").agg(F.max_by("mask", "seq").alias("mask"))
-    return passages.join(latest, "idx", "left").withColumn("perms", F.coalesce("mask", "perms")).drop("mask")
+    spans = disjoint_ranges(cut_lineage(checked.filter(sure).select("lo", "hi", "seq", "mask").filter("hi > lo")))
+    # a disjoint range begins again in every block it reaches; the last one's end is marked too
+    ends = spans.agg(F.max("hi").alias("lo")).filter("lo IS NOT NULL").select("lo", (F.col("lo") + 1).alias("hi"), F.lit(None).cast(
+        spans.schema["mask"].dataType).alias("mask"))
+    begins = spans.unionByName(ends).withColumn("_b", F.explode(F.sequence(
+        F.floor(F.col("lo") / IDX_BLOCK), F.floor((F.col("hi") - 1) / IDX_BLOCK)))).select(
+        F.greatest(F.col("lo"), F.col("_b") * IDX_BLOCK).alias("idx"), "_b", F.struct("mask").alias("_set"), F.lit(0).alias("_row"))
+    rows = passages.withColumn("_b", F.floor(F.col("idx") / IDX_BLOCK)).withColumn("_row", F.lit(1))
+    so_far = Window.partitionBy("_b").orderBy("idx", "_row").rowsBetween(Window.unboundedPreceding, 0)
+    swept = rows.unionByName(begins, allowMissingColumns=True).withColumn("_mask", F.last("_set", ignorenulls=True).over(so_far)["mask"])
+    return swept.filter("_row = 1").withColumn("perms", F.coalesce("_mask", "perms")).select(*passages.columns)
+
+
+def id_ranges(spec: str) -> list[tuple[int | None, int | None]]:
+    """Half-open ranges of a list such as ``5,12-15,42,100:`` in which a missing end is the end of the corpus."""
+    out: list[tuple[int | None, int | None]] = []
+    for part in filter(None, (p.strip() for p in spec.split(","))):
+        lo, mark, hi = part.partition(":" if ":" in part else "-")
+        out.append((int(lo) if lo else None, int(hi) if hi else None) if mark else range_of(int(lo)))
+    return out
 
 
 def range_of(idx: int) -> tuple[int, int]:

@@ -164,6 +164,17 @@ def _(t):
     return mutate.set_perms(t.block.select("idx", "perms"), ranges).select("idx", "perms")
 
 
+@query("m6b_set_perms_overlapping", """
+WITH r AS (SELECT user_id % 90 AS lo, CASE WHEN event_id % 7 = 0 THEN (SELECT max(idx) + 1 FROM block) ELSE user_id % 90 + event_id % 60 END AS hi, event_id % 4 AS mask, event_id AS seq FROM events WHERE event_id % 60 > 0 AND event_id % 11 = 0),
+h AS (SELECT b.idx, arg_max(mask, seq) AS mask FROM block b JOIN r ON b.idx >= lo AND b.idx < hi GROUP BY 1)
+SELECT b.idx, coalesce(h.mask, b.perms)::INT AS perms FROM block b LEFT JOIN h ON h.idx = b.idx""")
+def _(t):
+    """Many ranges over the same ids, some without an end."""
+    ranges = t.events.filter("event_id % 60 > 0 AND event_id % 11 = 0").selectExpr(
+        "user_id % 90 AS lo", "CASE WHEN event_id % 7 = 0 THEN NULL ELSE user_id % 90 + event_id % 60 END AS hi", "CAST(event_id % 4 AS INT) AS mask", "event_id AS seq")
+    return mutate.set_perms(t.block.select("idx", "perms"), ranges).selectExpr("idx", "CAST(perms AS INT) AS perms")
+
+
 @query("m7_statements", """
 SELECT idx, source, tombstone OR source = 'src1' AS tombstone, CASE WHEN source = 'src2' THEN 'reviewed' ELSE '' END AS tags FROM passages
 UNION ALL SELECT (SELECT max(idx) FROM passages) + row_number() OVER (ORDER BY item_id), 'manual-entry', false, '' FROM benchmark""")

@@ -401,6 +401,15 @@ SELECT label, idx, round(cos, 6) AS score, rank::INT AS rank FROM r WHERE rank <
                                   [F.desc("score"), F.asc("idx")], "idx").withColumn("score", F.round("score", 6)))
 query("t3_page", "SELECT idx, source, (SELECT count(*) FROM passages) AS total FROM passages ORDER BY idx LIMIT 25 OFFSET 50")(
     lambda t: cp.page(t.passages.select("idx", "source"), 50, 25))
+@query("t3b_stored_page", "SELECT idx, source, count(*) OVER () AS total FROM passages ORDER BY idx LIMIT 25 OFFSET (SELECT count(*) * 9 // 10 FROM passages)")
+def _(t):
+    """A page at nine tenths of a stored corpus, through its page index."""
+    path = scratch_path(t.spark, "corpus")
+    corpus_io.write_corpus(t.passages.select("idx", "source", F.lit("all").alias("corpus_id")), path)
+    corpus_io.write_page_index(t.spark, path)
+    return corpus_io.stored_page(t.spark, path, "all", t.passages.count() * 9 // 10, 25)
+
+
 query("t4_source_page", "SELECT idx, tombstone, (SELECT count(*) FROM passages WHERE source = 'src5') AS total FROM passages WHERE source = 'src5' ORDER BY idx LIMIT 25 OFFSET 5")(
     lambda t: cp.source_page(t.passages.select("idx", "source", "tombstone"), "src5", 5, 25).drop("source"))
 

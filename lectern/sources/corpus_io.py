@@ -1,8 +1,11 @@
 """Reading, writing and checking stored corpora."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import json
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import text as tx
 from ..operators import ranking
@@ -29,6 +32,33 @@ def write_corpus(df: DataFrame, path: str, compact: bool = False, mode: str = "e
      .write.partitionBy("corpus_id", "idx_block").mode(mode).parquet(path))
 
 
+def write_page_index(spark: SparkSession, path: str) -> None:
+    """(corpus_id, idx_block, n, before, layout) next to a stored corpus: rows of each block and of the blocks before it, and
+    the schema, so that a page need not look for it. Only partition values are read for it, and it has one row a block."""
+    stored = spark.read.parquet(path)
+    blocks = stored.groupBy("corpus_id", "idx_block").agg(F.count("*").alias("n")).withColumn("layout", F.lit(stored.schema.json()))
+    upto = Window.partitionBy("corpus_id").orderBy("idx_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks.withColumn("before", F.coalesce(F.sum("n").over(upto), F.lit(0))).coalesce(1).write.mode("overwrite").parquet(f"{path.rstrip('/')}-pages")
+
+
+def stored_page(spark: SparkSession, path: str, corpus_id, offset: int = 0, limit: int = 25) -> DataFrame:
+    """Rows ``offset`` .. of a stored corpus by idx, with the total, from the blocks that hold them alone.
+
+    The page index names these blocks and the total, so neither the rows before a page nor those behind it are read, however deep
+    it lies.
+    """
+    if limit < 1 or offset < 0:
+        raise ValueError("a page begins at 0 or later and holds at least one row")
+    index = spark.read.parquet(f"{path.rstrip('/')}-pages").filter(F.col("corpus_id") == corpus_id)
+    found = index.filter((F.col("before") < offset + limit) & (F.col("before") + F.col("n") > offset)).orderBy("idx_block").collect()
+    about = index.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.first("layout").alias("layout")).first()
+    read = spark.read.schema(StructType.fromJson(json.loads(about["layout"]))) if about["layout"] else spark.read
+    rows = read.parquet(path).filter((F.col("corpus_id") == corpus_id) & F.col("idx_block").isin([r["idx_block"] for r in found]))
+    skipped = found[0]["before"] if found else 0
+    return rows.orderBy("idx").offset(offset - skipped if found else 0).limit(limit).drop("corpus_id", "idx_block").withColumn(
+        "total", F.lit(about["n"]).cast("bigint"))
+
+
 def write_report_csv(df: DataFrame, path: str) -> None:
     df.write.csv(path, header=True)
 
