@@ -13,11 +13,11 @@ from collections import Counter
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import per_batch
 
 THRESHOLD = 0.75
 MOST_TERMS = 20_000    # of all templates together; they are broadcast
@@ -85,92 +85,107 @@ def _sums(x: np.ndarray, n: int) -> np.ndarray:
     return total[n:] - total[:-n]
 
 
-def best_runs(words: list[str], idf: dict[str, float], other: float, rows: list[tuple[int, str, str, float]],
-              threshold: float) -> dict[str, float]:
-    """The best score, from ``threshold`` on, of each licence over all runs of as many words as its templates have (or all
-    words, if these are fewer). ``words`` are lower case."""
-    found: dict[str, float] = {}
-    if not words:
+AROUND = 2   # words on either side of a run in which words of its kin count against it
+
+
+class Matcher:
+    """The templates as tables, made once a task."""
+
+    def __init__(self, templates, threshold: float):
+        self.idf, self.other, rows = weights(templates)
+        self.threshold = threshold
+        self.anchors = anchors(rows, threshold)
+        self.wanted = set(self.anchors)
+        self.known = []
+        for k, (name, text) in enumerate(templates):
+            mine = {t: w for j, _, t, w in rows if j == k}
+            self.known.append((name, mine, len(terms(text)), {t for t in mine if t.isdigit() or t in TELLING}, KIN - set(mine)))
+
+    def bag(self, words: list[str]) -> dict[str, float]:
+        """The best score, from the threshold on, of each licence for all words together."""
+        found: dict[str, float] = {}
+        counts = Counter(words)
+        norm = math.sqrt(sum((n * self.idf.get(t, self.other)) ** 2 for t, n in counts.items()))
+        for name, mine, _, must, mustnt in self.known:
+            if must <= counts.keys() and not mustnt & counts.keys():
+                score = round(sum(n * self.idf[t] * mine[t] for t, n in counts.items() if t in mine) / norm, 6)
+                if score >= self.threshold and score > found.get(name, 0):
+                    found[name] = score
         return found
-    ids: dict[str, int] = {}
-    at = np.array([ids.setdefault(w, len(ids)) for w in words])
-    weight = np.array([idf.get(w, other) for w in ids])
-    squares = (weight * weight)[at]
-    for k in sorted({r[0] for r in rows}):
-        mine = {t: w for j, _, t, w in rows if j == k}
-        unit = np.array([mine.get(w, 0.0) for w in ids]) * weight
-        if not unit.any():
-            continue
-        must = {t for t in mine if t.isdigit() or t in TELLING}
-        mustnt = KIN - set(mine)
-        # a template's words, with repeats: its norm gives the count of each back
-        least = min(w / idf[t] for t, w in mine.items())
-        n = min(sum(round(w / idf[t] / least) for t, w in mine.items()), len(words))
-        dots = _sums(unit[at], n)
-        # the norm without repeats is a lower bound, so only few places are counted
-        for place in np.flatnonzero(dots >= (threshold - 1e-6) * np.sqrt(np.maximum(_sums(squares, n), 0))).tolist():
-            terms_here, counts = np.unique(at[place:place + n], return_counts=True)
-            score = round(float(counts @ unit[terms_here] / np.sqrt(((counts * weight[terms_here]) ** 2).sum())), 6)
-            name = next(name for j, name, _, _ in rows if j == k)
-            if score >= threshold and score > found.get(name, 0):
-                held = set(words[place:place + n])
-                if must <= held and not mustnt & held:
+
+    def runs(self, words: list[str]) -> dict[str, float]:
+        """The same over all runs of as many words as a template has (or all words, if these are fewer)."""
+        found: dict[str, float] = {}
+        ids: dict[str, int] = {}
+        at = np.array([ids.setdefault(w, len(ids)) for w in words])
+        weight = np.array([self.idf.get(w, self.other) for w in ids])
+        squares = (weight * weight)[at]
+        for name, mine, n, must, mustnt in self.known:
+            if not must <= ids.keys():
+                continue
+            unit = np.array([mine.get(w, 0.0) for w in ids]) * weight
+            n = min(n, len(words))
+            dots = _sums(unit[at], n)
+            # the norm without repeats is a lower bound, so only few places are counted
+            for place in np.flatnonzero((dots > 0) & (dots >= (self.threshold - 1e-6) * np.sqrt(np.maximum(_sums(squares, n), 0)))).tolist():
+                here, counts = np.unique(at[place:place + n], return_counts=True)
+                score = round(float(counts @ unit[here] / np.sqrt(((counts * weight[here]) ** 2).sum())), 6)
+                if score >= self.threshold and score > found.get(name, 0) and must <= set(words[place:place + n]) \
+                        and not mustnt & set(words[max(place - AROUND, 0):place + n + AROUND]):
                     found[name] = score
-    return found
+        return found
+
+    def of_file(self, text: str, whole: bool) -> list[tuple[str, str, float]]:
+        """(kind, licence, score) of a text in lower case; what holds no anchor is passed over."""
+        words = _WORDS(text)
+        if self.wanted.isdisjoint(words):
+            return []
+        out = [("file", name, score) for name, score in self.bag(words).items()] if whole else []
+        for line in text.split("\n"):
+            if any(a in line for a in self.anchors):
+                mine = _WORDS(line)
+                if not self.wanted.isdisjoint(mine):
+                    out += [("header", name, score) for name, score in self.bag(mine).items()]
+        return out + [("header", name, score) for name, score in self.runs(words).items()]
+
+
+_WORDS = re.compile("[a-z0-9]+").findall
+
+
+_FIELDS = pa.schema([("_k0", pa.int64()), ("_k1", pa.int64()), ("kind", pa.string()), ("licence", pa.string()), ("score", pa.float64())])
 
 
 def scan_licences(files: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """``files`` (path, text, and any other columns but text kept) with licence, found, score and origin appended.
 
-    ``found`` is 'header' for a line or a run of words of the file, 'file' for the text of a licence file, 'inherited' with the folder as ``origin``,
-    or 'none'. Equal scores go to the licence that comes first by name; of several licence files in a folder the
+    ``found`` is 'header' for a line or a run of words of the file, 'file' for the text of a licence file, 'inherited' with the folder as
+    ``origin``, or 'none'. Lines, runs and texts must hold the numbers and telling words of their template and none of the words
+    of its kin. Equal scores go to the licence that comes first by name; of several licence files in a folder the
     most similar counts, then the first by licence name. A null path has no folder and inherits nothing; its own text is
-    still read, but rows without a path share one result per text. A null or empty text has no licence of its own.
+    still read. Rows of one path are told apart by their texts. A null or empty text has no licence of its own.
     Whole texts are read. Rows that repeat stay. Appended names replace columns of the same name. An empty table gives an
-    empty result.
+    empty result. The rows with a licence of their own are written when this is called.
     """
-    spark = files.sparkSession
-    idf, other, rows = weights(templates)
-    known = spark.createDataFrame(sorted(idf.items()), "term string, idf double")
-    vectors = spark.createDataFrame(rows, "template int, licence string, term string, weight double")
-    needed = anchors(rows, threshold)
-    hint = "(?<![a-z0-9])(" + "|".join(needed) + ")(?![a-z0-9])"
-    maybe = reduce(lambda a, b: a | b, [F.contains("_t", F.lit(t)) for t in needed])   # far cheaper than the pattern
+    needed = anchors(weights(templates)[2], threshold)
+    maybe = reduce(lambda a, b: a | b, [F.contains("_t", F.lit(t)) for t in needed])   # far cheaper than a pattern
     new = ("licence", "found", "score", "origin")
     names = [c for c in files.columns if c != "text" and c not in new]
-    key = F.coalesce(F.col("path"), F.concat(F.lit("\0"), F.sha2("text", 256)))
-    lower = files.select(key.alias("_key"), F.lower("text").alias("_t"),
-                         F.coalesce(F.col("path").rlike(LICENCE_FILE), F.lit(False)).alias("_is")).filter(
-        maybe).filter(F.col("_t").rlike(hint)).distinct()
-    lines = F.transform(F.split("_t", "\n", -1), lambda x: F.struct(x.alias("part"), F.lit("header").alias("kind")))
-    whole = F.when(F.col("_is"), F.array(F.struct(F.col("_t").alias("part"), F.lit("file").alias("kind")))).otherwise(
-        F.array().cast("array<struct<part:string,kind:string>>"))
-    parts = lower.select("_key", F.posexplode(F.concat(whole, lines)).alias("_no", "_p")).select(
-        "_key", "_no", "_p.part", "_p.kind").filter(F.col("part").rlike(hint))
-    counts = parts.select("_key", "_no", "kind", F.explode(F.split("part", "[^a-z0-9]+", -1)).alias("term")).filter(
-        "term <> ''").groupBy("_key", "_no", "kind", "term").agg(F.count("*").alias("n"))
-    weighed = counts.join(F.broadcast(known), "term", "left").withColumn(
-        "w", F.col("n") * F.coalesce("idf", F.lit(other)))
-    norms = weighed.groupBy("_key", "_no").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dots = weighed.join(F.broadcast(vectors), "term").groupBy("_key", "_no", "kind", "template", "licence").agg(
-        F.sum(F.col("w") * F.col("weight")).alias("dot"))
-    scored = dots.join(norms, ["_key", "_no"]).select(
-        "_key", "kind", "licence", F.round(F.col("dot") / F.col("norm"), 6).alias("score")).filter(F.col("score") >= threshold)
-
-    def runs(batch):
-        out = {"_key": [], "kind": [], "licence": [], "score": []}
-        for name, text in zip(batch.column("_key"), batch.column("_t")):
-            for licence, score in best_runs(re.findall("[a-z0-9]+", text.as_py()), idf, other, rows, threshold).items():
-                for c, v in zip(out, (name.as_py(), "header", licence, score)):
-                    out[c].append(v)
-        yield out
-
-    in_runs = per_batch(files.select(key.alias("_key"), F.lower("text").alias("_t")).filter(maybe),
-                        "_key string, kind string, licence string, score double", runs)
+    key = [F.xxhash64("path", "text").alias("_k0"), F.xxhash64(F.lit(7), "path", "text").alias("_k1")]
+    schema = "_k0 long, _k1 long, kind string, licence string, score double"
+
+    def own_licences(batches):
+        matcher = Matcher(templates, threshold)
+        for batch in batches:
+            out = [(a, b, *hit) for a, b, text, whole in zip(*(batch.column(c).to_pylist() for c in ("_k0", "_k1", "_t", "_is")))
+                   for hit in matcher.of_file(text, whole)]
+            yield pa.RecordBatch.from_pylist([dict(zip(_FIELDS.names, o)) for o in out], _FIELDS)
+
+    scored = files.select(*key, F.lower("text").alias("_t"), F.coalesce(F.col("path").rlike(LICENCE_FILE), F.lit(False)).alias("_is")).filter(
+        maybe).mapInArrow(own_licences, schema)
     # one row a file with a licence of its own; written once, since it is needed three times below
-    best = materialize(scored.unionByName(in_runs).groupBy("_key").agg(
+    best = materialize(scored.groupBy("_k0", "_k1").agg(
         F.min(F.struct((-F.col("score")).alias("least"), "licence", "kind")).alias("_b")), "licences")
-    own = files.withColumn("_key", key).select(*names, "_key").join(best, "_key", "left").withColumn(
+    own = files.select(*names, *key).join(best, ["_k0", "_k1"], "left").withColumn(
         "_dir", F.when(F.instr("path", "/") > 0, F.regexp_replace("path", "/[^/]*$", "")).when(
             F.col("path").isNotNull(), F.lit("")))
 
@@ -197,8 +212,22 @@ def sql_for(files: str, templates=TEMPLATES, threshold: float = THRESHOLD) -> st
     known = ", ".join(f"('{t}', {w!r})" for t, w in sorted(idf.items()))
     vectors = ", ".join(f"({k}, '{n}', '{t}', {w!r})" for k, n, t, w in rows)
     licence = "(?i)(^|/)(licen[cs]e|copying|notice)[^/]*$"
+
+    def listed(words) -> str:
+        return "[" + ", ".join(f"'{w}'" for w in sorted(words)) + "]::VARCHAR[]"
+
+    guards = ", ".join(f"({k}, '{name}', {n}, {listed(must)}, {listed(mustnt)})" for k, (name, _, n, must, mustnt) in
+                       enumerate(Matcher(templates, threshold).known))
+    hints = listed(anchors(rows, threshold))
     return f"""
-WITH RECURSIVE files AS ({files}),
+WITH RECURSIVE files AS ({files}), guards(template, licence, size, must, mustnt) AS (VALUES {guards}),
+ws AS (SELECT path, regexp_extract_all(lower(text), '[a-z0-9]+') AS ws FROM files WHERE list_has_any(regexp_extract_all(lower(text), '[a-z0-9]+'), {hints})),
+spots AS (SELECT path, template, licence, p, ws[p:p + m - 1] AS run FROM (SELECT *, unnest(range(1, len(ws) - m + 2)) AS p FROM (
+    SELECT path, ws, template, licence, must, mustnt, least(size, len(ws)) AS m FROM ws, guards WHERE list_has_all(ws, must)))
+  WHERE list_has_any(ws[p:p + m - 1], {hints}) AND list_has_all(ws[p:p + m - 1], must) AND NOT list_has_any(ws[greatest(p - {AROUND}, 1):p + m - 1 + {AROUND}], mustnt)),
+bags AS (SELECT path, template, licence, p, term, count(*) AS n FROM (SELECT path, template, licence, p, unnest(run) AS term FROM spots) GROUP BY ALL),
+runs AS (SELECT b.path, 'header' AS kind, b.licence, round(sum(n * coalesce(idf, 0) * coalesce(v.weight::DOUBLE, 0)) / sqrt(sum(pow(n * coalesce(idf, {other!r}::DOUBLE), 2))), 6) AS score
+  FROM bags b LEFT JOIN known USING (term) LEFT JOIN vectors v ON v.template = b.template AND v.term = b.term GROUP BY b.path, b.template, b.licence, b.p),
 known(term, idf) AS (VALUES {known}), vectors(template, licence, term, weight) AS (VALUES {vectors}),
 parts AS (SELECT path, i AS no, 'header' AS kind, part FROM (
     SELECT path, unnest(string_split(lower(text), chr(10))) AS part, generate_subscripts(string_split(lower(text), chr(10)), 1) AS i FROM files)
@@ -207,9 +236,12 @@ counts AS (SELECT path, no, kind, term, count(*) AS n FROM (
     SELECT path, no, kind, unnest(string_split_regex(part, '[^a-z0-9]+')) AS term FROM parts) WHERE term <> '' GROUP BY ALL),
 weighed AS (SELECT c.*, n * coalesce(idf, {other!r}::DOUBLE) AS w FROM counts c LEFT JOIN known USING (term)),
 norms AS (SELECT path, no, sqrt(sum(w * w)) AS norm FROM weighed GROUP BY ALL),
-scored AS (SELECT path, kind, licence, round(dot / norm, 6) AS score FROM (
-    SELECT path, no, kind, template, licence, sum(w * weight::DOUBLE) AS dot FROM weighed JOIN vectors USING (term) GROUP BY ALL)
-  JOIN norms USING (path, no) WHERE round(dot / norm, 6) >= {threshold}),
+held AS (SELECT path, no, list(term) AS held FROM counts GROUP BY ALL),
+scored AS (SELECT path, kind, d.licence, round(dot / norm, 6) AS score FROM (
+    SELECT path, no, kind, template, licence, sum(w * weight::DOUBLE) AS dot FROM weighed JOIN vectors USING (term) GROUP BY ALL) d
+  JOIN norms USING (path, no) JOIN held USING (path, no) JOIN guards g ON g.template = d.template
+  WHERE round(dot / norm, 6) >= {threshold} AND list_has_all(held, must) AND NOT list_has_any(held, mustnt)
+  UNION ALL SELECT * FROM runs WHERE score >= {threshold}),
 best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY path ORDER BY score DESC, licence, kind) = 1),
 own AS (SELECT f.doc_id, f.path, b.licence, b.kind, b.score, regexp_replace(f.path, '/[^/]*$', '') AS dir
   FROM files f LEFT JOIN best b USING (path)),

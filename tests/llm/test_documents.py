@@ -355,6 +355,26 @@ modification, are permitted provided that the following conditions are met:"""
                    "k/2.py": (None, "none"), "k/l.py": (None, "none")}
 
 
+def test_licences_of_rows_and_kin(spark):
+    """Rows of one path with other texts, kin on one line, and notices of kin in a row."""
+    lgpl = ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public "
+            "License as published by the Free Software Foundation, either version 3 of the License. ")
+    short = "This work is licensed under the GNU Lesser General Public License, version 3. "
+    rows = [("a/x.txt", "Released under the MIT License."), ("a/x.txt", "nothing here"), ("b/y.txt", "Licensed under CC BY-NC-ND 4.0."),
+            ("c/z.txt", lgpl * 2), ("d/z.txt", short * 3), ("e/long.txt", "word " * 200_000 + "released under the mit license. " + "tail " * 1000),
+            ("f/n.txt", "Licensed under CC BY-NC 4.0.")]
+    got = sorted((r["path"], r["licence"] or "", r["found"]) for r in scan_licences(spark.createDataFrame(rows, "path string, text string")).collect())
+    assert got == [("a/x.txt", "", "none"), ("a/x.txt", "MIT", "header"), ("b/y.txt", "", "none"), ("c/z.txt", "", "none"), ("d/z.txt", "", "none"),
+                   ("e/long.txt", "MIT", "header"), ("f/n.txt", "CC-BY-NC-4.0", "header")]
+
+
+def test_licences_on_odd_rows(odd, none):
+    files = odd.withColumn("path", F.concat(F.lit("f/"), "doc_id"))
+    got = scan_licences(files)
+    assert got.count() == odd.count() and got.filter("licence IS NOT NULL").isEmpty()
+    assert scan_licences(none.withColumn("path", F.lit("f"))).columns == got.columns
+
+
 def test_anchors_miss_nothing():
     idf, other, rows = weights()
     hint = set(anchors(rows, 0.75))
