@@ -109,27 +109,26 @@ def _marked(docs: DataFrame, similarity: float, min_words: int, run_words: int |
     of_doc = found.groupBy(F.col("doc_id").alias("_id")).agg(
         F.collect_set(F.when(~F.col("first"), F.col("place"))).alias("_gone"), F.count("*").alias("_n"),
         F.array_sort(F.collect_set("class_doc")).alias("_docs"))
-    some = F.size("_gone") > 0
-    if run_words is None:
-        held = docs.join(of_doc, F.col("doc_id") == F.col("_id"), "left").withColumn("_runs", F.lit(0).cast("long"))
-        return held, F.when(some, _without(F.col("text"), F.col("_gone"))).otherwise(F.col("text")), some
-    runs = repeated_runs(docs.select("doc_id", "text"), run_words).select(
-        F.col("doc_id").alias("_id"), "row", "starts", "first_docs")
-    of_runs = runs.groupBy("_id").agg(F.collect_list(F.struct("row", "starts", "first_docs")).alias("_r"))
-    marks = materialize(of_doc.select("_id", F.struct("_gone", "_n", "_docs").alias("_p")).join(of_runs, "_id", "full"), "marks")
-    mine = F.get(F.filter("_r", lambda r: r["row"] == row_hash()), F.lit(0))
-    held = docs.join(marks, F.col("doc_id") == F.col("_id"), "left").withColumn("_m", mine)
-    held = held.withColumn("_c", cutter(run_words)(
-        F.when(F.col("_m").isNotNull(), F.col("text")), F.col("_p._gone"), F.col("_m.starts")))
+    some = F.coalesce(F.size("_gone") > 0, F.lit(False))
     names = docs.columns
+    # near copies leave first, so that runs are looked for in what is kept alone
+    of_doc = materialize(of_doc, "marks")
+    base = docs.join(of_doc, F.col("doc_id") == F.col("_id"), "left").withColumn("_was", some).withColumn(
+        "text", F.when(some, _without(F.col("text"), F.col("_gone"))).otherwise(F.col("text")))
+    if run_words is None:
+        return base.withColumn("_runs", F.lit(0).cast("long")), F.col("text"), F.col("_was")
+    runs = repeated_runs(base.select("doc_id", "text"), run_words).select(
+        F.col("doc_id").alias("_rid"), F.col("row").alias("_row"), "starts", "first_docs")
+    held = base.withColumn("_own", row_hash()).join(
+        runs, (F.col("doc_id") == F.col("_rid")) & (F.col("_own") == F.col("_row")), "left").withColumn(
+        "_c", cutter(run_words)(F.when(F.col("starts").isNotNull(), F.col("text")), F.array().cast("array<int>"), F.col("starts")))
     held = held.select(
-        *names, "_c", F.col("_p._gone").alias("_gone"), F.coalesce("_c.runs", F.lit(0)).alias("_runs"),
-        (F.coalesce("_p._n", F.lit(0)) + F.coalesce("_c.runs", F.lit(0))).alias("_n"),
-        F.array_sort(F.array_union(F.coalesce("_p._docs", F.array().cast("array<bigint>")),
-                                   F.coalesce("_m.first_docs", F.array().cast("array<bigint>")))).alias("_docs"))
-    text = F.when(F.col("_c").isNotNull(), F.col("_c.text")).when(
-        some, _without(F.col("text"), F.col("_gone"))).otherwise(F.col("text"))
-    return held, text, F.col("_c").isNotNull() | F.coalesce(some, F.lit(False))
+        *names, "_c", "_gone", "_was", F.coalesce("_c.runs", F.lit(0)).alias("_runs"),
+        (F.coalesce("_n", F.lit(0)) + F.coalesce("_c.runs", F.lit(0))).alias("_n"),
+        F.array_sort(F.array_union(F.coalesce("_docs", F.array().cast("array<bigint>")),
+                                   F.coalesce("first_docs", F.array().cast("array<bigint>")))).alias("_docs"))
+    text = F.when(F.col("_c").isNotNull(), F.col("_c.text")).otherwise(F.col("text"))
+    return held, text, F.col("_c").isNotNull() | F.col("_was")
 
 
 def deduplicated(docs: DataFrame, similarity: float = SIMILARITY, min_words: int = MIN_WORDS,
@@ -140,7 +139,8 @@ def deduplicated(docs: DataFrame, similarity: float = SIMILARITY, min_words: int
     A paragraph is what stands between newlines; one of at least ``min_words`` words is a passage, and near copies of it
     repeat it. With ``run_words``, so is any run of that many words that occurs elsewhere word for word, over short lines or
     within longer ones; without it, only whole paragraphs are compared. What is left keeps its order and text.
-    The first occurrence of a run may lie in a paragraph that is cut for a near copy of it, which then stands for both.
+    Near copies of paragraphs leave first; runs are then looked for in what is left, so the first occurrence of a run is
+    one that is kept.
     ``n_repeated`` counts the document's paragraphs that occur elsewhere and the runs cut from other lines, ``n_removed``
     what was cut of these, and ``class_docs`` lists the documents that hold the first
     occurrences. A null or empty text, a text without passages and a row without doc_id stay as they are; a text may

@@ -258,18 +258,15 @@ def test_no_two_documents_share_a_run(docs):
 
 
 def brute_both(rows, n=50):
-    """Texts without near copies of paragraphs and without runs of words that occur earlier, by plain loops over words and lines."""
-    sets, first = {}, {}
-    for i, t in rows:
-        for p, line in enumerate((t or "").split("\n")):
-            if len(words(line)) >= 30:
-                sets[i, p] = shingles(line)
-        w = words(t)
+    """Texts without near copies of paragraphs, and then without runs of words that occur earlier in what is left, by plain loops
+    over words and lines."""
+    left, first, out = brute_cut(rows), {}, {}
+    for i, _ in rows:
+        w = words(left.get(i))
         for p in range(len(w) - n + 1):
             first.setdefault(tuple(w[p:p + n]), (i, p))
-    root, _ = brute_classes(sets)
-    out = {}
-    for i, t in rows:
+    for i, _ in rows:
+        t = left.get(i)
         if t is None:
             out[i] = None
             continue
@@ -279,12 +276,10 @@ def brute_both(rows, n=50):
             if doc != i or p >= at + n:
                 run.update({q: run.get(q, run.get(p, p)) for q in range(p, p + n)})
         kept, k = [], 0
-        for p, line in enumerate(t.split("\n")):
+        for line in t.split("\n"):
             spots = [m.start() for m in re.finditer(r"[0-9A-Za-z\u0080-\U0010ffff]+", line)]
             mine = range(k, k + len(spots))
             k += len(spots)
-            if root.get((i, p), (i, p)) != (i, p):
-                continue
             if not spots:
                 if not (k - 1 in run and k in run and run[k - 1] == run[k]):
                     kept.append(line)
