@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from . import filters, ranking, simjoin
 
 SEMANTIC_THRESHOLD = 0.92      # fixed values of the change log
@@ -33,16 +34,40 @@ def diff_exact(old: DataFrame, new: DataFrame) -> DataFrame:
     """Match equal texts as multisets: (status, new_idx, old_idx, source).
 
     The n-th new copy by rising idx meets the n-th old copy by falling idx, so surplus new copies
-    are the later ones and surplus old copies the earlier ones. The position is part of the join
-    key, which spreads a text that fills a third of the corpus over all tasks.
+    are the later ones and surplus old copies the earlier ones. Texts are told apart by 128 bits of hash. One grouping
+    settles the texts that each side holds at most once; the copies of the others are numbered, and the position is
+    part of the join key, which spreads a text that fills a third of the corpus over all tasks. A null text matches nothing. The
+    groups and positions are written when this is called.
     """
-    key = F.sha2("text", 256)
-    o = ranking.row_number(old.select("idx", "source", key.alias("k")), ["k"], "idx", "nth", desc=True)
-    n = ranking.row_number(new.select("idx", "source", key.alias("k")), ["k"], "idx", "nth")
-    o = o.select("k", "nth", F.col("idx").alias("old_idx"), F.col("source").alias("old_source"))
-    n = n.select("k", "nth", F.col("idx").alias("new_idx"), F.col("source").alias("new_source"))
+    keys = ["k", "l"]
+
+    def keyed(df: DataFrame) -> DataFrame:
+        return df.select("idx", "source", F.xxhash64("text").alias("k"), F.xxhash64(F.lit(7), "text").alias("l"), F.col("text").isNull().alias("_none"))
+
+    o, n = keyed(old), keyed(new)
+    both = o.withColumn("old", F.lit(True)).unionByName(n.withColumn("old", F.lit(False))).filter(~F.col("_none"))
+    row, is_old = F.struct("idx", "source"), F.col("old")
+    groups = materialize(both.groupBy(*keys).agg(
+        F.count_if(is_old).alias("n_old"), F.count_if(~is_old).alias("n_new"), F.max(F.when(is_old, row)).alias("o"),
+        F.max(F.when(~is_old, row)).alias("n")), "texts")
+    once = (F.col("n_old") <= 1) & (F.col("n_new") <= 1)
+    columns = ["new_idx", "old_idx", "new_source", "old_source"]
+    alone = groups.filter(once).select(F.col("n.idx").alias("new_idx"), F.col("o.idx").alias("old_idx"),
+                                       F.col("n.source").alias("new_source"), F.col("o.source").alias("old_source"))
+    several = groups.filter(~once).select(*keys)
+    # old copies count from the highest idx down
+    turn = both.join(several, keys, "left_semi").withColumn("at", F.when(is_old, -F.col("idx")).otherwise(F.col("idx")))
+    placed = ranking.in_order(turn.select("idx", "source", "old", "at", *keys), ["old", *keys], [F.col("at")], "nth")
+    o_turn, n_turn = (placed.filter(side).select(*keys, "nth", F.col("idx").alias(f"{name}_idx"), F.col("source").alias(f"{name}_source"))
+                      for side, name in ((is_old, "old"), (~is_old, "new")))
+    copies = n_turn.join(o_turn, [*keys, "nth"], "full").select(*columns)
+    nothing = F.lit(None)
+    unread = n.filter("_none").select(F.col("idx").alias("new_idx"), nothing.cast("bigint").alias("old_idx"), F.col("source").alias("new_source"),
+                                      nothing.cast("string").alias("old_source")).unionByName(
+        o.filter("_none").select(nothing.cast("bigint").alias("new_idx"), F.col("idx").alias("old_idx"), nothing.cast("string").alias("new_source"),
+                                 F.col("source").alias("old_source")))
     status = F.when(F.col("old_idx").isNull(), "added").when(F.col("new_idx").isNull(), "removed").otherwise("unchanged")
-    return n.join(o, ["k", "nth"], "full").select(
+    return alone.unionByName(copies).unionByName(unread).select(
         status.alias("status"), "new_idx", "old_idx", F.coalesce("new_source", "old_source").alias("source"))
 
 

@@ -1,9 +1,8 @@
 """Per-key ranking, running sums and neighbours that stay parallel on a hot key.
 
-A plain window over a key that holds a third of all rows is one task. Here each key is cut into
-ranges of the ordering column that hold about equally many rows, however the values are spread; the work
-inside a range is a window over (key, range), and a small per-range summary, with at most
-``STEPS`` squared rows per key, carries the totals from range to range.
+A plain window over a key that holds a third of all rows is one task. Here rows are dealt into sorted ranges of key and
+order that hold about equally many; a task numbers and sums its range as it streams by, and one row a range
+carries the totals of a key that runs on into the next (``in_order``). Neighbours use ranges of the ordering column instead.
 """
 from __future__ import annotations
 
@@ -136,37 +135,23 @@ def _numbering(keys: list[str], sums: dict[str, str], xors: dict[str, str]):
 
 
 def row_number(df: DataFrame, keys: list[str], order: str, out: str = "rn", desc: bool = False) -> DataFrame:
-    """1-based position of each row within its keys, by a unique numeric or time column."""
-    ranged = with_range(df, order)
-    if desc:
-        ranged = ranged.withColumn("_range", -F.col("_range"))
-    spot = [*keys, "_range"]
-    sizes = ranged.groupBy(*spot).agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(*spot, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    local = F.row_number().over(Window.partitionBy(*spot).orderBy(F.desc(order) if desc else F.asc(order)))
-    joined = _null_safe(ranged.withColumn("_local", local), offsets, spot, "inner")
-    return joined.withColumn(out, (F.col("_before") + F.col("_local")).cast("bigint")).drop(
-        "_range", "_local", "_before")
+    """1-based position of each row within its keys, by a unique column."""
+    return in_order(df, keys, [F.desc(order) if desc else F.asc(order)], out, ranges=_ranges(df))
 
 
 def running_before(df: DataFrame, keys: list[str], order: str, tie: str, sums: dict[str, str]) -> DataFrame:
-    """Sums of earlier rows of the same keys: ``sums`` maps an output name to a column.
+    """Sums of earlier rows of the same keys: ``sums`` maps an output name to a whole-number column.
 
     ``order`` need not be unique; ``tie`` settles equal values.
     """
-    ranged = with_range(df, order)
-    spot = [*keys, "_range"]
-    totals = ranged.groupBy(*spot).agg(*[F.sum(c).alias(f"_t_{o}") for o, c in sums.items()])
-    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    carried = totals.select(*spot, *[F.coalesce(F.sum(f"_t_{o}").over(before), F.lit(0)).alias(f"_c_{o}")
-                                     for o in sums])
-    inside = Window.partitionBy(*spot).orderBy(order, tie).rowsBetween(Window.unboundedPreceding, -1)
-    local = ranged.select("*", *[F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(f"_l_{o}")
-                                 for o, c in sums.items()])
-    joined = _null_safe(local, carried, spot, "inner")
-    plain = [c for c in df.columns]
-    return joined.select(*plain, *[(F.col(f"_c_{o}") + F.col(f"_l_{o}")).alias(o) for o in sums])
+    done = in_order(df, keys, [F.asc(order), F.asc(tie)], "_rn", {f"_upto_{o}": c for o, c in sums.items()}, ranges=_ranges(df))
+    return done.select(*df.columns, *[(F.col(f"_upto_{o}") - F.coalesce(c, F.lit(0))).cast("bigint").alias(o) for o, c in sums.items()])
+
+
+def _ranges(df: DataFrame) -> int | None:
+    """One range for each input file where there are more of them than shuffle partitions, so that tasks grow with the input."""
+    files = len(df.inputFiles())
+    return files if files > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else None
 
 
 def neighbours(df: DataFrame, keys: list[str], order: str, prev: str = "prev", nxt: str = "next") -> DataFrame:

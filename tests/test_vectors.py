@@ -135,3 +135,13 @@ def test_diff_identities(spark, cloud):
         same = n.get("unchanged", 0) + n.get("modified", 0)
         assert same + n.get("added", 0) == 22 and same + n.get("removed", 0) == 20
         assert {r["status"] for r in run(a, a).select("status").distinct().collect()} == {"unchanged"}
+
+
+def test_diff_exact_pairs_copies_and_leaves_nulls_alone(spark):
+    texts = ["a", "b", None, "a", "c", "a", None, "d", "b"]
+    old = spark.createDataFrame([(i, t, "o") for i, t in enumerate(texts)], "idx bigint, text string, source string")
+    new = spark.createDataFrame([(i, t, "n") for i, t in enumerate(["a", None, "b", "a", "e", "d", "d"])], "idx bigint, text string, source string")
+    got = sorted((r["status"], r["new_idx"], r["old_idx"], r["source"]) for r in diff.diff_exact(old, new).na.fill(-1, ["new_idx", "old_idx"]).collect())
+    assert got == [("added", 1, -1, "n"), ("added", 4, -1, "n"), ("added", 6, -1, "n"), ("removed", -1, 0, "o"), ("removed", -1, 1, "o"),
+                   ("removed", -1, 2, "o"), ("removed", -1, 4, "o"), ("removed", -1, 6, "o"), ("unchanged", 0, 5, "n"), ("unchanged", 2, 8, "n"),
+                   ("unchanged", 3, 3, "n"), ("unchanged", 5, 7, "n")]
