@@ -9,9 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Month names as they stand in dates.
 MONTHS = ("(?:Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|Jun(?:e)?|Jul(?:y)?|"
           "Aug(?:ust)?|Sep(?:t|tember)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?)")
-MONTH_KEYS = "janfebmaraprmayjunjulaugsepoctnovdec"
+MONTH_STARTS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 
 # Date formats with their confidence.
 ISO = (r"(?<!\d)\d{4}-\d{2}-\d{2}(?!\d)", "iso", 1.0)
@@ -107,7 +108,7 @@ def _read_slash(raw):
 
 def _read_long(raw):
     name = F.lower(F.substring(F.regexp_extract(raw, "[A-Za-z]{3,}", 0), 1, 3))
-    month = (F.call_function("locate", name, F.lit(MONTH_KEYS)) + 2) / 3
+    month = F.array_position(F.array(*[F.lit(m) for m in MONTH_STARTS]), name)
     day = F.regexp_extract(raw, r"(?<!\d)(\d{1,2})(?!\d)", 1)
     return _date(F.regexp_extract(raw, r"(\d{4})$", 1), month.cast("int"), day.cast("int"))
 

@@ -85,12 +85,15 @@ def _(t):
     return rounded(found.select("idx", F.round(total, 5).alias("v_sum"), "text", "score"), "score")
 
 
-@query("v6_signature_topk", """
+SIGNATURES = """
 WITH s AS (SELECT idx, list_inner_product(signature, q[1:32]) / (sqrt(list_inner_product(q[1:32], q[1:32])) + 1e-9)
   / (sqrt(list_inner_product(signature, signature)) + 1e-9) AS cos FROM signatures, query_vec),
 cand AS (SELECT * FROM s ORDER BY cos DESC, idx LIMIT 20)
 SELECT c.idx, round(cos, 6) AS score, round(cos, 6) AS signature_score FROM cand c JOIN passages p ON c.idx = p.idx
-WHERE NOT p.tombstone ORDER BY cos DESC, c.idx LIMIT 10""")
+WHERE NOT p.tombstone ORDER BY cos DESC, c.idx LIMIT 10"""
+
+
+@query("v6_signature_topk", SIGNATURES)
 def _(t):
     q = rt.vector_of(t.signatures, QUERY_IDX, "signature")
     return rounded(rt.signature_topk(t.signatures, q, 10, t.passages), "score", "signature_score")
@@ -272,6 +275,25 @@ def _(t):
     return out
 
 
+ASSOCIATED = """cand AS (SELECT idx, cos FROM scored ORDER BY cos DESC, idx LIMIT 50),
+prim AS (SELECT c.idx, aux AS score FROM cand c JOIN aux_scores a ON c.idx = a.idx ORDER BY aux DESC, c.idx LIMIT 10)"""
+
+
+@query("v20b_search_modes", f"""
+SELECT 'hamming' AS mode, idx, score, false AS from_walk FROM ({FLAGSHIP})
+UNION ALL SELECT 'pure_brain', idx, score, false FROM ({SIGNATURES})
+UNION ALL SELECT 'associate', idx, score, from_walk FROM ({WALK.replace(PRIMARY, ASSOCIATED)})""")
+def _(t):
+    """The other modes of the same entry: the default with keywords, signatures, and associate with its walk."""
+    q = rt.vector_of(t.signatures, QUERY_IDX, "signature")
+    asked = {"hamming": {"keywords": KEYWORDS}, "pure_brain": {"signatures": t.signatures, "signature_query": q},
+             "associate": {"aux": t.aux_scores, "walk": True, "deleted": t.tombstones}}
+    found = [search(mode, t.vectors, t.query_vec, t.passages, 10, **more) for mode, more in asked.items()]
+    shown = [df.select(F.lit(mode).alias("mode"), "idx", F.round("score", R6).alias("score"), F.col("from_walk") if "from_walk" in df.columns
+                       else F.lit(False).alias("from_walk")) for mode, df in zip(asked, found)]
+    return shown[0].unionByName(shown[1]).unionByName(shown[2])
+
+
 @query("v21_similarity_join", """
 WITH l AS (SELECT v, min(idx) AS rep, count(*) AS n FROM old_vec GROUP BY v),
 r AS (SELECT v, min(idx) AS rep, count(*) AS n FROM new_vec GROUP BY v)
