@@ -79,7 +79,7 @@ def repeated_runs(docs: DataFrame, run_words: int) -> DataFrame:
     wanted = materialize(seen.select("doc_id", "row", "print").join(again, "print").groupBy("doc_id", "row").agg(
         F.collect_set("print").alias("wanted")), "wanted")
     discard(seen, again)
-    asked_for = rows.join(wanted.select("doc_id", "row"), ["doc_id", "row"], "left_semi").join(wanted, ["doc_id", "row"])
+    asked_for = rows.join(wanted.select("doc_id", "row"), ["doc_id", "row"], "left_semi").join(wanted.hint("merge"), ["doc_id", "row"])
 
     def runs(batch):
         for part in slices(batch, "text", 1_000_000):

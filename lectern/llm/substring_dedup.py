@@ -67,7 +67,8 @@ def repeated_paragraphs(docs: DataFrame, similarity: float = SIMILARITY, n: int
     # at most one row a paragraph of the document
     wanted = materialize(placed.groupBy(F.col("first_doc").alias("doc_id")).agg(F.collect_list(F.struct(
         "k0", "k1", "node", F.col("copies").alias("weight"), "root", "blocks", "block")).alias("wanted")), "wanted")
-    texts = docs.select("doc_id", "text").join(wanted.select("doc_id"), "doc_id", "left_semi").join(wanted, "doc_id")
+    # joins of texts are sorted ones at any size, as they are on large tables; marks of a small one would be broadcast
+    texts = docs.select("doc_id", "text").join(wanted.select("doc_id"), "doc_id", "left_semi").join(wanted.hint("merge"), "doc_id")
 
     def members(batch):
         names = ("node", "weight", "root", "blocks", "block")
@@ -113,14 +114,14 @@ def _marked(docs: DataFrame, similarity: float, min_words: int, run_words: int |
     names = docs.columns
     # near copies leave first, so that runs are looked for in what is kept alone
     of_doc = materialize(of_doc, "marks")
-    base = docs.join(of_doc, F.col("doc_id") == F.col("_id"), "left").withColumn("_was", some).withColumn(
+    base = docs.join(of_doc.hint("merge"), F.col("doc_id") == F.col("_id"), "left").withColumn("_was", some).withColumn(
         "text", F.when(some, _without(F.col("text"), F.col("_gone"))).otherwise(F.col("text")))
     if run_words is None:
         return base.withColumn("_runs", F.lit(0).cast("long")), F.col("text"), F.col("_was")
     runs = repeated_runs(base.select("doc_id", "text"), run_words).select(
         F.col("doc_id").alias("_rid"), F.col("row").alias("_row"), "starts", "first_docs")
     held = base.withColumn("_own", row_hash()).join(
-        runs, (F.col("doc_id") == F.col("_rid")) & (F.col("_own") == F.col("_row")), "left").withColumn(
+        runs.hint("merge"), (F.col("doc_id") == F.col("_rid")) & (F.col("_own") == F.col("_row")), "left").withColumn(
         "_c", cutter(run_words)(F.when(F.col("starts").isNotNull(), F.col("text")), F.array().cast("array<int>"), F.col("starts")))
     held = held.select(
         *names, "_c", "_gone", "_was", F.coalesce("_c.runs", F.lit(0)).alias("_runs"),
