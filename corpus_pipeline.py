@@ -18,7 +18,7 @@ def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language the model, trained on a bounded sample of them, does not reject.
 
     A null or empty text, or one without a letter, has no language and goes. Repeated rows share their fate; a null doc_id
-    stays null. Without labelled rows there is no language to learn, and an empty table gives an empty result.
+    stays null. Without a labelled language only texts without a letter go, and an empty table gives an empty result.
     """
     return language_id.keep_identified(docs, language_id.train(docs))
 
