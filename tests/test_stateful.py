@@ -1,11 +1,14 @@
 """Admission in order and expiry on streams, over several micro-batches and Arrow batches."""
 import datetime as dt
+import os
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from lectern.plans.queries_streams import STATE, UTC, settings
 from lectern.session import scratch_path
+from lectern.streaming import activity as ac
 from lectern.streaming import jobs, stateful
 
 START = dt.datetime(2024, 3, 1)
@@ -76,3 +79,21 @@ def test_late_rows_of_two_streams_at_once(spark):
     with settings(spark, **UTC), ThreadPoolExecutor(2) as pool:
         found = list(pool.map(lambda n: jobs.late_rows(events(n), f"late{n}")[1], [7, 30]))
     assert found == [7, 30]
+
+
+@pytest.mark.parametrize("files", [1, 3])
+def test_tables_of_one_or_several_files_are_streamed(spark, files):
+    """A table is one file of its name, or a folder of that name."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    path = scratch_path(spark, "tables")
+    rows = spark.createDataFrame([("user", f"words {i % 4}") for i in range(12)], "source string, text string")
+    if files > 1:
+        rows.repartition(files).write.parquet(f"{path}/said.parquet")
+    else:
+        os.makedirs(path)
+        pq.write_table(pa.table({"source": ["user"] * 12, "text": [f"words {i % 4}" for i in range(12)]}), f"{path}/said.parquet")
+    rows.limit(1).withColumn("text", F.lit("other")).write.parquet(f"{path}/said.parquet.old")
+    got = jobs.ingest_stream(ac.read_events(spark, path, "said.parquet")).collect()
+    assert sorted(r["text"] for r in got) == [f"words {i}" for i in range(4)]
