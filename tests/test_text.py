@@ -157,3 +157,8 @@ def test_flatten_json(spark):
     assert flat.columns == ["id", "raw", "at", "lines"]
     assert sorted(map(str, ((r.raw, r.lines) for r in flat.collect()))) == sorted(map(str, cases))
     assert "ython" not in flat._jdf.queryExecution().toString()
+
+
+def test_first_content_line_keeps_digits_at_its_ends(spark):
+    assert one(spark, tx.first_content_line, "0997 of 10 and 20") == "0997 of 10 and 20"
+    assert one(spark, tx.first_content_line, "notes.md\n  11 lines in 101  \n2") == "11 lines in 101"
