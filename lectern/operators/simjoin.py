@@ -5,7 +5,8 @@ are then placed by pivots. Each right vector lives in the cell of its nearest pi
 visits every cell that can hold a partner, since a partner within distance e of it cannot lie
 further than e beyond the plane between two pivots. Every qualifying pair therefore meets in
 exactly one cell. A cell with more vectors than ``CELL_ROWS`` is cut into sub-blocks on both
-sides, so no task sees more than two such blocks, and a task emits qualifying pairs only.
+sides. A task holds the left vectors of one such block and passes the right ones by in batches, emitting
+qualifying pairs only, so its memory depends neither on the table nor on the number of pairs.
 """
 from __future__ import annotations
 
@@ -22,8 +23,9 @@ from ..session import cut_lineage
 from . import ranking
 
 PIVOTS = 256
-CELL_ROWS = 4096
+CELL_ROWS = 32768
 SLACK = 1e-6
+SCORES = 1 << 21          # similarities that a task holds at once
 EDGE_SCHEMA = "left_rep bigint, right_rep bigint, similarity double"
 
 
@@ -44,9 +46,9 @@ def _unit(m):
 
 
 def _pivots(groups: DataFrame) -> np.ndarray:
-    """Distinct directions, chosen by hash: four for every ``CELL_ROWS`` vectors, so that no row is sent to more cells than the
+    """Distinct directions, chosen by hash: one for every ``CELL_ROWS`` vectors, so that no row is sent to more cells than the
     table needs, and at most ``PIVOTS``: a bounded read."""
-    wanted = min(PIVOTS, math.ceil(4 * groups.count() / CELL_ROWS))
+    wanted = min(PIVOTS, math.ceil(groups.count() / CELL_ROWS))
     rows = groups.select("rep", "v").orderBy(F.xxhash64("rep"), "rep").limit(wanted).collect() if wanted else []
     if not rows:
         return np.zeros((0, 0))
@@ -93,8 +95,8 @@ def similar_pairs(left: DataFrame, right: DataFrame, threshold: float, inclusive
                   best: int | None = None) -> DataFrame:
     """(left_rep, right_rep, similarity) between distinct vectors of two ``vector_groups``.
 
-    With ``best``, a task emits at most that many partners of a left vector, the most similar. A null
-    vector has no partner.
+    With ``best``, at most that many partners of a left vector come from each batch that a task passes by, the most similar.
+    A null vector has no partner.
     """
     left, right = left.filter("v IS NOT NULL"), right.filter("v IS NOT NULL")
     pivots = _pivots(right)
@@ -113,25 +115,68 @@ def similar_pairs(left: DataFrame, right: DataFrame, threshold: float, inclusive
     cuts = blocks(visits, "n_lb").join(blocks(homes, "n_rb"), "cell")
     l_parts = _split(visits, cuts, "lb", "rb")
     r_parts = _split(homes, cuts, "rb", "lb")
-    names = pa.schema([("left_rep", pa.int64()), ("right_rep", pa.int64()), ("similarity", pa.float64())])
-
-    def meet(a: pa.Table, b: pa.Table) -> pa.Table:
-        if not a.num_rows or not b.num_rows:
-            return names.empty_table()
-        sims = np.round(_unit(vx.matrix(a.column("v"))) @ _unit(vx.matrix(b.column("v"))).T, 12)
-        ids = b.column("rep").to_numpy()
-        hit = sims >= threshold if inclusive else sims > threshold
-        if best is not None and hit.shape[1] > best:
-            order = np.lexsort((np.broadcast_to(ids, sims.shape), -sims), axis=1)[:, :best]
-            kept = np.zeros_like(hit)
-            np.put_along_axis(kept, order, True, axis=1)
-            hit &= kept
-        i, j = np.nonzero(hit)
-        return pa.table({"left_rep": a.column("rep").to_numpy()[i], "right_rep": ids[j],
-                         "similarity": sims[i, j]}, schema=names)
-
-    keys = ["cell", "lb", "rb"]
-    return l_parts.groupBy(*keys).cogroup(r_parts.groupBy(*keys)).applyInArrow(meet, EDGE_SCHEMA)
+    return _meet(l_parts, r_parts, ["cell", "lb", "rb"], threshold, inclusive, best)
+
+
+def _meet(left: DataFrame, right: DataFrame, keys: list[str], threshold: float, inclusive: bool = False, best: int | None = None,
+          bands: int = 0) -> DataFrame:
+    """Qualifying pairs of left and right rows (rep, v) that share their whole-number ``keys``.
+
+    Both sides are dealt by the keys, the left rows first. With ``bands``, the first key is a band, and rows that
+    share one of their ``codes`` in an earlier band have met there.
+    """
+    columns = [*keys, "rep", "v", *(["codes"] if bands else [])]
+    names = ["left_rep", "right_rep", "similarity"]
+
+    def codes(part):
+        return part.column("codes").combine_chunks().flatten().to_numpy().reshape(part.num_rows, bands) if bands else None
+
+    def side(part):
+        part = part if isinstance(part, pa.Table) else pa.Table.from_batches([part])
+        return part.column("rep").to_numpy(), _unit(vx.matrix(part.column("v"))), codes(part)
+
+    def pairs(a, b, band):
+        (a_ids, a_unit, a_codes), (b_ids, b_unit, b_codes) = a, b
+        step = max(1, SCORES // len(b_ids))
+        for at in range(0, len(a_ids), step):
+            scores = a_unit[at:at + step] @ b_unit.T
+            i, j = np.nonzero(scores > threshold - SLACK)
+            sims = np.round(scores[i, j], 12)
+            hit = sims >= threshold if inclusive else sims > threshold
+            i, j, sims = i[hit], j[hit], sims[hit]
+            if best is not None and len(i) > best:
+                order = np.lexsort((b_ids[j], -sims, i))
+                i, j, sims = i[order], j[order], sims[order]
+                kept = np.arange(len(i)) - np.searchsorted(i, i) < best
+                i, j, sims = i[kept], j[kept], sims[kept]
+            if bands and band:
+                first = ~(a_codes[at + i, :band] == b_codes[j, :band]).any(axis=1)
+                i, j, sims = i[first], j[first], sims[first]
+            if len(i):
+                yield pa.RecordBatch.from_arrays([pa.array(a_ids[at + i]), pa.array(b_ids[j]), pa.array(sims)], names=names)
+
+    def work(batches):
+        spot, waiting, held = None, [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            at = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in [*keys, "_right"]], axis=1)
+            cuts = [0, *(np.flatnonzero((at[1:] != at[:-1]).any(axis=1)) + 1), len(at)]
+            for lo, hi in zip(cuts, cuts[1:]):
+                *here, passing = at[lo].tolist()
+                part = batch.slice(lo, hi - lo)
+                if here != spot:
+                    spot, waiting, held = here, [], None
+                if not passing:
+                    waiting.append(part)
+                    continue
+                if held is None and waiting:
+                    held, waiting = side(pa.Table.from_batches(waiting)), []
+                if held is not None:
+                    yield from pairs(held, side(part), here[0])
+
+    both = left.select(*columns, F.lit(0).alias("_right")).unionByName(right.select(*columns, F.lit(1).alias("_right")))
+    return both.repartition(*keys).sortWithinPartitions(*keys, "_right").mapInArrow(work, EDGE_SCHEMA)
 
 
 # -- approximate mode ---------------------------------------------------------------------------
@@ -149,13 +194,20 @@ def near_pairs(left: DataFrame, right: DataFrame, threshold: float, recall: floa
     A vector's sides of ``bits`` random planes are its bucket in a band; a pair that shares a bucket in any band is compared,
     once, in the first band it shares. ``bits`` follows the logarithm of the number of right vectors by default, which
     keeps a bucket of vectors without structure at a few rows, and the number of bands follows from ``bits``, ``threshold``
-    and ``recall``. A bucket with more than ``CELL_ROWS`` vectors is cut into blocks on both sides.
+    and ``recall``. A bucket with more than ``CELL_ROWS`` vectors is cut into blocks on both sides. A vector is sent to each of its
+    bands; where these are more than the blocks it meets in the exact join, as with low thresholds, that one is the smaller
+    work on disk and is taken, unless ``bits`` is given.
     """
     left, right = left.filter("v IS NOT NULL"), right.filter("v IS NOT NULL")
     spark, one = left.sparkSession, right.select(F.size("v").alias("n")).limit(1).collect()
     if not one:
         return spark.createDataFrame([], EDGE_SCHEMA)
-    bits = bits or max(4, min(24, math.ceil(math.log2(max(right.count() / 64, 1)))))
+    if bits is None:
+        n_left, n_right = left.count(), right.count()
+        bits = max(4, min(24, math.ceil(math.log2(max(n_right / 64, 1)))))
+        # a row is sent once a band, or once a pivot or block
+        if plane_bands(threshold, recall, bits) > max(math.ceil(n_left / CELL_ROWS), math.ceil(n_right / CELL_ROWS)):
+            return similar_pairs(left, right, threshold)
     bands, dim = plane_bands(threshold, recall, bits), one[0]["n"]
 
     def banded(df: DataFrame) -> DataFrame:
@@ -185,22 +237,7 @@ def near_pairs(left: DataFrame, right: DataFrame, threshold: float, recall: floa
             other, F.explode(F.sequence(F.lit(0), F.col(f"n_{other}") - 1))).select(*keys, "lb", "rb", "rep", "v", "codes")
 
     l_big, r_big = large(lefts, "n_lb"), large(rights, "n_rb")     # few rows: a bucket counts once it is beyond CELL_ROWS
-    names = pa.schema([("left_rep", pa.int64()), ("right_rep", pa.int64()), ("similarity", pa.float64())])
-
-    def meet(key, a: pa.Table, b: pa.Table) -> pa.Table:
-        if not a.num_rows or not b.num_rows:
-            return names.empty_table()
-        band = key[0].as_py()
-        sims = np.round(_unit(vx.matrix(a.column("v"))) @ _unit(vx.matrix(b.column("v"))).T, 12)
-        i, j = np.nonzero(sims > threshold)
-        codes = [t.column("codes").combine_chunks().flatten().to_numpy().reshape(t.num_rows, bands) for t in (a, b)]
-        first = ~(codes[0][i, :band] == codes[1][j, :band]).any(axis=1)
-        i, j = i[first], j[first]
-        return pa.table({"left_rep": a.column("rep").to_numpy()[i], "right_rep": b.column("rep").to_numpy()[j], "similarity": sims[i, j]}, schema=names)
-
-    spot = [*keys, "lb", "rb"]
-    return split(lefts, "lb", "rb", l_big, r_big).groupBy(*spot).cogroup(
-        split(rights, "rb", "lb", r_big, l_big).groupBy(*spot)).applyInArrow(meet, EDGE_SCHEMA)
+    return _meet(split(lefts, "lb", "rb", l_big, r_big), split(rights, "rb", "lb", r_big, l_big), [*keys, "lb", "rb"], threshold, bands=bands)
 
 
 def similarity_left_join(left: DataFrame, right: DataFrame, threshold: float = 0.8, recall: float | None = None) -> DataFrame:

@@ -91,6 +91,18 @@ def test_near_pairs_odd_rows(spark):
     assert simjoin.similarity_left_join(rows, rows.limit(0), 0.9, recall=0.99).filter("right_idx IS NOT NULL").isEmpty()
 
 
+def test_low_thresholds_are_joined_exactly(spark, cloud, monkeypatch):
+    """A row would go to hundreds of bands otherwise; the exact join is as whole with few similarities held at once."""
+    monkeypatch.setattr(simjoin, "SCORES", 64)
+    monkeypatch.setattr(simjoin, "CELL_ROWS", 16)
+    rng = np.random.default_rng(3)
+    m = rng.normal(size=(150, 12))
+    sims = np.round(unit(m) @ unit(m).T, 12)
+    rows = simjoin.near_pairs(*[simjoin.vector_groups(frame(spark, m))] * 2, 0.4, 0.95).collect()
+    got = sorted((r["left_rep"], r["right_rep"]) for r in rows)
+    assert got == sorted(zip(*(x.tolist() for x in np.nonzero(sims > 0.4))))
+
+
 def greedy(old, new, threshold):
     sims = unit(new) @ unit(old).T
     free, out = set(range(len(old))), {}
