@@ -23,20 +23,25 @@ def _(t):
 
 
 def packed_archives(t) -> DataFrame:
-    """The corpus written as array archives, one per Arrow batch, with formats 2 and 3 blocks."""
+    """The corpus written as array archives, with formats 2 and 3 blocks: one per Arrow batch, or several where its longest
+    text, whose width every row of the text array takes, would make that array large."""
     rows = t.block.join(t.embeddings.select(F.col("vec_id").alias("idx"), F.col("embedding").alias("v")), "idx")
 
     def pack(batches):
         import io
         import numpy as np
         import pyarrow as pa
+        import pyarrow.compute as pc
         layout = np.dtype([("id", "<u4"), ("version", "u1"), ("kind", "u1"), ("prev", "<u4"), ("next", "<u4"), ("sibling", "<u4"),
                            ("source", "<u4"), ("sequence", "<u2"), ("ts", "<u4"), ("flags", "u1"), ("perms", "u1"),
                            ("lifecycle", "u1"), ("rest", "V33")])
-        for batch in batches:
+        def cut(batch):
+            longest = pc.max(pc.utf8_length(batch.column("text"))).as_py() or 0
+            step = max(1, archives.BYTES_PER_BATCH // (4 * max(longest, 1)))
+            yield from (batch.slice(at, step) for at in range(0, batch.num_rows, step))
+
+        for batch in (part for whole in batches for part in cut(whole)):
             n = batch.num_rows
-            if not n:
-                continue
             col = {name: batch.column(name).to_numpy(zero_copy_only=False) for name in
                    ("idx", "source_hash", "ts_unix", "flags", "perms", "lifecycle")}
             raw = np.zeros(n, dtype=layout)

@@ -2,6 +2,8 @@
 from __future__ import annotations
 
 import io
+import math
+import zipfile
 import zlib
 
 import numpy as np
@@ -14,6 +16,46 @@ ROW_SCHEMA = ("path string, idx bigint, text string, source string, v array<floa
 EMBEDDINGS, PASSAGES, COMPRESSED, SOURCES, BLOCKS = (
     "embeddings", "passages", "compressed_texts", "source_paths", "hippocampus")
 ROWS_PER_BATCH = 1024
+BYTES_PER_BATCH = 16 << 20
+
+
+class _Rows:
+    """The rows of one array of an archive, read a few at a time. A text array has the width of its longest text in
+    every row, so that a whole one may take far more memory than its archive."""
+
+    def __init__(self, z: zipfile.ZipFile, name: str):
+        with z.open(f"{name}.npy") as f:
+            self.n, self.by_rows = self._header(f)
+        if self.by_rows:
+            self.file = z.open(f"{name}.npy")
+            self._header(self.file)
+        else:       # stored by columns, or without rows: the array itself
+            with z.open(f"{name}.npy") as f:
+                self.whole = np.lib.format.read_array(f, allow_pickle=False)
+        self.at = 0
+
+    def _header(self, f) -> tuple[int, bool]:
+        version = np.lib.format.read_magic(f)
+        read = np.lib.format.read_array_header_1_0 if version == (1, 0) else np.lib.format.read_array_header_2_0
+        shape, by_columns, self.kind = read(f)
+        if self.kind.hasobject:
+            raise ValueError("Object arrays cannot be loaded when allow_pickle=False")
+        if not shape:
+            raise TypeError("an array of an archive has no rows")
+        self.shape = shape[1:]
+        self.row_bytes = max(1, math.prod(self.shape) * self.kind.itemsize)
+        return shape[0], not by_columns or len(shape) == 1
+
+    def take(self, n: int) -> np.ndarray:
+        n = min(n, self.n - self.at)
+        self.at += n
+        if not self.by_rows:
+            return self.whole[self.at - n:self.at]
+        count = n * math.prod(self.shape)
+        if not count or not self.kind.itemsize:
+            return np.zeros((n, *self.shape), self.kind)
+        raw = self.file.read(count * self.kind.itemsize)
+        return np.frombuffer(raw, self.kind, count).reshape(n, *self.shape)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
@@ -22,36 +64,35 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
 def ingest(files: DataFrame) -> DataFrame:
     """(path, content) -> one row per passage; an archive without embeddings, or with pickled
-    arrays, is an error. Text comes from ``passages``, else the inflated texts, else is empty."""
-
-    def texts(z, n):
-        if PASSAGES in z.files:
-            return [str(t) for t in z[PASSAGES]]
-        if COMPRESSED in z.files:
-            return [zlib.decompress(bytes(b)).decode("utf-8", "replace") for b in z[COMPRESSED]]
-        return [""] * n
+    arrays, is an error. Text comes from ``passages``, else the inflated texts, else is empty. A few rows of an archive's
+    arrays are held at once, however many it has and however long its longest text is."""
 
     def rows(batches):
         for batch in batches:
             for path, content in zip(batch.column("path").to_pylist(), batch.column("content")):
-                with np.load(io.BytesIO(content.as_py()), allow_pickle=False) as z:
-                    if EMBEDDINGS not in z.files:
+                with zipfile.ZipFile(io.BytesIO(content.as_py())) as z:
+                    stored = {name[:-4] for name in z.namelist() if name.endswith(".npy")}
+                    if EMBEDDINGS not in stored:
                         raise ValueError(f"{path}: no embeddings")
-                    vectors = np.asarray(z[EMBEDDINGS], dtype=np.float32)
-                    n = len(vectors)
-                    text = (texts(z, n) + [""] * n)[:n]
-                    source = ([str(s) for s in z[SOURCES]] if SOURCES in z.files else [])
-                    source = (source + [""] * n)[:n]
-                    blocks = [bytes(b) for b in z[BLOCKS]] if BLOCKS in z.files else []
-                    blocks = (blocks + [None] * n)[:n]
-                for at in range(0, n, ROWS_PER_BATCH):
-                    part = slice(at, min(at + ROWS_PER_BATCH, n))
-                    size = part.stop - part.start
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([path] * size), pa.array(np.arange(part.start, part.stop)), pa.array(text[part]),
-                         pa.array(source[part]), pa.array(list(vectors[part]), pa.list_(pa.float32())),
-                         pa.array(blocks[part], pa.binary())],
-                        names=["path", "idx", "text", "source", "v", "block"])
+                    text = PASSAGES if PASSAGES in stored else COMPRESSED
+                    others = {name: _Rows(z, name) for name in (text, SOURCES, BLOCKS) if name in stored}
+                    vectors, at = _Rows(z, EMBEDDINGS), 0
+                    # the widest array says how many rows are held at once
+                    step = max(1, min(ROWS_PER_BATCH, BYTES_PER_BATCH // max(x.row_bytes for x in (vectors, *others.values()))))
+                    while at < vectors.n:
+                        part = np.asarray(vectors.take(step), dtype=np.float32)
+                        size = len(part)
+                        held = {name: (list(x.take(size)) + [None] * size)[:size] for name, x in others.items()}
+                        read = (lambda t: zlib.decompress(bytes(t)).decode("utf-8", "replace")) if text == COMPRESSED else str
+                        none = [None] * size
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array([path] * size), pa.array(np.arange(at, at + size)),
+                             pa.array(["" if t is None else read(t) for t in held.get(text, none)]),
+                             pa.array(["" if s is None else str(s) for s in held.get(SOURCES, none)]),
+                             pa.array(list(part), pa.list_(pa.float32())),
+                             pa.array([None if b is None else bytes(b) for b in held.get(BLOCKS, none)], pa.binary())],
+                            names=["path", "idx", "text", "source", "v", "block"])
+                        at += size
 
     return files.select("path", "content").mapInArrow(rows, ROW_SCHEMA)
 

@@ -1,5 +1,6 @@
 """Sources, access grid, changes, plans and streams."""
 import io
+import zipfile
 
 import numpy as np
 import pytest
@@ -34,6 +35,20 @@ def test_archives_text_fallbacks(spark):
     assert packed.shape == (1, 2)
 
 
+def test_archives_are_read_a_few_rows_at_a_time(spark, monkeypatch):
+    """One long text makes every row of the text array that wide."""
+    text = np.array(["x" * 40_000] + [f"t{i}" for i in range(199)])
+    v = np.arange(400, dtype=np.float64).reshape(200, 2)
+    content = archive(embeddings=np.asfortranarray(v), passages=text, source_paths=np.array(["s"] * 150), hippocampus=np.full((200, 64), 3, np.uint8))
+    z = zipfile.ZipFile(io.BytesIO(content))
+    read = archives._Rows(z, "passages")
+    assert read.row_bytes == 160_000 and len(read.take(3)) == 3 and read.take(200)[-1] == "t198"
+    monkeypatch.setattr(archives, "BYTES_PER_BATCH", 1 << 20)
+    got = archives.ingest(spark.createDataFrame([("a", content)], "path string, content binary")).orderBy("idx").collect()
+    assert [r["text"] for r in got] == text.tolist() and [list(r["v"]) for r in got] == v.tolist()
+    assert [r["source"] for r in got] == ["s"] * 150 + [""] * 50 and {bytes(r["block"]) for r in got} == {b"\3" * 64}
+
+
 @pytest.mark.parametrize("version", [1, 2, 3])
 def test_unpack_block_versions(spark, version):
     import struct
