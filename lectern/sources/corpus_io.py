@@ -22,13 +22,14 @@ def scan_passages(spark: SparkSession, path: str, live_only: bool = False) -> Da
 def write_corpus(df: DataFrame, path: str, compact: bool = False, mode: str = "errorifexists") -> None:
     """Parquet by corpus and idx block, sorted by idx, so that an id lookup prunes files.
 
-    ``compact`` drops tombstones and renumbers each corpus from 0.
+    ``compact`` drops tombstones and renumbers each corpus from 0. Rows are dealt into sorted ranges of corpus and idx, so
+    that a large block lies in several files, each of its own idx range, and no task writes all of it.
     """
     if compact:
         live = df.filter(~F.col("tombstone"))
         df = ranking.row_number(live, ["corpus_id"], "idx", "_n").withColumn("idx", F.col("_n") - 1).drop("_n")
     blocked = df.withColumn("idx_block", F.floor(F.col("idx") / IDX_BLOCK).cast("int"))
-    (blocked.repartition("corpus_id", "idx_block").sortWithinPartitions("corpus_id", "idx_block", "idx")
+    (blocked.repartitionByRange("corpus_id", "idx_block", "idx").sortWithinPartitions("corpus_id", "idx_block", "idx")
      .write.partitionBy("corpus_id", "idx_block").mode(mode).parquet(path))
 
 

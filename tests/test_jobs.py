@@ -49,6 +49,22 @@ def test_archives_are_read_a_few_rows_at_a_time(spark, monkeypatch):
     assert [r["source"] for r in got] == ["s"] * 150 + [""] * 50 and {bytes(r["block"]) for r in got} == {b"\3" * 64}
 
 
+def test_a_large_block_is_written_by_several_tasks(spark):
+    from lectern.session import scratch_path
+    path = scratch_path(spark, "ranges")
+    rows = spark.range(4000).select("id", F.lit("c").alias("corpus_id"), F.col("id").alias("idx"), F.lit(False).alias("tombstone"))
+    with_files = {"spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    for k, v in with_files.items():
+        spark.conf.set(k, v)
+    try:
+        corpus_io.write_corpus(rows, path)
+    finally:
+        for k in with_files:
+            spark.conf.unset(k)
+    spans = spark.read.parquet(path).groupBy(F.input_file_name()).agg(F.min("idx").alias("lo"), F.max("idx").alias("hi")).orderBy("lo").collect()
+    assert len(spans) > 1 and all(a["hi"] < b["lo"] for a, b in zip(spans, spans[1:]))
+
+
 @pytest.mark.parametrize("version", [1, 2, 3])
 def test_unpack_block_versions(spark, version):
     import struct
