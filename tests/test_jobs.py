@@ -65,6 +65,17 @@ def test_a_large_block_is_written_by_several_tasks(spark):
     assert len(spans) > 1 and all(a["hi"] < b["lo"] for a, b in zip(spans, spans[1:]))
 
 
+def test_a_built_corpus_numbers_rows_without_their_texts(spark, monkeypatch):
+    from lectern.operators import build, ranking
+    numbered, real = [], ranking.in_order
+    monkeypatch.setattr(ranking, "in_order", lambda df, *a, **k: numbered.append(df.columns) or real(df, *a, **k))
+    docs = spark.createDataFrame([(2, "s", "b\nc"), (1, "s", "a"), (3, "r", " "), (4, "r", "d")], "doc_id bigint, source string, text string")
+    got = build.build_corpus(docs, "doc_id", 1, 0)["passages"].orderBy("idx").collect()
+    assert [(r["text"], r["label"], r["prev_idx"], r["next_idx"]) for r in got] == [
+        ("a", "s (part 1/3)", None, 1), ("b", "s (part 2/3)", 0, 2), ("c", "s (part 3/3)", 1, None), ("d", "r", None, None)]
+    assert numbered and not any("text" in columns for columns in numbered)
+
+
 @pytest.mark.parametrize("version", [1, 2, 3])
 def test_unpack_block_versions(spark, version):
     import struct
