@@ -6,6 +6,8 @@ intermediate array once, so later stages refer to it without evaluating it again
 """
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,17 +16,18 @@ MONTHS = ("(?:Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|Jun(?:e)?|Jul
           "Aug(?:ust)?|Sep(?:t|tember)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?)")
 MONTH_STARTS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 
-# Date formats with their confidence.
-ISO = (r"(?<!\d)\d{4}-\d{2}-\d{2}(?!\d)", "iso", 1.0)
-COMPACT = (r"(?<!\d)\d{8}(?!\d)", "compact", 0.95)
-SLASH = (r"(?<!\d)\d{1,2}/\d{1,2}/(?:\d{2}|\d{4})(?!\d)", "us_slash", 0.9)
-MONTH_FIRST = (rf"(?i)\b{MONTHS}\s+\d{{1,2}}(?:st|nd|rd|th)?,?\s+\d{{4}}\b", "long", 0.95)
-DAY_FIRST = (rf"(?i)\b\d{{1,2}}(?:st|nd|rd|th)?\s+{MONTHS}\s+\d{{4}}\b", "long", 0.95)
+# Date formats with their confidence. What a place must begin with is tested before what may stand in front.
+ISO = (r"\d(?<!\d\d)\d{3}-\d{2}-\d{2}(?!\d)", "iso", 1.0)
+COMPACT = (r"\d(?<!\d\d)\d{7}(?!\d)", "compact", 0.95)
+SLASH = (r"\d(?<!\d\d)\d?/\d{1,2}/(?:\d{2}|\d{4})(?!\d)", "us_slash", 0.9)
+MONTH_FIRST = (rf"(?i)(?=[a-z])\b{MONTHS}\s+\d{{1,2}}(?:st|nd|rd|th)?,?\s+\d{{4}}\b", "long", 0.95)
+DAY_FIRST = (rf"(?i)(?=\d)\b\d{{1,2}}(?:st|nd|rd|th)?\s+{MONTHS}\s+\d{{4}}\b", "long", 0.95)
 
 # Amounts and currency marks.
 AMOUNT = r"(?:\d{1,3}(?:,\d{3})+(?:\.\d+)?|\d+(?:\.\d+)?)"
 AMOUNT_THREE_DIGITS_FIRST = r"(?:\d{1,3}(?:,\d{3})*(?:\.\d+)?|\d+(?:\.\d+)?)"
-CODES = "(?:USD|EUR|GBP|CAD|AUD|JPY|CHF)"
+CODE_NAMES = ("USD", "EUR", "GBP", "CAD", "AUD", "JPY", "CHF")
+CODES = f"(?:{'|'.join(CODE_NAMES)})"
 HINT_WORD = "[A-Za-z][A-Za-z_-]*"
 HINT_WINDOW = 20
 MONEY = "decimal(18,4)"
@@ -56,6 +59,7 @@ def _total_length(parts: Column) -> Column:
 
 
 SPAN_TYPE = "array<struct<raw:string,start:int,end:int>>"
+MARK = "\x01"
 
 
 def spans(text: Column, pattern: str) -> Column:
@@ -67,14 +71,23 @@ def spans(text: Column, pattern: str) -> Column:
     def locate(m):
         def place(p):
             def one(raw, i):
-                start = _total_length(F.slice(p, F.lit(1), i + 1)) + _total_length(F.slice(m, F.lit(1), i))
-                return record(raw=raw, start=start, end=(start + F.length(raw)))
+                before = _total_length(F.slice(p, F.lit(1), i + 1)) + _total_length(F.slice(m, F.lit(1), i))
+                return let(before, lambda start: record(raw=raw, start=start, end=(start + F.length(raw))))
             return F.transform(m, one).cast(SPAN_TYPE)
-        return F.when(F.size(m) == 0, F.array().cast(SPAN_TYPE)).otherwise(let(F.split(text, pattern, -1), place))
+        # split() compiles a pattern for every row but not a single character; text that holds this one is split by the pattern
+        pieces = F.when(F.contains(text, F.lit(MARK)), F.split(text, pattern, -1)).otherwise(
+            F.split(F.regexp_replace(text, pattern, MARK), MARK, -1))
+        return F.when(F.size(m) == 0, F.array().cast(SPAN_TYPE)).otherwise(let(pieces, place))
 
     return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), locate)
 
 
+def _holding(text: Column, marks, found: Column, kind: str) -> Column:
+    """``found`` where the text holds one of the marks without which it would be empty: a pattern costs far more to search."""
+    some = reduce(lambda x, y: x | y, [F.contains(text, F.lit(m)) for m in marks])
+    return F.when(some, found).otherwise(F.array().cast(kind))
+
+
 def _with_digits(text: Column, found: Column, kind: str) -> Column:
     """Neither a date nor an amount lacks a digit; other text is not searched further."""
     return F.when(F.regexp_like(text, F.lit("[0-9]")), found).otherwise(F.array().cast(kind))
@@ -113,13 +126,16 @@ def _read_long(raw):
     return _date(F.regexp_extract(raw, r"(\d{4})$", 1), month.cast("int"), day.cast("int"))
 
 
+DATED_TYPE = "array<struct<start:int,rank:double,shortness:int,end:int,raw:string,date:date,source_format:string>>"
+
+
 def _dated(text: Column, kind, read) -> Column:
     pattern, name, confidence = kind
     hits = F.transform(spans(text, pattern), lambda h: record(
         start=h["start"], rank=F.lit(-confidence),
         shortness=(h["start"] - h["end"]), end=h["end"], raw=h["raw"],
         date=read(h["raw"]), source_format=F.lit(name)))
-    return F.filter(hits, lambda h: h["date"].isNotNull())
+    return F.filter(hits, lambda h: h["date"].isNotNull()).cast(DATED_TYPE)
 
 
 def extract_dates(text: Column) -> Column:
@@ -129,9 +145,10 @@ def extract_dates(text: Column) -> Column:
     of the last kept one is dropped.
     """
     text = F.coalesce(text, F.lit(""))
-    found = F.concat(_dated(text, ISO, _read_iso), _dated(text, COMPACT, _read_compact),
-                     _dated(text, SLASH, _read_slash), _dated(text, MONTH_FIRST, _read_long),
-                     _dated(text, DAY_FIRST, _read_long))
+    named = let(F.lower(text), lambda low: _holding(low, MONTH_STARTS, F.concat(
+        _dated(text, MONTH_FIRST, _read_long), _dated(text, DAY_FIRST, _read_long)), DATED_TYPE))
+    found = F.concat(_holding(text, "-", _dated(text, ISO, _read_iso), DATED_TYPE), _dated(text, COMPACT, _read_compact),
+                     _holding(text, "/", _dated(text, SLASH, _read_slash), DATED_TYPE), named)
 
     kept_type = ("array<struct<date:date,raw_span:string,start:int,end:int,confidence:double,"
                  "source_format:string>>")
@@ -185,14 +202,14 @@ def extract_currency(text: Column, presets=(), three_digits_first: bool = False)
     text = F.coalesce(text, F.lit(""))
     amount = AMOUNT_THREE_DIGITS_FIRST if three_digits_first else AMOUNT
     stages = [
-        (rf"\(\s*\$\s*{amount}\s*\)", "USD", True, 1.0),
-        (rf"\$\s*{amount}", "USD", False, 1.0),
-        (rf"(?<!\w){amount}\s*{CODES}\b", None, False, 0.95),
-        (rf"€\s*{amount}", "EUR", False, 0.9),
-        (rf"£\s*{amount}", "GBP", False, 0.9),
+        ("(", rf"\(\s*\$\s*{amount}\s*\)", "USD", True, 1.0),
+        ("$", rf"\$\s*{amount}", "USD", False, 1.0),
+        (CODE_NAMES, rf"(?=\d)(?<!\w){amount}\s*{CODES}\b", None, False, 0.95),
+        ("€", rf"€\s*{amount}", "EUR", False, 0.9),
+        ("£", rf"£\s*{amount}", "GBP", False, 0.9),
     ]
 
-    def read(pattern, currency, negative, confidence):
+    def read(marks, pattern, currency, negative, confidence):
         def one(h):
             number = F.replace(F.regexp_extract(h["raw"], r"\d[\d,]*(?:\.\d+)?", 0), F.lit(","), F.lit(""))
             code = F.lit(currency) if currency else F.substring(h["raw"], -3, 3)
@@ -201,7 +218,8 @@ def extract_currency(text: Column, presets=(), three_digits_first: bool = False)
                 start=h["start"], end=h["end"], is_negative=F.lit(negative),
                 confidence=F.lit(confidence).cast("double"),
                 context_hint=context_hint(text, h["start"], h["end"]))
-        return F.filter(F.transform(spans(text, pattern), one), lambda h: h["value"].isNotNull())
+        hits = F.filter(F.transform(spans(text, pattern), one), lambda h: h["value"].isNotNull())
+        return _holding(text, marks, hits.cast(MONEY_TYPE), MONEY_TYPE)
 
     def stage(kept, rest):
         if not rest:
