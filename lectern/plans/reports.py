@@ -146,10 +146,16 @@ def timeline(passages: DataFrame, entity: str | None = None, granularity: str =
 
 
 def _dated_money(passages: DataFrame, presets) -> DataFrame:
+    """A row per amount, with its passage's date. Both are made by the generator, so that a text is searched once, whatever
+    is asked of its rows, and for a date only if it holds an amount."""
     text = F.col("text")
-    live = filters.live(passages)
-    return live.select("idx", "source", ex.first_date(text, F.col("source")).alias("date"),
-                       F.explode(ex.extract_currency(text, presets)).alias("m")).select("idx", "source", "date", "m.*")
+
+    def dated(found):
+        with_date = ex.let(ex.first_date(text, F.col("source")), lambda d: F.transform(found, lambda m: ex.record(date=d, m=m)))
+        return F.when(F.size(found) > 0, with_date)
+
+    rows = filters.live(passages).select("idx", "source", F.explode(ex.let(ex.extract_currency(text, presets), dated)).alias("r"))
+    return rows.select("idx", "source", "r.date", "r.m.*")
 
 
 def trend(passages: DataFrame, metric: str = "fuel_surcharge", custom_regex: str | None = None, grouping: str = "month") -> DataFrame:
@@ -162,9 +168,9 @@ def trend(passages: DataFrame, metric: str = "fuel_surcharge", custom_regex: str
     else:
         points = _dated_money(passages, (metric,))
     point = F.col("source") if grouping == "invoice" else F.date_trunc(grouping, "date").cast("date").cast("string")
-    series = points.groupBy(point.alias("point")).agg(
+    series = materialize(points.groupBy(point.alias("point")).agg(
         F.count("*").alias("n"), F.sum("value").cast("decimal(38,4)").alias("total"),
-        F.min("value").alias("low"), F.max("value").alias("high"))
+        F.min("value").alias("low"), F.max("value").alias("high")), "trend")      # read twice
     few = series.agg((F.count("*") < MIN_POINTS)).scalar()
     return series.withColumn("too_few_points", few)
 
