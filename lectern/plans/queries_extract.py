@@ -63,7 +63,7 @@ SELECT i.source, count(DISTINCT i.idx) AS n, min(date) AS first_seen, max(date)
 BIGRAMS = f"""k AS (SELECT idx, {TOKENS} AS ts FROM {{v}}),
 g AS (SELECT idx, unnest(list_transform(range(1, len(ts)), lambda i: ts[i] || ' ' || ts[i + 1])) AS theme FROM k)"""
 query("a6_top_themes", f"WITH {BIGRAMS.format(v='passages')} SELECT theme, count(*) AS n FROM g GROUP BY 1 ORDER BY n DESC, theme LIMIT 20")(
-    lambda t: cp.top_themes(t.wide_passages, 20))
+    lambda t: cp.top_themes(t.dealt_passages, 20))
 
 
 @query("a7_theme_fallback", """
