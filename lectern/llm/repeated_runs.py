@@ -79,7 +79,9 @@ def repeated_runs(docs: DataFrame, run_words: int) -> DataFrame:
     wanted = materialize(seen.select("doc_id", "row", "print").join(again, "print").groupBy("doc_id", "row").agg(
         F.collect_set("print").alias("wanted")), "wanted")
     discard(seen, again)
-    asked_for = rows.join(wanted.select("doc_id", "row"), ["doc_id", "row"], "left_semi").join(wanted.hint("merge"), ["doc_id", "row"])
+    marks = wanted.toDF("_rid", "_row", "wanted")
+    asked_for = rows.join(marks.drop("wanted"), of_row("row"), "left_semi").join(marks.hint("merge"), of_row("row")).select(
+        "doc_id", "row", "text", "wanted")
 
     def runs(batch):
         for part in slices(batch, "text", 1_000_000):
@@ -116,6 +118,12 @@ def row_hash() -> Column:
     return F.xxhash64("text")
 
 
+def of_row(own: str) -> Column:
+    """Joins texts (doc_id, ``own``) with what is known of them (_rid, _row). The only key is the id, by which texts have been dealt
+    already; with the row as another they would be shuffled again."""
+    return (F.col("doc_id") == F.col("_rid")) & (F.col(own).bitwiseXOR(F.col("_row")) == 0)
+
+
 def cut_text(text: str, gone: set[int], starts: np.ndarray, run_words: int) -> tuple[str, int]:
     """``text`` without the lines ``gone`` and the runs at ``starts``, and the number of runs cut outside these lines.
 

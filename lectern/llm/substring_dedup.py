@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..session import discard, materialize
 from .banding import candidate_components, classes, in_blocks, verify
 from .common import per_batch, slices
-from .repeated_runs import cutter, repeated_runs, row_hash
+from .repeated_runs import cutter, of_row, repeated_runs, row_hash
 from .shingles import N, SIMILARITY, band_hashes, bands_for, set_keys, shingle_sets
 
 MIN_WORDS = 30   # shorter paragraphs are stock phrases and stay
@@ -121,7 +121,7 @@ def _marked(docs: DataFrame, similarity: float, min_words: int, run_words: int |
     runs = repeated_runs(base.select("doc_id", "text"), run_words).select(
         F.col("doc_id").alias("_rid"), F.col("row").alias("_row"), "starts", "first_docs")
     held = base.withColumn("_own", row_hash()).join(
-        runs.hint("merge"), (F.col("doc_id") == F.col("_rid")) & (F.col("_own") == F.col("_row")), "left").withColumn(
+        runs.hint("merge"), of_row("_own"), "left").withColumn(
         "_c", cutter(run_words)(F.when(F.col("starts").isNotNull(), F.col("text")), F.array().cast("array<int>"), F.col("starts")))
     held = held.select(
         *names, "_c", "_gone", "_was", F.coalesce("_c.runs", F.lit(0)).alias("_runs"),

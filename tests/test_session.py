@@ -1,7 +1,25 @@
-"""Shares of a scan."""
+"""Written tables and the shuffles that made them, and shares of a scan."""
+import glob
+import time
+
 from pyspark.sql import functions as F
 
-from lectern.session import settings, spread
+from lectern.session import materialize, settings, spread
+
+
+def test_shuffles_go_with_the_write(spark):
+    dirs = list(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+
+    def files():
+        return {f for d in dirs for f in glob.glob(f"{d}/**/shuffle_*.data", recursive=True)}
+
+    before, time_left = files(), 50
+    held = materialize(spark.range(200_000).groupBy((F.col("id") % 100_003).alias("k")).count(), "counted")
+    while files() - before and time_left:                 # executors delete them on their own time
+        time_left -= 1
+        time.sleep(0.1)
+    assert not files() - before
+    assert held.count() == 100_003
 
 
 def test_splits_are_dealt_into_bounded_shares(spark, tmp_path):
