@@ -10,6 +10,7 @@ are.
 from __future__ import annotations
 
 import re
+from itertools import chain
 
 import numpy as np
 
@@ -35,7 +36,7 @@ def byte_alphabet() -> list[str]:
 
 
 BLOCK = 1 << 20
-_ALPHABET = dict(enumerate(byte_alphabet()))
+_ALPHABET = np.array([ord(c) for c in byte_alphabet()], "<u4")
 _KEPT: dict[str, "ChunkEncoder"] = {}
 
 
@@ -133,24 +134,16 @@ class ChunkEncoder:
         en = np.append(st[1:], len(data))
         sums, back = byte_sums(data)
         hashed = mix((sums[en] - sums[st]) * back[st])
-        words, first, which = np.unique(hashed, return_index=True, return_inverse=True)
-        if len(self.place) + len(words) > self.most:
+        at = self._rows(hashed)
+        new, first = np.unique(hashed[at < 0], return_index=True)
+        if self.count and self.count + len(new) > self.most:
             self._forget()
-        place = self.place
-        keys = words.tolist()
-        at = [place.get(k, -1) for k in keys]
-        new = [n for n, p in enumerate(at) if p < 0]
-        if new:
-            spans = [(int(st[first[n]]), int(en[first[n]])) for n in new]
-            strings = [joined[a:b].decode() for a, b in spans]
-            model = self.tokenizer.model     # these are whole pre-tokens, so the library's merges are all that is left
-            pieces = [[t.id for t in model.tokenize(w.encode().decode("latin-1").translate(_ALPHABET))] for w in strings]
-            base = len(place)
-            lens = np.array([len(p) for p in pieces], np.int64)
-            self._grow(np.array([i for p in pieces for i in p], "<u4").tobytes(), lens)
-            for k, n in enumerate(new):
-                place[keys[n]] = at[n] = base + k
-        at = np.array(at, np.int64)[which]
+            at[:] = -1
+            new, first = np.unique(hashed, return_index=True)
+        if len(new):
+            miss = np.flatnonzero(at < 0)
+            self._learn(new, data, st[miss[first]], en[miss[first]])
+            at[miss] = self._rows(hashed[miss])
         lens, offs = self.lens[at], self.offs[at]
         upto = np.cumsum(lens)
         ids = self.flat[np.repeat(offs - (upto - lens), lens) + np.arange(int(upto[-1]))]
@@ -159,15 +152,16 @@ class ChunkEncoder:
         for i, a, b in zip(block, cuts[:-1].tolist(), cuts[1:].tolist()):
             out[i] = whole[4 * a:4 * b]
 
-    def _forget(self) -> None:
-        self.place: dict[int, int] = {}    # hash of a pre-token -> its row in the arrays below
-        self.flat = np.empty(1 << 16, np.uint32)
-        self.lens = np.empty(1 << 14, np.int64)
-        self.offs = np.empty(1 << 14, np.int64)
-        self.used = 0
-
-    def _grow(self, raw: bytes, lens: np.ndarray) -> None:
-        n, ids = len(self.place), np.frombuffer(raw, "<u4")
+    def _learn(self, new: np.ndarray, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> None:
+        """Takes in the pre-tokens from ``begin`` to ``end``, whose hashes ``new`` are distinct and not known."""
+        sizes = end - begin
+        upto = np.cumsum(sizes)
+        letters = _ALPHABET[data[np.repeat(begin - (upto - sizes), sizes) + np.arange(int(upto[-1]))]].tobytes().decode("utf-32-le")
+        model = self.tokenizer.model     # these are whole pre-tokens, so the library's merges are all that is left
+        pieces = [[t.id for t in model.tokenize(letters[a:b])] for a, b in zip((upto - sizes).tolist(), upto.tolist())]
+        ids = np.fromiter(chain.from_iterable(pieces), np.uint32)
+        lens = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        n = self.count
         while n + len(lens) > len(self.lens):
             self.lens, self.offs = (np.concatenate([x, np.empty_like(x)]) for x in (self.lens, self.offs))
         while self.used + len(ids) > len(self.flat):
@@ -176,6 +170,48 @@ class ChunkEncoder:
         self.lens[n:n + len(lens)] = lens
         self.offs[n:n + len(lens)] = self.used + np.cumsum(lens) - lens
         self.used += len(ids)
+        self.count += len(lens)
+        if 2 * self.count > len(self.slots):
+            old = self.slots >= 0
+            keys, rows = self.keys[old], self.slots[old]
+            size = len(self.slots)
+            while 2 * self.count > size:
+                size *= 2
+            self.keys, self.slots = np.zeros(size, np.uint64), np.full(size, -1, np.int32)
+            self._put(keys, rows)
+        self._put(new, np.arange(n, self.count, dtype=np.int32))
+
+    def _rows(self, hashed: np.ndarray) -> np.ndarray:
+        """Row of each hash in the arrays of ids; -1 if it is not known."""
+        last = len(self.slots) - 1
+        spot = (hashed & np.uint64(last)).astype(np.int64)
+        rows = self.slots[spot]
+        off = np.flatnonzero((rows >= 0) & (self.keys[spot] != hashed))    # another hash has the slot: try the next
+        while len(off):
+            spot[off] = (spot[off] + 1) & last
+            rows[off] = self.slots[spot[off]]
+            off = off[(rows[off] >= 0) & (self.keys[spot[off]] != hashed[off])]
+        return rows
+
+    def _put(self, keys: np.ndarray, rows: np.ndarray) -> None:
+        """Stores distinct new hashes, each in the first free slot from its own on."""
+        last = len(self.slots) - 1
+        spot = (keys & np.uint64(last)).astype(np.int64)
+        while len(keys):
+            free = np.flatnonzero(self.slots[spot] < 0)
+            self.slots[spot[free]] = rows[free]                 # of several for one slot the last one stays
+            self.keys[spot[free]] = keys[free]
+            left = self.slots[spot] != rows
+            keys, rows, spot = keys[left], rows[left], (spot[left] + 1) & last
+
+    def _forget(self) -> None:
+        self.count = 0                     # rows of the arrays of ids
+        self.slots = np.full(1 << 16, -1, np.int32)    # by the low bits of a pre-token's hash: its row below
+        self.keys = np.zeros(1 << 16, np.uint64)       # and the hash itself
+        self.flat = np.empty(1 << 16, np.uint32)
+        self.lens = np.empty(1 << 14, np.int64)
+        self.offs = np.empty(1 << 14, np.int64)
+        self.used = 0
 
 
 #: Classes of bytes of common characters: letter (all beyond ASCII), digit, white space, other.

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 import zlib
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,7 @@ from .common import slices
 
 BLOCK_TOKENS = 1 << 18
 STRIDE = 1024
+TOGETHER = 5 * BLOCK_TOKENS
 MAX_BITS = 18
 END_ID = 2
 RAW = "part int, block int, doc_ids array<long>, counts array<int>, payload binary"
@@ -92,34 +94,38 @@ def encode_ids(ids: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> tuple
     return raw[:(int(offsets[-1]) + 7) // 8], offsets
 
 
-def decoding_table(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-    """Id and length for every window of the longest code's bits."""
+def decoding_table(lengths: np.ndarray) -> tuple[np.ndarray, int]:
+    """Id (times 256) and length for every window of the longest code's bits."""
     used = np.flatnonzero(lengths)
     order = used[np.argsort(lengths[used], kind="stable")]
     top = int(lengths.max(initial=1)) or 1
     many = np.left_shift(1, top - lengths[order])
     ids, sizes = np.repeat(order, many), np.repeat(lengths[order], many)
     spare = (1 << top) - len(ids)
-    return (np.concatenate([ids, np.zeros(spare, ids.dtype)]).astype(np.uint32),
-            np.concatenate([sizes, np.ones(spare, sizes.dtype)]).astype(np.uint8), top)
+    return np.concatenate([ids << 8 | sizes, np.ones(spare, np.int64)]), top
 
 
 def decode_ids(payload: bytes, starts: np.ndarray, counts: np.ndarray, table) -> np.ndarray:
     """Ids from checkpoints: lane i reads ``counts[i]`` ids from bit ``starts[i]``; all lanes step together."""
-    of_id, of_size, top = table
-    raw = np.frombuffer(payload + b"\0" * 16, np.uint8)
-    words = np.lib.stride_tricks.sliding_window_view(raw, 8)
-    out = np.zeros(int(counts.sum()), np.uint32)
+    both, top = table
+    halves = np.frombuffer(payload + b"\0" * (12 - len(payload) % 4), ">u4").astype(np.int64)
+    words = halves[:-1] << 32 | halves[1:]              # the 64 bits from each 32nd bit on
+    out = np.empty(int(counts.sum()), np.uint32)
     order = np.argsort(-counts, kind="stable")
     at, place = starts[order].astype(np.int64), (np.cumsum(counts) - counts)[order]
     live_at = np.searchsorted(-counts[order], -np.arange(1, int(counts.max(initial=0)) + 1), side="right")
-    mask = np.uint64((1 << top) - 1)
-    for step, live in enumerate(live_at.tolist()):
-        bits = at[:live]
-        window = words[bits >> 3].copy().view(">u8").ravel().astype(np.uint64)
-        key = (window >> (64 - top - (bits & 7)).astype(np.uint64)) & mask
-        out[place[:live] + step] = of_id[key]
-        at[:live] += of_size[key]
+    spare, mask = 64 - top, (1 << top) - 1
+    for live in live_at.tolist():
+        bits, to = at[:live], place[:live]
+        key = words[bits >> 5]
+        key <<= bits & 31
+        key >>= spare
+        key &= mask
+        found = both[key]
+        out[to] = found >> 8
+        to += 1
+        found &= 255
+        bits += found
     return out
 
 
@@ -139,7 +145,7 @@ def _raw_blocks(docs: DataFrame, path: str, end_id: int, narrow: bool) -> DataFr
         def flush():
             ids = np.concatenate(held)
             np.add(totals, np.bincount(ids, minlength=size), out=totals)
-            payload = (ids.astype("<u2").view(np.uint8).reshape(-1, 2).T.tobytes() if narrow  # low bytes, then high
+            payload = (np.concatenate([ids.astype(np.uint8), (ids >> 8).astype(np.uint8)]).tobytes() if narrow  # low bytes, then high
                        else ids.astype("<u4").tobytes())
             return pa.RecordBatch.from_arrays(
                 [pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([doc_ids], pa.list_(pa.int64())),
@@ -218,8 +224,11 @@ def write_token_ids(docs: DataFrame, path: str, out: str, end_id: int = END_ID)
         for batch in batches:
             for row in batch.to_pylist():
                 packed = row["payload"]
-                ids = (np.frombuffer(packed, np.uint8).reshape(2, -1).T.copy().view("<u2").ravel() if narrow
-                       else np.frombuffer(packed, "<u4")).astype(np.int64)
+                if narrow:
+                    low, high = np.frombuffer(packed, np.uint8).reshape(2, -1).astype(np.int64)
+                    ids = high << 8 | low
+                else:
+                    ids = np.frombuffer(packed, "<u4").astype(np.int64)
                 bits, offsets = encode_ids(ids, lengths, codes)
                 marks = offsets[lane_starts(np.array(row["counts"], np.int64))[0]]
                 yield pa.RecordBatch.from_arrays(
@@ -255,6 +264,30 @@ def read_token_ids(spark: SparkSession, folder: str) -> DataFrame:
     return _decoded(spark, folder, lambda ids: ids.astype(np.int64).tolist(), "ids array<int>")
 
 
+def decode_blocks(rows: Iterable[dict], table) -> Iterator[tuple[dict, np.ndarray]]:
+    """Each block and its ids. Several are decoded at once, about ``TOGETHER`` ids: a step over the lanes of all costs
+    little more than one over those of a single block."""
+    for held in _runs(rows):
+        bits = np.cumsum([0, *(8 * len(row["payload"]) for row in held)]).tolist()
+        counts = [np.array(row["counts"], np.int64) for row in held]
+        starts = [np.array(row["checkpoints"], np.int64) + at for row, at in zip(held, bits)]
+        ids = decode_ids(b"".join(row["payload"] for row in held), np.concatenate(starts), lane_starts(np.concatenate(counts))[1], table)
+        yield from zip(held, np.split(ids, np.cumsum([n.sum() for n in counts])[:-1]))
+
+
+def _runs(rows: Iterable[dict]) -> Iterator[list[dict]]:
+    held, tokens = [], 0
+    for row in rows:
+        n = sum(row["counts"])
+        if held and tokens + n > TOGETHER:
+            yield held
+            held, tokens = [], 0
+        held.append(row)
+        tokens += n
+    if held:
+        yield held
+
+
 def _decoded(spark: SparkSession, folder: str, of_ids, column: str) -> DataFrame:
     lengths = _lengths(spark, folder)
     name, columns = column.split()[0], f"part int, block int, place int, doc_id long, n_tokens long, {column}"
@@ -263,14 +296,12 @@ def _decoded(spark: SparkSession, folder: str, of_ids, column: str) -> DataFrame
     def decode(batches):
         table = decoding_table(lengths)
         for batch in batches:
-            for row in batch.to_pylist():
-                counts = np.array(row["counts"], np.int64)
-                _, sizes = lane_starts(counts)
-                ids = decode_ids(row["payload"], np.array(row["checkpoints"], np.int64), sizes, table)
-                ends = np.cumsum(counts)
+            for row, ids in decode_blocks(batch.to_pylist(), table):
+                counts = row["counts"]
+                ends = np.cumsum(counts).tolist()
                 cols = {"part": [row["part"]] * len(counts), "block": [row["block"]] * len(counts),
-                        "place": list(range(len(counts))), "doc_id": row["doc_ids"], "n_tokens": row["counts"],
-                        name: [of_ids(ids[e - n:e]) for e, n in zip(ends.tolist(), counts.tolist())]}
+                        "place": list(range(len(counts))), "doc_id": row["doc_ids"], "n_tokens": counts,
+                        name: [of_ids(ids[e - n:e]) for e, n in zip(ends, counts)]}
                 yield pa.RecordBatch.from_arrays([pa.array(cols[f.name], f.type) for f in schema], schema=schema)
 
     return spark.read.parquet(f"{folder}/blocks").mapInArrow(
