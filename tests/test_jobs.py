@@ -2,6 +2,7 @@
 import io
 import zipfile
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -164,3 +165,24 @@ def test_no_cross_products(spark):
     for name in ("v10_walk_from", "u4_diff_exact", "k9_retrieve_with_fallback", "t3_page", "g5_resolve_object", "m6_set_perms"):
         plan = explained(q[name](spark, SMALL))
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
+
+
+def test_stream_ingest_cuts_long_texts(spark, tmp_path):
+    """Texts beyond 300 words are stored in chunks, each content once; a chunk may come from several turns."""
+    from lectern.operators import build
+    lines = [" ".join(f"w{i}-{j}" for j in range(40)) for i in range(20)]
+    texts = {"long": "\n".join(lines), "tail": "\n".join(lines[5:]), "one": " ".join(lines), "short": "a b\nc"}
+    rows = [(0, 0, "user", texts["long"]), (0, 1, "agent", texts["long"]), (1, 0, "user", texts["tail"]), (1, 1, "user", texts["one"]),
+            (2, 0, "user", texts["short"]), (2, 1, "agent", " ")]
+    spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    got = sorted((r["content_key"], r["source"], r["text"]) for r in registry.all_queries()["z9_stream_ingest"](spark, str(tmp_path)).collect())
+    want = {}
+    for _, _, role, text in rows[:-1]:
+        for part in build.line_chunks(text, 300, 50):
+            want[part] = min(role, want.get(part, role))
+    assert {text: source for _, source, text in got} == want and len(got) == len(want) == 6
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    sql = con.execute(registry.all_sql()["z9_stream_ingest"])
+    at = [[d[0] for d in sql.description].index(c) for c in ("content_key", "source", "text")]
+    assert sorted(tuple(r[i] for i in at) for r in sql.fetchall()) == got
