@@ -1,39 +1,4 @@
-"""Connected components of an edge table, by rounds of random contraction."""
+"""Connected components of an edge table."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from ..session import discard, materialize
-
-
-def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
-    """(node, root) for every node of ``edges`` (a, b), columns of long.
-
-    In each round every node moves to that neighbour, or itself, with the least hash under the
-    round's seed; edges follow their ends, loops and doubles go. Most nodes vanish in each round,
-    whatever the shape of the graph, so rounds grow with the logarithm of the largest component.
-    Moves are kept as tables and applied in order. Only the number of edges left reaches the driver. A hub
-    with any share of the edges costs one partly aggregated minimum and a join that may be split.
-    """
-    left = materialize(edges.select("a", "b").filter("a <> b").distinct(), "edges")
-    labels = materialize(left.select(F.col("a").alias("node")).unionAll(left.select("b")).distinct().withColumn(
-        "root", F.col("node")), "labels")
-    for seed in range(rounds):
-        if left.isEmpty():
-            return labels
-        order = F.struct(F.xxhash64(F.lit(seed), F.col("b")).alias("h"), F.col("b").alias("b"))
-        both = left.unionAll(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        nearest = both.groupBy("a").agg(F.min(order).alias("best"))
-        own = F.struct(F.xxhash64(F.lit(seed), F.col("a")).alias("h"), F.col("a").alias("b"))
-        moves = materialize(nearest.select(F.col("a").alias("from"), F.least(F.col("best"), own)["b"].alias("to")).filter(
-            "from <> to"), "moves")
-        to_a, to_b = moves.toDF("a", "to_a"), moves.toDF("b", "to_b")
-        old = left, labels, moves
-        left = materialize(left.join(to_a, "a", "left").join(to_b, "b", "left").select(
-            F.coalesce("to_a", "a").alias("a"), F.coalesce("to_b", "b").alias("b")).filter("a <> b").select(
-            F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
-        labels = materialize(labels.join(moves.toDF("root", "to"), "root", "left").select(
-            "node", F.coalesce("to", "root").alias("root")), "labels")
-        discard(*old)
-    raise RuntimeError("components did not settle")
+from ..operators.components import components  # noqa: F401

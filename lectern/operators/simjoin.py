@@ -4,9 +4,10 @@ Copies of one vector are joined once: both sides are first grouped by vector. Di
 are then placed by pivots. Each right vector lives in the cell of its nearest pivot; a left vector
 visits every cell that can hold a partner, since a partner within distance e of it cannot lie
 further than e beyond the plane between two pivots. Every qualifying pair therefore meets in
-exactly one cell. A cell with more vectors than ``CELL_ROWS`` is cut into sub-blocks on both
-sides. A task holds the left vectors of one such block and passes the right ones by in batches, emitting
-qualifying pairs only, so its memory depends neither on the table nor on the number of pairs.
+exactly one cell. Where the planes keep few vectors away, as without structure, one cell holds all. Large cells are cut into
+sub-blocks on both sides. A task holds the left vectors of one such block and passes the right ones by in batches, emitting
+qualifying pairs only, so its memory depends neither on the table nor on the number of pairs. Most pairs are ruled out by the
+first dimensions and the length of the rest, in single precision; what these cannot tell is computed in double.
 """
 from __future__ import annotations
 
@@ -15,17 +16,27 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as vx
 from ..session import cut_lineage
 from . import ranking
+from .components import components
 
 PIVOTS = 256
+PROBES = 256
 CELL_ROWS = 32768
 SLACK = 1e-6
 SCORES = 1 << 21          # similarities that a task holds at once
+NUMBERS = 1 << 23         # numbers of the vectors that a task holds
+PAIRS = 1 << 29           # pairs that are worth a task
+HEAD = 24                 # dimensions that rule pairs out
+DENSE = 64                # one pair of so many is left by them: not worth while
+FEW_EDGES = 1 << 21       # links between groups that one task settles
+MATCH_ROWS = 1 << 18      # rows of a component that one task matches,
+MATCH_WORK = 1 << 36      # and products of numbers
 EDGE_SCHEMA = "left_rep bigint, right_rep bigint, similarity double"
 
 
@@ -45,42 +56,72 @@ def _unit(m):
     return m / np.where(n == 0, 1.0, n)
 
 
-def _pivots(groups: DataFrame) -> np.ndarray:
+def _packed(m: np.ndarray) -> pa.Array:
+    """A row of doubles as one binary value, which moves as it is."""
+    ends = np.arange(len(m) + 1, dtype=np.int32) * (8 * m.shape[1])
+    return pa.Array.from_buffers(pa.binary(), len(m), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(m, dtype=np.float64))])
+
+
+def _unpacked(column) -> np.ndarray:
+    rows = column.to_pylist()
+    if len({len(r) for r in rows}) > 1:
+        raise ValueError("vectors of different length in one column")
+    return np.frombuffer(b"".join(rows), dtype=np.float64).reshape(len(rows), -1)
+
+
+def _reached(square: np.ndarray, gap: np.ndarray, reach: float) -> np.ndarray:
+    """Which cells may hold a partner, by the squared distances to the pivots and the gaps between these."""
+    visit = np.ones(square.shape, dtype=bool)
+    for j in range(len(gap)):
+        with np.errstate(divide="ignore", invalid="ignore"):
+            beyond = np.where(gap[j] > 0, (square - square[:, [j]]) / (2 * gap[j]), 0.0)
+        visit &= beyond <= reach + SLACK
+    return visit
+
+
+def _squares(unit: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    return np.einsum("ij,ij->i", unit, unit)[:, None] + np.einsum("ij,ij->i", pivots, pivots)[None, :] - 2 * unit @ pivots.T
+
+
+def _gaps(pivots: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum(_squares(pivots, pivots), 0.0))
+
+
+def _pivots(groups: DataFrame, reach: float) -> np.ndarray:
     """Distinct directions, chosen by hash: one for every ``CELL_ROWS`` vectors, so that no row is sent to more cells than the
-    table needs, and at most ``PIVOTS``: a bounded read."""
+    table needs, and at most ``PIVOTS``: a bounded read. Only one, if others of the vectors would visit most of the cells."""
     wanted = min(PIVOTS, math.ceil(groups.count() / CELL_ROWS))
-    rows = groups.select("rep", "v").orderBy(F.xxhash64("rep"), "rep").limit(wanted).collect() if wanted else []
+    first = groups.select("rep", "v").orderBy(F.xxhash64("rep"), "rep").limit(wanted + (PROBES if wanted > 1 else 0))
+    rows = first.collect() if wanted else []
     if not rows:
         return np.zeros((0, 0))
-    return np.unique(np.round(_unit(np.array([r["v"] for r in rows], dtype=np.float64)), 9), axis=0)
+    unit = _unit(np.array([r["v"] for r in rows], dtype=np.float64))
+    pivots = np.unique(np.round(unit[:wanted], 9), axis=0)
+    probes = unit[wanted:]
+    if len(probes) and _reached(_squares(probes, pivots), _gaps(pivots), reach).mean() > 0.5:
+        return pivots[:1]
+    return pivots
 
 
 def _place(groups: DataFrame, pivots: np.ndarray, reach: float | None) -> DataFrame:
-    """Adds ``cell``: the home cell, or with ``reach`` every cell that may hold a partner."""
-    norms = np.einsum("ij,ij->i", pivots, pivots)
-    gap = np.sqrt(np.maximum(norms[:, None] + norms[None, :] - 2 * pivots @ pivots.T, 0.0))
+    """(rep, v, cell): the home cell, or with ``reach`` every cell that may hold a partner; ``v`` is the packed unit vector."""
+    gap = _gaps(pivots)
 
     def assign(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
             unit = _unit(vx.matrix(batch.column("v")))
-            square = 1.0 * np.einsum("ij,ij->i", unit, unit)[:, None] + norms[None, :] - 2 * unit @ pivots.T
+            square = _squares(unit, pivots)
             if reach is None:
                 row, cell = np.arange(len(unit)), square.argmin(axis=1)
             else:
-                visit = np.ones(square.shape, dtype=bool)
-                for j in range(len(pivots)):
-                    with np.errstate(divide="ignore", invalid="ignore"):
-                        beyond = np.where(gap[j] > 0, (square - square[:, [j]]) / (2 * gap[j]), 0.0)
-                    visit &= beyond <= reach + SLACK
-                row, cell = np.nonzero(visit)
-            picked = batch.take(pa.array(row))
-            yield pa.RecordBatch.from_arrays(
-                [picked.column("rep"), picked.column("v"), pa.array(cell.astype(np.int32))], names=["rep", "v", "cell"])
+                row, cell = np.nonzero(_reached(square, gap, reach))
+            yield pa.RecordBatch.from_arrays([batch.column("rep").take(pa.array(row)), _packed(unit[row]), pa.array(cell.astype(np.int32))],
+                                             names=["rep", "v", "cell"])
 
     return groups.select(F.col("rep").cast("bigint").alias("rep"), vx.doubles("v").alias("v")).mapInArrow(
-        assign, "rep bigint, v array<double>, cell int")
+        assign, "rep bigint, v binary, cell int")
 
 
 def _split(placed: DataFrame, cuts: DataFrame, own: str, other: str) -> DataFrame:
@@ -92,56 +133,110 @@ def _split(placed: DataFrame, cuts: DataFrame, own: str, other: str) -> DataFram
 
 
 def similar_pairs(left: DataFrame, right: DataFrame, threshold: float, inclusive: bool = False,
-                  best: int | None = None) -> DataFrame:
+                  best: int | None = None, links: bool = False) -> DataFrame:
     """(left_rep, right_rep, similarity) between distinct vectors of two ``vector_groups``.
 
     With ``best``, at most that many partners of a left vector come from each batch that a task passes by, the most similar.
+    With ``links``, only pairs that tie together what a task had not tied yet: the components are those of all pairs.
     A null vector has no partner.
     """
     left, right = left.filter("v IS NOT NULL"), right.filter("v IS NOT NULL")
-    pivots = _pivots(right)
+    reach = math.sqrt(max(2.0 - 2.0 * threshold, 0.0))
+    pivots = _pivots(right, reach)
     spark = left.sparkSession
     if not len(pivots):
         return spark.createDataFrame([], EDGE_SCHEMA)
-    reach = math.sqrt(max(2.0 - 2.0 * threshold, 0.0))
     homes = cut_lineage(_place(right, pivots, None))
     visits = cut_lineage(_place(left, pivots, reach))
-
-    def blocks(df, name):
-        n = F.ceil(F.count("*") / CELL_ROWS).cast("int")
-        return df.groupBy("cell").agg(n.alias(name))
-
-    # one row per pivot at most, so the broadcast is bounded
-    cuts = blocks(visits, "n_lb").join(blocks(homes, "n_rb"), "cell")
-    l_parts = _split(visits, cuts, "lb", "rb")
-    r_parts = _split(homes, cuts, "rb", "lb")
-    return _meet(l_parts, r_parts, ["cell", "lb", "rb"], threshold, inclusive, best)
+    most, cores = max(1, min(4 * CELL_ROWS, NUMBERS // max(1, pivots.shape[1]))), 2 * spark.sparkContext.defaultParallelism
+    sizes = visits.groupBy("cell").agg(F.count("*").alias("l")).join(homes.groupBy("cell").agg(F.count("*").alias("r")), "cell")
+    cuts = []
+    for cell, n_left, n_right in sizes.select("cell", "l", "r").collect():        # one row per pivot at most
+        lb = math.ceil(n_left / most)
+        cuts.append((cell, lb, max(math.ceil(n_right / most), math.ceil(min(n_left * n_right / PAIRS, cores) / lb))))
+    if not cuts:
+        return spark.createDataFrame([], EDGE_SCHEMA)
+    blocks, cut = sum(lb * rb for _, lb, rb in cuts), spark.createDataFrame(pa.table(dict(zip(
+        ("cell", "n_lb", "n_rb"), (pa.array(x, pa.int32()) for x in zip(*cuts))))))
+    l_parts = _split(visits, cut, "lb", "rb")
+    r_parts = _split(homes, cut, "rb", "lb")
+    return _meet(l_parts, r_parts, ["cell", "lb", "rb"], threshold, inclusive, best, links=links, tasks=min(4 * blocks, 4096))
+
+
+def _linking(i: np.ndarray, j: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Which of the pairs (i, j) tie together what was apart. ``left`` and ``right`` hold the label of each row, a right one -1
+    until it is in a pair, and are brought up to date."""
+    picked = []
+    new = np.flatnonzero(right[j] < 0)
+    if len(new):
+        first = new[np.unique(j[new], return_index=True)[1]]
+        right[j[first]] = left[i[first]]
+        picked.append(first)
+    while True:
+        low, high = np.minimum(left[i], right[j]), np.maximum(left[i], right[j])
+        apart = np.flatnonzero(low != high)
+        if not len(apart):
+            return np.concatenate(picked) if picked else apart
+        apart = apart[np.lexsort((low[apart], high[apart]))]
+        chosen = apart[np.unique(high[apart], return_index=True)[1]]      # each label goes to the least one it meets
+        picked.append(chosen)
+        to = np.arange(len(left))
+        to[high[chosen]] = low[chosen]
+        while (to[to] != to).any():
+            to = to[to]
+        left[:] = to[left]
+        seen = right >= 0
+        right[seen] = to[right[seen]]
+
+
+def _heads(unit: np.ndarray) -> np.ndarray | None:
+    """The first dimensions and the length of the others: two such rows multiply to no less than their vectors do."""
+    if unit.shape[1] < HEAD + 8:
+        return None
+    return np.concatenate([unit[:, :HEAD], np.linalg.norm(unit[:, HEAD:], axis=1, keepdims=True)], axis=1).astype(np.float32)
 
 
 def _meet(left: DataFrame, right: DataFrame, keys: list[str], threshold: float, inclusive: bool = False, best: int | None = None,
-          bands: int = 0) -> DataFrame:
-    """Qualifying pairs of left and right rows (rep, v) that share their whole-number ``keys``.
+          bands: int = 0, links: bool = False, tasks: int | None = None) -> DataFrame:
+    """Qualifying pairs of left and right rows (rep, v) that share their whole-number ``keys``; ``v`` is a packed unit vector.
 
     Both sides are dealt by the keys, the left rows first. With ``bands``, the first key is a band, and rows that
     share one of their ``codes`` in an earlier band have met there.
     """
     columns = [*keys, "rep", "v", *(["codes"] if bands else [])]
     names = ["left_rep", "right_rep", "similarity"]
+    loose = 1e-5          # more than single precision is off by, over HEAD + 1 products of unit vectors
 
     def codes(part):
         return part.column("codes").combine_chunks().flatten().to_numpy().reshape(part.num_rows, bands) if bands else None
 
     def side(part):
         part = part if isinstance(part, pa.Table) else pa.Table.from_batches([part])
-        return part.column("rep").to_numpy(), _unit(vx.matrix(part.column("v"))), codes(part)
-
-    def pairs(a, b, band):
-        (a_ids, a_unit, a_codes), (b_ids, b_unit, b_codes) = a, b
+        unit = _unpacked(part.column("v"))
+        return part.column("rep").to_numpy(), unit, codes(part), _heads(unit)
+
+    def found(a, b, a_head, b_head, tally):
+        """(i, j, similarity) of the pairs that may qualify."""
+        if a_head is not None and 2 * tally[1] <= tally[0] + 8:
+            at = np.flatnonzero(a_head @ b_head.T > np.float32(threshold - loose))
+            tally[0] += 1
+            if DENSE * len(at) <= len(a) * len(b):
+                i, j = np.divmod(at, len(b))
+                step = max(1, SCORES // a.shape[1])
+                sims = [np.einsum("ij,ij->i", a[i[n:n + step]], b[j[n:n + step]]) for n in range(0, len(at), step)]
+                return i, j, np.concatenate(sims) if sims else np.zeros(0)
+            tally[1] += 1
+        scores = a @ b.T
+        i, j = np.nonzero(scores > threshold - SLACK)
+        return i, j, scores[i, j]
+
+    def pairs(a, b, band, tally, label):
+        (a_ids, a_unit, a_codes, a_head), (b_ids, b_unit, b_codes, b_head) = a, b
         step = max(1, SCORES // len(b_ids))
+        b_label = np.full(len(b_ids), -1)
         for at in range(0, len(a_ids), step):
-            scores = a_unit[at:at + step] @ b_unit.T
-            i, j = np.nonzero(scores > threshold - SLACK)
-            sims = np.round(scores[i, j], 12)
+            i, j, sims = found(a_unit[at:at + step], b_unit, None if a_head is None else a_head[at:at + step], b_head, tally)
+            sims = np.round(sims, 12)
             hit = sims >= threshold if inclusive else sims > threshold
             i, j, sims = i[hit], j[hit], sims[hit]
             if best is not None and len(i) > best:
@@ -152,11 +247,14 @@ def _meet(left: DataFrame, right: DataFrame, keys: list[str], threshold: float,
             if bands and band:
                 first = ~(a_codes[at + i, :band] == b_codes[j, :band]).any(axis=1)
                 i, j, sims = i[first], j[first], sims[first]
+            if links and len(i):
+                kept = _linking(at + i, j, label, b_label)
+                i, j, sims = i[kept], j[kept], sims[kept]
             if len(i):
                 yield pa.RecordBatch.from_arrays([pa.array(a_ids[at + i]), pa.array(b_ids[j]), pa.array(sims)], names=names)
 
     def work(batches):
-        spot, waiting, held = None, [], None
+        spot, waiting, held, label, tally = None, [], None, None, [0, 0]
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -172,11 +270,13 @@ def _meet(left: DataFrame, right: DataFrame, keys: list[str], threshold: float,
                     continue
                 if held is None and waiting:
                     held, waiting = side(pa.Table.from_batches(waiting)), []
+                    label = np.arange(len(held[0]))
                 if held is not None:
-                    yield from pairs(held, side(part), here[0])
+                    yield from pairs(held, side(part), here[0], tally, label)
 
     both = left.select(*columns, F.lit(0).alias("_right")).unionByName(right.select(*columns, F.lit(1).alias("_right")))
-    return both.repartition(*keys).sortWithinPartitions(*keys, "_right").mapInArrow(work, EDGE_SCHEMA)
+    dealt = both.repartition(tasks, *keys) if tasks else both.repartition(*keys)
+    return dealt.sortWithinPartitions(*keys, "_right").mapInArrow(work, EDGE_SCHEMA)
 
 
 # -- approximate mode ---------------------------------------------------------------------------
@@ -216,13 +316,14 @@ def near_pairs(left: DataFrame, right: DataFrame, threshold: float, recall: floa
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                sides = (_unit(vx.matrix(batch.column("v"))) @ planes > 0).reshape(batch.num_rows, bands, bits)
+                unit = _unit(vx.matrix(batch.column("v")))
+                sides = (unit @ planes > 0).reshape(batch.num_rows, bands, bits)
                 codes = (sides * (1 << np.arange(bits))).sum(axis=2).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * bands), pa.array(codes.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("v"), lists], names=["rep", "v", "codes"])
+                yield pa.RecordBatch.from_arrays([batch.column("rep"), _packed(unit), lists], names=["rep", "v", "codes"])
 
         coded = df.select(F.col("rep").cast("bigint").alias("rep"), vx.doubles("v").alias("v")).mapInArrow(
-            work, "rep bigint, v array<double>, codes array<int>")
+            work, "rep bigint, v binary, codes array<int>")
         return cut_lineage(coded).select("rep", "v", "codes", F.posexplode("codes").alias("band", "code"))
 
     lefts, rights = banded(left), banded(right)
@@ -269,12 +370,16 @@ def _direction(v: str):
     return keyed(v)
 
 
-def _directed(df: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Rows (idx, v, key), and their groups (rep, n, v, key) and members (idx, rep): one group per direction, since vectors that
-    differ in length only are equally similar to everything."""
+def _directed(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (idx, v, key) and their groups (key, rep, n, v): one group per direction, since vectors that differ in length only
+    are equally similar to everything."""
     rows = cut_lineage(df.select("idx", "v", _direction("v").alias("key")).filter("key IS NOT NULL"))
     groups = cut_lineage(rows.groupBy("key").agg(F.min("idx").alias("rep"), F.count("*").alias("n"), F.min_by("v", "idx").alias("v")))
-    return rows, groups, rows.select("idx", "key").join(groups.select("key", "rep"), "key").select("idx", "rep")
+    return rows, groups
+
+
+def _members(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    return rows.select("idx", "key").join(groups.select("key", "rep"), "key").select("idx", "rep")
 
 
 def _choices(left: DataFrame, right: DataFrame, slots: DataFrame, threshold: float, cap: int) -> tuple[DataFrame, DataFrame]:
@@ -331,21 +436,19 @@ def _asked(state: DataFrame, choices: DataFrame, limited: bool) -> DataFrame:
     return sure.withColumn("refused", ~fits & (F.col("_sure") >= F.col("upto"))).drop("_fits", "_again", "_sure")
 
 
-def greedy_match(old: DataFrame, new: DataFrame, threshold: float, first_cap: int = 16) -> DataFrame:
-    """(new_idx, old_idx, similarity): in new order, each row takes its best old row still free, the lowest old idx on ties.
+def _match_in_rounds(o_rows: DataFrame, o_groups: DataFrame, n_rows: DataFrame, n_groups: DataFrame, threshold: float, first_cap: int) -> DataFrame:
+    """``greedy_match`` of components of any size.
 
-    That rule is the stable matching in which every old row prefers the lowest new idx. Groups without other partners
+    Groups without other partners
     are matched at once, row by row. The rest is found in parallel rounds: each unmatched new row asks for its next
     choice, and each group of old rows of one direction keeps the lowest new rows it has room for. A round is one join and one
     ranking; refused rows ask again until none is refused, and the order of asking does not change the result. Choice
     lists start at ``first_cap`` groups and are lengthened, for the rows that used theirs up, until every row is placed or has
-    no partner left. Rows with a null vector have no partner. Similarities are compared at 12 decimals. The rounds run when
-    this is called.
+    no partner left.
     """
-    (_, o_groups, o_members), (_, n_groups, n_members) = _directed(old), _directed(new)
-    slots = ranking.in_order(o_members, ["rep"], [F.col("idx")], "place").select(
+    slots = ranking.in_order(_members(o_rows, o_groups), ["rep"], [F.col("idx")], "place").select(
         F.col("rep").alias("right_rep"), "place", F.col("idx").alias("old_idx"))
-    members = cut_lineage(n_members.select(F.col("idx").alias("new_idx"), F.col("rep").alias("left_rep")))
+    members = cut_lineage(_members(n_rows, n_groups).select(F.col("idx").alias("new_idx"), F.col("rep").alias("left_rep")))
     cap = first_cap
     choices, lists = _choices(n_groups, o_groups, slots, threshold, cap)
     out = ["new_idx", "right_rep", "similarity", "place"]
@@ -379,3 +482,121 @@ def greedy_match(old: DataFrame, new: DataFrame, threshold: float, first_cap: in
         state = moved.join(lists, "left_rep").select("new_idx", "left_rep", "choice", "cut", "n_choices")
     both = placed.select(*out) if done is None else done.select(*out).unionByName(placed.select(*out))
     return both.join(slots, ["right_rep", "place"]).select("new_idx", "old_idx", "similarity")
+
+
+def _serial(new_idx: np.ndarray, new_group: np.ndarray, new_unit: np.ndarray, old_rows: list[np.ndarray], old_unit: np.ndarray,
+            threshold: float) -> tuple[list[int], list[int], list[float]]:
+    """(new idx, old idx, similarity) of one component by the rule itself: ``new_idx`` rises, as do the rows of an old group."""
+    out = [], [], []
+    taken, first = [0] * len(old_rows), np.array([r[0] for r in old_rows])
+    step = max(1, min(256, SCORES // len(old_rows)))
+    for at in range(0, len(new_idx), step):
+        sims = np.round(new_unit[new_group[at:at + step]] @ old_unit.T, 12)
+        sims[~(sims >= threshold)] = -np.inf
+        sims[:, [n == len(r) for n, r in zip(taken, old_rows)]] = -np.inf
+        for row, idx in zip(sims, new_idx[at:at + step].tolist()):
+            top = row[row.argmax()]
+            if top == -np.inf:
+                continue
+            ties = np.flatnonzero(row == top)
+            best = int(ties[first[ties].argmin()])
+            for held, value in zip(out, (idx, int(first[best]), float(top))):
+                held.append(value)
+            taken[best] += 1
+            if taken[best] < len(old_rows[best]):
+                first[best] = old_rows[best][taken[best]]
+            else:
+                sims[:, best] = -np.inf
+    return out
+
+
+def _match_components(parts: DataFrame, threshold: float) -> DataFrame:
+    """Matches of components that a task can hold. ``parts`` (root, side, key, idx, v): a row with ``v`` for each group, old
+    ones on side 0, then one with ``idx`` for each of its rows."""
+    least = -1 << 63        # stands for a null idx, which goes first
+
+    def matched(batches):
+        t = pa.Table.from_batches(batches)
+        root, side, idx = (pc.fill_null(t.column(c), least).to_numpy() if c == "idx" else t.column(c).to_numpy() for c in ("root", "side", "idx"))
+        v = t.column("v").combine_chunks()
+        heads = np.flatnonzero(v.is_valid().to_numpy(zero_copy_only=False))
+        unit = _unit(vx.matrix(v.take(pa.array(heads))))
+        ends = np.append(heads[1:], len(idx))
+        starts = np.flatnonzero(np.append(True, root[heads][1:] != root[heads][:-1]))
+        new_side = side[heads] == 1
+        out = [], [], []
+        for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(heads)]):
+            mid = lo + int(np.count_nonzero(~new_side[lo:hi]))
+            rows = [idx[heads[g] + 1:ends[g]] for g in range(lo, hi)]
+            if not lo < mid < hi:
+                continue
+            if hi - lo == 2:        # most are one group on each side
+                top, n = round(float(unit[lo] @ unit[mid]), 12), min(len(rows[0]), len(rows[1]))
+                found = (rows[1][:n].tolist(), rows[0][:n].tolist(), [top] * n) if top >= threshold else out[:0]
+            else:
+                named = np.concatenate(rows[mid - lo:])
+                group = np.repeat(np.arange(hi - mid), [len(r) for r in rows[mid - lo:]])
+                order = np.lexsort((group, named))
+                found = _serial(named[order], group[order], unit[mid:hi], rows[:mid - lo], unit[lo:mid], threshold)
+            for held, values in zip(out, found):
+                held.extend(values)
+        named = [pa.array(x, pa.int64(), mask=np.array(x, np.int64) == least) for x in out[:2]]
+        return pa.RecordBatch.from_arrays([*named, pa.array(out[2], pa.float64())], names=["new_idx", "old_idx", "similarity"])
+
+    def work(batches):
+        held = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            root = batch.column("root").to_numpy()
+            if held and held[0].column("root")[0].as_py() == root[-1]:
+                held.append(batch)
+                continue
+            cut = int(np.searchsorted(root, root[-1]))
+            if held or cut:
+                yield matched([*held, batch.slice(0, cut)])
+            held = [batch.slice(cut)]
+        if held:
+            yield matched(held)
+
+    order = ["root", "side", "key", F.col("v").isNull(), "idx"]
+    return parts.repartition("root").sortWithinPartitions(*order).mapInArrow(work, "new_idx bigint, old_idx bigint, similarity double")
+
+
+def greedy_match(old: DataFrame, new: DataFrame, threshold: float, first_cap: int = 16) -> DataFrame:
+    """(new_idx, old_idx, similarity): in new order, each row takes its best old row still free, the lowest old idx on ties.
+
+    Rows that no chain of similar pairs connects do not compete. So the similarity join only tells the components, and a
+    task carries out the rule in each of those it holds, with their vectors. A component beyond ``MATCH_ROWS`` rows or
+    ``MATCH_WORK`` is matched in rounds (``_match_in_rounds``): the rule is the stable matching in which every old row prefers the lowest
+    new idx. Rows with a null vector have no partner. Similarities are compared at 12 decimals. All but the last step runs when
+    this is called.
+    """
+    (o_rows, o_groups), (n_rows, n_groups) = _directed(old), _directed(new)
+    links = similar_pairs(n_groups, o_groups, threshold, inclusive=True, links=True)
+
+    def node(side: int, rep: str):
+        return F.xxhash64(F.lit(side), F.col(rep).cast("bigint"))
+
+    nodes = components(links.select(node(1, "left_rep").alias("a"), node(0, "right_rep").alias("b")), few=FEW_EDGES)
+    sides = [(rows, cut_lineage(groups.withColumn("node", node(side, "rep")).join(nodes, "node").select("root", "key", "n", "v")))
+             for side, (rows, groups) in enumerate(((o_rows, o_groups), (n_rows, n_groups)))]
+    (_, o_at), (_, n_at) = sides
+    count = [F.sum("n").alias("rows"), F.count("*").alias("groups"), F.max(F.size("v")).alias("dim")]
+    sizes = o_at.groupBy("root").agg(*count).join(n_at.groupBy("root").agg(*[c for c in count[:2]]).toDF("root", "new_rows", "new_groups"), "root")
+    large = cut_lineage(sizes.filter(
+        (F.col("rows") + F.col("new_rows") > MATCH_ROWS) | ((F.col("groups") + F.col("new_groups")) * F.col("dim") > NUMBERS)
+        | (F.col("new_rows").cast("double") * F.col("groups") * F.col("dim") > MATCH_WORK)).select("root"))
+    parts = None
+    for side, (rows, groups) in enumerate(sides):
+        held = groups.join(large, "root", "left_anti")
+        for df in (held.select("root", "key", F.lit(None).cast("bigint").alias("idx"), vx.doubles("v").alias("v")),
+                   rows.select("idx", "key").join(held.select("key", "root"), "key").select(
+                       "root", "key", F.col("idx").cast("bigint").alias("idx"), F.lit(None).cast("array<double>").alias("v"))):
+            df = df.withColumn("side", F.lit(side))
+            parts = df if parts is None else parts.unionByName(df)
+    found = _match_components(parts, threshold)
+    if large.isEmpty():
+        return found
+    o_large, n_large = (groups.join(at.join(large, "root", "left_semi"), "key", "left_semi") for groups, at in ((o_groups, o_at), (n_groups, n_at)))
+    return found.unionByName(_match_in_rounds(o_rows, cut_lineage(o_large), n_rows, cut_lineage(n_large), threshold, first_cap))

@@ -157,3 +157,97 @@ def test_diff_exact_pairs_copies_and_leaves_nulls_alone(spark):
     assert got == [("added", 1, -1, "n"), ("added", 4, -1, "n"), ("added", 6, -1, "n"), ("removed", -1, 0, "o"), ("removed", -1, 1, "o"),
                    ("removed", -1, 2, "o"), ("removed", -1, 4, "o"), ("removed", -1, 6, "o"), ("unchanged", 0, 5, "n"), ("unchanged", 2, 8, "n"),
                    ("unchanged", 3, 3, "n"), ("unchanged", 5, 7, "n")]
+
+
+@pytest.mark.parametrize("rows", [0, 30])
+def test_greedy_match_in_rounds_equals_serial(spark, cloud, rows, monkeypatch):
+    """Components that no task holds are matched in rounds, the others beside them."""
+    monkeypatch.setattr(simjoin, "MATCH_ROWS", rows)
+    rng = np.random.default_rng(5)
+    old = cloud[:50]
+    new = np.concatenate([cloud[:45], cloud[:20] + 0.05 * rng.normal(size=(20, 8)), cloud[40:46]])
+    got = {r["new_idx"]: r["old_idx"] for r in simjoin.greedy_match(frame(spark, old), frame(spark, new), 0.9, 2).collect()}
+    assert got == greedy(old, new, 0.9)
+
+
+def test_greedy_match_joins_once(spark, monkeypatch):
+    """Rows that compete within a cluster were refused, and their lists lengthened, in a round of jobs each."""
+    joined, real = [], simjoin.similar_pairs
+    monkeypatch.setattr(simjoin, "similar_pairs", lambda *a, **k: joined.append(1) or real(*a, **k))
+    monkeypatch.setattr(simjoin, "CELL_ROWS", 8)
+    monkeypatch.setattr(simjoin.ranking, "in_order", lambda *a, **k: pytest.fail("a round"))
+    rng = np.random.default_rng(6)
+    m = np.repeat(rng.normal(size=(4, 40)), 30, axis=0) + 0.05 * rng.normal(size=(120, 40))
+    order = rng.permutation(120)
+    old, new = m[order[:70]], m[order[40:]] + 0.01 * rng.normal(size=(80, 40))
+    got = {r["new_idx"]: r["old_idx"] for r in simjoin.greedy_match(frame(spark, old), frame(spark, new), 0.9, 2).collect()}
+    assert got == greedy(old, new, 0.9) and len(got) > 60 and joined == [1]
+
+
+def test_greedy_match_odd_rows(spark):
+    """Copies of an idx, negative ones and null vectors; an old row is taken once."""
+    kind = "idx bigint, v array<double>"
+    old = spark.createDataFrame([(-1, [1.0, 0.0]), (0, [0.0, 1.0]), (0, [0.0, 2.0]), (5, None), (6, [0.0, 0.0])], kind)
+    new = spark.createDataFrame([(-1, [3.0, 0.0]), (0, [2.0, 0.0]), (1, [0.0, 1.0]), (1, [0.0, 1.0]), (2, [0.0, 4.0]), (7, None)], kind)
+    got = sorted((r["new_idx"], r["old_idx"], r["similarity"]) for r in simjoin.greedy_match(old, new, 0.9).collect())
+    assert got == [(-1, -1, 1.0), (1, 0, 1.0), (1, 0, 1.0)]
+    assert simjoin.greedy_match(old.limit(0), new, 0.9).isEmpty() and simjoin.greedy_match(old, new.limit(0), 0.9).isEmpty()
+
+
+@pytest.mark.parametrize(("dense", "threshold"), [(64, 0.7), (10**9, 0.7), (64, 0.1), (1, 0.1)])
+def test_first_dimensions_rule_out_no_partner(spark, dense, threshold, monkeypatch):
+    monkeypatch.setattr(simjoin, "DENSE", dense)
+    monkeypatch.setattr(simjoin, "SCORES", 1 << 12)
+    rng = np.random.default_rng(9)
+    left = rng.normal(size=(200, 48))
+    right = np.concatenate([left[:90] + rng.normal(size=(90, 48)) * rng.uniform(0.2, 1.4, (90, 1)), rng.normal(size=(110, 48))])
+    want = {(i, j) for i, j in zip(*(x.tolist() for x in np.nonzero(np.round(unit(left) @ unit(right).T, 12) > threshold)))}
+    groups = [simjoin.vector_groups(frame(spark, m)) for m in (left, right)]
+    rows = simjoin.similar_pairs(*groups, threshold).collect()
+    assert {(r["left_rep"], r["right_rep"]) for r in rows} == want and len(rows) == len(want) > 30
+    assert all(abs(r["similarity"] - unit(left)[r["left_rep"]] @ unit(right)[r["right_rep"]]) < 1e-11 for r in rows)
+    # links tie together the same rows, with as few pairs as a tree has where one task sees all
+    links = [(r["left_rep"], r["right_rep"]) for r in simjoin.similar_pairs(*groups, threshold, links=True).collect()]
+
+    def parts(pairs):
+        root = {}
+        def at(x):
+            while root.setdefault(x, x) != x:
+                x = root[x]
+            return x
+        for i, j in pairs:
+            root[at(("l", i))] = at(("r", j))
+        held = {}
+        for x in list(root):
+            held.setdefault(at(x), set()).add(x)
+        return {frozenset(x) for x in held.values()}
+    assert set(links) <= want and parts(links) == parts(want)
+    assert len(links) <= sum(len(x) - 1 for x in parts(want)) + 200
+
+
+def test_pivots_that_keep_nothing_away_are_left_out(spark, monkeypatch):
+    """Each vector was sent to nearly every cell where vectors have no structure."""
+    monkeypatch.setattr(simjoin, "CELL_ROWS", 40)
+    rng = np.random.default_rng(4)
+    loose = rng.normal(size=(400, 64))
+    tight = np.repeat(rng.normal(size=(10, 64)), 40, axis=0) + 0.05 * rng.normal(size=(400, 64))
+    visits = []
+    for m in (loose, tight):
+        groups = simjoin.vector_groups(frame(spark, m))
+        pivots = simjoin._pivots(groups, 0.4)
+        visits.append((len(pivots), simjoin._place(groups, pivots, 0.4).count()))
+    assert visits[0] == (1, 400) and visits[1][0] == 10 and visits[1][1] < 4000
+
+
+def test_few_edges_are_settled_by_one_task(spark):
+    from lectern.operators.components import components
+    rng = np.random.default_rng(2)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (180, 2))] + [(i, i + 1) for i in range(1000, 1100)] + [(2000, i) for i in range(1900, 1990)]
+    df = spark.createDataFrame(edges, "a bigint, b bigint")
+
+    def parts(few):
+        held = {}
+        for r in components(df, few=few).collect():
+            held.setdefault(r["root"], set()).add(r["node"])
+        return {frozenset(x) for x in held.values()}
+    assert parts(0) == parts(1000) == parts(50)
