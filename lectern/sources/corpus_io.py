@@ -91,10 +91,11 @@ def fingerprint(vectors: DataFrame) -> DataFrame:
 
     A vector is written as comma-separated millionths of its components.
     """
-    parts = F.array_join(F.transform("v", lambda x: F.bround(x.cast("double") * 1_000_000, 0).cast("bigint").cast("string")), ",")
-    ends = vectors.select("idx", parts.alias("p")).agg(
-        F.min_by("p", "idx").alias("first"), F.max_by("p", "idx").alias("last"), F.count("*").alias("n"))
-    text = F.concat_ws("|", "first", "last", F.col("n").cast("string"))
+    def written(v: str):
+        return F.array_join(F.transform(v, lambda x: F.bround(x.cast("double") * 1_000_000, 0).cast("bigint").cast("string")), ",")
+
+    ends = vectors.select("idx", "v").agg(F.min_by("v", "idx").alias("first"), F.max_by("v", "idx").alias("last"), F.count("*").alias("n"))
+    text = F.concat_ws("|", written("first"), written("last"), F.col("n").cast("string"))
     return ends.select(F.col("n").alias("count"), F.substring(F.sha2(text, 256), 1, 16).alias("fingerprint"))
 
 

@@ -186,3 +186,14 @@ def test_stream_ingest_cuts_long_texts(spark, tmp_path):
     sql = con.execute(registry.all_sql()["z9_stream_ingest"])
     at = [[d[0] for d in sql.description].index(c) for c in ("content_key", "source", "text")]
     assert sorted(tuple(r[i] for i in at) for r in sql.fetchall()) == got
+
+
+def test_a_fingerprint_writes_out_two_vectors(spark):
+    """Every vector was written as text before the first and last were picked."""
+    import hashlib
+    rows = spark.createDataFrame([(3, [0.25, -1.5]), (1, [0.1234567, 2.0]), (2, None)], "idx bigint, v array<double>")
+    df = corpus_io.fingerprint(rows)
+    got = df.first()
+    assert (got["count"], got["fingerprint"]) == (3, hashlib.sha256(b"123457,2000000|250000,-1500000|3").hexdigest()[:16])
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "min_by(v" in plan and plan.index("array_join") < plan.index("min_by(v")
