@@ -251,3 +251,23 @@ def test_few_edges_are_settled_by_one_task(spark):
             held.setdefault(r["root"], set()).add(r["node"])
         return {frozenset(x) for x in held.values()}
     assert parts(0) == parts(1000) == parts(50)
+
+
+def test_semantic_diff_takes_few_jobs(spark):
+    """Competing rows took some ten jobs a round; the matches are those of the serial rule."""
+    rng = np.random.default_rng(7)
+    m = np.repeat(rng.normal(size=(3, 40)), 40, axis=0) + 0.05 * rng.normal(size=(120, 40))
+    order = rng.permutation(120)
+    old, new = m[order[:80]], m[order[30:]]
+    texts = [f"t{i % 4}" for i in range(90)]
+    sc = spark.sparkContext
+    sc.setJobGroup("semantic", "diff_semantic")
+    try:
+        got = diff.diff_semantic(snap(spark, old, texts[:80]), snap(spark, new, texts)).collect()
+    finally:
+        sc._jsc.clearJobGroup()
+    pairs = greedy(old, new, diff.SEMANTIC_THRESHOLD)
+    want = {("unchanged" if texts[i] == texts[j] else "modified", i, j) for i, j in pairs.items()}
+    want |= {("added", i, None) for i in range(90) if i not in pairs} | {("removed", None, j) for j in set(range(80)) - set(pairs.values())}
+    assert {(r["status"], r["new_idx"], r["old_idx"]) for r in got} == want and len(got) == len(want)
+    assert 0 < len(sc.statusTracker().getJobIdsForGroup("semantic")) < 100, len(sc.statusTracker().getJobIdsForGroup("semantic"))
